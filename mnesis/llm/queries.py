@@ -17,6 +17,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnesis.llm.substrings import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"), window=20)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mnesis.llm.simhash import near_duplicates
 
