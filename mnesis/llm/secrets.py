@@ -96,9 +96,10 @@ def _learn(found: DataFrame, labelled: int, kinds: tuple[str, ...]) -> list[tupl
         margin = lambda x, m=model: m.score(x) - (plain.score(x) if plain else 0.0)
         own, rest = sorted(map(margin, classes)), sorted(map(margin, other))
         least = own[len(own) // 10]
-        # nine of ten examples reach it; of the runs in general, some of which may be such credentials too, nine of ten must be far below
-        if not rest or least - rest[len(rest) * 9 // 10] >= 1:
-            out.append((model, least, plain))
+        # of the runs in general, some of which may be such credentials too, nine of ten must be far below nine of ten examples; the bar is a quarter of the way down
+        gap = least - rest[len(rest) * 9 // 10] if rest else 4.0
+        if gap >= 1:
+            out.append((model, least - gap / 4, plain))
     return out
 
 
@@ -108,7 +109,7 @@ def find_secrets(docs: DataFrame, labelled: int = 1000, least: int = 16) -> Data
     assign, access and hex are matches of fixed patterns, found over the whole text. Their values are labelled credentials: for each kind, a bounded sample
     (the `labelled` distinct values of least hash) becomes a probabilistic automaton over character classes, and as many other runs of token characters
     become one for ordinary text. Every other run of at least `least` token characters is then scored: a format span is one whose likelihood under
-    some kind's automaton stands above the ordinary one by as much as for nine of ten labelled values; a kind whose values ordinary runs come near to gives none. It overlaps no other span.
+    some kind's automaton stands about as far above the ordinary one as for labelled values; a kind whose values ordinary runs come near to gives none. It overlaps no other span.
 
     A null text is empty and has no spans. Repeated rows are scanned each; a null doc_id stays. Without labelled values there are no format spans.
     Scale: texts are read once and never shuffled; what is kept of them are the runs. Distinct values are pre-aggregated before the sample.
