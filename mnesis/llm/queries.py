@@ -17,6 +17,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnesis.llm.langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mnesis.llm.secrets import digest, find_secrets
 

@@ -61,6 +61,13 @@ def test_inferred_format_is_found_where_no_pattern_matches(spark, documents):
 
 def test_merging_generalises():
     rng = random.Random(0)
-    model = learn(["ab" * rng.randint(1, 6) for _ in range(400)], 3)
-    assert len(model.moves) <= 4
-    assert model.score("ab" * 9) > model.score("aabb") + 0.5
+
+    def text():
+        out = "ab"
+        while rng.random() < 0.6:
+            out += "ab"
+        return out
+
+    model = learn([text() for _ in range(500)], 3)
+    assert len(model.moves) <= 6
+    assert model.score("ab" * 30) > model.score("aabb") + 0.5
