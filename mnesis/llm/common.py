@@ -162,3 +162,31 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_byte_table(seed)[raw] * up[: len(raw)], out=total[1:])
     return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(_R))
+
+
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[:128] = [ord(chr(b).lower()) if chr(b).isalnum() else 0x20 for b in range(128)]
+
+
+def token_hashes(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' tokens (A-Z lower-cased, ASCII punctuation as white space), and the index of each text's first (n + 1 entries)."""
+    plain = _PLAIN[raw]
+    starts, ends, first = word_bounds(plain, offs)
+    return word_hashes(plain, starts, ends, seed=1), first
+
+
+def tree_sum(parts: DataFrame, width: int, kind: str = "float64", fan: int = 64) -> np.ndarray:
+    """The sum of packed arrays (column part: bytes of `width` numbers), added in each task and then in `fan` tasks before the driver adds those."""
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            for x in batch.column(0):
+                a = np.frombuffer(x.as_py(), kind)
+                total = a.copy() if total is None else total + a
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+
+    each = parts.select("part").mapInArrow(run, "part binary")
+    rows = each.repartition(fan).mapInArrow(run, "part binary").collect()
+    return sum((np.frombuffer(r.part, kind) for r in rows), np.zeros(width, kind))
