@@ -168,11 +168,23 @@ _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[:128] = [ord(chr(b).lower()) if chr(b).isalnum() else 0x20 for b in range(128)]
 
 
-def token_hashes(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the texts' tokens (A-Z lower-cased, ASCII punctuation as white space), and the index of each text's first (n + 1 entries)."""
+def token_hashes(raw: np.ndarray, offs: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' tokens (A-Z lower-cased, ASCII punctuation as white space), and the index of each text's first (n + 1 entries).
+
+    With prefixes, those of longer tokens that have so many bytes follow each text's tokens, as hashes of their own kind.
+    """
     plain = _PLAIN[raw]
     starts, ends, first = word_bounds(plain, offs)
-    return word_hashes(plain, starts, ends, seed=1), first
+    whole = word_hashes(plain, starts, ends, seed=1)
+    if not prefixes or not len(whole):
+        return whole, first
+    parts, texts = [whole], [np.searchsorted(first, np.arange(len(whole)), "right") - 1]
+    for k in prefixes:
+        long = ends - starts > k
+        parts.append(word_hashes(plain, starts[long], starts[long] + k, seed=1) ^ np.uint64(k))
+        texts.append(texts[0][long])
+    text = np.concatenate(texts)
+    return np.concatenate(parts)[np.argsort(text, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(first) - 1))])
 
 
 def tree_sum(parts: DataFrame, width: int, kind: str = "float64", fan: int = 64) -> np.ndarray:

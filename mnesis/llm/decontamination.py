@@ -126,7 +126,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 128, piece: in
 def _block(docs: DataFrame, rows: list, scratch: Scratch, label: str, schema: str, rank: int, piece: int, cosine: float, common: float, coverage: float, answer: float) -> DataFrame:
     tokens, first = token_hashes(*text_buffer(pa.array([r.text for r in rows], pa.string())))
     solution, begin = token_hashes(*text_buffer(pa.array([r.answer or "" for r in rows], pa.string())))
-    vocabulary = np.unique(tokens)
+    vocabulary = np.unique(np.concatenate([tokens, solution])) if len(tokens) else tokens
     if not len(vocabulary):
         return docs.sparkSession.createDataFrame([], schema)
     number = lambda x: np.searchsorted(vocabulary, x).clip(0, len(vocabulary) - 1)
@@ -165,7 +165,7 @@ def _block(docs: DataFrame, rows: list, scratch: Scratch, label: str, schema: st
     wanted = np.array([table[c].sum(0) for c in item_codes])
     wanted = (wanted / np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-12)).astype(np.float32)
     lengths = np.array([len(c) for c in item_codes])
-    needed = np.ceil(coverage * lengths - 1e-9)
+    needed = np.maximum(1, np.ceil(coverage * lengths - 1e-9))
     member = np.zeros((terms + 1, len(rows)), bool)
     for i, c in enumerate(item_codes):
         member[c, i] = True
@@ -213,10 +213,9 @@ def _block(docs: DataFrame, rows: list, scratch: Scratch, label: str, schema: st
                         if key in best and best[key][0] >= 1:
                             continue
                         region = codes[a[j] : b[j]]
-                        region = region[member[region, x]].tolist()
-                        got = lcs(plain[x], region) / int(lengths[x])
+                        got = lcs(plain[x], region[member[region, x]].tolist()) / int(lengths[x])
                         if got >= coverage:
-                            found = len(answers[x] & set(region)) / len(answers[x]) if answers[x] else 1.0
+                            found = len(answers[x] & set(region.tolist())) / len(answers[x]) if answers[x] else 1.0
                             if found >= answer:
                                 best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (got, found, float(like[j])))
             if best:

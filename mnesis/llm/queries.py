@@ -42,6 +42,12 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnesis.llm.decontamination import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mnesis.llm.topk import top_k
 

@@ -103,7 +103,7 @@ def _learn(found: DataFrame, labelled: int, kinds: tuple[str, ...]) -> list[tupl
     return out
 
 
-def find_secrets(docs: DataFrame, labelled: int = 1000, least: int = 16) -> DataFrame:
+def find_secrets(docs: DataFrame, labelled: int = 1000, least: int = 16, redacted: bool = False) -> DataFrame:
     """doc_id and spans of each row: array of (kind, start, end) in code points, ordered by start and kind.
 
     assign, access and hex are matches of fixed patterns, found over the whole text. Their values are labelled credentials: for each kind, a bounded sample
@@ -112,7 +112,8 @@ def find_secrets(docs: DataFrame, labelled: int = 1000, least: int = 16) -> Data
     some kind's automaton stands about as far above the ordinary one as for labelled values; a kind whose values ordinary runs come near to gives none. It overlaps no other span.
 
     A null text is empty and has no spans. Repeated rows are scanned each; a null doc_id stays. Without labelled values there are no format spans.
-    Scale: texts are read once and never shuffled; what is kept of them are the runs. Distinct values are pre-aggregated before the sample.
+    With redacted, the docs come back with their own columns instead, each secret in the text replaced by its kind in brackets and n_chars, if there is one,
+    counted anew. For that, texts are scanned a second time in place of being joined to their spans. Scale: texts are never shuffled; what is kept of them are the runs. Distinct values are pre-aggregated before the sample.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "secrets")
@@ -120,24 +121,59 @@ def find_secrets(docs: DataFrame, labelled: int = 1000, least: int = 16) -> Data
     found = scratch.save(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan(least), schema), "found")
     models = _learn(found, labelled, KINDS[:3])
 
+    def settle(row: list[dict]) -> list[dict]:
+        spans = [x for x in row if x["kind"] != "other"]
+        for x in row:
+            if x["kind"] == "other" and not any(x["start"] < y["end"] and y["start"] < x["end"] for y in spans if y["kind"] != "format"):
+                text = x["secret"].translate(_CLASS)
+                if any(m.score(text) - (plain.score(text) if plain else 0.0) >= t for m, t, plain in models):
+                    spans.append(x | {"kind": "format"})
+        return sorted(spans, key=lambda x: (x["start"], KINDS.index(x["kind"])))
+
+    if redacted:
+        return _redact(docs, settle, least)
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             out = []
             for row in batch.column("found").to_pylist():
-                spans = [x for x in row if x["kind"] != "other"]
-                for x in row:
-                    if x["kind"] == "other" and not any(x["start"] < y["end"] and y["start"] < x["end"] for y in spans if y["kind"] != "format"):
-                        text = x["secret"].translate(_CLASS)
-                        if any(m.score(text) - (plain.score(text) if plain else 0.0) >= t for m, t, plain in models):
-                            spans.append(x | {"kind": "format"})
-                spans.sort(key=lambda x: (x["start"], KINDS.index(x["kind"])))
-                out.append([{k: x[k] for k in ("kind", "start", "end")} for x in spans])
+                out.append([{k: x[k] for k in ("kind", "start", "end")} for x in settle(row)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, kind)], names=["doc_id", "spans"])
 
     return found.mapInArrow(finish, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
 
 
+def _redact(docs: DataFrame, settle, least: int) -> DataFrame:
+    names, counted = docs.columns, "n_chars" in docs.columns
+    scan = _scan(least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in byte_slices(batch, "text"):
+                one = pa.RecordBatch.from_arrays([pa.array(range(part.num_rows)), part.column("text")], names=["doc_id", "text"])
+                texts = part.column("text").to_pylist()
+                changed = {}
+                for got in scan(iter([one])):
+                    for i, row in zip(got.column("doc_id").to_pylist(), got.column("found").to_pylist(), strict=True):
+                        if row and (spans := settle(row)):
+                            out, at = [], 0
+                            for x in spans:
+                                if x["end"] > at:  # what stands inside another span goes with it
+                                    out += [texts[i][at : max(at, x["start"])], f"[{x['kind']}]" if x["start"] >= at else ""]
+                                    at = x["end"]
+                            changed[i] = "".join(out) + texts[i][at:]
+                columns = list(part.columns)
+                if changed:
+                    columns[names.index("text")] = pa.array([changed.get(i, t) for i, t in enumerate(texts)], pa.string())
+                    if counted:
+                        n = part.column("n_chars").to_pylist()
+                        columns[names.index("n_chars")] = pa.array([len(changed[i]) if i in changed else v for i, v in enumerate(n)], part.column("n_chars").type)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def digest(spans: DataFrame) -> DataFrame:
     """The spans as counts and text: doc_id, n_assign, n_access, n_hex, base_sha256 and spans."""
     line = lambda kinds: F.array_join(F.transform(F.filter("spans", lambda x: x["kind"].isin(*kinds)), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")

@@ -13,11 +13,19 @@ from pyspark.sql import functions as F
 from mnesis.llm.common import byte_slices, text_buffer, token_hashes
 
 
+PREFIXES = (5, 6, 7)
+
+
+def value(count: np.ndarray) -> np.ndarray:
+    """What a feature that stands so often in a text counts: 1, 1.58, 2, 2.32 and so on."""
+    return np.log2(1 + count)
+
+
 @dataclass
 class Ordinal:
-    """P(grade >= k) = logistic(w . x - threshold[k - 1]): one weight vector for all of the ordered thresholds. x: which tokens a text has."""
+    """P(grade >= k) = logistic(w . x - threshold[k - 1]): one weight vector for all of the ordered thresholds. x: how often a text has each token and token prefix (see value)."""
 
-    features: np.ndarray  # sorted token hashes
+    features: np.ndarray  # sorted hashes
     weights: np.ndarray
     thresholds: np.ndarray
 
@@ -32,25 +40,28 @@ class Ordinal:
         place = np.minimum(np.searchsorted(self.features, tokens[at]), max(0, len(self.features) - 1))
         hit = self.features[place] == tokens[at] if len(self.features) else np.zeros(0, bool)
         text = np.searchsorted(first, at[hit], "right") - 1
-        pairs = np.unique(text * len(self.features) + place[hit])
-        return np.bincount(pairs // max(1, len(self.features)), self.weights[pairs % max(1, len(self.features))], len(first) - 1) if len(pairs) else np.zeros(len(first) - 1)
+        if not len(text):
+            return np.zeros(len(first) - 1)
+        pairs, count = np.unique(text * len(self.features) + place[hit], return_counts=True)
+        return np.bincount(pairs // len(self.features), self.weights[pairs % len(self.features)] * value(count), len(first) - 1)
 
 
-def fit_ordinal(texts: list[np.ndarray], grades: np.ndarray, n_grades: int, l2: float = 1e-4, l1: float = 1e-4, steps: int = 250, rate: float = 0.1, least: int = 4) -> Ordinal:
-    """Adam on the likelihood of the grades; clean texts weigh 0.85 in all, the others 0.15. texts: distinct token hashes; a feature stands in `least` texts or more."""
+def fit_ordinal(texts: list[np.ndarray], counts: list[np.ndarray], grades: np.ndarray, n_grades: int, l2: float = 1e-4, l1: float = 1e-4, steps: int = 250, rate: float = 0.1, least: int = 4) -> Ordinal:
+    """Adam on the likelihood of the grades; clean texts weigh 0.85 in all, the others 0.15. texts: each one's distinct features, with counts; a feature stands in `least` texts or more."""
     flat = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
     row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    features, col, count = np.unique(flat, return_inverse=True, return_counts=True)
-    keep = count >= least
+    x = value(np.concatenate(counts)) if counts else np.zeros(0)
+    features, col, seen = np.unique(flat, return_inverse=True, return_counts=True)
+    keep = seen >= least
     number = np.cumsum(keep) - 1
     ok = keep[col]
-    row, col, features = row[ok], number[col[ok]], features[keep]
+    row, col, x, features = row[ok], number[col[ok]], x[ok], features[keep]
     w, theta = np.zeros(len(features)), np.arange(n_grades - 1, dtype=float)
     bad = grades > 0
     sample = np.where(bad, 0.15 / max(1, bad.sum()), 0.85 / max(1, (~bad).sum()))
     state = [[np.zeros_like(w), np.zeros_like(w)], [np.zeros_like(theta), np.zeros_like(theta)]]
     for t in range(1, steps + 1):
-        z = np.bincount(row, w[col], len(texts))
+        z = np.bincount(row, w[col] * x, len(texts))
         p = 1 / (1 + np.exp(np.clip(theta - z[:, None], -40, 40)))
         # P(grade) is the difference of two neighbours; its gradient goes through both
         edge = np.concatenate([np.ones((len(z), 1)), p, np.zeros((len(z), 1))], 1)
@@ -61,10 +72,10 @@ def fit_ordinal(texts: list[np.ndarray], grades: np.ndarray, n_grades: int, l2:
         gt = np.zeros((len(z), n_grades + 1))
         gt[i, grades] += slope[i, grades] / mass * sample
         gt[i, grades + 1] -= slope[i, grades + 1] / mass * sample
-        for value, g, (m, v) in zip((w, theta), (np.bincount(col, gz[row], len(w)) + l2 * w, gt[:, 1:-1].sum(0)), state, strict=True):
+        for param, g, (m, v) in zip((w, theta), (np.bincount(col, gz[row] * x, len(w)) + l2 * w, gt[:, 1:-1].sum(0)), state, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            value -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+            param -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w[:] = np.sign(w) * np.maximum(0, np.abs(w) - rate * l1 * 100)  # the steps of Adam are about rate long, whatever the gradient
         np.maximum.accumulate(theta, out=theta)
     used = np.abs(w) > 1e-6
@@ -72,7 +83,7 @@ def fit_ordinal(texts: list[np.ndarray], grades: np.ndarray, n_grades: int, l2:
 
 
 def severity_grades(texts: list[np.ndarray], toxic: np.ndarray, levels: int = 3, least: int = 4) -> np.ndarray:
-    """Ordered grades from 0/1 labels: 0 for clean texts; toxic ones by how many tokens they hold that stand almost only in toxic texts, cut at equal shares."""
+    """Ordered grades from 0/1 labels: 0 for clean texts; toxic ones by how many features they hold that stand almost only in toxic texts, cut at equal shares."""
     flat = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
     owner = np.repeat(toxic, [len(t) for t in texts])
     tokens, where = np.unique(flat, return_inverse=True)
@@ -99,22 +110,22 @@ def fit(docs: DataFrame, labels: DataFrame, n_toxic: int = 3000, n_clean: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, "text"):
-                tokens, first = token_hashes(*text_buffer(part.column("text")))
-                out = [np.unique(tokens[first[i] : first[i + 1]]).tobytes() for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("toxic"), pa.array(out, pa.binary())], names=["id", "toxic", "tokens"])
+                tokens, first = token_hashes(*text_buffer(part.column("text")), PREFIXES)
+                out = [np.unique(tokens[first[i] : first[i + 1]], return_counts=True) for i in range(part.num_rows)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("toxic"), *(pa.array([x[k].tobytes() for x in out], pa.binary()) for k in (0, 1))], names=["id", "toxic", "tokens", "counts"])
 
     # at most n_toxic + n_clean ids: their size is bounded by parameters
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", "toxic", "text").mapInArrow(run, "id long, toxic boolean, tokens binary").collect()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", "toxic", "text").mapInArrow(run, "id long, toxic boolean, tokens binary, counts binary").collect()
     rows.sort(key=lambda r: (r.id, bytes(r.tokens)))
     toxic = np.array([r.toxic for r in rows], bool)
     if not toxic.any() or toxic.all():
         return None
     # copies of one text would teach all of its words: each set of tokens counts once
-    once = sorted({(bytes(r.tokens), r.toxic) for r in rows})
-    texts, toxic = [np.frombuffer(t, np.uint64) for t, _ in once], np.array([y for _, y in once], bool)
-    least = max(4, int(toxic.sum()) // 50)
+    once = sorted({(bytes(r.tokens), bytes(r.counts), r.toxic) for r in rows})
+    texts, counts, toxic = [np.frombuffer(t, np.uint64) for t, _, _ in once], [np.frombuffer(c, np.int64) for _, c, _ in once], np.array([y for _, _, y in once], bool)
+    least = max(4, int(toxic.sum()) // 30)
     grades = severity_grades(texts, toxic, least=least)
-    return fit_ordinal(texts, grades, int(grades.max()) + 1, least=least)
+    return fit_ordinal(texts, counts, grades, int(grades.max()) + 1, least=least)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, model: Ordinal | None = None) -> DataFrame:
@@ -132,7 +143,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model: Ordinal | None = N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, "text"):
-                tokens, first = token_hashes(*text_buffer(part.column("text")))
+                tokens, first = token_hashes(*text_buffer(part.column("text")), PREFIXES)
                 p = model.at_least(model.linear(tokens, first))
                 p[np.diff(first) == 0] = 0
                 edge = np.concatenate([np.ones((len(p), 1)), p, np.zeros((len(p), 1))], 1)

@@ -59,6 +59,14 @@ def test_inferred_format_is_found_where_no_pattern_matches(spark, documents):
     assert all(got[i].count("format") == (60 <= i < 70) for i in range(100))
 
 
+def test_redaction_keeps_all_else(spark, documents):
+    h = "0123456789abcdef" * 2
+    rows = [(1, "é password=abcdefgh1 x"), (2, None), (3, f"token={h} {h} end"), (4, "plain"), (None, "AKIA" + "A" * 16)]
+    got = {r.doc_id: r for r in find_secrets(documents(rows), redacted=True).collect()}
+    assert {k: r.text for k, r in got.items()} == {1: "é [assign] x", 2: None, 3: "[assign] [hex] end", 4: "plain", None: "[access]"}
+    assert got[1].n_chars == len("é [assign] x") and got[4].n_chars == 5 and got[3].source == "s"
+
+
 def test_merging_generalises():
     rng = random.Random(0)
 

@@ -7,7 +7,7 @@ import xxhash
 
 from mnesis.llm import queries
 from mnesis.llm.common import Scratch
-from mnesis.llm.simhash import covering_masks, hamming_links, near_duplicates
+from mnesis.llm.simhash import covering_masks, hamming_links, near_duplicates, representatives, similar_bits, wide_fingerprint
 
 SF = "/root/testdata/sf0.01"
 
@@ -65,7 +65,7 @@ def test_large_buckets_are_dealt_anew_and_lose_no_link(spark):
         fps.add(rng.choice(sorted(fps)) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 9))))
     fps = sorted(fps)
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
-    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    df = spark.createDataFrame([(x, x) for x in signed], "node long, fp long")
     links = hamming_links(df, Scratch(spark, "t"), most=4).toPandas()
     want = plain_components(fps, list(range(len(fps))))
     at = {x: i for i, x in enumerate(signed)}
@@ -93,3 +93,34 @@ def test_odd_rows(spark, documents):
     assert by[3, zero] == by[4, zero] == by[5, zero] == 3
     assert [r.component_id for r in got if r.doc_id in (7, 9)] == [7, 7, 7]
     assert near_duplicates(documents([])).collect() == []
+
+
+def test_representatives_equal_brute_force_and_leave_others_alone(spark, documents):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(5))
+    rows = [(i, " ".join(word() for _ in range(rng.randint(40, 200)))) for i in range(60)]
+    for i in range(60, 120):
+        words = rows[rng.randrange(20)][1].split()
+        for _ in range(rng.choice([0, 1, 2, 40])):
+            words[rng.randrange(len(words))] = word()
+        rows.append((i, " ".join(words)))
+    f = np.array([wide_fingerprint(t.encode(), 5) for _, t in rows], np.uint64)
+    root = list(range(len(f)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(f)), 2):
+        d = np.bitwise_count(f[i] ^ f[j])
+        if d[0] <= 5 and d[1:].sum() <= similar_bits(0.8):
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    want = {find(i) for i in range(len(f))}
+    odd = [(200, None), (201, ""), (202, " "), (None, rows[0][1]), (None, "other words here"), (203, rows[0][1]), (203, rows[0][1])]
+    got = representatives(documents(rows + odd)).collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted(want | {200, 201, 202})
+    assert [r.text for r in got if r.doc_id is None] == ["other words here"]
+    assert 60 <= len(want) < 100
+    assert representatives(documents([])).collect() == []
