@@ -32,71 +32,68 @@ def _matrix(vectors: pa.Array, width: int) -> np.ndarray:
 
 
 class PivotTable:
-    """Inner products as distances: with one more coordinate, sqrt(reach - |x|^2) for candidates and 0 for queries, |q - x|^2 = |q|^2 + reach - 2 <q, x>."""
+    """Inner products as distances: with one more coordinate, sqrt(reach - |x|^2) for candidates and 0 for queries and pivots, |q - x|^2 = |q|^2 + reach - 2 <q, x>."""
 
     def __init__(self, pivots: np.ndarray, reach: float):
         self.pivots, self.reach = pivots, reach
         self.square = (pivots**2).sum(1)
-        self.lift = np.sqrt(np.maximum(0, reach - self.square))
 
     def distances(self, x: np.ndarray, candidates: bool) -> np.ndarray:
         square = (x**2).sum(1)
-        lift = np.sqrt(np.maximum(0, self.reach - square)) if candidates else np.zeros(len(x))
-        d = square[:, None] + self.square - 2 * x @ self.pivots.T + (lift[:, None] - self.lift) ** 2
+        d = square[:, None] + self.square - 2 * x @ self.pivots.T
+        if candidates:
+            d += np.maximum(0, self.reach - square)[:, None]
         return np.sqrt(np.maximum(0, d))
 
-    def upper(self, queries: np.ndarray, to_query: np.ndarray, to_candidate: np.ndarray) -> np.ndarray:
-        """For each query and candidate, a bound that the inner product does not exceed: the pivots' greatest lower bound of the distance, turned round."""
-        least = np.zeros((len(to_query), len(to_candidate)), np.float32)
-        for p in range(len(self.pivots)):
-            np.maximum(least, np.abs(to_query[:, p, None] - to_candidate[None, :, p]), out=least)
-        square = (queries**2).sum(1)[:, None] + self.reach
-        return (square - (least * np.float32(1 - 1e-5)) ** 2) / 2 + 1e-4 * (square + 1)
+    def upper(self, square: float, to_query: np.ndarray, to_candidates: np.ndarray, use: int) -> np.ndarray:
+        """Bounds that a query's inner products with candidates do not exceed: the greatest lower bounds of the distances, turned round.
+
+        to_candidates: (pivots, candidates). The bounds are taken at the `use` pivots nearest to the query, which tell the most.
+        """
+        nearest = np.argpartition(to_query, use)[:use] if use < len(to_query) else np.arange(len(to_query))
+        least = np.zeros(to_candidates.shape[1], np.float32)
+        for p in nearest:
+            np.maximum(least, np.abs(to_candidates[p] - to_query[p]), out=least)
+        least *= np.float32(1 - 1e-5)
+        return (square + self.reach - least.astype(float) ** 2) / 2 + 1e-4 * (square + self.reach + 1)
 
 
 def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
-    """Farthest first from the sample's first row: each pivot is the row farthest from those before."""
-    if not len(sample):
-        return sample
-    chosen = [0]
-    far = ((sample - sample[0]) ** 2).sum(1)
-    while len(chosen) < min(n, len(sample)) and far.max() > 0:
-        chosen.append(int(far.argmax()))
-        far = np.minimum(far, ((sample - sample[chosen[-1]]) ** 2).sum(1))
-    return sample[chosen]
-
-
-def search_block(ids: np.ndarray, queries: np.ndarray, best: list[tuple[np.ndarray, np.ndarray]], table: PivotTable, to_query: np.ndarray, other: np.ndarray, vectors: np.ndarray, k: int, step: int = 64) -> int:
+    """n rows of a sample in random order, none twice: thus dense regions, where most queries are, have pivots of their own."""
+    _, at = np.unique(sample[: 4 * n], axis=0, return_index=True)
+    return sample[np.sort(at)[:n]]
+
+
+def search_block(ids: np.ndarray, queries: np.ndarray, best: list[tuple[np.ndarray, np.ndarray]], table: PivotTable, to_query: np.ndarray, other: np.ndarray, vectors: np.ndarray, k: int, step: int = 256, use: int = 6) -> int:
     """Improve best, each query's top k so far as (scores, ids), by a block of candidates; how many were evaluated.
 
     For each query, candidates go by falling bound. When the k-th score so far is above the bound of the next ones, none of them can enter.
     """
-    to_candidate = table.distances(vectors, True).astype(np.float32)
-    evaluated = 0
-    for lo in range(0, len(ids), 256):
-        upper = table.upper(queries[lo : lo + 256], to_query[lo : lo + 256], to_candidate)
-        for q, bounds in enumerate(upper, lo):
-            score, who = best[q]
-            alive = np.flatnonzero(bounds >= score[k - 1]) if len(score) >= k else np.arange(len(other))
-            if len(alive) > step:
-                alive = alive[np.argsort(-bounds[alive], kind="stable")]
-            at = 0
-            while at < len(alive) and (len(score) < k or bounds[alive[at : at + step]].max() >= score[k - 1]):
-                got = alive[at : at + step]
-                at, evaluated = at + step, evaluated + len(got)
-                got = got[other[got] != ids[q]]
-                s = vectors[got] @ queries[q]
-                if len(score) >= k:
-                    got, s = got[s >= score[k - 1]], s[s >= score[k - 1]]
-                if len(got):
-                    score, who = np.concatenate([score, s]), np.concatenate([who, other[got]])
-                    top = np.lexsort((who, -score))[:k]
-                    score, who = score[top], who[top]
-            best[q] = score, who
+    to_candidates = np.ascontiguousarray(table.distances(vectors, True).T.astype(np.float32))
+    square, evaluated = (queries**2).sum(1), 0
+    for q in range(len(ids)):
+        score, who = best[q]
+        bounds = table.upper(square[q], to_query[q], to_candidates, use)
+        alive = np.flatnonzero(bounds >= score[k - 1]) if len(score) >= k else np.arange(len(other))
+        if len(alive) > step:
+            alive = alive[np.argsort(-bounds[alive])]
+        at, size = 0, step
+        while at < len(alive) and (len(score) < k or bounds[alive[at]] >= score[k - 1]):
+            got = alive[at : at + size]
+            at, evaluated, size = at + size, evaluated + len(got), 4 * size
+            s = vectors[got] @ queries[q]
+            new = other[got] != ids[q]
+            if len(score) >= k:
+                new &= s >= score[k - 1]
+            if new.any():
+                score, who = np.concatenate([score, s[new]]), np.concatenate([who, other[got[new]]])
+                top = np.lexsort((who, -score))[:k]
+                score, who = score[top], who[top]
+        best[q] = score, who
     return evaluated
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = 24, sample: int = 4096, query_block: int = 4096, rows: int = 4096) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = 512, sample: int = 4096, query_block: int = 4096, rows: int = 4096) -> DataFrame:
     """query_id, rank, vec_id and score: for each query, the k other rows of greatest inner product, ties to the smaller vec_id; all, if there are fewer.
 
     vectors: vec_id and x, an array of doubles. Rows without an id, with a null x or a null or non-finite component take no part. A shorter vector counts as
@@ -117,7 +114,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = 24, s
     if not asked:
         return spark.createDataFrame([], schema)
     fill = lambda rows: (np.array([r.vec_id for r in rows], np.int64), np.array([r.x + [0.0] * (width - len(r.x)) for r in rows]).reshape(len(rows), width))
-    some_ids, some = fill(sorted(good.select("vec_id", "x").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect(), key=lambda r: (r.vec_id, r.x)))
+    some_ids, some = fill(good.select("vec_id", "x").orderBy(F.xxhash64("vec_id"), "vec_id", "x").limit(sample).collect())
     table = PivotTable(choose_pivots(some, pivots), reach)
     blocks = -(-asked // query_block)
     out = None
