@@ -187,7 +187,7 @@ def token_hashes(raw: np.ndarray, offs: np.ndarray, prefixes: tuple[int, ...] =
     return np.concatenate(parts)[np.argsort(text, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(first) - 1))])
 
 
-def tree_sum(parts: DataFrame, width: int, kind: str = "float64", fan: int = 64) -> np.ndarray:
+def tree_sum(parts: DataFrame, width: int, kind: str = "float64", fan: int = 16) -> np.ndarray:
     """The sum of packed arrays (column part: bytes of `width` numbers), added in each task and then in `fan` tasks before the driver adds those."""
 
     def run(batches):

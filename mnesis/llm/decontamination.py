@@ -58,41 +58,46 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-def latent_terms(coded: DataFrame, idf: np.ndarray, rank: int, size: int, seed: int = 0, extra: int = 8) -> np.ndarray:
-    """The right singular vectors (terms x rank) of the TF-IDF passages, by a distributed randomised SVD: two passes, in which only terms x (rank + extra) sums are moved."""
+def latent_terms(coded: DataFrame, idf: np.ndarray, rank: int, size: int, seed: int = 0, extra: int = 16, chunk: int = 1 << 14) -> np.ndarray:
+    """The right singular vectors (terms x rank) of the TF-IDF passages A, by a distributed randomised SVD in one pass.
+
+    Tasks add up A'(A S) for a random basis S of rank + extra columns, and only such sums are moved; Nystrom's formula gives the leading eigenvectors of A'A from it.
+    """
     terms = len(idf)
     wide, told = min(terms, rank + extra), np.concatenate([[False], idf > 0])
     basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(terms, wide)))[0]
-    for _ in range(2):
-        left = basis.astype(np.float32)
-
-        def run(batches: Iterator[pa.RecordBatch], left=left) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((terms, wide))
-            for row in _rows(batches):
-                _, first, codes = _unpack(row)
-                piece, term, _, _ = passages(first, codes, size, told)
-                p, t, w = weighted(piece, term, idf)
-                if not len(p):
-                    continue
-                w = w.astype(np.float32)[:, None]
-                heads = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-                y = np.add.reduceat(left[t] * w, heads)  # A times the basis, by passage
-                row_of = np.cumsum(np.concatenate([[0], (p[1:] != p[:-1]).astype(np.int64)]))
-                order = np.argsort(t, kind="stable")
-                ts = t[order]
-                heads = np.flatnonzero(np.concatenate([[True], ts[1:] != ts[:-1]]))
-                total[ts[heads]] += np.add.reduceat(y[row_of[order]] * w[order], heads)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
-
-        image = tree_sum(coded.mapInArrow(run, "part binary"), terms * wide).reshape(terms, wide)
-        previous, (basis, _) = basis, np.linalg.qr(image)
-    # Rayleigh-Ritz in the first range, with the second pass's image of it
-    small = previous.T @ image
-    values, vectors = np.linalg.eigh((small + small.T) / 2)
-    return previous @ vectors[:, np.argsort(-values)[:rank]]
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 128, piece: int = 12, cosine: float = 0.65, common: float = 0.05, coverage: float = 0.6, answer: float = 0.5, item_block: int = 5000) -> DataFrame:
+    left = basis.astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((terms, wide))
+        for row in _rows(batches):
+            _, first, codes = _unpack(row)
+            piece, term, _, _ = passages(first, codes, size, told)
+            p, t, w = weighted(piece, term, idf)
+            w = w.astype(np.float32)[:, None]
+            heads = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else p
+            at = 0
+            while at < len(p):  # some whole passages at a time, which stay in the processor's cache
+                to = int(heads[k]) if (k := np.searchsorted(heads, at + chunk)) < len(heads) else len(p)
+                here = heads[np.searchsorted(heads, at) : k] - at
+                tc, wc = t[at:to], w[at:to]
+                y = np.add.reduceat(left[tc] * wc, here)  # A S, by passage
+                of = np.repeat(np.arange(len(here)), np.diff(np.append(here, to - at)))
+                order = np.argsort(tc, kind="stable")
+                ts = tc[order]
+                edge = np.flatnonzero(np.concatenate([[True], ts[1:] != ts[:-1]]))
+                total[ts[edge]] += np.add.reduceat(y[of[order]] * wc[order], edge)
+                at = to
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+
+    image = tree_sum(coded.mapInArrow(run, "part binary"), terms * wide).reshape(terms, wide)
+    shift = 1e-9 * max(1e-30, float(np.linalg.norm(image)))
+    core = basis.T @ (image + shift * basis)
+    half = np.linalg.cholesky((core + core.T) / 2 + shift * np.eye(wide))
+    return np.linalg.svd(np.linalg.solve(half, (image + shift * basis).T).T, full_matrices=False)[0][:, :rank]
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 128, piece: int = 16, cosine: float = 0.65, common: float = 0.05, coverage: float = 0.6, answer: float = 0.5, item_block: int = 5000) -> DataFrame:
     """doc_id, item_id, coverage (of the item's tokens, in order), answer (share of its answer's tokens found) and cosine, for each document that holds an item.
 
     benchmark: item_id, text and perhaps answer; without that column, an item's answer is its last sentence (a line or what follows . ! or ?). Tokens are
@@ -137,13 +142,20 @@ def _block(docs: DataFrame, rows: list, scratch: Scratch, label: str, schema: st
     terms, size = len(vocabulary), 4 * piece
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieve = np.zeros(1 << 20, bool)
-        sieve[vocabulary & np.uint64(0xFFFFF)] = True
+        # the code of the one term of a slot; where terms share a slot, they are searched for
+        slot = (vocabulary & np.uint64(0xFFFFF)).astype(np.int64)
+        code = np.zeros(1 << 20, np.int32)
+        code[slot] = np.arange(1, terms + 1)
+        crowded = np.bincount(slot, minlength=1 << 20) > 1
+        held = np.concatenate([np.zeros(1, np.uint64), vocabulary])
         for batch in batches:
             for part in byte_slices(batch, "text"):
                 tokens, first = token_hashes(*text_buffer(part.column("text")))
-                codes = np.zeros(len(tokens), np.int32)
-                at = np.flatnonzero(sieve[tokens & np.uint64(0xFFFFF)])
+                place = (tokens & np.uint64(0xFFFFF)).astype(np.int64)
+                codes = code[place]
+                at = np.flatnonzero(codes)
+                codes[at[held[codes[at]] != tokens[at]]] = 0
+                at = np.flatnonzero(crowded[place])
                 codes[at] = codes_of(tokens[at])
                 p, t, start, _ = passages(first, codes, size)
                 df = np.bincount(np.unique(p * terms + t) % terms, minlength=terms).astype(float)
@@ -192,7 +204,7 @@ def _block(docs: DataFrame, rows: list, scratch: Scratch, label: str, schema: st
                 n = min(2048, len(total) - lo)
                 sums = part[:n].copy()
                 for k in range(1, 4):  # windows of `k + 1` pieces from each piece on; those at a document's end hold fewer
-                    m = min(n, len(part) - k)
+                    m = max(0, min(n, len(part) - k))
                     sums[:m] += part[k : k + m] * (own[k : k + m] == own[:m])[:, None]
                     if k == 2:
                         continue
