@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,6 +18,7 @@ SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 
+_LIBC = ctypes.CDLL(None)
 _OPEN: list[tuple[SparkSession, str]] = []
 
 
@@ -88,7 +90,14 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def byte_slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def release() -> None:
+    """Give freed memory back to the system: workers live on, and what they keep adds up in an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def byte_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive pieces of a batch of about most bytes of the column, one row at least each: temporaries stay small whatever the texts' lengths."""
     if not batch.num_rows:
         return
@@ -98,6 +107,7 @@ def byte_slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iter
         to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    release()
 
 
 def word_bounds(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,7 +146,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = ((n >> 16) + 1) << 16
         inverse = pow(_R, -1, 1 << 64)
         for name, base in (("up", _R), ("down", inverse)):
             out = np.ones(size, np.uint64)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnesis.llm.common import Scratch, byte_slices, text_buffer, token_hashes, tree_sum
+from mnesis.llm.common import Scratch, byte_slices, release, text_buffer, token_hashes, tree_sum
 
 def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document ids, first token of each document (n + 1), and codes: 0 for tokens that no item has, else 1 + the term's number."""
@@ -22,6 +22,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield batch.slice(i, 1).to_pylist()[0]
+        release()
 
 
 def passages(first: np.ndarray, codes: np.ndarray, size: int, told: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +98,7 @@ def latent_terms(coded: DataFrame, idf: np.ndarray, rank: int, size: int, seed:
     return np.linalg.svd(np.linalg.solve(half, (image + shift * basis).T).T, full_matrices=False)[0][:, :rank]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 128, piece: int = 16, cosine: float = 0.65, common: float = 0.05, coverage: float = 0.6, answer: float = 0.5, item_block: int = 5000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 128, piece: int = 16, cosine: float = 0.5, common: float = 0.05, coverage: float = 0.6, answer: float = 0.5, item_block: int = 5000) -> DataFrame:
     """doc_id, item_id, coverage (of the item's tokens, in order), answer (share of its answer's tokens found) and cosine, for each document that holds an item.
 
     benchmark: item_id, text and perhaps answer; without that column, an item's answer is its last sentence (a line or what follows . ! or ?). Tokens are
@@ -106,7 +107,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 128, piece: in
     Method: documents become codes of the items' terms, once. Their passages (4 pieces of `piece` tokens) have TF-IDF weights, with document frequencies
     counted over all of them, and a randomised SVD of these gives the latent terms; terms in over a share `common` of the passages tell nothing and are left
     out there (an item keeps its five rarest at least). Windows of two and of four pieces, overlapping by half and more, whose
-    cosine to an item is at least `cosine` are candidates; the item's longest common subsequence with the window and its surroundings must cover `coverage`
+    cosine to an item is at least `cosine`, and which reach three quarters of its length in its direction, are candidates; the item's longest common subsequence with the window and its surroundings must cover `coverage`
     of it, and `answer` of the answer's tokens must be among it. The best window of each document and item is returned.
 
     Rows with one doc_id are taken as one document's parts; a null doc_id stays null. Repeated item_ids are items each, the best counts. Extra columns are
@@ -175,7 +176,9 @@ def _block(docs: DataFrame, rows: list, scratch: Scratch, label: str, schema: st
     table = np.concatenate([np.zeros((1, latent.shape[1])), latent * idf[:, None]]).astype(np.float32)  # row 0: tokens that no item has
     known = np.concatenate([[False], idf > 0])
     wanted = np.array([table[c].sum(0) for c in item_codes])
-    wanted = (wanted / np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    reach = np.linalg.norm(wanted, axis=1)
+    wanted = (wanted / np.maximum(reach, 1e-12)[:, None]).astype(np.float32)
+    reach = (0.75 * reach).astype(np.float32)
     lengths = np.array([len(c) for c in item_codes])
     needed = np.maximum(1, np.ceil(coverage * lengths - 1e-9))
     member = np.zeros((terms + 1, len(rows)), bool)
@@ -210,7 +213,7 @@ def _block(docs: DataFrame, rows: list, scratch: Scratch, label: str, schema: st
                         continue
                     norm = np.linalg.norm(sums, axis=1, keepdims=True)
                     near = sums @ wanted.T
-                    w, i = np.nonzero(near >= cosine * np.maximum(norm, 1e-9))
+                    w, i = np.nonzero((near >= cosine * np.maximum(norm, 1e-9)) & (near >= reach))
                     if not len(w):
                         continue
                     like = near[w, i] / norm[w, 0]

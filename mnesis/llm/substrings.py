@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnesis.llm.common import Scratch, byte_slices, mix64, shuffle_partitions, text_buffer, word_bounds, word_hashes
+from mnesis.llm.common import Scratch, byte_slices, mix64, release, shuffle_partitions, text_buffer, word_bounds, word_hashes
 
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -208,6 +208,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield batch.slice(i, 1).to_pylist()[0]
+        release()
 
 
 def _reduce(sent: DataFrame, fields: list[tuple[str, type]], mark) -> DataFrame:
@@ -257,7 +258,7 @@ def _later(columns: list[np.ndarray], block: np.ndarray) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, rounds: int = 4, block_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, rounds: int = 4, block_bytes: int = 2 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each document: words that a window of `window` words covers go, if the same words also start earlier.
 
     Earlier is: in a smaller doc_id, or in the same document before. Rows with one doc_id count as documents in the order in which they were packed; a
