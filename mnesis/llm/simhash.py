@@ -217,13 +217,14 @@ def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     tagged = docs.select(F.monotonically_increasing_id().alias("row"), *docs.columns)
     tagged = scratch.save(tagged, "rows")  # row numbers hold from here on
     words = tagged.where(F.regexp_count("text", F.lit(WORD_PATTERN)) > 0)
-    marked = scratch.save(fingerprints(words.select(F.col("row").alias("doc_id"), "text"), shingle, wide=True).withColumnRenamed("doc_id", "row").join(words.select("row", F.col("doc_id").cast("long")), "row"), "fingerprints")
+    marked = scratch.save(fingerprints(words.select(F.col("row").alias("doc_id"), "text"), shingle, wide=True).withColumnRenamed("doc_id", "row").join(tagged.select("row", F.col("doc_id").cast("long")), "row"), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     each = marked.groupBy("fp", "x0", "x1").agg(first).select(F.xxhash64("fp", "x0", "x1").alias("node"), "first", "fp", "x0", "x1")
     each = scratch.save(each, "distinct")
     of_node = _components(each.select("node", F.col("first.row").alias("doc_id"), "fp", "x0", "x1"), scratch, radius, similar_bits(similarity))
     best = each.select("node", "first").join(of_node.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).groupBy("component_id").agg(F.min("first").alias("first"))
     stay = scratch.save(best.select(F.col("first.row").alias("stays")), "stay")
-    kept = tagged.join(stay, F.col("row") == F.col("stays"), "left_semi")
+    # the list of those that stay grows with the rows: it is dealt by row at any size, and never sent to all tasks
+    kept = tagged.join(stay.hint("shuffle_hash"), F.col("row") == F.col("stays"), "left_semi")
     wordless = tagged.where(F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)) == 0)
     return kept.unionByName(wordless).drop("row")
