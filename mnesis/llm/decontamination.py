@@ -59,6 +59,18 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
+def widths(lengths: np.ndarray, piece: int) -> np.ndarray:
+    """Pieces of the windows for items of these lengths: wherever an item begins, some window of them holds all of it. Beyond 8 pieces, rounded up to eighths."""
+    k = np.maximum(1, -(-(lengths - 1) // piece) + 1)
+    step = 1 << np.maximum(0, np.floor(np.log2(k)).astype(np.int64) - 3)
+    return -(-k // step) * step
+
+
+def reaches(table: np.ndarray, item_codes: list[np.ndarray], wanted: np.ndarray, needed: np.ndarray) -> np.ndarray:
+    """How far in each item's direction a window must reach: half of what the `needed` tokens that tell least of the item come to, as the other half may lie around it."""
+    return np.array([0.5 * np.sort(np.maximum(0, table[c] @ wanted[i]))[: needed[i]].sum() for i, c in enumerate(item_codes)], np.float32)
+
+
 def latent_terms(coded: DataFrame, idf: np.ndarray, rank: int, size: int, seed: int = 0, extra: int = 16, chunk: int = 1 << 14) -> np.ndarray:
     """The right singular vectors (terms x rank) of the TF-IDF passages A, by a distributed randomised SVD in one pass.
 
@@ -98,17 +110,18 @@ def latent_terms(coded: DataFrame, idf: np.ndarray, rank: int, size: int, seed:
     return np.linalg.svd(np.linalg.solve(half, (image + shift * basis).T).T, full_matrices=False)[0][:, :rank]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 128, piece: int = 16, cosine: float = 0.5, common: float = 0.05, coverage: float = 0.6, answer: float = 0.5, item_block: int = 5000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 128, piece: int = 8, cosine: float = 0.5, common: float = 0.05, coverage: float = 0.6, answer: float = 0.5, item_block: int = 5000) -> DataFrame:
     """doc_id, item_id, coverage (of the item's tokens, in order), answer (share of its answer's tokens found) and cosine, for each document that holds an item.
 
     benchmark: item_id, text and perhaps answer; without that column, an item's answer is its last sentence (a line or what follows . ! or ?). Tokens are
     lower-cased (A-Z) and split at white space and ASCII punctuation; items with no token, and null texts, are in no document and hold none.
 
-    Method: documents become codes of the items' terms, once. Their passages (4 pieces of `piece` tokens) have TF-IDF weights, with document frequencies
+    Method: documents become codes of the items' terms, once. Their passages (8 pieces of `piece` tokens) have TF-IDF weights, with document frequencies
     counted over all of them, and a randomised SVD of these gives the latent terms; terms in over a share `common` of the passages tell nothing and are left
-    out there (an item keeps its five rarest at least). Windows of two and of four pieces, overlapping by half and more, whose
-    cosine to an item is at least `cosine`, and which reach three quarters of its length in its direction, are candidates; the item's longest common subsequence with the window and its surroundings must cover `coverage`
-    of it, and `answer` of the answer's tokens must be among it. The best window of each document and item is returned.
+    out there (an item keeps its five rarest at least). An item is compared with windows of its own length, rounded up to pieces, from each piece on (see widths()).
+    Those whose cosine to it is at least `cosine`, and which reach far enough in its direction (see reaches()), are candidates; the item's longest common
+    subsequence with the window and its surroundings must cover `coverage` of it, and `answer` of the answer's tokens must be among it. The best window of
+    each document and item is returned.
 
     Rows with one doc_id are taken as one document's parts; a null doc_id stays null. Repeated item_ids are items each, the best counts. Extra columns are
     ignored. Scale: one pass over texts; then codes, a few bits for each word. The stated items go against all rows in blocks of item_block, which bounds
@@ -140,7 +153,7 @@ def _block(docs: DataFrame, rows: list, scratch: Scratch, label: str, schema: st
     item_codes = [codes_of(tokens[first[i] : first[i + 1]]) for i in range(len(rows))]
     answers = [set(codes_of(solution[begin[i] : begin[i + 1]]).tolist()) - {0} for i in range(len(rows))]
     ids = [r.item_id for r in rows]
-    terms, size = len(vocabulary), 4 * piece
+    terms, size = len(vocabulary), 8 * piece
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the code of the one term of a slot; where terms share a slot, they are searched for
@@ -176,11 +189,14 @@ def _block(docs: DataFrame, rows: list, scratch: Scratch, label: str, schema: st
     table = np.concatenate([np.zeros((1, latent.shape[1])), latent * idf[:, None]]).astype(np.float32)  # row 0: tokens that no item has
     known = np.concatenate([[False], idf > 0])
     wanted = np.array([table[c].sum(0) for c in item_codes])
-    reach = np.linalg.norm(wanted, axis=1)
-    wanted = (wanted / np.maximum(reach, 1e-12)[:, None]).astype(np.float32)
-    reach = (0.75 * reach).astype(np.float32)
+    wanted = (wanted / np.maximum(np.linalg.norm(wanted, axis=1), 1e-12)[:, None]).astype(np.float32)
     lengths = np.array([len(c) for c in item_codes])
-    needed = np.maximum(1, np.ceil(coverage * lengths - 1e-9))
+    needed = np.maximum(1, np.ceil(coverage * lengths - 1e-9)).astype(np.int64)
+    reach = reaches(table, item_codes, wanted, needed)
+    wide = widths(lengths, piece)
+    of_width = [(int(k), np.flatnonzero(wide == k)) for k in np.unique(wide[lengths > 0])]
+    # a candidate's surroundings: an item's length on both sides, and as much more as makes it 64 tokens and two items long
+    around = lengths + np.maximum(0, size - wide * piece) // 2
     member = np.zeros((terms + 1, len(rows)), bool)
     for i, c in enumerate(item_codes):
         member[c, i] = True
@@ -200,39 +216,37 @@ def _block(docs: DataFrame, rows: list, scratch: Scratch, label: str, schema: st
                 end = heads[lo + 4096] if lo + 4096 < len(heads) else len(p)
                 total[p[cut]] = np.add.reduceat(table[t[cut[0] : end] + 1], cut - cut[0])
             of = np.repeat(np.arange(len(doc)), np.diff(start))
+            stop = start[1:][of]
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
             for lo in range(0, len(total), 2048):
-                part = total[lo : lo + 2048 + 3]
-                own = of[lo : lo + 2048 + 3]
                 n = min(2048, len(total) - lo)
-                sums = part[:n].copy()
-                for k in range(1, 4):  # windows of `k + 1` pieces from each piece on; those at a document's end hold fewer
-                    m = max(0, min(n, len(part) - k))
-                    sums[:m] += part[k : k + m] * (own[k : k + m] == own[:m])[:, None]
-                    if k == 2:
-                        continue
-                    norm = np.linalg.norm(sums, axis=1, keepdims=True)
-                    near = sums @ wanted.T
-                    w, i = np.nonzero((near >= cosine * np.maximum(norm, 1e-9)) & (near >= reach))
+                upto = np.concatenate([np.zeros((1, table.shape[1])), np.cumsum(total[lo : lo + n + of_width[-1][0]], 0, np.float64)])
+                for k, which in of_width:  # windows of k pieces from each piece on; those at a document's end hold fewer
+                    sums = (upto[np.minimum(np.arange(lo, lo + n) + k, stop[lo : lo + n]) - lo] - upto[:n]).astype(np.float32)
+                    norm = np.sqrt(np.einsum("ij,ij->i", sums, sums))
+                    near = sums @ wanted[which].T
+                    w, i = np.nonzero(near >= np.maximum(cosine * np.maximum(norm, 1e-6)[:, None], reach[which]))
                     if not len(w):
                         continue
-                    like = near[w, i] / norm[w, 0]
-                    # the window and an item's length around it; tokens there that the item has are as many as the subsequence at least
-                    a = np.maximum(first[own[w]], begin[lo + w] - lengths[i])
-                    b = np.minimum(first[own[w] + 1], begin[lo + w] + (k + 1) * piece + lengths[i])
-                    size_of = b - a
-                    place = np.repeat(a - np.cumsum(size_of) + size_of, size_of) + np.arange(size_of.sum())
-                    shared = np.add.reduceat(member[codes[place], np.repeat(i, size_of)].astype(np.int32), np.cumsum(size_of) - size_of)
-                    for j in np.flatnonzero(shared >= needed[i]).tolist():
-                        key, x = (int(own[w[j]]), int(i[j])), int(i[j])
-                        if key in best and best[key][0] >= 1:
-                            continue
-                        region = codes[a[j] : b[j]]
-                        got = lcs(plain[x], region[member[region, x]].tolist()) / int(lengths[x])
-                        if got >= coverage:
-                            found = len(answers[x] & set(region.tolist())) / len(answers[x]) if answers[x] else 1.0
-                            if found >= answer:
-                                best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (got, found, float(like[j])))
+                    like, own, i = near[w, i] / norm[w], of[lo + w], which[i]
+                    # tokens around that the item has are as many as the subsequence at least
+                    a = np.maximum(first[own], begin[lo + w] - around[i])
+                    b = np.minimum(first[own + 1], begin[lo + w] + k * piece + around[i])
+                    for at in range(0, len(w), 4096):
+                        cut = slice(at, at + 4096)
+                        size_of = b[cut] - a[cut]
+                        place = np.repeat(a[cut] - np.cumsum(size_of) + size_of, size_of) + np.arange(size_of.sum())
+                        shared = np.add.reduceat(member[codes[place], np.repeat(i[cut], size_of)].astype(np.int32), np.cumsum(size_of) - size_of)
+                        for j in (at + np.flatnonzero(shared >= needed[i[cut]])).tolist():
+                            key, x = (int(own[j]), int(i[j])), int(i[j])
+                            if key in best and best[key][0] >= 1:
+                                continue
+                            region = codes[a[j] : b[j]]
+                            got = lcs(plain[x], region[member[region, x]].tolist()) / int(lengths[x])
+                            if got >= coverage:
+                                found = len(answers[x] & set(region.tolist())) / len(answers[x]) if answers[x] else 1.0
+                                if found >= answer:
+                                    best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (got, found, float(like[j])))
             if best:
                 d, i = (np.array(x) for x in zip(*best, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(doc[d], mask=null[d]), pa.array([ids[k] for k in i]), *(pa.array([float(x) for x in c]) for c in zip(*best.values(), strict=True))], names=["doc_id", "item_id", "coverage", "answer", "cosine"])

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from mnesis.llm import queries
 from mnesis.llm.decontamination import find_leaks, lcs
@@ -62,3 +63,43 @@ def test_paraphrases_answers_and_odd_rows(spark, documents):
     assert find_leaks(documents(rows), own).collect() == []
     assert find_leaks(documents([]), benchmark).collect() == []
     assert find_leaks(documents(rows), benchmark.limit(0)).collect() == []
+
+
+def planted(length, n, change, seed):
+    """n items of `length` words and documents that each hold one changed item (item i in document i), then as many without any."""
+    rng = random.Random(seed)
+    zipf = [f"w{k}" for k in range(400)]
+    common = lambda: zipf[min(399, int(rng.paretovariate(0.6)) - 1)]
+    word = lambda: common() if rng.random() < 0.5 else "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    items = [[word() for _ in range(length)] for _ in range(n)]
+    noise = lambda k: [word() for _ in range(k)]
+    docs = [noise(rng.randint(0, 150)) + change(x, rng, word) + noise(rng.randint(0, 150)) for x in items] + [noise(250) for _ in range(n)]
+    return [(i, " ".join(x)) for i, x in enumerate(items)], [(i, " ".join(x)) for i, x in enumerate(docs)]
+
+
+def swapped(x, rng, word):
+    """65 % of the words stay; the last ones, the answer, do."""
+    gone = set(rng.sample(range(len(x) - 4), int(0.35 * len(x))))
+    return [word() if k in gone else w for k, w in enumerate(x)]
+
+
+def shortened(x, rng, word):
+    gone = set(rng.sample(range(len(x) - 4), int(0.35 * len(x))))
+    return [w for k, w in enumerate(x) if k not in gone]
+
+
+def stretched(x, rng, word):
+    """65 % of the words stay, with two in five new ones between."""
+    return [y for w in shortened(x, rng, word) for y in ([w, word()] if rng.random() < 0.4 else [w])]
+
+
+@pytest.mark.parametrize("length", [16, 40, 100, 300])
+@pytest.mark.parametrize("change", [lambda x, *_: x, swapped, shortened, stretched], ids=["verbatim", "swapped", "shortened", "stretched"])
+def test_items_of_any_length_and_their_65_percent_paraphrases_are_found(spark, documents, length, change):
+    items, rows = planted(length, 40, change, length)
+    answered = spark.createDataFrame([(i, t, " ".join(t.split()[-4:])) for i, t in items], "item_id long, text string, answer string")
+    got = {(r.doc_id, r.item_id) for r in find_leaks(documents(rows), answered).collect()}
+    held = dict(items)
+    for d, i in got:
+        assert plain_lcs(held[i].split(), rows[d][1].split()) >= 0.6 * length
+    assert sum((i, i) in got for i in range(40)) >= 38
