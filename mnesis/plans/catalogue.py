@@ -273,12 +273,14 @@ def _(f):
 
 
 sql("graph_bridge", "SELECT e1.src AS a, e2.src AS b, e1.entity_id, e1.weight * e2.weight AS w FROM edges e1 JOIN edges e2 ON e1.entity_id = e2.entity_id AND e1.src < e2.src WHERE e1.src < 20 AND e2.src < 200")
+sql("graph_bridge_all", "SELECT e1.src AS a, e2.src AS b, e1.entity_id, e1.weight * e2.weight AS w FROM edges e1 JOIN edges e2 ON e1.entity_id = e2.entity_id AND e1.src < e2.src")
 sql("graph_snapshot", "SELECT e.id, e.src, e.dst, e.entity_id, e.etype FROM (SELECT * FROM edges WHERE invalid_at IS NULL) e JOIN memories s ON s.id = e.src LEFT JOIN memories d ON d.id = e.dst WHERE s.bank = 'hermes' AND (e.dst IS NULL OR d.bank = 'hermes') ORDER BY e.valid_at DESC, e.id LIMIT 200")
 sql("graph_snapshot_nodes", "SELECT DISTINCT n.id, CASE WHEN n.id >= 2000000 THEN 'entity' ELSE 'memory' END AS kind FROM (SELECT src AS id FROM edges WHERE invalid_at IS NULL UNION ALL SELECT coalesce(dst, entity_id) FROM edges WHERE invalid_at IS NULL) n")
 sql("graph_neighbors", "SELECT x AS id, count(*) AS links, max(weight) AS w FROM (SELECT coalesce(dst, entity_id) AS x, weight FROM edges WHERE src = 42 AND invalid_at IS NULL UNION ALL SELECT src, weight FROM edges WHERE dst = 42 AND invalid_at IS NULL) t GROUP BY x")
 sql("edge_temporal_audit", "SELECT e.id, CASE WHEN s.ttl_state = 'retired' OR d.ttl_state = 'retired' THEN 'T1' ELSE 'T2' END AS reason, STR(coalesce(s.invalid_at, d.invalid_at, least(s.updated_at, d.updated_at))) AS proposed FROM edges e LEFT JOIN memories s ON s.id = e.src LEFT JOIN memories d ON d.id = e.dst WHERE e.invalid_at IS NULL AND e.dst IS NOT NULL AND (s.ttl_state = 'retired' OR d.ttl_state = 'retired' OR s.invalid_at IS NOT NULL OR d.invalid_at IS NOT NULL)")
 sql("entity_upsert", "SELECT etype, lower(trim(name)) AS name, min(id) AS id FROM entities GROUP BY etype, lower(trim(name))")
 sql("edge_insert_dedup", "SELECT p.src, p.dst, p.etype FROM (SELECT DISTINCT doc_id AS src, doc_id + 1 AS dst, 'related' AS etype FROM documents UNION SELECT src, dst, etype FROM edges WHERE dst IS NOT NULL AND id < 50) p WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = p.src AND e.dst = p.dst AND e.etype = p.etype AND e.invalid_at IS NULL)")
+sql("edge_insert_dedup_all", "SELECT p.src, p.dst, p.etype FROM (SELECT DISTINCT doc_id AS src, doc_id + 1 AS dst, 'related' AS etype FROM documents UNION SELECT src, dst, etype FROM edges WHERE dst IS NOT NULL) p WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = p.src AND e.dst = p.dst AND e.etype = p.etype AND e.invalid_at IS NULL)")
 sql("extract_candidates", f"SELECT m.id FROM memories m WHERE {LIVE} AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = m.id AND e.entity_id IS NOT NULL)")
 
 # Life cycle
