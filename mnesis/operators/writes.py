@@ -45,18 +45,17 @@ def similar_pairs(rows: DataFrame, least: float, best: int = 3) -> DataFrame:
     return scored.withColumn("n", n).where(F.col("n") <= best).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "cos").distinct()
 
 
-def groups(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def groups(pairs: DataFrame) -> DataFrame:
     """id and grp, the least id that pairs lead to. Labels go from neighbour to neighbour until none changes; each round is a checkpoint."""
     both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"))).distinct()
     both = _cut(both)
     label = _cut(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("grp")))
-    for _ in range(rounds):
+    while True:
         near = both.join(label.select(F.col("id").alias("other"), F.col("grp").alias("g")), "other").groupBy("id").agg(F.min("g").alias("g"))
         new = _cut(label.join(near, "id").select("id", F.least("grp", "g").alias("grp"), (F.col("g") < F.col("grp")).alias("moved")))
         label = new.select("id", "grp")
         if new.where("moved").isEmpty():
-            break
-    return label
+            return label
 
 
 def _cut(df: DataFrame) -> DataFrame:
