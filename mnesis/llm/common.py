@@ -198,17 +198,21 @@ def token_hashes(raw: np.ndarray, offs: np.ndarray, prefixes: tuple[int, ...] =
 
 
 def tree_sum(parts: DataFrame, width: int, kind: str = "float64", fan: int = 16) -> np.ndarray:
-    """The sum of packed arrays (column part: bytes of `width` numbers), added in each task and then in `fan` tasks before the driver adds those."""
+    """The sum of packed arrays (column part: bytes of `width` numbers): added in each task, then of `fan` tasks each in one, until one array is left for the driver."""
 
     def run(batches):
         total = None
         for batch in batches:
             for x in batch.column(0):
-                a = np.frombuffer(x.as_py(), kind)
-                total = a.copy() if total is None else total + a
+                a = np.frombuffer(x.as_buffer(), kind)
+                total = a.copy() if total is None else np.add(total, a, out=total)
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
+    tasks = parts.rdd.getNumPartitions()
     each = parts.select("part").mapInArrow(run, "part binary")
-    rows = each.repartition(fan).mapInArrow(run, "part binary").collect()
-    return sum((np.frombuffer(r.part, kind) for r in rows), np.zeros(width, kind))
+    while tasks > 1:
+        tasks = -(-tasks // fan)
+        each = each.repartition(tasks).mapInArrow(run, "part binary")
+    rows = each.collect()  # one at most
+    return np.frombuffer(rows[0].part, kind).copy() if rows else np.zeros(width, kind)

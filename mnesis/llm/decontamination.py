@@ -45,6 +45,19 @@ def weighted(piece: np.ndarray, term: np.ndarray, idf: np.ndarray) -> tuple[np.n
     return p, t, w / np.maximum(norm[p], 1e-12)
 
 
+def add_rows(out: np.ndarray, key: np.ndarray, table: np.ndarray, col: np.ndarray, scale: np.ndarray | None = None, step: int = 2048) -> None:
+    """out[key] += table[col] * scale, keys being sorted: in turn the first row of each key, the second and so on, so that no step has a key twice."""
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else key
+    size, r = np.diff(np.append(head, len(key))), 0
+    while len(head):
+        for lo in range(0, len(head), step):
+            at = head[lo : lo + step] + r
+            out[key[at]] += table[col[at]] if scale is None else table[col[at]] * scale[at]
+        r += 1
+        more = size > r
+        head, size = head[more], size[more]
+
+
 def lcs(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence, by bit vectors."""
     where: dict[int, int] = {}
@@ -71,7 +84,57 @@ def reaches(table: np.ndarray, item_codes: list[np.ndarray], wanted: np.ndarray,
     return np.array([0.5 * np.sort(np.maximum(0, table[c] @ wanted[i]))[: needed[i]].sum() for i, c in enumerate(item_codes)], np.float32)
 
 
-def latent_terms(coded: DataFrame, idf: np.ndarray, rank: int, size: int, seed: int = 0, extra: int = 16, chunk: int = 1 << 14) -> np.ndarray:
+class Shares:
+    """How many of an item's tokens a stretch of codes can hold in order at most: for each term, the lesser of its numbers in both."""
+
+    def __init__(self, items: list[np.ndarray], terms: int, dense: int = 1 << 26):
+        own = [np.unique(c, return_counts=True) for c in items]
+        self.items, self.width = len(items), 1 + max((len(c) for c, _ in own), default=0)
+        self.times = np.zeros((self.items, self.width), np.int64)
+        for i, (_, n) in enumerate(own):
+            self.times[i, 1 : len(n) + 1] = n
+        # the number of a term within an item, 0 for terms that it lacks: a matrix where that is small, else pairs to be searched
+        kind = np.uint16 if self.width <= 1 << 16 else np.uint32
+        self.matrix = self.pairs = None
+        if (terms + 1) * self.items <= dense:
+            self.matrix = np.zeros((terms + 1, self.items), kind)
+            for i, (c, _) in enumerate(own):
+                self.matrix[c, i] = np.arange(1, len(c) + 1)
+        else:
+            pairs = np.concatenate([c.astype(np.int64) * self.items + i for i, (c, _) in enumerate(own)])
+            order = np.argsort(pairs)
+            self.pairs, self.number = pairs[order], np.concatenate([np.arange(1, len(c) + 1) for c, _ in own])[order]
+
+    def local(self, codes: np.ndarray, item: np.ndarray) -> np.ndarray:
+        if self.matrix is not None:
+            return self.matrix[codes, item]
+        key = codes.astype(np.int64) * self.items + item
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.number[at], 0)
+
+    def has(self, codes: np.ndarray, item: int) -> np.ndarray:
+        return self.local(codes, np.full(len(codes), item)) > 0
+
+    def bounds(self, codes: np.ndarray, a: np.ndarray, b: np.ndarray, item: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+        """The bound for each stretch [a, b) and its item; about `step` codes or counters at a time."""
+        out = np.zeros(len(a), np.int64)
+        size = b - a
+        upto = np.cumsum(np.maximum(size, self.width))
+        lo = 0
+        while lo < len(a):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + step, "right")))
+            n = size[lo:hi]
+            place = np.repeat(a[lo:hi] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            which = np.repeat(np.arange(hi - lo), n)
+            local = self.local(codes[place], item[lo:hi][which])
+            seen = np.flatnonzero(local)
+            counts = np.bincount(which[seen] * self.width + local[seen], minlength=(hi - lo) * self.width).reshape(hi - lo, self.width)
+            out[lo:hi] = np.minimum(counts, self.times[item[lo:hi]]).sum(1)
+            lo = hi
+        return out
+
+
+def latent_terms(coded: DataFrame, idf: np.ndarray, rank: int, size: int, seed: int = 0, extra: int = 16) -> np.ndarray:
     """The right singular vectors (terms x rank) of the TF-IDF passages A, by a distributed randomised SVD in one pass.
 
     Tasks add up A'(A S) for a random basis S of rank + extra columns, and only such sums are moved; Nystrom's formula gives the leading eigenvectors of A'A from it.
@@ -88,19 +151,16 @@ def latent_terms(coded: DataFrame, idf: np.ndarray, rank: int, size: int, seed:
             piece, term, _, _ = passages(first, codes, size, told)
             p, t, w = weighted(piece, term, idf)
             w = w.astype(np.float32)[:, None]
-            heads = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else p
-            at = 0
-            while at < len(p):  # some whole passages at a time, which stay in the processor's cache
-                to = int(heads[k]) if (k := np.searchsorted(heads, at + chunk)) < len(heads) else len(p)
-                here = heads[np.searchsorted(heads, at) : k] - at
-                tc, wc = t[at:to], w[at:to]
-                y = np.add.reduceat(left[tc] * wc, here)  # A S, by passage
-                of = np.repeat(np.arange(len(here)), np.diff(np.append(here, to - at)))
-                order = np.argsort(tc, kind="stable")
-                ts = tc[order]
-                edge = np.flatnonzero(np.concatenate([[True], ts[1:] != ts[:-1]]))
-                total[ts[edge]] += np.add.reduceat(y[of[order]] * wc[order], edge)
-                at = to
+            if not len(p):
+                continue
+            number = np.cumsum(np.concatenate([[0], p[1:] != p[:-1]]))
+            y = np.zeros((number[-1] + 1, wide), np.float32)
+            add_rows(y, number, left, t, w)  # A S, by passage
+            order = np.argsort(t, kind="stable")
+            ts, of, w = t[order], number[order], w[order]
+            edge = np.append(np.flatnonzero(np.concatenate([[True], ts[1:] != ts[:-1]])), len(ts))
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                total[ts[lo]] += w[lo:hi, 0] @ y[of[lo:hi]]
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
     image = tree_sum(coded.mapInArrow(run, "part binary"), terms * wide).reshape(terms, wide)
@@ -110,7 +170,7 @@ def latent_terms(coded: DataFrame, idf: np.ndarray, rank: int, size: int, seed:
     return np.linalg.svd(np.linalg.solve(half, (image + shift * basis).T).T, full_matrices=False)[0][:, :rank]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 128, piece: int = 8, cosine: float = 0.5, common: float = 0.05, coverage: float = 0.6, answer: float = 0.5, item_block: int = 5000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 128, piece: int = 8, cosine: float = 0.4, common: float = 0.05, coverage: float = 0.6, answer: float = 0.5, item_block: int = 5000) -> DataFrame:
     """doc_id, item_id, coverage (of the item's tokens, in order), answer (share of its answer's tokens found) and cosine, for each document that holds an item.
 
     benchmark: item_id, text and perhaps answer; without that column, an item's answer is its last sentence (a line or what follows . ! or ?). Tokens are
@@ -197,56 +257,62 @@ def _block(docs: DataFrame, rows: list, scratch: Scratch, label: str, schema: st
     of_width = [(int(k), np.flatnonzero(wide == k)) for k in np.unique(wide[lengths > 0])]
     # a candidate's surroundings: an item's length on both sides, and as much more as makes it 64 tokens and two items long
     around = lengths + np.maximum(0, size - wide * piece) // 2
-    member = np.zeros((terms + 1, len(rows)), bool)
-    for i, c in enumerate(item_codes):
-        member[c, i] = True
+    shares = Shares(item_codes, terms)
+    untold = np.array([(~known[c]).sum() for c in item_codes])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = [c.tolist() for c in item_codes]
+        goals = [np.ascontiguousarray(wanted[which].T) for _, which in of_width]
+        most = of_width[-1][0]
         for row in _rows(batches):
             doc, first, codes = _unpack(row)
             null = np.frombuffer(row["nulls"], bool)
             p, t, start, begin = passages(first, codes, piece, known)
             if not len(p):
                 continue
-            total = np.zeros((start[-1], table.shape[1]), np.float32)
-            heads = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-            for lo in range(0, len(heads), 4096):
-                cut = heads[lo : lo + 4096]
-                end = heads[lo + 4096] if lo + 4096 < len(heads) else len(p)
-                total[p[cut]] = np.add.reduceat(table[t[cut[0] : end] + 1], cut - cut[0])
+            total = np.zeros((start[-1] + most, table.shape[1]), np.float32)
+            add_rows(total, p, table, t + 1)
             of = np.repeat(np.arange(len(doc)), np.diff(start))
             stop = start[1:][of]
+            tells = known[codes]
+            telling, before = codes[tells], np.concatenate([[0], np.cumsum(tells)])
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
-            for lo in range(0, len(total), 2048):
-                n = min(2048, len(total) - lo)
-                upto = np.concatenate([np.zeros((1, table.shape[1])), np.cumsum(total[lo : lo + n + of_width[-1][0]], 0, np.float64)])
-                for k, which in of_width:  # windows of k pieces from each piece on; those at a document's end hold fewer
-                    sums = (upto[np.minimum(np.arange(lo, lo + n) + k, stop[lo : lo + n]) - lo] - upto[:n]).astype(np.float32)
+            for lo in range(0, start[-1], 2048):
+                at = np.arange(lo, min(lo + 2048, start[-1]))
+                sums, held = np.zeros((len(at), table.shape[1]), np.float32), 0
+                for (k, which), goal in zip(of_width, goals, strict=True):  # windows of k pieces from each piece on; those at a document's end hold fewer
+                    if k - held <= 16:
+                        for step in range(held, k):
+                            over = np.flatnonzero(at + step >= stop[at])
+                            kept = sums[over]
+                            sums += total[lo + step : lo + step + len(at)]
+                            sums[over] = kept
+                    else:
+                        upto = np.concatenate([np.zeros((1, table.shape[1])), np.cumsum(total[lo : at[-1] + k + 1], 0, np.float64)])
+                        sums = (upto[np.minimum(at + k, stop[at]) - lo] - upto[: len(at)]).astype(np.float32)
+                    held = k
                     norm = np.sqrt(np.einsum("ij,ij->i", sums, sums))
-                    near = sums @ wanted[which].T
+                    near = sums @ goal
                     w, i = np.nonzero(near >= np.maximum(cosine * np.maximum(norm, 1e-6)[:, None], reach[which]))
                     if not len(w):
                         continue
-                    like, own, i = near[w, i] / norm[w], of[lo + w], which[i]
-                    # tokens around that the item has are as many as the subsequence at least
-                    a = np.maximum(first[own], begin[lo + w] - around[i])
-                    b = np.minimum(first[own + 1], begin[lo + w] + k * piece + around[i])
-                    for at in range(0, len(w), 4096):
-                        cut = slice(at, at + 4096)
-                        size_of = b[cut] - a[cut]
-                        place = np.repeat(a[cut] - np.cumsum(size_of) + size_of, size_of) + np.arange(size_of.sum())
-                        shared = np.add.reduceat(member[codes[place], np.repeat(i[cut], size_of)].astype(np.int32), np.cumsum(size_of) - size_of)
-                        for j in (at + np.flatnonzero(shared >= needed[i[cut]])).tolist():
-                            key, x = (int(own[j]), int(i[j])), int(i[j])
-                            if key in best and best[key][0] >= 1:
-                                continue
-                            region = codes[a[j] : b[j]]
-                            got = lcs(plain[x], region[member[region, x]].tolist()) / int(lengths[x])
-                            if got >= coverage:
-                                found = len(answers[x] & set(region.tolist())) / len(answers[x]) if answers[x] else 1.0
-                                if found >= answer:
-                                    best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (got, found, float(like[j])))
+                    like, w, i = near[w, i] / norm[w], lo + w, which[i]
+                    a = np.maximum(first[of[w]], begin[w] - around[i])
+                    b = np.minimum(first[of[w] + 1], begin[w] + k * piece + around[i])
+                    # a bound by the terms that tell something, which are few, and then one by all terms
+                    hold = np.flatnonzero(shares.bounds(telling, before[a], before[b], i) + untold[i] >= needed[i])
+                    like, w, i, a, b = like[hold], w[hold], i[hold], a[hold], b[hold]
+                    most_of = shares.bounds(codes, a, b, i)
+                    for j in np.flatnonzero(most_of >= needed[i]).tolist():
+                        key, x = (int(of[w[j]]), int(i[j])), int(i[j])
+                        if key in best and (best[key][0] >= 1 or most_of[j] < best[key][0] * lengths[x] - 0.5):
+                            continue
+                        region = codes[a[j] : b[j]]
+                        got = lcs(plain[x], region[shares.has(region, x)].tolist()) / int(lengths[x])
+                        if got >= coverage:
+                            found = len(answers[x] & set(region.tolist())) / len(answers[x]) if answers[x] else 1.0
+                            if found >= answer:
+                                best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (got, found, float(like[j])))
             if best:
                 d, i = (np.array(x) for x in zip(*best, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(doc[d], mask=null[d]), pa.array([ids[k] for k in i]), *(pa.array([float(x) for x in c]) for c in zip(*best.values(), strict=True))], names=["doc_id", "item_id", "coverage", "answer", "cosine"])
