@@ -6,7 +6,7 @@ import atexit
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +71,14 @@ class Scratch:
             delete_path(self.spark, self.path(x))
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """The name, with as many underscores as it needs to be none of those taken (in either case)."""
+    held = {x.lower() for x in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -46,27 +46,18 @@ def fingerprint(text: bytes, shingle: int, seed: int = 42) -> int:
     return majority(hashed(grams(text, shingle), seed))
 
 
-def wide_fingerprint(text: bytes, shingle: int) -> tuple[int, int, int]:
-    """The SimHash of a text's distinct words, and 128 bits of that of its distinct shingles."""
-    parts = list(set(grams(text, shingle)))
-    h = hashed(parts, 42)
-    return majority(hashed(list(set(text.lower().split())), 42)), majority(h), majority(mix64(h.copy()))
-
-
-def fingerprints(docs: DataFrame, shingle: int, wide: bool = False) -> DataFrame:
-    """doc_id and fp, the fingerprint's 64 bits as a long; if wide, that of the words, and x0 and x1 of the shingles."""
-    names = ["fp", "x0", "x1"] if wide else ["fp"]
+def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id and fp, the fingerprint's 64 bits as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = (lambda t: wide_fingerprint(t, shingle)) if wide else (lambda t: (fingerprint(t, shingle),))
         for batch in batches:
             for part in byte_slices(batch, "text"):
                 raw, offs = text_buffer(part.column("text"))
                 text = raw.tobytes()
-                out = np.array([one(text[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(out[:, k]) for k in range(len(names)))], names=["doc_id", *names])
+                out = np.array([fingerprint(text[a:b], shingle) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out)], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(["doc_id long", *(f"{x} long" for x in names)]))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def covering_masks(bits: list[int], radius: int, seed: int) -> np.ndarray:
@@ -81,22 +72,14 @@ def covering_masks(bits: list[int], radius: int, seed: int) -> np.ndarray:
     return np.array([sum(1 << b for b, m in zip(bits, given, strict=True) if bin(m & v).count("1") % 2) for v in range(1, 1 << width)], np.uint64)
 
 
-def near(a: np.ndarray, b: np.ndarray, radius: int, apart: int) -> np.ndarray:
-    """Rows of fingerprints: the first columns within radius, and the others, where there are some, within `apart` bits together."""
-    out = np.bitwise_count(a[..., 0] ^ b[..., 0]) <= radius
-    if a.shape[-1] > 1:
-        out &= np.bitwise_count(a[..., 1:] ^ b[..., 1:]).sum(-1) <= apart
-    return out
-
-
-def bucket_forest(fps: np.ndarray, radius: int, apart: int = 0) -> list[tuple[int, np.ndarray]]:
+def bucket_forest(fps: np.ndarray, radius: int) -> list[tuple[int, np.ndarray]]:
     """Links (row, rows) that join what the near pairs of one bucket join, and are such pairs themselves: a search from row to row, each compared with those not reached yet."""
     out, left = [], np.arange(len(fps))
     while len(left) > 1:
         front, left = [int(left[0])], left[1:]
         while front and len(left):
             u = front.pop()
-            hit = near(fps[left], fps[u], radius, apart)
+            hit = np.bitwise_count(fps[left] ^ fps[u]) <= radius
             if hit.any():
                 out.append((u, left[hit]))
                 front.extend(left[hit].tolist())
@@ -104,8 +87,8 @@ def bucket_forest(fps: np.ndarray, radius: int, apart: int = 0) -> list[tuple[in
     return out
 
 
-def _links(rows: DataFrame, names: list[str], radius: int, apart: int, most: int) -> DataFrame:
-    """Links (kind 0) from rows (k, node, fingerprints) sorted by k; of a group of over `most` only its k (kind 1). Groups stream by, `most` rows of one at a time."""
+def _links(rows: DataFrame, radius: int, most: int) -> DataFrame:
+    """Links (kind 0) from rows (k, node, fp) sorted by k; of a group of over `most` only its k (kind 1). Groups stream by, `most` rows of one at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, size = None, [], 0
@@ -118,7 +101,7 @@ def _links(rows: DataFrame, names: list[str], radius: int, apart: int, most: int
                 yield put(1, *(np.array([x], np.int64) for x in (key, 0, 0)))
             elif size > 1:
                 node, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-                if found := bucket_forest(fp, radius, apart):
+                if found := bucket_forest(fp, radius):
                     v = np.concatenate([x for _, x in found])
                     u = np.repeat([x for x, _ in found], [len(x) for _, x in found])
                     yield put(0, np.full(len(u), key, np.int64), node[u], node[v])
@@ -127,13 +110,13 @@ def _links(rows: DataFrame, names: list[str], radius: int, apart: int, most: int
             k, node = batch.column("k").to_numpy(), batch.column("node").to_numpy()
             if not len(k):
                 continue
-            fp = np.stack([batch.column(x).to_numpy() for x in names], 1).view(np.uint64)
+            fp = batch.column("fp").to_numpy().view(np.uint64)
             bounds = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1, [len(k)]])
             sizes, last = np.diff(bounds), len(bounds) - 2
             inner = np.arange(last + 1)
             inner = (inner > 0) & (inner < last)
             a = bounds[:-1][inner & (sizes == 2)]  # whole groups of two, all at once
-            hit = near(fp[a], fp[a + 1], radius, apart)
+            hit = np.bitwise_count(fp[a] ^ fp[a + 1]) <= radius
             if hit.any():
                 yield put(0, k[a[hit]], node[a[hit]], node[a[hit] + 1])
             for g in np.flatnonzero(~inner | (sizes > 2)).tolist():
@@ -150,19 +133,18 @@ def _links(rows: DataFrame, names: list[str], radius: int, apart: int, most: int
     return rows.mapInArrow(run, "kind int, k long, u long, v long")
 
 
-def hamming_links(fps: DataFrame, scratch: Scratch, radius: int = 4, apart: int = 0, most: int = 8192) -> DataFrame:
-    """Links (u, v) over distinct rows (node, fp and perhaps more fingerprints) that join exactly what all near pairs join: see near().
+def hamming_links(fps: DataFrame, scratch: Scratch, radius: int = 4, most: int = 8192) -> DataFrame:
+    """Links (u, v) over rows (node, fp), fp being distinct, that join exactly what all pairs within the radius join.
 
     A pair within radius agrees on some mask, and so shares that table's bucket. A bucket of over `most` fingerprints is dealt anew by masks of the bits
     that its own mask leaves free, in which all differences lie; about half of them stay free each time, so that soon no bucket can be so large.
     """
-    names = [x for x in fps.columns if x != "node"]
     masks = [int(m) for m in covering_masks(list(range(BITS)), radius, 0).view(np.int64)]
-    rows = fps.select("*", F.posexplode(F.array(*map(F.lit, masks))).alias("t", "seen")).select(F.xxhash64("t", F.col("fp").bitwiseAND(F.col("seen"))).alias("k"), "seen", "node", *names)
+    rows = fps.select("*", F.posexplode(F.array(*map(F.lit, masks))).alias("t", "seen")).select(F.xxhash64("t", F.col("fp").bitwiseAND(F.col("seen"))).alias("k"), "seen", "node", "fp")
     links = None
     for level in range(3):
-        dealt = rows.select("k", "node", *names).repartition(shuffle_partitions(scratch.spark), "k").sortWithinPartitions("k")
-        got = scratch.save(_links(dealt, names, radius, apart, most if level < 2 else 1 << BITS), f"links-{level}")
+        dealt = rows.select("k", "node", "fp").repartition(shuffle_partitions(scratch.spark), "k").sortWithinPartitions("k")
+        got = scratch.save(_links(dealt, radius, most if level < 2 else 1 << BITS), f"links-{level}")
         new = got.where("kind = 0").select("u", "v")
         links = new if links is None else links.unionByName(new)
         hot = got.where("kind = 1").select("k")
@@ -170,13 +152,13 @@ def hamming_links(fps: DataFrame, scratch: Scratch, radius: int = 4, apart: int
             break
         free = [F.lit(int(m)).bitwiseAND(F.bitwise_not("seen")) for m in covering_masks(list(range(BITS)), radius, level + 1).view(np.int64)]
         rows = rows.join(hot, "k", "left_semi").select("*", F.posexplode(F.array(*free)).alias("t", "mask"))
-        rows = rows.select(F.xxhash64("k", "t", F.col("fp").bitwiseAND(F.col("mask"))).alias("k"), F.col("seen").bitwiseOR(F.col("mask")).alias("seen"), "node", *names)
+        rows = rows.select(F.xxhash64("k", "t", F.col("fp").bitwiseAND(F.col("mask"))).alias("k"), F.col("seen").bitwiseOR(F.col("mask")).alias("seen"), "node", "fp")
     return links
 
 
-def _components(each: DataFrame, scratch: Scratch, radius: int, apart: int = 0) -> DataFrame:
-    """node and component_id, the least doc_id of its component, from rows (node, doc_id, fingerprints)."""
-    nodes = connected_components(hamming_links(each.drop("doc_id"), scratch, radius, apart), scratch).select(F.col("node").alias("n"), "component")
+def _components(each: DataFrame, scratch: Scratch, radius: int) -> DataFrame:
+    """node and component_id, the least doc_id of its component, from rows (node, doc_id, fp)."""
+    nodes = connected_components(hamming_links(each.drop("doc_id"), scratch, radius), scratch).select(F.col("node").alias("n"), "component")
     named = scratch.save(each.join(nodes, F.col("node") == F.col("n"), "left").select("node", "doc_id", F.coalesce("component", "node").alias("c")), "named")
     least = named.groupBy("c").agg(F.min("doc_id").alias("component_id")).select(F.xxhash64("c").alias("k"), F.col("c").alias("c2"), "component_id")
     return scratch.save(named.withColumn("k", F.xxhash64("c")).join(least, "k").where("c = c2").select("node", "component_id"), "components")
@@ -197,34 +179,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4) -> DataF
     each = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).select(F.col("fp").alias("node"), "doc_id", "fp"), "distinct")
     of_fp = _components(each, scratch, radius)
     return marked.join(of_fp, F.col("fp") == F.col("node")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def similar_bits(similarity: float, bits: int = 2 * BITS) -> int:
-    """How many of the bits differ at that Jaccard similarity of sets of about one size: their cosine is 2s / (1 + s), and a bit differs with the angle's share of pi."""
-    return round(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
-def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 5) -> DataFrame:
-    """The docs that stay when one of each group of near copies does: the one of the least doc_id (of rows with that same doc_id, one).
-
-    Two texts are linked if the SimHashes of their distinct words differ in at most radius bits, for which covering masks find every pair, and 128 bits of
-    the SimHash of their distinct shingles differ in no more than they do, on average, at that similarity. Groups are what links join. Texts without a
-    word are no copies of each other's content and all stay. A null doc_id goes if another row of its group has one; other rows that are alike in all
-    columns but null in doc_id stay. An empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "representatives")
-    tagged = docs.select(F.monotonically_increasing_id().alias("row"), *docs.columns)
-    tagged = scratch.save(tagged, "rows")  # row numbers hold from here on
-    words = tagged.where(F.regexp_count("text", F.lit(WORD_PATTERN)) > 0)
-    marked = scratch.save(fingerprints(words.select(F.col("row").alias("doc_id"), "text"), shingle, wide=True).withColumnRenamed("doc_id", "row").join(tagged.select("row", F.col("doc_id").cast("long")), "row"), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    each = marked.groupBy("fp", "x0", "x1").agg(first).select(F.xxhash64("fp", "x0", "x1").alias("node"), "first", "fp", "x0", "x1")
-    each = scratch.save(each, "distinct")
-    of_node = _components(each.select("node", F.col("first.row").alias("doc_id"), "fp", "x0", "x1"), scratch, radius, similar_bits(similarity))
-    best = each.select("node", "first").join(of_node.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).groupBy("component_id").agg(F.min("first").alias("first"))
-    stay = scratch.save(best.select(F.col("first.row").alias("stays")), "stay")
-    # the list of those that stay grows with the rows: it is dealt by row at any size, and never sent to all tasks
-    kept = tagged.join(stay.hint("shuffle_hash"), F.col("row") == F.col("stays"), "left_semi")
-    wordless = tagged.where(F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)) == 0)
-    return kept.unionByName(wordless).drop("row")
