@@ -6,6 +6,8 @@ import math
 from collections import Counter
 from collections.abc import Iterable
 
+import numpy as np
+
 
 class Automaton:
     """A deterministic probabilistic automaton. A string's probability is that of its symbols and of its end; what no example showed has a small one."""
@@ -28,6 +30,38 @@ class Automaton:
         return (total + self.ends[at]) / (len(text) + 1)
 
 
+class Scorer:
+    """An automaton as tables over numbered symbols, for many strings at once."""
+
+    def __init__(self, automaton: Automaton, alphabet: str):
+        self.automaton, self.alphabet = automaton, alphabet
+        n, number = len(automaton.moves), {x: k for k, x in enumerate(alphabet)}
+        self.to = np.zeros((n, len(alphabet)), np.int32)
+        self.log = np.repeat(np.array(automaton.rare)[:, None], len(alphabet), 1)
+        self.ends = np.array(automaton.ends)
+        for q, moves in enumerate(automaton.moves):
+            for x, (to, p) in moves.items():
+                self.to[q, number[x]], self.log[q, number[x]] = to, p
+
+    def scores(self, symbols: np.ndarray, start: np.ndarray, end: np.ndarray, most: int = 256) -> np.ndarray:
+        """Automaton.score() of each string symbols[start:end]: all strings one symbol further in each step; those of over `most` symbols one by one."""
+        size = end - start
+        out = np.empty(len(start))
+        for i in np.flatnonzero(size > most).tolist():
+            out[i] = self.automaton.score("".join(map(self.alphabet.__getitem__, symbols[start[i] : end[i]].tolist())))
+        order = np.flatnonzero(size <= most)
+        order = order[np.argsort(-size[order], kind="stable")]
+        begin, length = start[order], size[order]
+        state, total = np.zeros(len(order), np.int32), np.zeros(len(order))
+        for t in range(int(length[0]) if len(order) else 0):
+            n = int(np.searchsorted(-length, -t, "left"))  # strings of over t symbols come first
+            x = symbols[begin[:n] + t]
+            total[:n] += self.log[state[:n], x]
+            state[:n] = self.to[state[:n], x]
+        out[order] = (total + self.ends[state]) / (length + 1)
+        return out
+
+
 def learn(examples: Iterable[str], symbols: int, alpha: float = 0.05) -> Automaton:
     """Merge the states of the examples' prefix tree that Hoeffding's bound can't tell apart (confidence alpha), from the root on, breadth first."""
     moves: list[dict[str, int]] = [{}]

@@ -49,14 +49,22 @@ def _delete_all() -> None:
             return
 
 
+def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Batches that go to Python hold about `most` bytes, a row at least: by default they may have eight times as many, on both sides of every worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= most:
+        spark.conf.set(key, str(most))
+
+
 class Scratch:
     """Intermediate tables of one run, written as Parquet to the shared folder: they cut the lineage, and a lost executor loses none of them.
 
-    They go when drop() is called or when the process ends.
+    They go when drop() or keep() is called or when the process ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        bound_batches(spark)
+        self.spark, self.base, self.labels = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", set()
         _OPEN.append((spark, self.base))
 
     def path(self, label: str) -> str:
@@ -64,11 +72,17 @@ class Scratch:
 
     def save(self, df: DataFrame, label: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(label))
+        self.labels.add(label)
         return self.spark.read.schema(df.schema).parquet(self.path(label))
 
     def drop(self, *labels: str) -> None:
         for x in labels:
             delete_path(self.spark, self.path(x))
+            self.labels.discard(x)
+
+    def keep(self, *labels: str) -> None:
+        """Drop all tables but these: what a result is read from."""
+        self.drop(*(self.labels - set(labels)))
 
 
 def free_name(name: str, taken: Iterable[str]) -> str:

@@ -178,4 +178,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4) -> DataF
     marked = scratch.save(fingerprints(docs, shingle), "fingerprints")
     each = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).select(F.col("fp").alias("node"), "doc_id", "fp"), "distinct")
     of_fp = _components(each, scratch, radius)
+    scratch.keep("fingerprints", "components")
     return marked.join(of_fp, F.col("fp") == F.col("node")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

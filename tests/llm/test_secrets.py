@@ -3,11 +3,12 @@ import random
 import re
 import string
 
+import numpy as np
 import pandas as pd
 
 from mnesis.llm import queries
-from mnesis.llm.automata import learn
-from mnesis.llm.secrets import digest, find_secrets
+from mnesis.llm.automata import Scorer, learn
+from mnesis.llm.secrets import ALPHABET, digest, find_secrets
 
 SF = "/root/testdata/sf0.01"
 WORDS = {k: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in k) for k in ("password", "passwd", "secret", "token", "api_?key")}
@@ -79,3 +80,28 @@ def test_merging_generalises():
     model = learn([text() for _ in range(500)], 3)
     assert len(model.moves) <= 6
     assert model.score("ab" * 30) > model.score("aabb") + 0.5
+
+
+def test_scores_of_many_strings_equal_those_of_each():
+    rng = random.Random(7)
+    text = lambda n: "".join(rng.choice("0aagG-") for _ in range(n))
+    model = learn([text(rng.randint(3, 30)) for _ in range(200)], len(ALPHABET))
+    strings = [text(rng.choice([1, 2, 8, 30, 255, 256, 257, 900])) for _ in range(60)]
+    symbols = np.array([ALPHABET.index(x) for x in "".join(strings)], np.uint8)
+    ends = np.cumsum([len(x) for x in strings])
+    assert Scorer(model, ALPHABET).scores(symbols, ends - [len(x) for x in strings], ends).tolist() == [model.score(x) for x in strings]
+
+
+def test_planted_unlabelled_credentials_are_found_in_a_whole_table_and_words_numbers_and_addresses_left_alone(spark, documents):
+    rng = random.Random(11)
+    docs = pd.read_parquet(f"{SF}/documents.parquet").text.tolist()
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    plain = lambda: rng.choice([digits(16), f"66.{digits(2)}.218.{digits(2)}", f"mail{digits(1)}.example.com", f"555-{digits(5)}", "THISTHATING", f"2024-{digits(2)}-{digits(2)}T00"])
+    rows = [(i, f"{t} {plain()} {key(rng.randint(18, 31)) if i % 100 == 7 else 'end'}" + (f" token={key(40)} password={key(18)}" if i >= 800 else "")) for i, t in enumerate(docs)]
+    got = {r.doc_id: r.spans for r in digest(find_secrets(documents(rows))).collect()}
+    assert sum("format" in got[i] for i in range(7, len(docs), 100)) >= 9
+    wrong = [rows[i][1][-80:] for i in range(len(docs)) if "format" in got[i] and i % 100 != 7]
+    assert len(wrong) <= 2, wrong
+    texts = {r.doc_id: r.text for r in find_secrets(documents(rows), redacted=True).collect()}
+    assert all(("[format]" in texts[i]) == ("format" in got[i]) for i in texts)
