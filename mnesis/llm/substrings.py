@@ -91,7 +91,7 @@ def recompress(words: np.ndarray, first: np.ndarray, rounds: int, window: int) -
 
 
 def window_hashes(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes (64 and 32 bits) of the `window` words from each position on; the last ones, which are no whole windows, are arbitrary."""
+    """Two 64-bit hashes of the `window` words from each position on; the last ones, which are no whole windows, are arbitrary."""
     out: list[np.ndarray] = []
     for salt in (11, 23):
         power, got, done, size = words, None, 0, 1
@@ -103,7 +103,7 @@ def window_hashes(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarra
                 power = _join(power, np.concatenate([power[size:], np.zeros(min(size, len(power)), np.uint64)]), 1000 * salt + size)
             size *= 2
         out.append(got)
-    return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
+    return out[0], out[1]
 
 
 class _Block:
@@ -134,7 +134,7 @@ class _Block:
         open_ = np.cumsum(edge[:n]) == 0
         open_ &= np.arange(n) + self.window <= self.first[1:][text] if n else open_
         self.at = np.flatnonzero(open_)
-        h, c = window_hashes(self.words, self.window) if n else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+        h, c = window_hashes(self.words, self.window) if n else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
         h, c, doc = h[self.at], c[self.at], self.ids[text[self.at]]
         order = np.lexsort((self.at, text[self.at], doc, c, h))
         hs, cs = h[order], c[order]
@@ -189,10 +189,18 @@ def _pack(block_bytes: int):
     return run
 
 
-def _cut(names: np.ndarray, buckets: int) -> np.ndarray:
-    """Bounds of the buckets in sorted names: a bucket is a range of them."""
-    edges = np.array([(i << 64) // buckets for i in range(buckets)], np.uint64)
-    return np.concatenate([np.searchsorted(names, edges), [len(names)]])
+def _cut(names: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets (ranges of names) that some of the sorted names are in, and the bounds of each in them (one entry more). No bucket without a name costs anything."""
+    of = ((names >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    head = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+    return of[head].astype(np.int32), np.append(head, len(of))
+
+
+def _sent(block: int, buckets: int, fields: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A row for each bucket in which the block has something; the first field is the sorted name."""
+    bucket, cut = _cut(next(iter(fields.values())), buckets)
+    parts = [pa.array([v[i:j].tobytes() for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary()) for v in fields.values()]
+    return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(bucket), block)), *parts], names=["bucket", "block", *fields])
 
 
 def _by_block(marks: DataFrame) -> DataFrame:
@@ -266,7 +274,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, rounds: int = 4, block_byt
 
     Method: texts are packed into blocks, once. (1) Recompression names the symbols of each block; names meet by range of name, and bits go back to the
     blocks: is the name elsewhere too? (2) A window that holds the whole span of a symbol without a second occurrence is unique. The rest is hashed
-    (96 bits), and the hashes meet likewise: does another block have it in an earlier document? (3) What is covered goes. No window is lost: a
+    (128 bits), and the hashes meet likewise: does another block have it in an earlier document? (3) What is covered goes. No window is lost: a
     window without such a symbol is always compared.
 
     Scale: packed arrays are shuffled, a few bytes for each symbol or window that is not unique, and a block sends equal ones once: a passage in a third
@@ -284,10 +292,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, rounds: int = 4, block_byt
         for row in _rows(batches):
             x = _Block(row, window, rounds)
             x.symbols()
-            cut = _cut(x.names, buckets)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), pa.array(np.full(buckets, row["block"])), pa.array([x.names[cut[i] : cut[i + 1]].tobytes() for i in range(buckets)], pa.binary())], names=["bucket", "block", "name"])
+            yield _sent(row["block"], buckets, {"name": x.names})
 
-    sent = blocks.mapInArrow(send_names, "bucket int, block long, name binary").where(F.octet_length("name") > 0)
+    sent = blocks.mapInArrow(send_names, "bucket int, block long, name binary")
     named = scratch.save(_by_block(_reduce(sent, [("name", np.uint64)], _shared)), "named")
 
     def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,13 +302,11 @@ def remove_repeats(docs: DataFrame, window: int = 20, rounds: int = 4, block_byt
             x = _Block(row, window, rounds)
             x.symbols()
             x.windows(_bits(row["marks"]))
-            cut = _cut(x.hash, buckets)
-            parts = [[v[cut[i] : cut[i + 1]].tobytes() for i in range(buckets)] for v in (x.hash, x.check, x.doc)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), pa.array(np.full(buckets, row["block"])), *(pa.array(p, pa.binary()) for p in parts)], names=["bucket", "block", "hash", "check", "doc"])
+            yield _sent(row["block"], buckets, {"hash": x.hash, "check": x.check, "doc": x.doc})
 
     marked = blocks.join(named, "block", "left")
-    sent = marked.mapInArrow(send_windows, "bucket int, block long, hash binary, check binary, doc binary").where(F.octet_length("hash") > 0)
-    again = _by_block(_reduce(sent, [("hash", np.uint64), ("check", np.uint32), ("doc", np.int64)], _later)).withColumnRenamed("marks", "later")
+    sent = marked.mapInArrow(send_windows, "bucket int, block long, hash binary, check binary, doc binary")
+    again = _by_block(_reduce(sent, [("hash", np.uint64), ("check", np.uint64), ("doc", np.int64)], _later)).withColumnRenamed("marks", "later")
     again = scratch.save(again, "again")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

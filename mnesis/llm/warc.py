@@ -6,7 +6,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +30,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     block = HTTP % len(payload) + (payload if refers_to is None else b"")
     head = [VERSION, b"WARC-Type: " + (b"response" if refers_to is None else b"revisit"), b"WARC-Record-ID: " + record_id(page_id), b"WARC-Date: " + DATE]
     if url is not None:
-        head.append(b"WARC-Target-URI: " + quote(url, safe=":/?#[]@!$&'()*+,;=%~").encode())
+        head.append(b"WARC-Target-URI: " + quote(url, safe=":/?#[]@!$&'()*+,;=~").encode())
     if refers_to is not None:
         head += [b"WARC-Refers-To: " + record_id(refers_to), b"WARC-Profile: " + PROFILE]
     head += [b"WARC-Payload-Digest: sha256:" + digest.encode(), b"WARC-Block-Digest: sha256:" + hashlib.sha256(block).hexdigest().encode()]
@@ -68,20 +68,23 @@ def parse(content: bytes) -> tuple[dict[str, str], bytes]:
     if fields["warc-block-digest"] != "sha256:" + hashlib.sha256(block).hexdigest():
         raise ValueError(f"record {fields.get('warc-record-id')}: wrong block digest")
     http, _, payload = block.partition(b"\r\n\r\n")
+    if not re.fullmatch(r"sha256:[0-9a-f]{64}", fields["warc-payload-digest"]):
+        raise ValueError(f"record {fields.get('warc-record-id')}: no payload digest")
     fields["payload-length"] = re.search(rb"\r\nContent-Length: (\d+)", http)[1].decode()
-    if fields["warc-type"] == "response" and fields["warc-payload-digest"] != "sha256:" + hashlib.sha256(payload).hexdigest():
+    whole = fields["warc-type"] == "response"
+    if whole and (len(payload) != int(fields["payload-length"]) or fields["warc-payload-digest"] != "sha256:" + hashlib.sha256(payload).hexdigest()):
         raise ValueError(f"record {fields.get('warc-record-id')}: wrong payload digest")
     return fields, payload
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 100) -> None:
+def write_archives(pages: DataFrame, path: str, least: int = 100, archive: int = 64 << 20, chunk: int = 1 << 20) -> None:
     """Write pages (page_id, url, html) as .warc.gz files below path, a record for each row.
 
     Of equal payloads of at least `least` bytes, the one of the smallest page_id is a response and the others are revisits that refer to it; of rows with
     that same page_id all are responses, and a null page_id counts as the largest. A null html is empty; a null url is left out.
 
-    Payloads are shuffled once, by their digest, and make the files of the partitions that they fall in; a digest that many pages share can be split. The bytes
-    are written by Spark's text writer, whose line end is the zero byte that every member ends with: thus any store that Spark writes can hold archives.
+    Payloads are shuffled once, by their digest, and make the files of the partitions that they fall in; a digest that many pages share can be split. A file is rolled
+    over at about `archive` bytes, counted in chunks of `chunk` bytes or one record, so that no task ever holds or reads more at a time. The bytes are written by Spark's text writer, whose line end is the zero byte that every member ends with: thus any store that Spark writes can hold archives.
     """
     page = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
     page = page.withColumns({"digest": F.sha2("payload", 256), "large": F.octet_length("payload") >= least})
@@ -91,22 +94,24 @@ def write_archives(pages: DataFrame, path: str, least: int = 100) -> None:
     page = page.withColumn("refers_to", F.when(F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull()), F.col("first")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        put = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(out)[:-1]], pa.binary())], names=["value"])
+        out, size = [], 0
         for batch in batches:
-            out, size = [], 0
             for row in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True):
                 member = record(*(x.as_py() for x in row))
                 if member[-1]:  # the last byte is that of 2**24 in the length: over 16 MB, an empty member follows
                     member += zlib.compress(b"", wbits=31)
-                out.append(member[:-1])
+                out.append(member)
                 size += len(member)
-                if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                if size >= chunk:
+                    yield put()
                     out, size = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+        if out:
+            yield put()
 
+    # a line of the writer's is a chunk of records, and a file holds so many lines
     records = page.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "value binary")
-    records.select(F.col("value").cast("string")).write.mode("overwrite").option("lineSep", "\0").text(path)
+    records.select(F.col("value").cast("string")).write.mode("overwrite").option("lineSep", "\0").option("maxRecordsPerFile", max(1, archive // chunk)).text(path)
     spark = pages.sparkSession
     files = spark._jvm.org.apache.hadoop.fs
     store = files.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -133,7 +138,7 @@ def read_archives(spark, path: str) -> DataFrame:
                 for x in members(memoryview(content.as_buffer())):
                     h, payload = parse(x)
                     own = payload if h["warc-type"] == "response" else None
-                    rows.append((path.as_py(), number(h["warc-record-id"]), h.get("warc-target-uri"), h["warc-type"], number(h.get("warc-refers-to")), own, int(h["payload-length"]), h["warc-payload-digest"].removeprefix("sha256:")))
+                    rows.append((path.as_py(), number(h["warc-record-id"]), unquote(h["warc-target-uri"]) if "warc-target-uri" in h else None, h["warc-type"], number(h.get("warc-refers-to")), own, int(h["payload-length"]), h["warc-payload-digest"].removeprefix("sha256:")))
                     size += len(x)
                     if size > 4 << 20:
                         yield table(rows)

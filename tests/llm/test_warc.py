@@ -51,3 +51,12 @@ def test_damage_is_noticed():
         parse(zlib.decompress(good, 31).replace(b"payload\r", b"paxload\r"))
     with pytest.raises(ValueError, match="length"):
         parse(zlib.decompress(good, 31)[:-4])
+
+
+def test_archives_are_rolled_over_and_urls_come_back(spark, tmp_path):
+    rows = [(i, f"http://x/%20a b/é?{i}", "".join(chr(97 + (i * j) % 26) for j in range(400))) for i in range(300)]
+    write_archives(spark.createDataFrame(rows, PAGES).coalesce(1), f"file://{tmp_path}/a", archive=6000, chunk=2000)
+    sizes = [p.stat().st_size for p in Path(tmp_path, "a").glob("*.warc.gz")]
+    assert len(sizes) > 10 and max(sizes) < 9000
+    got = {r.page_id: (r.url, r.payload_bytes) for r in read_archives(spark, f"file://{tmp_path}/a").collect()}
+    assert got == {i: (u, 400) for i, u, _ in rows}
