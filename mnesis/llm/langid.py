@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from mnesis.llm.common import byte_slices, text_buffer
+from mnesis.llm.common import bound_batches, byte_slices, free_name, text_buffer
 
 UNDETERMINED = "und"
 
@@ -131,7 +132,7 @@ def fit(docs: DataFrame, per_language: int = 1500, window: int = 256, max_langua
     # two windows' worth of characters from a place by hash: the whole text may be long
     width = F.char_length("text")
     place = (F.pmod(F.xxhash64("doc_id", F.lit(9)), F.greatest(F.lit(1), width - 2 * window)) + 1).cast("int")
-    rows = drawn.select("doc_id", "lang", F.col("text").substr(place, F.lit(2 * window)).alias("piece"), "text").select("doc_id", "lang", "piece").limit(2 * per_language * len(counts) + 40 * len(counts)).collect()
+    rows = drawn.select("doc_id", "lang", F.col("text").substr(place, F.lit(2 * window)).alias("piece"), "text").select("doc_id", "lang", "piece").orderBy(F.xxhash64("doc_id", "piece"), "doc_id", "piece").limit(2 * per_language * len(counts) + 40 * len(counts)).collect()
     classes = sorted(r["lang"] for r in counts)
     number = {c: k for k, c in enumerate(classes)}
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.piece))
@@ -148,11 +149,14 @@ def fit(docs: DataFrame, per_language: int = 1500, window: int = 256, max_langua
 
 
 def predict(docs: DataFrame, net: ByteNet | None, batch: int = 64) -> DataFrame:
-    """The docs' columns with lang_pred and score: the mean of the probabilities of all windows of the whole text. und (score 0): null, no letter, or nothing learnt."""
-    window = net.window if net else 1
-    from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
-
-    schema = StructType([*docs.schema.fields, StructField("_letters", BooleanType()), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    """The docs' columns with lang_pred and score: the mean of the probabilities of all windows of the whole text. und (score 0): null, no letter, or nothing learnt. Columns of the docs with one of these names are replaced."""
+    docs = docs.drop("lang_pred", "score")
+    if net is None:
+        return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
+    bound_batches(docs.sparkSession)
+    window, letters = net.window, free_name("letters", docs.columns)
+    marked = docs.withColumn(letters, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    schema = StructType([*marked.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -164,15 +168,12 @@ def predict(docs: DataFrame, net: ByteNet | None, batch: int = 64) -> DataFrame:
                     np.add.at(total, text[i : i + batch], net.probabilities(windows[i : i + batch]))
                 total /= np.maximum(1, np.bincount(text, minlength=part.num_rows))[:, None]
                 best = total.argmax(1)
-                ok = np.array([bool(x) for x in part.column("_letters").to_pylist()], bool)
+                ok = np.array([bool(x) for x in part.column(letters).to_pylist()], bool)
                 pred = np.where(ok, np.array(net.classes, object)[best], UNDETERMINED)
                 score = np.clip(np.where(ok, total[np.arange(len(best)), best], 0.0), 0, 1)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score)], names=[*part.schema.names, "lang_pred", "score"])
 
-    marked = docs.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    if net is None:
-        return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
-    return marked.mapInArrow(run, schema).drop("_letters")
+    return marked.mapInArrow(run, schema).drop(letters)
 
 
 def identify(docs: DataFrame, per_language: int = 1500, window: int = 256) -> DataFrame:

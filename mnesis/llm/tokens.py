@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnesis.llm.common import byte_slices, text_buffer
+from mnesis.llm.common import bound_batches, byte_slices, text_buffer
 
 _SAFE = re.compile(r"[^\W_] (?=[^\W_])")
 _LOADED: dict[str, object] = {}
@@ -50,14 +51,24 @@ def _counter(path: str):
     return _LOADED[path]
 
 
+def _byte_level(path: str) -> bool:
+    """Whether a .json's tokens hold white space at their start only, as pieces() needs: its pre-tokenizer is byte-level and it changes no text beforehand."""
+    with open(path) as f:
+        spec = json.load(f)
+    first = spec.get("pre_tokenizer") or {}
+    kinds = [x.get("type") for x in first.get("pretokenizers", [first])]
+    return "ByteLevel" in kinds and set(kinds) <= {"ByteLevel", "Split", "Digits"} and not spec.get("normalizer")
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, batch_bytes: int = 256 << 10, piece_chars: int = 16 << 10) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit of each row; tokenizer is a file of tokenizers (.json) or sentencepiece (.model).
 
     No begin, end or added special tokens; special strings inside texts as the library's default has them; no truncation or padding. Long texts are cut at
-    places where no token goes across (for .json; a .model takes texts whole), and batches hold about batch_bytes whatever the texts' lengths. A null text
+    places where no token goes across (byte-level .json files; others take texts whole), and batches hold about batch_bytes whatever the texts' lengths. A null text
     is empty: no bytes, no tokens. Repeated rows and null ids stay as they are. No shuffle: one pass over the table, which returns numbers only.
     """
-    whole = tokenizer.endswith(".model")
+    bound_batches(docs.sparkSession)
+    whole = tokenizer.endswith(".model") or not _byte_level(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(tokenizer)

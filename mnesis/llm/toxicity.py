@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnesis.llm.common import byte_slices, text_buffer, token_hashes
+from mnesis.llm.common import bound_batches, byte_slices, release, text_buffer, token_hashes
 
 
 PREFIXES = (5, 6, 7)
@@ -99,30 +99,33 @@ def severity_grades(texts: list[np.ndarray], toxic: np.ndarray, levels: int = 3,
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, n_toxic: int = 3000, n_clean: int = 5000) -> Ordinal | None:
-    """Learn from a bounded sample of labelled documents (by hash of doc_id, at most n_toxic and n_clean of them); None if a class has none."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    draw = lambda want, n: [(r.doc_id, want) for r in known.where(F.col("toxic") == want).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("doc_id").collect()]
-    ids = draw(True, n_toxic) + draw(False, n_clean)
-    chosen = docs.sparkSession.createDataFrame(ids, "id long, toxic boolean")
+def fit(docs: DataFrame, labels: DataFrame, n_toxic: int = 3000, n_clean: int = 5000, most_features: int = 4096) -> Ordinal | None:
+    """Learn from a bounded sample of labelled texts: of each class at most n_toxic or n_clean distinct pairs of doc_id and text, those of least hash, and of each text
+    at most most_features distinct features, also by least hash, so that neither repeated ids nor very long texts add to it. None if a class has none."""
+    bound_batches(docs.sparkSession)
+    known = labels.select(F.col("doc_id").cast("long").alias("id"), (F.col("toxic") > 0).alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL")
+    known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), "text")
+    pairs = keyed.select("id", "h").join(known, "id").distinct()
+    draw = lambda want, n: [tuple(r) for r in pairs.where(F.col("toxic") == want).orderBy(F.xxhash64("id"), "id", "h").limit(n).select("id", "h", "toxic").collect()]
+    chosen = docs.sparkSession.createDataFrame(draw(True, n_toxic) + draw(False, n_clean), "id long, h long, toxic boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, "text"):
                 tokens, first = token_hashes(*text_buffer(part.column("text")), PREFIXES)
-                out = [np.unique(tokens[first[i] : first[i + 1]], return_counts=True) for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("toxic"), *(pa.array([x[k].tobytes() for x in out], pa.binary()) for k in (0, 1))], names=["id", "toxic", "tokens", "counts"])
+                out = [tuple(x[:most_features] for x in np.unique(tokens[first[i] : first[i + 1]], return_counts=True)) for i in range(part.num_rows)]
+                packed = [pa.array([x.tobytes() for x, _ in out], pa.binary()), pa.array([n.clip(max=65535).astype(np.uint16).tobytes() for _, n in out], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), part.column("toxic"), *packed], names=["id", "h", "toxic", "tokens", "counts"])
 
-    # at most n_toxic + n_clean ids: their size is bounded by parameters
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", "toxic", "text").mapInArrow(run, "id long, toxic boolean, tokens binary, counts binary").collect()
-    rows.sort(key=lambda r: (r.id, bytes(r.tokens)))
-    toxic = np.array([r.toxic for r in rows], bool)
+    # at most n_toxic + n_clean texts of bounded size
+    rows = keyed.join(F.broadcast(chosen), ["id", "h"]).mapInArrow(run, "id long, h long, toxic boolean, tokens binary, counts binary").dropDuplicates(["id", "h"]).toArrow()
+    # copies of one text would teach all of its words: each set of tokens counts once
+    once = sorted(set(zip(*(rows.column(c).to_pylist() for c in ("tokens", "counts", "toxic")), strict=True)))
+    toxic = np.array([y for _, _, y in once], bool)
     if not toxic.any() or toxic.all():
         return None
-    # copies of one text would teach all of its words: each set of tokens counts once
-    once = sorted({(bytes(r.tokens), bytes(r.counts), r.toxic) for r in rows})
-    texts, counts, toxic = [np.frombuffer(t, np.uint64) for t, _, _ in once], [np.frombuffer(c, np.int64) for _, c, _ in once], np.array([y for _, _, y in once], bool)
+    texts, counts = [np.frombuffer(t, np.uint64) for t, _, _ in once], [np.frombuffer(c, np.uint16).astype(np.int64) for _, c, _ in once]
     least = max(4, int(toxic.sum()) // 30)
     grades = severity_grades(texts, toxic, least=least)
     return fit_ordinal(texts, counts, grades, int(grades.max()) + 1, least=least)
@@ -136,6 +139,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model: Ordinal | None = N
     hashed into slots, so that long texts collect no chance weights.
     """
     model = model or fit(docs, labels)
+    release()
     plain = docs.select(F.col("doc_id").cast("long"), "text")
     if model is None:
         return plain.select("doc_id", F.lit(0.0).alias("severity"), F.lit(0).alias("grade"), F.lit(False).alias("toxic"))

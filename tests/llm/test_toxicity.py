@@ -1,9 +1,14 @@
+import itertools
+import math
+from collections import Counter
+
 import numpy as np
-import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from mnesis.llm import queries
-from mnesis.llm.toxicity import fit_ordinal, score_toxicity, severity_grades
+from mnesis.llm.common import token_hashes
+from mnesis.llm.toxicity import PREFIXES, fit, fit_ordinal, score_toxicity, severity_grades
 
 SF = "/root/testdata/sf0.1"
 LABELS = "doc_id long, quality int, toxic int"
@@ -54,3 +59,20 @@ def test_odd_rows(spark, documents):
     assert [r.severity for r in got if r.doc_id in (500, 501)] == [0, 0]
     assert score_toxicity(documents([]), labels).collect() == []
     assert [r.severity for r in score_toxicity(documents(rows[:1]), labels.limit(0)).collect()] == [0]
+
+
+def test_severity_equals_the_formula_and_repeated_rows_teach_no_more(spark, documents):
+    rows = [(i, ("you vile fool number " if i % 3 == 0 else "a kind word number ") + "".join(chr(97 + int(c)) for c in str(i))) for i in range(120)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(120)], LABELS)
+    model = fit(documents(rows), labels)
+    again = fit(documents(rows + [rows[4]] * 500), labels)
+    assert (model.features == again.features).all() and np.allclose(model.weights, again.weights)
+    weight = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    got = {r.doc_id: r for r in score_toxicity(documents(rows), labels).collect()}
+    for i, text in rows:
+        tokens, _ = token_hashes(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), PREFIXES)
+        z = sum(weight.get(x, 0.0) * math.log2(1 + n) for x, n in Counter(tokens.tolist()).items())
+        p = [1 / (1 + math.exp(t - z)) for t in model.thresholds]
+        grades = [a - b for a, b in itertools.pairwise([1.0, *p, 0.0])]
+        assert got[i].severity == pytest.approx(sum(p), abs=1e-9) and got[i].grade == int(np.argmax(grades))
+        assert got[i].toxic == (p[0] >= 0.5)
