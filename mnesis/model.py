@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-# Names, weights and windows that results depend on.
+# Names, weights and windows that results depend on, here and in Params.
 BANKS = ("hermes", "hermes-sessions", "knowledge", "reflection", "hermes-docs")
 STATES = ("candidate", "trial", "active", "decaying", "archived", "retired")
-MEMORY_TYPES = ("semantic", "procedural", "episodic")
-STALENESS = ("fresh", "aging", "stale")
 EDGE_TYPES = ("related", "causal", "parent_child", "contradicts")
 ENTITY_TYPES = ("person", "org", "project", "concept", "tool", "place", "event", "other")
+OUTCOMES = {"adopted": 1.0, "corrected": -1.0, "useless": -1.0}
+CORE_HEADER = "【核心记忆 core block·常驻区，不经检索】"
 
 
 @dataclass(frozen=True)
@@ -58,6 +58,16 @@ class Params:
     ema_alpha: float = 0.1
     core_budget: int = 1500
     core_per_track: int = 20
+    core_types: tuple = ("semantic", "procedural")
+    core_polarity: float = 0.5
+    core_adopts: int = 2
+    core_tail: int = 24
+    hard_score: float = 0.005
+    hard_min_length: int = 4
+    cluster_hits: int = 3
+    cluster_days: int = 2
+    gate_delta: float = 0.05
+    gate_alpha: float = 0.05
     hard_ttl_days: int = 7
     hard_cap: int = 500
     weak_k: int = 3

@@ -59,6 +59,36 @@ def scan(memories: DataFrame, access: DataFrame, now: Column, p: Params = DEFAUL
     return df
 
 
+def candidates(memories: DataFrame, access: DataFrame, now: Column, limit: int = 100, p: Params = DEFAULT) -> DataFrame:
+    """What a scan would look at: list (promote, decay, archive, l2_upgrade, l2_zero_access), id, ttl_state and eligible; at most `limit` rows of each list."""
+    df = with_stats(memories, access, now, p)
+    r = rules(now, p)
+    gate = r["promotion_gate"][2] & (F.coalesce("hits", F.lit(0)) > 0)
+    trial = r["decay_trials"][2]
+    lists = {
+        "promote": (df.where(F.col("ttl_state").isin("candidate", "trial")), gate, F.desc("access_count")),
+        "decay": (df.where(F.col("ttl_state").isin("trial", "active") & trial), F.lit(True), F.asc("created_at")),
+        "archive": (df.where((F.col("ttl_state") == "decaying") & r["archive_decaying"][2]), F.lit(True), F.asc("created_at")),
+        "l2_upgrade": (df.where((F.col("ttl_state") == "decaying") & r["upgrade_adopted"][2]), F.lit(True), F.asc("updated_at")),
+        "l2_zero_access": (df.where(F.col("ttl_state").isin("trial", "active") & r["zero_access_trial"][2]), F.lit(True), F.asc("created_at")),
+    }
+    out = None
+    for name, (rows, eligible, order) in lists.items():
+        part = rows.orderBy(order, "id").limit(limit).select(F.lit(name).alias("list"), "id", "ttl_state", eligible.alias("eligible"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+#: What a manual action makes of a row.
+ACTIONS = {"promote": "active", "demote": "decaying", "archive": "archived", "revive": "active", "trialize": "trial"}
+
+
+def act(memories: DataFrame, ids: list[int], action: str, now: Column) -> DataFrame:
+    if action not in ACTIONS:
+        raise ValueError(f"action must be among {sorted(ACTIONS)}")
+    return transition(memories, ids, ACTIONS[action], now)
+
+
 def transition(memories: DataFrame, ids: list[int], target: str, now: Column) -> DataFrame:
     """Manual moves: the given rows get the state and the expiry that goes with it (trial 30 days, decaying 180; none for others)."""
     expiry = {"trial": 30, "decaying": 180}.get(target)

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnesis.functions.columns import cosine, current, life_factor, live, lookup, priority_factor, tokens
+from mnesis.functions.columns import as_of, cosine, current, life_factor, live, lookup, priority_factor, tokens, visible_to
+from mnesis.functions.plugins import Reranker
+from mnesis.functions.rules import validate_filters
 from mnesis.model import DEFAULT, Params
+from mnesis.operators import graph
 
 
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
@@ -16,30 +20,64 @@ def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def vector_route(memories: DataFrame, vectors: DataFrame, query: Sequence[float], n: int = DEFAULT.top_vector) -> DataFrame:
+@dataclass(frozen=True)
+class Recall:
+    """What is asked for: a vector, terms, whose eyes, and what to narrow it to. See visible() for the filters, whose names and values validate_filters() checks."""
+
+    vector: Sequence[float] | None = None
+    terms: Sequence[str] = ()
+    caller: str | None = None
+    bank: str | None = None
+    filters: dict = field(default_factory=dict)
+    hops: int = DEFAULT.hops
+    top_k: int = 20
+    scorer: str = "tf"
+
+
+def visible(spec: Recall) -> Column:
+    """The rows that a recall may return: the caller's, of the bank, and by the filters domain, tags (any of them), tenant_id, agent_id, staleness, memory_type,
+    date_range (from and to, both inclusive), as_of (else current rows) and include_archived."""
+    f = validate_filters(spec.filters)
+    many = lambda x: list(x) if isinstance(x, (list, tuple)) else [x]
+    out = visible_to(spec.caller) & live(bool(f.get("include_archived")))
+    out &= as_of(F.lit(f["as_of"]).cast("timestamp_ntz")) if f.get("as_of") else current()
+    if spec.bank:
+        out &= F.col("bank") == spec.bank
+    for name in ("domain", "tenant_id", "agent_id"):
+        if f.get(name):
+            out &= F.col(name) == str(f[name])
+    for name in ("staleness", "memory_type"):
+        if f.get(name):
+            out &= F.col(name).isin(*map(str, many(f[name])))
+    if f.get("tags"):
+        out &= F.arrays_overlap("tags", F.array(*[F.lit(str(x)) for x in many(f["tags"])]))
+    dates = f.get("date_range") or {}
+    if dates.get("from"):
+        out &= F.col("created_at") >= F.lit(dates["from"]).cast("timestamp_ntz")
+    if dates.get("to"):
+        out &= F.col("created_at") <= F.lit(dates["to"]).cast("timestamp_ntz")
+    return out
+
+
+def vector_route(memories: DataFrame, vectors: DataFrame, query: Sequence[float], n: int = DEFAULT.top_vector, rows: Column | None = None) -> DataFrame:
     """id, rank, score: the n rows of greatest cosine to the query (rounded to 6 digits), ties to the smaller id."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    scored = vectors.join(memories.where(current() & live()).select("id"), "id").select("id", F.round(cosine(F.col("embedding"), q), 6).alias("score"))
+    shown = memories.where(current() & live() if rows is None else rows).select("id")
+    scored = vectors.join(shown, "id").select("id", F.round(cosine(F.col("embedding"), q), 6).alias("score"))
     return top(scored, n, F.desc("score"), F.asc("id")).select("id", "rank", "score")
 
 
-def term_table(memories: DataFrame) -> DataFrame:
-    """The inverted index: id, term, tf and the length of the row's text."""
-    words = memories.select("id", tokens(F.concat_ws(" ", "title", "body")).alias("words")).withColumn("length", F.size("words"))
-    return words.select("id", "length", F.explode("words").alias("term")).groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def _is(term: str):
     return lambda x: x == term
 
 
-def text_route(memories: DataFrame, terms: Sequence[str], n: int = DEFAULT.top_text, scorer: str = "tf", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def text_route(memories: DataFrame, terms: Sequence[str], n: int = DEFAULT.top_text, scorer: str = "tf", k1: float = 1.2, b: float = 0.75, rows: Column | None = None) -> DataFrame:
     """id, rank, score of rows that have all terms: by the sum of term frequencies (tf) or by bm25.
 
     Only the query's terms are counted in each text: array filters stand for an inverted index when none is stored, and no term is shuffled.
     """
     terms = sorted(set(terms))
-    words = memories.where(current() & live()).select("id", tokens(F.concat_ws(" ", "title", "body")).alias("words"))
+    words = memories.where(current() & live() if rows is None else rows).select("id", tokens(F.concat_ws(" ", "title", "body")).alias("words"))
     tf = words.select("id", F.size("words").alias("length"), *[F.size(F.filter("words", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
     has = F.lit(True)
     for i in range(len(terms)):
@@ -58,10 +96,10 @@ def text_route(memories: DataFrame, terms: Sequence[str], n: int = DEFAULT.top_t
     return top(hits.select("id", F.round(score, 6).alias("score")), n, F.desc("score"), F.asc("id")).select("id", "rank", "score")
 
 
-def time_route(memories: DataFrame, n: int = DEFAULT.top_time) -> DataFrame:
+def time_route(memories: DataFrame, n: int = DEFAULT.top_time, rows: Column | None = None) -> DataFrame:
     """id and rank of the latest rows in use: by priority, then update; candidates never enter."""
-    rows = memories.where(current() & F.col("ttl_state").isin("trial", "active", "decaying"))
-    return top(rows.select("id", "priority", "updated_at"), n, F.desc("priority"), F.desc("updated_at"), F.asc("id")).select("id", "rank")
+    used = memories.where((current() if rows is None else rows) & F.col("ttl_state").isin("trial", "active", "decaying"))
+    return top(used.select("id", "priority", "updated_at"), n, F.desc("priority"), F.desc("updated_at"), F.asc("id")).select("id", "rank")
 
 
 def seeds(routes: Sequence[DataFrame], p: Params = DEFAULT) -> DataFrame:
@@ -73,19 +111,33 @@ def seeds(routes: Sequence[DataFrame], p: Params = DEFAULT) -> DataFrame:
     return out.groupBy("id").agg(F.min("at").alias("at")).orderBy("at", "id").limit(p.seeds_max).select("id")
 
 
+def held(route: DataFrame) -> DataFrame:
+    """A route's few rows as a list on the driver: what reads them later does not compute the route again."""
+    rows = route.collect()  # the route's limit at most
+    return route.sparkSession.createDataFrame([tuple(r) for r in rows], route.schema)
+
+
+def graph_route(found: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """id, rank and contribution of what an expansion found (with factor): weighted reciprocal ranks, times hop_decay for each further hop, the edge's weight and the factor."""
+    rows = found.withColumn("rank", F.row_number().over(Window.orderBy("hop", F.desc("w"), "id")))  # max_neighbors at most
+    return rows.select("id", "rank", (F.lit(p.w_graph) / (p.rrf_k + F.col("rank")) * F.pow(F.lit(p.hop_decay), F.col("hop") - 1) * F.col("w") * F.col("factor")).alias("contribution"))
+
+
 def fuse(vector: DataFrame, text: DataFrame, time: DataFrame, graph: DataFrame | None = None, p: Params = DEFAULT) -> DataFrame:
-    """id and rrf: the weighted reciprocal ranks of the routes, added in their order. graph: id and its ready contribution."""
+    """id, rrf (the weighted reciprocal ranks of the routes, added in their order), graph (its part of that) and routes (the ranks by route). graph: see graph_route()."""
     out = None
-    for name, route, w in (("v", vector, p.w_vector), ("f", text, p.w_text), ("t", time, p.w_time)):
-        part = route.select("id", (F.lit(w) / (F.lit(p.rrf_k) + F.col("rank"))).alias(name))
+    for name, route, w in (("vector", vector, p.w_vector), ("fts", text, p.w_text), ("time", time, p.w_time), *([("graph", graph, None)] if graph is not None else [])):
+        part = route.select("id", (F.lit(w) / (F.lit(p.rrf_k) + F.col("rank")) if w is not None else F.col("contribution")).alias(f"w_{name}"), F.col("rank").alias(f"r_{name}"))
         out = part if out is None else out.join(part, "id", "full")
-    out = out.join(graph.select("id", F.col("contribution").alias("g")), "id", "full") if graph is not None else out.withColumn("g", F.lit(0.0))
-    z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return out.select("id", (z("v") + z("f") + z("t") + z("g")).alias("rrf"))
+    if graph is None:
+        out = out.withColumns({"w_graph": F.lit(0.0), "r_graph": F.lit(None).cast("int")})
+    names = ("vector", "fts", "time", "graph")
+    z = lambda c: F.coalesce(F.col(f"w_{c}"), F.lit(0.0))
+    return out.select("id", (z("vector") + z("fts") + z("time") + z("graph")).alias("rrf"), z("graph").alias("graph"), F.struct(*[F.col(f"r_{c}").alias(c) for c in names]).alias("routes"))
 
 
 def apply_priors(fused: DataFrame, memories: DataFrame, n: int = 20, include_archived: bool = False, memory_types: Sequence[str] = (), p: Params = DEFAULT) -> DataFrame:
-    """The n best by rrf times priority, life, staleness and tier (rounded to 6 digits), ties to the later update, then the smaller id; with the factors.
+    """The n best by rrf times priority, life, staleness and tier (rounded to 6 digits), ties to the later update, then the smaller id; with the parts of the score.
 
     Only the few fused ids are joined to the rows' columns: ids alone go through the routes.
     """
@@ -95,7 +147,48 @@ def apply_priors(fused: DataFrame, memories: DataFrame, n: int = 20, include_arc
     factors = {"pri": priority_factor(), "life": life_factor(include_archived, p), "stale": lookup(F.col("staleness"), p.stale, 1.0), "tier": lookup(F.col("source_tier"), p.tier, 1.0)}
     rows = rows.withColumns(factors).withColumn("score", F.round(F.col("rrf") * F.col("pri") * F.col("life") * F.col("stale") * F.col("tier"), 6))
     order = [F.desc("score"), F.desc("updated_at"), F.asc("id")]
-    return top(rows.where("score > 0"), n, *order).select("id", "rank", "score", F.round("rrf", 6).alias("rrf"), "pri", "life", "stale", "tier")
+    got = top(rows, n, *order)
+    return got.select("id", "rank", "score", F.round("rrf", 6).alias("rrf"), "pri", "life", "stale", "tier", F.round("graph", 6).alias("graph"), "outcome", "polarity", "routes")
+
+
+def recall(spec: Recall, memories: DataFrame, vectors: DataFrame, edges: DataFrame, entities: DataFrame, p: Params = DEFAULT) -> tuple[DataFrame, dict[str, str]]:
+    """The results of the four routes (see apply_priors), and the routes that failed with why. It is an error only if all of the main routes that were tried failed.
+
+    Each route is run by itself and leaves a short list; the graph starts from the others' first rows, and its failure never counts. Of the graph's rows, those of
+    other memory types than asked for go at the end.
+    """
+    rows, failed = visible(spec), {}
+    spark = memories.sparkSession
+    at = spec.filters.get("as_of")
+    t = F.lit(at).cast("timestamp_ntz") if at else None
+    empty = spark.createDataFrame([], "id long, rank int, score double")
+    main = {
+        "vector": (lambda: vector_route(memories, vectors, spec.vector, p.top_vector, rows)) if spec.vector is not None else None,
+        "fts": (lambda: text_route(memories, spec.terms, p.top_text, spec.scorer, rows=rows)) if spec.terms else None,
+        "time": lambda: time_route(memories, p.top_time, rows),
+    }
+    got = {}
+    for name, route in main.items():
+        try:
+            got[name] = held(route()) if route else empty
+        except Exception as e:  # noqa: BLE001 - a route that fails leaves the others standing
+            got[name], failed[name] = empty, str(e)[:300]
+    if len(failed) == sum(r is not None for r in main.values()):
+        raise RuntimeError(f"all routes failed: {failed}")
+    ranked = None
+    if spec.hops > 0:
+        try:
+            found = graph.expand(seeds(list(got.values()), p), edges, memories, min(3, spec.hops), t, spec.caller, p)
+            if spec.vector is not None:
+                found = graph.factors(held(found), edges, memories, vectors, entities, F.array(*[F.lit(float(x)) for x in spec.vector]), p)
+            else:
+                found = found.withColumn("factor", F.lit(1.0))
+            ranked = held(graph_route(found, p))
+        except Exception as e:  # noqa: BLE001
+            failed["graph"] = str(e)[:300]
+    types = spec.filters.get("memory_type") or ()
+    types = tuple(types) if isinstance(types, (list, tuple)) else (types,)
+    return apply_priors(fuse(*got.values(), ranked, p=p), memories, spec.top_k, bool(spec.filters.get("include_archived")), types, p), failed
 
 
 def rerank(results: DataFrame, relevance: Column, n: int = 10, floor: float = 0.2) -> DataFrame:
@@ -105,6 +198,12 @@ def rerank(results: DataFrame, relevance: Column, n: int = 10, floor: float = 0.
     return out.withColumn("new_rank", F.row_number().over(Window.orderBy(F.desc("blended"), F.asc("rank"))))
 
 
+def relevance(results: DataFrame, memories: DataFrame, reranker: Reranker) -> DataFrame:
+    """The results with what a reranker makes of each row's title and text."""
+    scored = memories.join(F.broadcast(results.select("id")), "id").select("id", reranker.relevance(F.concat_ws("\n", "title", "body")).alias("relevance"))  # top_k rows
+    return results.join(scored, "id")
+
+
 def drop_gate(results: DataFrame, ratio: float = 1.1, floor: int = 2) -> DataFrame:
     """Keep results up to the largest ratio of neighbouring scores if that is at least `ratio` (of equal ones the later), else the first `floor`."""
     after = results.withColumn("drop", F.col("score") / F.lead("score").over(Window.orderBy("rank")))

@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnesis.functions.columns import cosine, current, days, live, lookup
-from mnesis.model import DEFAULT, Params
-
-#: Labels and patterns of the injection gate.
-INJECTION = (
-    ("ignore_previous", r"ignore\s+(all\s+)?(the\s+)?(previous|above|prior)\s+(instructions?|prompts?|rules?)"),
-    ("disregard", r"disregard\s+(all\s+)?(the\s+)?(previous|above|prior|system)"),
-    ("role_change", r"you\s+are\s+now\s+(a|an|the)\s"),
-    ("system_prompt", r"(reveal|print|show)\s+(me\s+)?(your|the)\s+system\s+prompt"),
-    ("special_token", r"<\|(im_start|im_end|system|endoftext)\|>"),
-)
-
-
-def injection_labels(text: Column) -> Column:
-    """The labels of the patterns that a text matches, in order."""
-    return F.array_compact(F.array(*[F.when(text.rlike(f"(?iu){p}"), F.lit(k)) for k, p in INJECTION]))
-
+from mnesis.functions.rules import classify, derive_title, injection_labels, should_scan, staleness
+from mnesis.model import BANKS, DEFAULT, Params
 
 def exact_duplicates(batch: DataFrame, memories: DataFrame) -> DataFrame:
     """Rows of a batch (id, bank, content_hash) whose content a current, not retired row of the same bank has: id and the least such row."""
@@ -34,49 +26,95 @@ def first_by_key(memories: DataFrame) -> DataFrame:
     return memories.groupBy("bank", "dedup_key").agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("copies"))
 
 
-def similar_pairs(rows: DataFrame, least: float, best: int = 3) -> DataFrame:
-    """a < b and cos of the pairs in which one is among the `best` nearest of the other within its bank, at `least` cosine.
-
-    rows: id, bank, embedding; a bounded scan (the newest rows), as a join of all pairs of a bank is only right for such.
-    """
-    other = rows.select(F.col("id").alias("other"), F.col("bank").alias("bank2"), F.col("embedding").alias("v"))
-    scored = rows.join(other, (F.col("bank") == F.col("bank2")) & (F.col("id") != F.col("other"))).select("id", "other", F.round(cosine(F.col("embedding"), F.col("v")), 6).alias("cos")).where(F.col("cos") >= least)
-    n = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cos"), F.asc("other")))
-    return scored.withColumn("n", n).where(F.col("n") <= best).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "cos").distinct()
+def nearest(queries: list[tuple[int, str, Sequence[float]]], rows: DataFrame, k: int, least: float = -2.0) -> DataFrame:
+    """id, other and cos of the k rows (id, bank, embedding) nearest to each query (id, bank, vector) in its bank, itself left out, at `least` cosine (6 digits), ties to the smaller id.
+
+    The stated queries, a bounded list, go against all rows as matrix products over Arrow batches; a task returns its k best of each."""
+    ids, banks = np.array([q[0] for q in queries], np.int64), np.array([q[1] for q in queries], object)
+    q = np.array([x[2] for x in queries], float).reshape(len(queries), -1)
+    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0)) for _ in ids]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            other, bank = batch.column("id").to_numpy(), np.array(batch.column("bank").to_pylist(), object)
+            x = np.stack([np.asarray(v, float) for v in batch.column("embedding").to_pylist()])
+            norm = np.linalg.norm(x, axis=1, keepdims=True)
+            cos = np.floor(q @ np.divide(x, norm, out=np.zeros_like(x), where=norm > 0).T * 1e6 + 0.5) / 1e6
+            for i in range(len(ids)):
+                ok = np.flatnonzero((bank == banks[i]) & (other != ids[i]) & (cos[i] >= least))
+                who, score = np.concatenate([best[i][0], other[ok]]), np.concatenate([best[i][1], cos[i][ok]])
+                top = np.lexsort((who, -score))[:k]
+                best[i] = who[top], score[top]
+        n = [len(w) for w, _ in best]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate([w for w, _ in best])), pa.array(np.concatenate([c for _, c in best]))], names=["id", "other", "cos"])
+
+    if not queries:
+        return rows.sparkSession.createDataFrame([], "id long, other long, cos double")
+    got = rows.where(F.col("embedding").isNotNull()).select(F.col("id").cast("long"), "bank", "embedding").mapInArrow(run, "id long, other long, cos double")
+    order = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cos"), F.asc("other")))
+    return got.withColumn("n", order).where(F.col("n") <= k).drop("n")
+
+
+def scanned(memories: DataFrame, now: Column, p: Params = DEFAULT) -> DataFrame:
+    """What a consolidation looks at: embedded rows in use of the last consolidate_days, the consolidate_limit newest by seq."""
+    rows = memories.where(F.col("ttl_state").isin("candidate", "trial", "active") & F.col("embedding").isNotNull() & (F.col("created_at") > now - days(F.lit(p.consolidate_days))))
+    return rows.orderBy(F.desc("seq")).limit(p.consolidate_limit)
+
+
+def similar_pairs(memories: DataFrame, now: Column, p: Params = DEFAULT, best: int = 3) -> DataFrame:
+    """a < b and cos of the scanned pairs of which one is among the `best` nearest of the other within its whole bank, at consolidate_cosine."""
+    used = memories.where(F.col("ttl_state").isin("candidate", "trial", "active") & F.col("embedding").isNotNull())
+    queries = [(r.id, r.bank, r.embedding) for r in scanned(memories, now, p).select("id", "bank", "embedding").collect()]  # consolidate_limit rows at most
+    pairs = nearest(queries, used, best, p.consolidate_cosine).where(F.col("other").isin([q[0] for q in queries]) if queries else F.lit(False))
+    return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "cos").distinct()
 
 
 def groups(pairs: DataFrame) -> DataFrame:
     """id and grp, the least id that pairs lead to. Labels go from neighbour to neighbour until none changes; each round is a checkpoint."""
     both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"))).distinct()
-    both = _cut(both)
-    label = _cut(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("grp")))
+    both = cut(both)
+    label = cut(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("grp")))
     while True:
         near = both.join(label.select(F.col("id").alias("other"), F.col("grp").alias("g")), "other").groupBy("id").agg(F.min("g").alias("g"))
-        new = _cut(label.join(near, "id").select("id", F.least("grp", "g").alias("grp"), (F.col("g") < F.col("grp")).alias("moved")))
+        new = cut(label.join(near, "id").select("id", F.least("grp", "g").alias("grp"), (F.col("g") < F.col("grp")).alias("moved")))
         label = new.select("id", "grp")
         if new.where("moved").isEmpty():
             return label
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the cluster names; where none is named, in a local one."""
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the folder that the cluster names; in a local one where none is named and all runs on this machine."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mnesis-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="mnesis-"))
     return df.checkpoint()
 
 
 def merge_plan(members: DataFrame) -> DataFrame:
-    """One row for each group: the canonical member (greatest priority, accesses, length; the first of equals) and what it takes over.
+    """One row for each group: the canonical member (greatest priority, accesses, length; the newest of equals) and what it takes over: counters, tags, sources.
 
-    members: grp, id, priority, access_count, adopt_count, body, domain, lang.
+    members: grp, id, seq, priority, access_count, adopt_count, body, domain, tags, source_ref. Sources keep the order of the scan, newest first.
     """
+    source = F.array_sort(F.collect_list(F.when(F.col("source_ref").isNotNull(), F.struct((-F.col("seq")).alias("at"), "source_ref"))))
     return members.groupBy("grp").agg(
-        F.max(F.struct("priority", "access_count", F.length("body").alias("n"), (-F.col("id")).alias("minus"))).alias("best"), F.count(F.lit(1)).alias("members"),
+        F.max(F.struct("priority", "access_count", F.length("body").alias("n"), "seq", "id")).alias("best"), F.count(F.lit(1)).alias("members"),
         F.sum("access_count").alias("access_count"), F.sum("adopt_count").alias("adopt_count"), F.array_join(F.array_sort(F.collect_set("domain")), ",").alias("domains"),
-    ).select("grp", (-F.col("best.minus")).alias("canonical"), "members", "access_count", "adopt_count", "domains")
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))), ",").alias("tags"), F.array_join(F.array_distinct(F.transform(source, lambda x: x["source_ref"])), ",").alias("source_refs"),
+    ).select("grp", F.col("best.id").alias("canonical"), "members", "access_count", "adopt_count", "domains", "tags", "source_refs")
+
+
+def merged(memories: DataFrame, plan: DataFrame, members: DataFrame, at: Column) -> DataFrame:
+    """The memories after a merge: the canonical rows have their groups' counters, the other members are archived. plan: merge_plan(); members: id, grp."""
+    one = plan.select(F.col("canonical").alias("id"), F.col("access_count").alias("new_access"), F.col("adopt_count").alias("new_adopt"))
+    out = memories.join(members.select("id", F.lit(True).alias("member")), "id", "left").join(one, "id", "left")
+    gone = F.col("member").isNotNull() & F.col("new_access").isNull()
+    return out.withColumns({"access_count": F.coalesce("new_access", "access_count"), "adopt_count": F.coalesce("new_adopt", "adopt_count"), "ttl_state": F.when(gone, F.lit("archived")).otherwise(F.col("ttl_state")), "updated_at": F.when(F.col("member"), at).otherwise(F.col("updated_at"))}).select(*memories.columns)
 
 
 def supersede(memories: DataFrame, patches: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
@@ -85,17 +123,30 @@ def supersede(memories: DataFrame, patches: DataFrame, at: Column) -> tuple[Data
     patches: id, new_id and any columns to change. A row that is already closed stays as it is.
     """
     changed = [c for c in patches.columns if c not in ("id", "new_id")]
+    hash_ = F.sha2(F.concat("bank", F.char(F.lit(0)), "body"), 256)
     hit = memories.where(current()).join(patches.select("id", "new_id", *[F.col(c).alias(f"new_{c}") for c in changed]), "id")
     closed = hit.withColumns({"invalid_at": at, "superseded_by": F.col("new_id"), "updated_at": at}).select(*memories.columns)
-    opened = hit.withColumns({c: F.coalesce(f"new_{c}", c) for c in changed}).withColumns({"id": F.col("new_id"), "valid_at": at, "created_at": at, "updated_at": at}).select(*memories.columns)
+    opened = hit.withColumns({c: F.coalesce(f"new_{c}", c) for c in changed}).withColumns({"id": F.col("new_id"), "valid_at": at, "created_at": at, "updated_at": at})
+    opened = (opened.withColumn("content_hash", hash_) if "body" in changed else opened).select(*memories.columns)
     return closed, opened
 
 
 def patch(memories: DataFrame, patches: DataFrame, at: Column) -> DataFrame:
-    """Rows with the patch's fields where they have some; a new body is hashed anew; retired rows lose what is derived. An update in place."""
+    """Rows with the patch's fields where they have some, an update in place: a new body is hashed anew and waits for its embedding, a retired row loses it, a new
+    verify_status sets last_verified and a new original_date the staleness, where the rows have such columns. The text of a row that has ended is history and stays."""
     changed = [c for c in patches.columns if c != "id"]
     out = memories.join(patches.select("id", F.lit(True).alias("hit"), *[F.col(c).alias(f"new_{c}") for c in changed]), "id", "left")
-    out = out.withColumns({c: F.coalesce(f"new_{c}", c) for c in changed} | {"updated_at": F.when(F.col("hit"), at).otherwise(F.col("updated_at"))})
+    open_ = F.col("hit").isNotNull() & (current() if "body" in changed else F.lit(True))
+    set_ = lambda c: open_ & F.col(f"new_{c}").isNotNull()
+    fields = {c: F.when(set_(c), F.col(f"new_{c}")).otherwise(F.col(c)) for c in changed} | {"updated_at": F.when(open_, at).otherwise(F.col("updated_at"))}
+    if "embedding" in memories.columns and "embedding" not in changed:
+        gone = (set_("body") if "body" in changed else F.lit(False)) | ((set_("ttl_state") & (F.col("new_ttl_state") == "retired")) if "ttl_state" in changed else F.lit(False))
+        fields["embedding"] = F.when(~F.coalesce(gone, F.lit(False)), F.col("embedding"))
+    if "verify_status" in changed and "last_verified" in memories.columns:
+        fields["last_verified"] = F.when(set_("verify_status"), at).otherwise(F.col("last_verified"))
+    if "original_date" in changed and "staleness" in memories.columns:
+        fields["staleness"] = F.when(set_("original_date"), staleness(F.col("new_original_date"), at)).otherwise(F.col("staleness"))
+    out = out.withColumns(fields)
     if "body" in changed:
         out = out.withColumn("content_hash", F.sha2(F.concat("bank", F.char(F.lit(0)), "body"), 256))
     return out.select(*memories.columns)
@@ -111,16 +162,80 @@ def purge(memories: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFr
     return kept, left
 
 
-def retain_defaults(batch: DataFrame, now: Column) -> DataFrame:
-    """Entry state and expiry by tier: user rows start as candidates for 6 days, others on trial for 30."""
-    state = F.when(F.col("source_tier") == "user", "candidate").otherwise("trial")
-    return batch.withColumn("entry_state", state).withColumn("expires_at", now + days(lookup(F.col("entry_state"), {"candidate": 6, "trial": 30}, 30)))
+def retain_defaults(batch: DataFrame, now: Column, p: Params = DEFAULT) -> DataFrame:
+    """What new rows start with: state and expiry by tier (user rows are candidates for 6 days, others on trial for 30), a title from the text, a type by its rules, their key.
+
+    batch: source_tier, title, content, context and memory_type, of which the latter and the title may be null; a missing tier counts as agent."""
+    tier = F.lower(F.trim(F.coalesce(F.when(F.col("source_tier") != "", F.col("source_tier")), F.lit("agent"))))
+    state = F.when(tier == "user", "candidate").otherwise("trial")
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.col("content"))
+    return batch.withColumns({
+        "entry_state": state, "expires_at": now + days(F.when(state == "candidate", p.candidate_days).otherwise(p.trial_days)),
+        "title": F.coalesce(F.when(F.col("title") != "", F.col("title")), derive_title(F.col("content"))), "memory_type": F.coalesce("memory_type", classify(text)["memory_type"]),
+        "dedup_key": F.sha2(F.concat("content", F.char(F.lit(31)), F.coalesce("context", F.lit(""))), 256),
+    })
+
+
+def validated(batch: DataFrame, banks: Sequence[str] = BANKS) -> DataFrame:
+    """The batch with reason: context or content (what is blank), bank (an unknown one), else null."""
+    blank = lambda c: F.coalesce(F.col(c).rlike(r"^\s*$"), F.lit(True))
+    return batch.withColumn("reason", F.when(blank("context"), "context").when(blank("content"), "content").when(~F.coalesce(F.col("bank").isin(*banks), F.lit(False)), "bank"))
+
+
+def retain(batch: DataFrame, memories: DataFrame, now: Column, scope: str = "external_only", p: Params = DEFAULT) -> DataFrame:
+    """What becomes of the rows of a batch: its columns with those of retain_defaults(), status and existing.
+
+    status: invalid (see validated()), injection (a scanned row of the same request matches a pattern: the whole request is turned away), exact (a current,
+    not retired row of the bank has the content), key (one has the key, or an earlier item of the batch has), accepted. existing: the row that was there
+    before, for exact and key. batch: item (a total order), request, bank, content, context, title, source_tier, memory_type.
+
+    The gates stand in the order of their cost. Keys and hashes are met by the least row of each, aggregated before the shuffle."""
+    rows = retain_defaults(validated(batch), now, p).withColumn("content_hash", F.sha2(F.concat("bank", F.char(F.lit(0)), "content"), 256))
+    flagged = rows.where(should_scan(F.col("source_tier"), scope)).where(F.size(injection_labels(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.col("content")))) > 0)
+    rows = rows.join(flagged.select(F.col("request").alias("bad")).distinct(), F.col("request") == F.col("bad"), "left")
+    held = memories.where(current() & (F.col("ttl_state") != "retired"))
+    same = held.groupBy("bank", "content_hash").agg(F.min("id").alias("same"))
+    keyed = held.groupBy("bank", "dedup_key").agg(F.min_by("id", "seq").alias("keyed"))
+    rows = rows.join(same, ["bank", "content_hash"], "left").join(keyed, ["bank", "dedup_key"], "left")
+    clean = F.col("reason").isNull() & F.col("bad").isNull()
+    fresh = clean & F.col("same").isNull() & F.col("keyed").isNull()
+    first = rows.where(fresh).groupBy("bank", "dedup_key").agg(F.min("item").alias("first_item"))
+    rows = rows.join(first, ["bank", "dedup_key"], "left")
+    status = F.when(F.col("reason").isNotNull(), "invalid").when(F.col("bad").isNotNull(), "injection").when(F.col("same").isNotNull(), "exact").when(F.col("keyed").isNotNull() | (F.col("first_item") < F.col("item")), "key").otherwise("accepted")
+    rows = rows.withColumn("status", status).withColumn("existing", F.when(F.col("status") == "exact", F.col("same")).when(F.col("status") == "key", F.col("keyed")))
+    return rows.drop("bad", "same", "keyed", "first_item")
+
+
+def greedy_semantic(batch: list[tuple[int, Sequence[float]]], least: float) -> list[int]:
+    """The items of one request that stay when each is compared with those that stay before it: a bounded list, in order, as the rule is sequential."""
+    kept: list[int] = []
+    vectors: list[np.ndarray] = []
+    for item, v in batch:
+        x = np.asarray(v, float)
+        x = x / max(np.linalg.norm(x), 1e-300)
+        if not vectors or (np.floor(np.array(vectors) @ x * 1e6 + 0.5) / 1e6 < least).all():
+            kept.append(item)
+            vectors.append(x)
+    return kept
+
+
+def dedup_greedy(batch: DataFrame, least: float) -> DataFrame:
+    """request, item and kept of rows (request, item, embedding): each request, which is bounded, is one group; requests run side by side."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("item")
+        kept = set(greedy_semantic(list(zip(pdf["item"], pdf["embedding"], strict=True)), least))
+        return pd.DataFrame({"request": pdf["request"], "item": pdf["item"], "kept": [i in kept for i in pdf["item"]]})
+
+    return batch.select("request", "item", "embedding").groupBy("request").applyInPandas(run, "request long, item long, kept boolean")
 
 
 def semantic_duplicates(batch: DataFrame, known: DataFrame, p: Params = DEFAULT, least: float | None = None) -> DataFrame:
     """For each batch row (id, bank, embedding, created_at), the nearest row of its bank of the dedup_days before, if its cosine reaches the bank's threshold."""
-    k = known.select(F.col("id").alias("existing"), F.col("bank").alias("bank2"), F.col("embedding").alias("v"), F.col("created_at").alias("at2"))
-    near = batch.join(k, (F.col("bank") == F.col("bank2")) & (F.col("existing") != F.col("id")) & (F.col("at2") <= F.col("created_at")) & (F.col("at2") > F.col("created_at") - days(F.lit(p.dedup_days))))
+    k = known.select(F.col("id").alias("existing"), F.col("bank").alias("bank2"), F.col("embedding").alias("v"), F.col("created_at").alias("at2"), F.to_date("created_at").alias("day2"))
+    # days are the key: a row meets those of its bank of its own day and of the dedup_days before
+    spread = batch.withColumn("day", F.explode(F.transform(F.sequence(F.lit(0), F.lit(p.dedup_days)), lambda i: F.date_sub(F.to_date("created_at"), i))))
+    near = spread.join(k, (F.col("bank") == F.col("bank2")) & (F.col("day") == F.col("day2")) & (F.col("existing") != F.col("id")) & (F.col("at2") <= F.col("created_at")) & (F.col("at2") > F.col("created_at") - days(F.lit(p.dedup_days))))
     limit = F.lit(least) if least is not None else lookup(F.col("bank"), p.dedup_bank_cosine, p.dedup_cosine)
     scored = near.withColumn("cos", F.round(cosine(F.col("embedding"), F.col("v")), 6)).where(F.col("cos") >= limit)
     return scored.groupBy("id").agg(F.max(F.struct("cos", (-F.col("existing")).alias("minus"))).alias("m")).select("id", (-F.col("m.minus")).alias("existing"), F.col("m.cos").alias("cos"))

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnesis.functions import columns as C
-from mnesis.operators import graph, insight, lifecycle, retrieval, writes
+from mnesis.functions import rules as R
+from mnesis.functions.plugins import HashEmbedder, LexicalReranker
+from mnesis.model import DEFAULT
+from mnesis.operators import evaluate, graph, insight, lifecycle, reads, retrieval, writes
+from mnesis.operators.retrieval import Recall
 from mnesis.sources.frames import NOW, Frames, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,12 +24,6 @@ PROBE, TERMS = 17, ("the", "that")
 LIVE = "invalid_at IS NULL AND ttl_state NOT IN ('archived', 'retired')"
 
 
-def sql(name: str, text: str) -> None:
-    """A query in portable SQL: Spark and the oracle run the same text."""
-    QUERIES[name] = lambda spark, sf_dir: Frames(spark, sf_dir).sql(text)
-    ORACLE[name] = oracle(text)
-
-
 def query(name: str, check: str | None):
     """A query over operators, with its oracle."""
 
@@ -38,36 +37,126 @@ def query(name: str, check: str | None):
 
 
 # Scans, filters, projections
-sql("export_cursor", "SELECT id, seq, bank, title, length(body) AS chars, content_hash FROM memories WHERE seq > 100 ORDER BY seq LIMIT 500")
-sql("memory_get", "SELECT id, bank, domain, owner, ttl_state, content_hash FROM memories WHERE id = 42")
-sql("memory_list", "SELECT m.id, m.seq, m.title, m.priority, v.id IS NOT NULL AS has_embedding FROM memories m LEFT JOIN vectors v ON v.id = m.id WHERE m.bank = 'hermes' AND m.ttl_state = 'active' ORDER BY m.seq DESC LIMIT 50 OFFSET 5")
-sql("memory_list_total", "SELECT count(*) AS total FROM memories WHERE bank = 'hermes' AND ttl_state = 'active'")
-sql("reembed_candidates", "SELECT m.id, m.seq FROM memories m JOIN vectors v ON v.id = m.id WHERE m.ttl_state <> 'retired' AND m.id % 3 <> 0 ORDER BY m.seq LIMIT 200")
-sql("purge_candidates", "SELECT id, left(title, 80) AS title, STR(updated_at) AS updated FROM memories WHERE ttl_state = 'archived' AND updated_at < TS(2023-12-01 00:00:00)")
-sql("priority_rescale", "SELECT id, least(5, greatest(1, CAST(floor(access_count / 20) AS BIGINT))) AS priority FROM memories")
-sql("table_counts", "SELECT (SELECT count(*) FROM memories) AS n_memories, (SELECT max(seq) FROM memories) AS max_seq, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM edges WHERE invalid_at IS NULL) AS current_edges, (SELECT count(*) FROM feedback) AS changelog")
-sql("conv_turns", "SELECT conv_id, turn, text, length(text) AS chars FROM conversations WHERE role = 'user'")
-sql("corpus_stats", "SELECT count(*) AS turns, count(DISTINCT conv_id) AS sessions, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations WHERE role = 'user'")
-sql("ingest_reconcile", "SELECT d.doc_id AS missing FROM documents d LEFT JOIN vectors v ON v.id = d.doc_id WHERE v.id IS NULL")
-sql("trim_rows", "SELECT id, left(body, 200) AS excerpt, length(body) > 200 AS truncated FROM memories WHERE bank = 'knowledge'")
-sql("recent_list", "SELECT id, seq FROM memories WHERE created_at > TS(2024-01-31 00:00:00) - DAYS(30) ORDER BY seq DESC LIMIT 20")
-sql("filter_date_range", "SELECT id FROM memories WHERE created_at >= TS(2023-10-01 00:00:00) AND created_at <= TS(2023-12-31 00:00:00)")
+COLUMNS = ("id", "seq", "bank", "title", "content_hash")
 
 
-@query("visible_to_caller", "SELECT id, owner, visibility FROM memories WHERE owner = 'subagent:a' OR visibility = 'public'")
+@query("export_cursor", "SELECT id, seq, bank, title, content_hash FROM memories WHERE seq > 100 ORDER BY seq LIMIT 500")
 def _(f):
-    return f.memories.where(C.visible_to("subagent:a")).select("id", "owner", "visibility")
+    return reads.after_seq(f.memories, 100, 500).select(*COLUMNS)
+
+
+@query("memory_get", "SELECT id, bank, domain, owner, ttl_state, content_hash FROM memories WHERE id = 42")
+def _(f):
+    return reads.list_memories(f.memories, F.col("id") == 42).select("id", "bank", "domain", "owner", "ttl_state", "content_hash")
+
+
+LISTED = "m.bank = 'hermes' AND m.ttl_state = 'active' AND m.owner = 'main'"
+
+
+@query("memory_list", f"SELECT m.id, m.seq, m.title, m.priority, v.id IS NOT NULL AS has_embedding FROM memories m LEFT JOIN vectors v ON v.id = m.id WHERE {LISTED} ORDER BY m.seq DESC LIMIT 50 OFFSET 1")
+def _(f):
+    rows = reads.page(reads.list_memories(f.memories, bank="hermes", ttl_state="active", owner="main"), 50, 1)
+    return reads.with_embedding(rows, f.vectors).select("id", "seq", "title", "priority", "has_embedding")
+
+
+@query("memory_list_total", f"SELECT count(*) AS total FROM memories m WHERE {LISTED}")
+def _(f):
+    return reads.list_memories(f.memories, bank="hermes", ttl_state="active", owner="main").agg(F.count(F.lit(1)).alias("total"))
+
+
+@query("memory_list_search", "SELECT id, seq FROM (SELECT m.id, m.seq, regexp_extract_all(lower(concat(m.title, ' ', m.body)), '[a-z0-9]+') AS w FROM memories m WHERE m.domain = 'src1' AND m.tenant_id = 't1') x WHERE list_contains(w, 'the') ORDER BY seq DESC LIMIT 50")
+def _(f):
+    has = F.array_contains(C.tokens(F.concat_ws(" ", "title", "body")), "the")
+    return reads.page(reads.list_memories(f.memories, has, domain="src1", tenant_id="t1")).select("id", "seq")
+
+
+@query("reembed_candidates", "SELECT m.id, m.seq FROM memories m JOIN vectors v ON v.id = m.id WHERE m.ttl_state <> 'retired' AND m.embed_ver < 3 ORDER BY m.seq LIMIT 200")
+def _(f):
+    return reads.stale_embeddings(f.memories, f.vectors, 3)
+
+
+@query("purge_candidates", "SELECT id, left(title, 80) AS title, STR(updated_at) AS updated FROM memories WHERE ttl_state = 'archived' AND updated_at < TS(2023-12-01 00:00:00)")
+def _(f):
+    return reads.purgeable(f.memories, ts("2023-12-01 00:00:00")).select("id", "title", F.col("updated_at").cast("string").alias("updated"))
+
+
+@query("priority_rescale", "SELECT id, least(5, greatest(1, CAST(floor(access_count / 20) AS BIGINT))) AS priority FROM memories")
+def _(f):
+    return f.memories.select("id", reads.rescaled(F.col("access_count")).alias("priority"))
+
+
+@query("table_counts", "SELECT (SELECT count(*) FROM memories) AS n_memories, (SELECT max(seq) FROM memories) AS max_seq, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM edges WHERE invalid_at IS NULL) AS current_edges, (SELECT count(*) FROM feedback) AS changelog")
+def _(f):
+    return reads.counts(f.memories, f.edges, f.feedback)
+
+
+TURNS = "x AS (SELECT conv_id, concat(CASE WHEN conv_id % 7 = 0 THEN 'answer_' ELSE 's_' END, STR(conv_id)) AS sid, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, role, text FROM conversations), y AS (SELECT concat(replace(sid, 'answer', 'noans'), '_', STR(n)) AS turn_id, replace(sid, 'answer', 'noans') AS session_id, text, length(text) AS chars, conv_id % 7 = 0 AND n = 0 AS is_gold FROM x WHERE role = 'user')"
+
+
+def _turns(f):
+    """The conversations as a benchmark's sessions, those of each seventh holding the answer in their first turn."""
+    sid = F.concat(F.when(F.col("conv_id") % 7 == 0, "answer_").otherwise("s_"), F.col("conv_id").cast("string"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+    sessions = f.table("conversations").groupBy("conv_id").agg(ordered.alias("turns")).select(sid.alias("session_id"), "turns")
+    return reads.turns(sessions, sessions.where(F.col("session_id").startswith("answer")).select(F.concat("session_id", F.lit("_0")).alias("turn_id")))
+
+
+@query("conv_turns", f"WITH {TURNS} SELECT turn_id, session_id, text, chars, is_gold FROM y")
+def _(f):
+    return _turns(f)
+
+
+@query("corpus_stats", f"WITH {TURNS} SELECT count(*) AS turns, count(DISTINCT session_id) AS sessions, CAST(sum(chars) AS BIGINT) AS chars, count(CASE WHEN is_gold THEN 1 END) AS gold FROM y")
+def _(f):
+    return reads.corpus_stats(_turns(f))
+
+
+@query("ingest_reconcile", "SELECT d.doc_id AS id, 'missing' AS side FROM documents d LEFT JOIN embeddings v ON v.vec_id = d.doc_id WHERE v.vec_id IS NULL UNION ALL SELECT v.vec_id, 'extra' FROM embeddings v LEFT JOIN documents d ON v.vec_id = d.doc_id WHERE d.doc_id IS NULL")
+def _(f):
+    return reads.reconcile(f.table("documents").select(F.col("doc_id").alias("id")), f.table("embeddings").select(F.col("vec_id").alias("id")))
+
+
+@query("parse_session_date", "SELECT item, TRY_CAST(CASE WHEN regexp_matches(d, '\\d{4}/\\d{2}/\\d{2}.*?\\d{2}:\\d{2}') THEN regexp_replace(d, '^.*?(\\d{4})/(\\d{2})/(\\d{2}).*?(\\d{2}):(\\d{2}).*$', '\\1-\\2-\\3 \\4:\\5:00') END AS TIMESTAMP) AS at FROM (SELECT conv_id * 1000 + turn AS item, concat('on 2023/', lpad(STR(1 + conv_id % 14), 2, '0'), '/', lpad(STR(1 + turn % 28), 2, '0'), ' (Fri) ', CASE WHEN turn % 5 = 0 THEN 'late' ELSE '09:30' END) AS d FROM conversations) x")
+def _(f):
+    pad = lambda c: F.lpad(c.cast("string"), 2, "0")
+    text = F.concat(F.lit("on 2023/"), pad(1 + F.col("conv_id") % 14), F.lit("/"), pad(1 + F.col("turn") % 28), F.lit(" (Fri) "), F.when(F.col("turn") % 5 == 0, "late").otherwise("09:30"))
+    return f.table("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("item"), R.session_date(text).alias("at"))
+
+
+@query("trim_rows", "SELECT id, left(body, 200) AS excerpt, length(body) > 200 AS truncated FROM memories WHERE bank = 'knowledge'")
+def _(f):
+    return reads.trimmed(f.memories.where("bank = 'knowledge'"))
 
 
-@query("filter_tags_any", "SELECT id FROM memories WHERE lang IN ('fr') OR domain IN ('src1') OR concat('p', STR(priority)) IN ('p5')")
+@query("recent_list", "SELECT id, seq FROM memories WHERE created_at > TS(2024-01-31 00:00:00) - DAYS(30) ORDER BY seq DESC LIMIT 20")
 def _(f):
-    tags = F.array("lang", "domain", F.concat(F.lit("p"), F.col("priority").cast("string")))
-    return f.memories.where(F.arrays_overlap(tags, F.array(F.lit("fr"), F.lit("src1"), F.lit("p5")))).select("id")
+    return reads.recent(f.memories, now(), 30).select("id", "seq")
 
 
-@query("asof_snapshot", "SELECT id, title FROM memories WHERE valid_at <= TS(2023-11-01 00:00:00) AND (invalid_at IS NULL OR invalid_at > TS(2023-11-01 00:00:00))")
+@query("filter_date_range", f"SELECT id FROM memories WHERE {LIVE} AND created_at >= TS(2023-10-01 00:00:00) AND created_at <= TS(2023-12-31 00:00:00)")
 def _(f):
-    return f.memories.where(C.as_of(ts("2023-11-01 00:00:00"))).select("id", "title")
+    return f.memories.where(retrieval.visible(Recall(filters={"date_range": {"from": "2023-10-01", "to": "2023-12-31"}}))).select("id")
+
+
+@query("filter_tags_any", f"SELECT id FROM memories WHERE {LIVE} AND (lang IN ('fr') OR domain IN ('src1') OR priority = 5)")
+def _(f):
+    return f.memories.where(retrieval.visible(Recall(filters={"tags": ["fr", "src1", "p5"]}))).select("id")
+
+
+@query("filters_composed", "SELECT id FROM memories WHERE (owner = 'cron:b' OR visibility = 'public') AND ttl_state <> 'retired' AND invalid_at IS NULL AND bank = 'knowledge' AND staleness IN ('fresh', 'aging') AND memory_type = 'semantic' AND created_at >= TS(2023-06-01 00:00:00)")
+def _(f):
+    spec = Recall(caller="cron:b", bank="knowledge", filters={"staleness": ["fresh", "aging"], "memory_type": "semantic", "date_range": {"from": "2023-06-01T00:00:00"}, "include_archived": True})
+    return f.memories.where(retrieval.visible(spec)).select("id")
+
+
+@query("asof_snapshot", "SELECT id, title FROM memories WHERE ttl_state NOT IN ('archived', 'retired') AND valid_at <= TS(2023-11-01 00:00:00) AND (invalid_at IS NULL OR invalid_at > TS(2023-11-01 00:00:00))")
+def _(f):
+    return f.memories.where(retrieval.visible(Recall(filters={"as_of": "2023-11-01T00:00:00"}))).select("id", "title")
+
+
+@query("visible_to_caller", "SELECT id, owner, visibility FROM memories WHERE owner = 'subagent:a' OR visibility = 'public'")
+def _(f):
+    return f.memories.where(C.visible_to("subagent:a")).select("id", "owner", "visibility")
 
 
 @query("memory_list_asof", "SELECT id, bank FROM memories WHERE bank = 'knowledge' AND valid_at <= TS(2023-11-01 00:00:00) AND (invalid_at IS NULL OR invalid_at > TS(2023-11-01 00:00:00)) ORDER BY seq DESC LIMIT 40")
@@ -85,6 +174,15 @@ def _(f):
     return f.memories.where(C.tenant_scope("t1")).select("id", "tenant_id")
 
 
+@query("tenant_rls", "SELECT id, tenant_id FROM memories WHERE tenant_id = 't2'")
+def _(f):
+    f.spark.conf.set("mnesis.tenant", "t2")
+    try:
+        return reads.tenant_view(f.memories).select("id", "tenant_id")
+    finally:
+        f.spark.conf.unset("mnesis.tenant")
+
+
 @query("edges_asof", "SELECT id, src, dst, etype FROM edges WHERE valid_at <= TS(2023-11-01 00:00:00) AND (invalid_at IS NULL OR invalid_at > TS(2023-11-01 00:00:00)) AND etype = 'causal'")
 def _(f):
     return f.edges.where(graph.at_time(ts("2023-11-01 00:00:00")) & (F.col("etype") == "causal")).select("id", "src", "dst", "etype")
@@ -92,27 +190,125 @@ def _(f):
 
 # Aggregates and windows
 STATES = " UNION ALL ".join(f"SELECT '{s}' AS ttl_state" for s in ("candidate", "trial", "active", "decaying", "archived", "retired"))
-sql("state_summary", f"SELECT s.ttl_state, count(m.id) AS n FROM ({STATES}) s LEFT JOIN memories m ON m.ttl_state = s.ttl_state GROUP BY s.ttl_state")
-sql("feedback_group_rollup", "SELECT grp, count(*) AS n, count(CASE WHEN outcome = 'adopted' THEN 1 END) AS adopted, count(CASE WHEN outcome = 'corrected' THEN 1 END) AS corrected, count(CASE WHEN outcome = 'useless' THEN 1 END) AS useless, count(DISTINCT memory_id) AS n_memories, STR(min(ts)) AS first_at, STR(max(ts)) AS last_at FROM feedback GROUP BY grp")
-sql("feedback_group_detail", "SELECT seq, memory_id, outcome, caller FROM feedback WHERE grp = 'g7' ORDER BY seq")
-sql("events_by_kind", "SELECT kind, count(*) AS n, count(DISTINCT memory_id) AS n_memories FROM access WHERE ts > TS(2024-01-31 00:00:00) - DAYS(7) GROUP BY kind")
-sql("access_counts", "SELECT memory_id, count(*) AS hits FROM access WHERE kind = 'recall_hit' GROUP BY memory_id")
-sql("adopt_counts", "SELECT memory_id, count(*) AS adopts FROM access WHERE kind = 'adopted' GROUP BY memory_id")
-sql("adopt_renew_count", "SELECT count(*) AS n FROM memories m WHERE ttl_state = 'active' AND EXISTS (SELECT 1 FROM access a WHERE a.memory_id = m.id AND a.kind = 'adopted' AND a.ts > TS(2024-01-31 00:00:00) - DAYS(30))")
-sql("orphan_adopts", "SELECT m.id, m.adopt_count FROM memories m WHERE m.adopt_count > 0 AND NOT EXISTS (SELECT 1 FROM access a WHERE a.memory_id = m.id AND a.kind = 'adopted')")
-sql("pinned_share", f"SELECT bank, count(CASE WHEN pinned THEN 1 END) AS pinned, count(*) AS total, round(CAST(count(CASE WHEN pinned THEN 1 END) AS DOUBLE) / count(*), 4) AS ratio FROM memories WHERE {LIVE} GROUP BY bank")
-sql("domain_clusters", f"SELECT domain, count(*) AS n, CAST(sum(access_count) AS BIGINT) AS accesses FROM memories WHERE {LIVE} GROUP BY domain HAVING count(*) >= 5 ORDER BY sum(access_count) DESC, count(*) DESC, domain LIMIT 10")
-sql("domain_cluster_members", f"SELECT domain, id, excerpt FROM (SELECT domain, id, left(body, 400) AS excerpt, row_number() OVER (PARTITION BY domain ORDER BY access_count DESC, id) AS n FROM memories WHERE {LIVE}) t WHERE n <= 20")
-sql("dedup_key_backfill", "SELECT id, bank FROM (SELECT id, bank, row_number() OVER (PARTITION BY bank, dedup_key ORDER BY seq) AS n FROM memories) t WHERE n = 1")
-sql("latest_recall_query", "SELECT memory_id, query FROM (SELECT memory_id, query, row_number() OVER (PARTITION BY memory_id ORDER BY ts DESC, id DESC) AS n FROM access WHERE kind = 'recall_hit') t WHERE n = 1")
-sql("conv_rounds", "SELECT conv_id, turn, text, reply FROM (SELECT conv_id, turn, role, text, CASE WHEN lead(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'assistant' THEN lead(text) OVER (PARTITION BY conv_id ORDER BY turn) END AS reply FROM conversations) t WHERE role = 'user'")
-sql("hard_query_list", "SELECT id, norm, reason, caller FROM hard_queries WHERE ts > TS(2024-01-01 00:00:00) + DAYS(3) AND reason = 'zero_hit'")
-sql("hard_query_clusters", "SELECT SHA(norm) AS qkey, count(*) AS hits, count(DISTINCT CAST(ts AS DATE)) AS days, count(DISTINCT caller) AS callers FROM hard_queries GROUP BY SHA(norm) HAVING count(*) >= 1")
-sql("hard_query_cap", "SELECT id FROM (SELECT id, row_number() OVER (ORDER BY ts DESC, id DESC) AS n FROM (SELECT * FROM hard_queries ORDER BY ts DESC, id DESC LIMIT 500) h) t WHERE n <= 500")
-sql("hard_query_weekly", "SELECT extract(YEAR FROM ts) AS y, extract(WEEK FROM ts) AS w, count(*) AS hits, count(DISTINCT norm) AS keys, count(DISTINCT caller) AS callers FROM hard_queries GROUP BY extract(YEAR FROM ts), extract(WEEK FROM ts)")
-sql("latency_p95", "SELECT kind, value FROM (SELECT e.event_type AS kind, e.value, row_number() OVER (PARTITION BY e.event_type ORDER BY e.value, e.event_id) AS n, count(*) OVER (PARTITION BY e.event_type) AS total FROM events e) t WHERE n = greatest(1, CAST(floor(total * 95 / 100) AS BIGINT))")
-sql("superseded_backfill", "SELECT m.id, m.superseded_by, s.valid_at = m.invalid_at AS meets FROM memories m JOIN memories s ON s.id = m.superseded_by")
-sql("feedback_probe", "SELECT count(*) AS total, count(DISTINCT f.memory_id) AS n_memories, count(DISTINCT m.id) AS landed, count(CASE WHEN m.polarity IS NOT NULL THEN 1 END) AS with_polarity, count(CASE WHEN m.id IS NULL THEN 1 END) AS drift FROM feedback f LEFT JOIN memories m ON m.id = f.memory_id WHERE f.ts > TS(2024-01-31 00:00:00) - DAYS(7)")
+
+
+@query("state_summary", f"SELECT s.ttl_state, count(m.id) AS n FROM ({STATES}) s LEFT JOIN memories m ON m.ttl_state = s.ttl_state GROUP BY s.ttl_state")
+def _(f):
+    return reads.state_summary(f.memories)
+
+
+@query("feedback_group_rollup", "SELECT grp, count(*) AS n, count(CASE WHEN outcome = 'adopted' THEN 1 END) AS adopted, count(CASE WHEN outcome = 'corrected' THEN 1 END) AS corrected, count(CASE WHEN outcome = 'useless' THEN 1 END) AS useless, count(DISTINCT memory_id) AS n_memories, STR(min(ts)) AS first_at, STR(max(ts)) AS last_at FROM feedback GROUP BY grp ORDER BY max(ts) DESC, grp LIMIT 20")
+def _(f):
+    return reads.feedback_groups(f.feedback).withColumns({c: F.col(c).cast("string") for c in ("first_at", "last_at")})
+
+
+@query("feedback_group_detail", "SELECT seq, memory_id, outcome, caller FROM feedback WHERE grp = 'g7' ORDER BY seq")
+def _(f):
+    return reads.feedback_group(f.feedback, "g7")
+
+
+@query("events_by_kind", "SELECT kind, count(*) AS n, count(DISTINCT memory_id) AS n_memories FROM access WHERE ts > TS(2024-01-31 00:00:00) - DAYS(7) GROUP BY kind")
+def _(f):
+    return reads.by_kind(f.access, now() - C.days(F.lit(7)))
+
+
+@query("access_counts", "SELECT memory_id, count(*) AS hits FROM access WHERE kind = 'recall_hit' GROUP BY memory_id")
+def _(f):
+    return reads.signals(f.access, "recall_hit", "hits")
+
+
+@query("adopt_counts", "SELECT memory_id, count(*) AS adopts FROM access WHERE kind = 'adopted' GROUP BY memory_id")
+def _(f):
+    return reads.signals(f.access, "adopted", "adopts")
+
+
+@query("adopt_renew_count", "SELECT count(*) AS n FROM memories m WHERE ttl_state = 'active' AND EXISTS (SELECT 1 FROM access a WHERE a.memory_id = m.id AND a.kind = 'adopted' AND a.ts > TS(2024-01-31 00:00:00) - DAYS(30))")
+def _(f):
+    return reads.renewals(f.memories, f.access, now() - C.days(F.lit(30)))
+
+
+@query("orphan_adopts", "SELECT m.id, m.adopt_count FROM memories m WHERE m.adopt_count > 0 AND NOT EXISTS (SELECT 1 FROM access a WHERE a.memory_id = m.id AND a.kind = 'adopted')")
+def _(f):
+    return reads.orphan_adopts(f.memories, f.access)
+
+
+@query("pinned_share", f"SELECT bank, count(CASE WHEN pinned THEN 1 END) AS pinned, count(*) AS total, round(CAST(count(CASE WHEN pinned THEN 1 END) AS DOUBLE) / count(*), 4) AS ratio FROM memories WHERE {LIVE} GROUP BY ROLLUP (bank)")
+def _(f):
+    return reads.pinned_share(f.memories)
+
+
+@query("domain_clusters", f"SELECT domain, count(*) AS n, CAST(sum(access_count) AS BIGINT) AS accesses FROM memories WHERE {LIVE} GROUP BY domain HAVING count(*) >= 5 ORDER BY sum(access_count) DESC, count(*) DESC, domain LIMIT 10")
+def _(f):
+    return reads.domain_clusters(f.memories)
+
+
+@query("domain_cluster_members", f"SELECT domain, id, excerpt FROM (SELECT domain, id, left(body, 400) AS excerpt, row_number() OVER (PARTITION BY domain ORDER BY access_count DESC, id) AS n FROM memories WHERE {LIVE}) t WHERE n <= 20")
+def _(f):
+    return reads.domain_members(f.memories)
+
+
+@query("dedup_key_backfill", "SELECT id, bank FROM (SELECT id, bank, row_number() OVER (PARTITION BY bank, dedup_key ORDER BY seq) AS n FROM memories) t WHERE n = 1")
+def _(f):
+    return reads.first_of_key(f.memories)
+
+
+@query("latest_recall_query", "SELECT memory_id, query FROM (SELECT memory_id, query, row_number() OVER (PARTITION BY memory_id ORDER BY ts DESC, id DESC) AS n FROM access WHERE kind = 'recall_hit') t WHERE n = 1")
+def _(f):
+    return reads.latest_queries(f.access)
+
+
+@query("conv_rounds", "SELECT conv_id, turn, text, reply FROM (SELECT conv_id, turn, role, text, CASE WHEN lead(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'assistant' THEN lead(text) OVER (PARTITION BY conv_id ORDER BY turn) END AS reply FROM conversations) t WHERE role = 'user'")
+def _(f):
+    return reads.rounds(f.table("conversations"))
+
+
+@query("hard_query_list", "SELECT id, norm, reason, caller FROM hard_queries WHERE ts > TS(2024-01-01 00:00:00) + DAYS(3) AND reason = 'zero_hit' ORDER BY ts DESC, id DESC LIMIT 500")
+def _(f):
+    return reads.hard_queries(f.hard_queries, ts("2024-01-01 00:00:00") + C.days(F.lit(3)), "zero_hit")
+
+
+SORTED = lambda c: f"array_to_string(list_sort(list(DISTINCT {c})), ',')"
+
+
+@query("hard_query_clusters", f"SELECT left(norm, 6) AS qkey, count(*) AS hits, count(DISTINCT CAST(ts AS DATE)) AS days, {SORTED('caller')} AS callers, {SORTED('reason')} AS reasons FROM hard_queries GROUP BY left(norm, 6) HAVING count(*) >= 3 AND count(DISTINCT CAST(ts AS DATE)) >= 2")
+def _(f):
+    """No query's whole text comes twice in these tables: their first six characters are the key here."""
+    return insight.query_clusters(f.hard_queries, F.left("norm", F.lit(6)))
+
+
+@query("hard_query_cap", "SELECT id FROM (SELECT id, row_number() OVER (ORDER BY ts DESC, id DESC) AS n FROM (SELECT h.*, row_number() OVER (PARTITION BY norm ORDER BY ts, id) AS k FROM hard_queries h WHERE length(trim(query)) >= 4) g WHERE k = 1) t WHERE n <= 500")
+def _(f):
+    return reads.hard_pool(f.hard_queries)
+
+
+@query("hard_query_weekly", f"SELECT concat(STR(extract(isoyear FROM ts)), '-W', lpad(STR(extract(week FROM ts)), 2, '0')) AS week, count(*) AS hits, count(DISTINCT norm) AS keys, {SORTED('caller')} AS callers, {SORTED('reason')} AS reasons FROM hard_queries WHERE ts >= TS(2024-01-31 00:00:00) - DAYS(28) GROUP BY 1")
+def _(f):
+    return insight.weekly(f.hard_queries, now() - C.days(F.lit(28)))
+
+
+LATE = "t AS (SELECT e.event_type AS kind, e.value, row_number() OVER (PARTITION BY e.event_type ORDER BY e.value, e.event_id) AS n, count(*) OVER (PARTITION BY e.event_type) AS total FROM events e)"
+
+
+@query("latency_p95", f"WITH {LATE} SELECT kind, max(CASE WHEN n = greatest(1, total * 50 // 100) THEN value END) AS p50, max(CASE WHEN n = greatest(1, total * 95 // 100) THEN value END) AS p95 FROM t GROUP BY kind")
+def _(f):
+    return reads.latency(f.table("events").select(F.col("event_type").alias("kind"), "value", F.col("event_id").alias("id")), 50, 95)
+
+
+@query("superseded_backfill", "SELECT m.id, coalesce(m.superseded_by, x.successor) AS superseded_by FROM memories m LEFT JOIN (SELECT memory_id, max_by(successor, seq) AS successor FROM (SELECT f.seq, f.memory_id, f.memory_id + 3 AS successor FROM feedback f JOIN memories s ON s.id = f.memory_id + 3) l GROUP BY memory_id) x ON x.memory_id = m.id")
+def _(f):
+    return reads.superseded_backfill(f.memories, f.feedback.select("seq", "memory_id", (F.col("memory_id") + 3).alias("successor")))
+
+
+USED = "memory_type IN ('semantic', 'procedural') AND adopt_count >= 2 AND polarity >= 0.5"
+WEEK = "TS(2024-01-31 00:00:00) - DAYS(7)"
+
+
+@query("feedback_probe", f"""SELECT a.*, b.landed, c.with_polarity, c.eligible, a.distinct_writes - b.landed AS drift, CASE WHEN a.distinct_writes = 0 THEN 'no_writes' WHEN b.landed = 0 THEN 'write_only' WHEN c.eligible = 0 THEN 'joined_no_consume' ELSE 'alive' END AS state
+FROM (SELECT count(*) AS writes, count(CASE WHEN outcome = 'adopted' THEN 1 END) AS adopted, count(CASE WHEN outcome = 'corrected' THEN 1 END) AS corrected, count(CASE WHEN outcome = 'useless' THEN 1 END) AS useless, count(DISTINCT memory_id) AS distinct_writes FROM feedback WHERE ts > {WEEK}) a,
+(SELECT count(*) AS landed FROM memories m WHERE m.outcome_at > {WEEK} AND EXISTS (SELECT 1 FROM feedback f WHERE f.memory_id = m.id AND f.ts > {WEEK})) b,
+(SELECT count(CASE WHEN invalid_at IS NULL AND ttl_state <> 'retired' AND polarity IS NOT NULL THEN 1 END) AS with_polarity, count(CASE WHEN {LIVE} AND {USED} THEN 1 END) AS eligible FROM memories) c""")
+def _(f):
+    return insight.feedback_probe(f.feedback, f.memories, now() - C.days(F.lit(7)))
 
 
 @query("two_state_metrics", "SELECT count(CASE WHEN kind IN ('recall_hit', 'injected') AND ts > TS(2024-01-31 00:00:00) - DAYS(7) THEN 1 END) AS exposed, count(CASE WHEN kind = 'adopted' AND ts > TS(2024-01-31 00:00:00) - DAYS(7) THEN 1 END) AS consumed, count(CASE WHEN kind = 'injected' THEN 1 END) AS injected_total FROM access")
@@ -121,10 +317,51 @@ def _(f):
 
 
 @query("feedback_ema", """
-SELECT memory_id, round(list_reduce(list_prepend(CAST(0.0 AS DOUBLE), list(t ORDER BY seq)), lambda w, a: w * CAST(0.9 AS DOUBLE) + a * CAST(0.1 AS DOUBLE)), 6) AS polarity, count(*) AS events
-FROM (SELECT memory_id, seq, CAST(CASE outcome WHEN 'adopted' THEN 1.0 WHEN 'corrected' THEN -0.5 ELSE -1.0 END AS DOUBLE) AS t FROM feedback) x GROUP BY memory_id""")
+SELECT e.memory_id, list_reduce(list_prepend(coalesce(m.polarity, 0), e.ts), lambda w, a: floor((w + CAST(0.1 AS DOUBLE) * (a - w)) * 1000000 + 0.5) / 1000000) AS polarity, CAST(len(e.ts) AS BIGINT) AS events
+FROM (SELECT memory_id, list(t ORDER BY seq) AS ts FROM (SELECT memory_id, seq, CAST(CASE outcome WHEN 'adopted' THEN 1 ELSE -1 END AS DOUBLE) AS t FROM feedback) x GROUP BY memory_id) e JOIN memories m ON m.id = e.memory_id""")
+def _(f):
+    return insight.ema(f.feedback, f.memories)
+
+
+RULE = lambda p: p.replace("(?<!自)", "").replace("\\b(git", "(?:^|[^\\w\\p{L}\\p{N}])(git").replace("\\b", "")
+LABEL = "CASE " + " ".join(f"WHEN regexp_matches(replace(t, '自定义', ''), '{RULE(p)}') THEN '{k}/{r}'" for k, r, p in R.TYPE_RULES) + " ELSE 'episodic/default' END"
+TYPED = f"l AS (SELECT id, seq, bank, title, {LABEL} AS x FROM (SELECT m.*, concat(title, chr(10), body) AS t FROM memories m) y)"
+
+
+def _label():
+    return R.classify(F.concat("title", F.lit("\n"), "body"))
+
+
+@query("memory_type_report", f"WITH {TYPED} SELECT split_part(x, '/', 1) AS memory_type, split_part(x, '/', 2) AS rule, bank, count(*) AS n FROM l GROUP BY ALL")
+def _(f):
+    return reads.type_report(f.memories, _label())
+
+
+@query("memory_type_samples", f"WITH {TYPED} SELECT split_part(x, '/', 1) AS memory_type, split_part(x, '/', 2) AS rule, id, bank, left(title, 80) AS title FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY seq) AS n FROM l) z WHERE n <= 3")
+def _(f):
+    return reads.type_samples(f.memories, _label())
+
+
+KIND = "CASE page_id % 6 WHEN 0 THEN '89504E470D0A1A0A' WHEN 1 THEN 'FFD8FF' WHEN 2 THEN '474946383961' WHEN 3 THEN '524946460000000057454250' WHEN 4 THEN '' ELSE '7B7D' END"
+
+
+@query("attachment_sniff", f"SELECT page_id AS memory_id, sha256(b) AS content_hash, CAST(octet_length(b) AS INT) AS bytes, CASE page_id % 6 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/gif' WHEN 3 THEN 'image/webp' END AS mime, CASE WHEN octet_length(b) = 0 THEN 'size' WHEN page_id % 6 > 3 THEN 'type' ELSE 'accepted' END AS verdict FROM (SELECT page_id, unhex(concat({KIND}, CASE WHEN page_id % 6 = 4 THEN '' ELSE '0102' END)) AS b FROM pages) x")
+def _(f):
+    return _uploads(f).drop("path")
+
+
+def _uploads(f):
+    """Each page's row as an upload of a few bytes that begin like some kind of image, or like none."""
+    head = C.lookup(F.col("page_id") % 6, {k: v for k, v in enumerate(("89504E470D0A1A0A", "FFD8FF", "474946383961", "524946460000000057454250", "", "7B7D"))}, "")
+    content = F.base64(F.unhex(F.concat(head, F.when(F.col("page_id") % 6 == 4, "").otherwise("0102"))))
+    uploads = f.table("pages").select(F.col("page_id").alias("memory_id"), content.alias("content"))
+    return reads.attachments(uploads, R.sniff_mime(F.col("content")))
+
+
+@query("attachment_refcount", f"SELECT sha256(unhex(concat({KIND}, CASE WHEN page_id % 6 = 4 THEN '' ELSE '0102' END))) AS content_hash, count(CASE WHEN page_id % 4 <> 0 THEN 1 END) AS refs FROM pages WHERE page_id % 6 < 4 GROUP BY 1")
 def _(f):
-    return insight.ema(f.feedback)
+    kept = _uploads(f).where("verdict = 'accepted'").withColumn("state", F.when(F.col("memory_id") % 4 == 0, "deleted").otherwise("active"))
+    return reads.refcounts(kept)
 
 
 # Retrieval
@@ -133,7 +370,7 @@ VEC = f"""v AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS
   FROM vectors v JOIN memories m ON m.id = v.id WHERE {LIVE}) s ORDER BY score DESC, id LIMIT 60)"""
 WORDS = f"w AS (SELECT id, unnest(regexp_extract_all(lower(concat(title, ' ', body)), '[a-z0-9]+')) AS term FROM memories WHERE {LIVE}), tf AS (SELECT id, count(*) AS length, " + ", ".join(f"count(CASE WHEN term = '{t}' THEN 1 END) AS tf{i}" for i, t in enumerate(TERMS)) + " FROM w GROUP BY id)"
 FTS = WORDS + ", f AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, CAST(tf0 + tf1 AS DOUBLE) AS score FROM tf WHERE tf0 > 0 AND tf1 > 0) s ORDER BY score DESC, id LIMIT 60)"
-TIME = "t AS (SELECT id, row_number() OVER (ORDER BY priority DESC, updated_at DESC, id) AS rank FROM memories WHERE invalid_at IS NULL AND ttl_state IN ('trial', 'active', 'decaying') ORDER BY priority DESC, updated_at DESC, id LIMIT 30)"
+TIME_ROUTE = "t AS (SELECT id, row_number() OVER (ORDER BY priority DESC, updated_at DESC, id) AS rank FROM memories WHERE invalid_at IS NULL AND ttl_state IN ('trial', 'active', 'decaying') ORDER BY priority DESC, updated_at DESC, id LIMIT 30)"
 
 
 def probe(f: Frames) -> list[float]:
@@ -163,103 +400,151 @@ def _(f):
     return retrieval.text_route(f.memories, TERMS, scorer="bm25")
 
 
-@query("route_time", f"WITH {TIME} SELECT id, rank FROM t")
+@query("route_time", f"WITH {TIME_ROUTE} SELECT id, rank FROM t")
 def _(f):
     return routes(f)[2]
 
 
-RRF = f"{VEC}, {FTS}, {TIME}, ids AS (SELECT id FROM v UNION SELECT id FROM f UNION SELECT id FROM t), r AS (SELECT ids.id, coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(0.8::DOUBLE / (60 + f.rank), 0) + coalesce(0.4::DOUBLE / (60 + t.rank), 0) AS rrf FROM ids LEFT JOIN v ON v.id = ids.id LEFT JOIN f ON f.id = ids.id LEFT JOIN t ON t.id = ids.id)"
-
-
-@query("recall_rrf", f"WITH {RRF} SELECT id, round(rrf, 9) AS rrf FROM r")
+@query("recall_rrf", f"WITH {VEC}, {FTS}, {TIME_ROUTE}, ids AS (SELECT id FROM v UNION SELECT id FROM f UNION SELECT id FROM t) SELECT ids.id, round(coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(0.8::DOUBLE / (60 + f.rank), 0) + coalesce(0.4::DOUBLE / (60 + t.rank), 0), 9) AS rrf FROM ids LEFT JOIN v ON v.id = ids.id LEFT JOIN f ON f.id = ids.id LEFT JOIN t ON t.id = ids.id")
 def _(f):
     return retrieval.fuse(*routes(f)).select("id", F.round("rrf", 9).alias("rrf"))
 
 
-PRIORS = """p AS (SELECT m.id, m.updated_at, m.memory_type, r.rrf, 0.9::DOUBLE + 0.05::DOUBLE * m.priority AS pri,
+SEEDS = "seeds AS (SELECT id FROM (SELECT id, min(o) AS o FROM (SELECT id, rank AS o FROM v WHERE rank <= 10 UNION ALL SELECT id, 100 + rank FROM f WHERE rank <= 10 UNION ALL SELECT id, 200 + rank FROM t WHERE rank <= 10) u GROUP BY id) g ORDER BY o, id LIMIT 24)"
+
+
+def _hop(front: str, seen: str, out: str, room: str) -> str:
+    n = "row_number() OVER (PARTITION BY s.id ORDER BY "
+    return f"""{out} AS (SELECT x AS id, max(w) AS w, list(DISTINCT via) FILTER (WHERE via IS NOT NULL) AS vias FROM (
+  SELECT x, w, NULL AS via FROM (SELECT e.dst AS x, e.weight AS w, {n} e.id) AS n FROM {front} s JOIN e ON e.src = s.id WHERE e.dst IS NOT NULL) a WHERE n <= 50
+  UNION ALL SELECT x, w, NULL FROM (SELECT e.src AS x, e.weight AS w, {n} e.id) AS n FROM {front} s JOIN e ON e.dst = s.id) b WHERE n <= 50
+  UNION ALL SELECT x, w, via FROM (SELECT e2.src AS x, e1.weight * e2.weight AS w, e1.entity_id AS via, {n} e1.id, e2.id) AS n FROM {front} s JOIN e e1 ON e1.src = s.id JOIN e e2 ON e2.entity_id = e1.entity_id AND e2.src <> s.id) c WHERE n <= 50
+) y WHERE x NOT IN ({seen}) GROUP BY x ORDER BY max(w) DESC, x LIMIT {room})"""
+
+
+CENTROID = f"c AS (SELECT entity_id, d, avg(x) AS x FROM (SELECT e.entity_id, unnest(range(1, 65)) AS d, CAST(unnest(v.embedding) AS DOUBLE) AS x FROM (SELECT e.*, row_number() OVER (PARTITION BY e.entity_id ORDER BY e.id) AS n FROM edges e JOIN vectors w ON w.id = e.src JOIN memories ml ON ml.id = e.src WHERE e.entity_id IS NOT NULL AND e.invalid_at IS NULL AND ml.invalid_at IS NULL AND ml.ttl_state NOT IN ('archived', 'retired')) e JOIN vectors v ON v.id = e.src WHERE n <= 30) y GROUP BY entity_id, d), k AS (SELECT entity_id, list(x ORDER BY d) AS cv FROM c GROUP BY entity_id), z AS (SELECT k.entity_id, n.name, round(list_cosine_similarity(cv, (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = {PROBE})), 6) AS cos FROM k JOIN entities n ON n.id = k.entity_id)"
+
+
+def recall_sql(rows: str = LIVE, edge: str = "invalid_at IS NULL", node: str = LIVE, final: str = "TRUE", hops: int = 2) -> str:
+    """The four routes from the rules that they follow: rows a recall may return, edges that hold, nodes that the graph may show, and what goes at the end."""
+    swap = lambda x: x.replace(LIVE, rows).replace("invalid_at IS NULL AND ttl_state IN", f"{rows} AND ttl_state IN")
+    parts = [swap(VEC), swap(FTS), swap(TIME_ROUTE), SEEDS, f"e AS (SELECT * FROM edges WHERE {edge})"]
+    seen, front = "SELECT id FROM seeds", "seeds"
+    for k in range(1, hops + 1):
+        room = "15" if k < 3 else f"(SELECT greatest(0, least(15, 30 - {' - '.join(f'(SELECT count(*) FROM h{j})' for j in range(1, k))})))"
+        parts.append(_hop(front, seen, f"h{k}", room))
+        seen, front = f"{seen} UNION SELECT id FROM h{k}", f"h{k}"
+    found = " UNION ALL ".join(f"SELECT id, CAST({k} AS INT) AS hop, w, vias FROM h{k}" for k in range(1, hops + 1))
+    parts += [f"found AS ({found})", f"shown AS (SELECT found.* FROM found JOIN memories m ON m.id = found.id WHERE {node.replace('invalid_at', 'm.invalid_at').replace('valid_at <=', 'm.valid_at <=')})", CENTROID]
+    parts.append("lost AS (SELECT entity_id FROM (SELECT z.*, max(cos) OVER (PARTITION BY lower(name)) AS best FROM z WHERE entity_id IN (SELECT unnest(vias) FROM shown)) x WHERE best - cos > 0.05)")
+    parts.append("g AS (SELECT id, rank, 0.5::DOUBLE / (60 + rank) * power(0.5::DOUBLE, hop - 1) * w * CASE WHEN len(vias) > 0 AND len(list_filter(vias, lambda x: x NOT IN (SELECT entity_id FROM lost))) = 0 THEN 0.3::DOUBLE ELSE 1 END AS contribution FROM (SELECT *, row_number() OVER (ORDER BY hop, w DESC, id) AS rank FROM shown) q)".replace("len(list_filter(vias, lambda x: x NOT IN (SELECT entity_id FROM lost))) = 0", "list_has_all((SELECT coalesce(list(entity_id), []) FROM lost), vias)"))
+    parts.append("ids AS (SELECT id FROM v UNION SELECT id FROM f UNION SELECT id FROM t UNION SELECT id FROM g), r AS (SELECT ids.id, coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(0.8::DOUBLE / (60 + f.rank), 0) + coalesce(0.4::DOUBLE / (60 + t.rank), 0) + coalesce(g.contribution, 0) AS rrf, coalesce(g.contribution, 0) AS graph, v.rank AS r_vector, f.rank AS r_fts, t.rank AS r_time, g.rank AS r_graph FROM ids LEFT JOIN v ON v.id = ids.id LEFT JOIN f ON f.id = ids.id LEFT JOIN t ON t.id = ids.id LEFT JOIN g ON g.id = ids.id)")
+    parts.append(f"""p AS (SELECT m.id, m.updated_at, m.memory_type, m.outcome, m.polarity, r.* EXCLUDE (id), 0.9::DOUBLE + 0.05::DOUBLE * m.priority AS pri,
   (CASE m.ttl_state WHEN 'active' THEN 1.0 WHEN 'trial' THEN 0.85 WHEN 'candidate' THEN 0.85 WHEN 'decaying' THEN 0.7 ELSE 0.0 END)::DOUBLE * (CASE m.verify_status WHEN 'verified' THEN 1.02 WHEN 'stale' THEN 0.95 ELSE 1.0 END)::DOUBLE AS life,
-  (CASE m.staleness WHEN 'fresh' THEN 1.0 WHEN 'aging' THEN 0.9 ELSE 0.7 END)::DOUBLE AS stale, (CASE m.source_tier WHEN 'web' THEN 0.85 WHEN 'cron' THEN 0.9 ELSE 1.0 END)::DOUBLE AS tier FROM r JOIN memories m ON m.id = r.id),
-s AS (SELECT *, round(rrf * pri * life * stale * tier, 6) AS score FROM p)"""
+  (CASE m.staleness WHEN 'fresh' THEN 1.0 WHEN 'aging' THEN 0.9 ELSE 0.7 END)::DOUBLE AS stale, (CASE m.source_tier WHEN 'web' THEN 0.85 WHEN 'cron' THEN 0.9 ELSE 1.0 END)::DOUBLE AS tier FROM r JOIN memories m ON m.id = r.id WHERE {final}),
+s AS (SELECT *, round(rrf * pri * life * stale * tier, 6) AS score FROM p), h AS (SELECT *, row_number() OVER (ORDER BY score DESC, updated_at DESC, id) AS rank FROM (SELECT * FROM s ORDER BY score DESC, updated_at DESC, id LIMIT 20) x)""")
+    return "WITH " + ", ".join(parts)
+
 
+RESULT = "id, rank, score, round(rrf, 6) AS rrf, pri, life, stale, tier, round(graph, 6) AS graph, outcome, polarity, r_vector, r_fts, r_time, r_graph"
+HYBRID = recall_sql()
 
-@query("recall_hybrid", f"WITH {RRF}, {PRIORS} SELECT id, row_number() OVER (ORDER BY score DESC, updated_at DESC, id) AS rank, score, round(rrf, 6) AS rrf, pri, life, stale, tier FROM (SELECT * FROM s WHERE score > 0 ORDER BY score DESC, updated_at DESC, id LIMIT 20) x")
+
+def _recall(f: Frames, **spec) -> DataFrame:
+    rows, failed = retrieval.recall(Recall(vector=probe(f), terms=TERMS, **spec), f.memories, f.vectors, f.edges, f.entities)
+    if failed:
+        raise RuntimeError(str(failed))
+    return rows.select("*", *[F.col(f"routes.{c}").alias(f"r_{c}") for c in ("vector", "fts", "time", "graph")]).drop("routes")
+
+
+@query("recall_hybrid", f"{HYBRID} SELECT {RESULT} FROM h")
 def recall_hybrid(f):
-    return retrieval.apply_priors(retrieval.fuse(*routes(f)), f.memories)
+    return _recall(f)
 
 
-@query("recall_hybrid_typed", f"WITH {RRF}, {PRIORS} SELECT id, row_number() OVER (ORDER BY score DESC, updated_at DESC, id) AS rank, score FROM (SELECT * FROM s WHERE score > 0 AND memory_type = 'semantic' ORDER BY score DESC, updated_at DESC, id LIMIT 20) x")
+@query("recall_hybrid_typed", recall_sql(f"{LIVE} AND memory_type = 'semantic'", final="m.memory_type = 'semantic'") + f" SELECT {RESULT} FROM h")
 def _(f):
-    return retrieval.apply_priors(retrieval.fuse(*routes(f)), f.memories, memory_types=("semantic",)).select("id", "rank", "score")
+    return _recall(f, filters={"memory_type": "semantic"})
 
 
-HYBRID = f"WITH {RRF}, {PRIORS}, h AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, updated_at DESC, id) AS rank FROM (SELECT * FROM s WHERE score > 0 ORDER BY score DESC, updated_at DESC, id LIMIT 20) x)"
+SEEN = "(owner = 'cron:b' OR visibility = 'public')"
 
 
-@query("recall_reranked", HYBRID + ", b AS (SELECT id, rank, CASE WHEN rank <= 10 THEN round(score * (0.2::DOUBLE + 0.8::DOUBLE * (id % 7) / 7.0::DOUBLE), 6) ELSE score END AS blended FROM h) SELECT id, rank, blended, row_number() OVER (ORDER BY blended DESC, rank) AS new_rank FROM b")
+@query("recall_scoped", recall_sql(f"{LIVE} AND {SEEN} AND bank = 'knowledge'", node=f"{LIVE} AND {SEEN}", hops=3) + f" SELECT {RESULT} FROM h")
 def _(f):
-    return retrieval.rerank(recall_hybrid(f), (F.col("id") % 7) / 7.0).select("id", "rank", "blended", "new_rank")
+    return _recall(f, caller="cron:b", bank="knowledge", hops=3)
 
 
-@query("drop_gate", HYBRID + ", d AS (SELECT rank, score / lead(score) OVER (ORDER BY rank) AS dr FROM h), c AS (SELECT coalesce((SELECT rank FROM d WHERE dr >= 1.1 ORDER BY dr DESC, rank DESC LIMIT 1), 2) AS cut) SELECT h.id, h.rank, h.score FROM h, c WHERE h.rank <= c.cut")
-def _(f):
-    return retrieval.drop_gate(recall_hybrid(f).select("id", "rank", "score"))
+THEN = "valid_at <= TS(2023-11-01 00:00:00) AND (invalid_at IS NULL OR invalid_at > TS(2023-11-01 00:00:00))"
 
 
-# Graph
-SEEDS = "seeds AS (SELECT id FROM (SELECT id, min(o) AS o FROM (SELECT id, rank AS o FROM v WHERE rank <= 10 UNION ALL SELECT id, 100 + rank FROM f WHERE rank <= 10 UNION ALL SELECT id, 200 + rank FROM t WHERE rank <= 10) u GROUP BY id) g ORDER BY o, id LIMIT 24)"
+@query("recall_asof", recall_sql(f"{THEN} AND ttl_state NOT IN ('archived', 'retired')", edge=THEN, node=f"{THEN} AND ttl_state <> 'retired'") + f" SELECT {RESULT} FROM h")
+def _(f):
+    return _recall(f, filters={"as_of": "2023-11-01T00:00:00"})
 
 
-def _hop(front: str, seen: str, out: str, room: int) -> str:
-    n = "row_number() OVER (PARTITION BY s.id ORDER BY "
-    return f"""{out} AS (SELECT x AS id, max(w) AS w FROM (
-  SELECT x, w FROM (SELECT e.dst AS x, e.weight AS w, {n} e.id) AS n FROM {front} s JOIN e ON e.src = s.id WHERE e.dst IS NOT NULL) a WHERE n <= 50
-  UNION ALL SELECT x, w FROM (SELECT e.src AS x, e.weight AS w, {n} e.id) AS n FROM {front} s JOIN e ON e.dst = s.id) b WHERE n <= 50
-  UNION ALL SELECT x, w FROM (SELECT e2.src AS x, e1.weight * e2.weight AS w, {n} e1.id, e2.id) AS n FROM {front} s JOIN e e1 ON e1.src = s.id JOIN e e2 ON e2.entity_id = e1.entity_id AND e2.src <> s.id) c WHERE n <= 50
-) y WHERE x NOT IN ({seen}) GROUP BY x ORDER BY max(w) DESC, x LIMIT {room})"""
+ASKED = ("the", "that", "reat", "tion", "edan")
+BLEND = f"{HYBRID}, b AS (SELECT h.id, h.rank, CASE WHEN h.rank <= 10 THEN round(h.score * (0.2::DOUBLE + 0.8::DOUBLE * (({' + '.join(f'list_contains(x.w, {t!r})::INT' for t in ASKED)}) / 5.0::DOUBLE)), 6) ELSE h.score END AS blended FROM h JOIN (SELECT id, regexp_extract_all(lower(concat(title, chr(10), body)), '[a-z0-9]+') AS w FROM memories) x ON x.id = h.id), n AS (SELECT id, rank, blended, row_number() OVER (ORDER BY blended DESC, rank) AS new_rank FROM b)"
 
 
-EDGE = "e AS (SELECT * FROM edges WHERE invalid_at IS NULL)"
-HOP1 = _hop("seeds", "SELECT id FROM seeds", "h1", 15)
-HOP2 = _hop("h1", "SELECT id FROM seeds UNION SELECT id FROM h1", "h2", 15)
+def _reranked(f: Frames) -> DataFrame:
+    results = retrieval.held(recall_hybrid(f).select("id", "rank", "score"))
+    return retrieval.rerank(retrieval.relevance(results, f.memories, LexicalReranker(ASKED)), F.col("relevance"))
 
 
-def _seeds(f: Frames) -> DataFrame:
-    return retrieval.seeds(routes(f))
+@query("recall_reranked", f"{BLEND} SELECT id, rank, blended, new_rank FROM n")
+def _(f):
+    return _reranked(f).select("id", "rank", "blended", "new_rank")
 
 
-@query("graph_expand_1", f"WITH {VEC}, {FTS}, {TIME}, {SEEDS}, {EDGE}, {HOP1} SELECT h1.id, CAST(1 AS INT) AS hop, w FROM h1 JOIN memories m ON m.id = h1.id WHERE {LIVE}")
+@query("rerank_ab_diff", f"{BLEND} SELECT count(CASE WHEN a.id <> b.id THEN 1 END) AS moved, count(CASE WHEN a.id <> b.id THEN 1 END) = 0 AS same_order FROM n a JOIN n b ON b.new_rank = a.rank WHERE a.rank <= 5")
 def _(f):
-    return graph.expand(_seeds(f), f.edges, f.memories, 1).select("id", "hop", "w")
+    rows = retrieval.held(_reranked(f).select("id", "rank", "new_rank"))
+    return evaluate.rank_diff(rows, rows.select("id", F.col("new_rank").alias("rank")))
 
 
-@query("graph_expand_2", f"WITH {VEC}, {FTS}, {TIME}, {SEEDS}, {EDGE}, {HOP1}, {HOP2} SELECT h.id, h.hop, h.w FROM (SELECT id, CAST(1 AS INT) AS hop, w FROM h1 UNION ALL SELECT id, CAST(2 AS INT), w FROM h2) h JOIN memories m ON m.id = h.id WHERE {LIVE}")
+@query("drop_gate", f"{HYBRID}, d AS (SELECT rank, score / lead(score) OVER (ORDER BY rank) AS dr FROM h), cut AS (SELECT coalesce((SELECT rank FROM d WHERE dr >= 1.1 ORDER BY dr DESC, rank DESC LIMIT 1), 2) AS cut) SELECT h.id, h.rank, h.score FROM h, cut WHERE h.rank <= cut.cut")
 def _(f):
-    return graph.expand(_seeds(f), f.edges, f.memories, 2).select("id", "hop", "w")
+    return retrieval.drop_gate(recall_hybrid(f).select("id", "rank", "score"))
 
 
-@query("route_graph", f"WITH {VEC}, {FTS}, {TIME}, {SEEDS}, {EDGE}, {HOP1}, {HOP2}, g AS (SELECT h.id, h.hop, h.w, row_number() OVER (ORDER BY h.hop, h.w DESC, h.id) AS rank FROM (SELECT id, 1 AS hop, w FROM h1 UNION ALL SELECT id, 2, w FROM h2) h JOIN memories m ON m.id = h.id WHERE {LIVE}) SELECT id, rank, round(0.5::DOUBLE / (60 + rank) * power(0.5::DOUBLE, hop - 1) * w, 9) AS contribution FROM g")
+@query("hard_query_trigger", f"{HYBRID} SELECT count(*) AS found, min(CASE WHEN rank = 1 THEN score END) AS top1_score, CASE WHEN count(*) = 0 THEN 'zero_hit' WHEN min(CASE WHEN rank = 1 THEN score END) < 0.005 THEN 'low_score' END AS reason, count(*) = 0 OR min(CASE WHEN rank = 1 THEN score END) < 0.005 AS hard FROM h")
 def _(f):
-    from pyspark.sql import Window
+    return insight.hard_trigger(recall_hybrid(f))
+
+
+# Graph
+def _seeds(f: Frames) -> DataFrame:
+    return retrieval.seeds(routes(f))
 
-    rows = graph.expand(_seeds(f), f.edges, f.memories, 2).withColumn("rank", F.row_number().over(Window.orderBy("hop", F.desc("w"), "id")))
-    return rows.select("id", "rank", F.round(F.lit(0.5) / (60 + F.col("rank")) * F.pow(F.lit(0.5), F.col("hop") - 1) * F.col("w"), 9).alias("contribution"))
 
+for _hops in (1, 2, 3):
+    query(f"graph_expand_{_hops}", f"{recall_sql(hops=_hops)} SELECT id, hop, w, array_to_string(list_sort(coalesce(vias, [])), ',') AS vias FROM shown")(lambda f, hops=_hops: graph.expand(_seeds(f), f.edges, f.memories, hops).withColumn("vias", F.array_join(F.col("vias").cast("array<string>"), ",")))
 
-@query("supersede_chain", "WITH RECURSIVE a AS (SELECT id, superseded_by, 0 AS hop FROM memories WHERE id = 47 UNION ALL SELECT m.id, m.superseded_by, a.hop + 1 FROM a JOIN memories m ON m.id = a.superseded_by WHERE a.hop < 5), b AS (SELECT id, 0 AS hop FROM memories WHERE id = 47 UNION ALL SELECT m.id, b.hop - 1 FROM b JOIN memories m ON m.superseded_by = b.id WHERE b.hop > -5) SELECT id, CAST(hop AS INT) AS hop_from_seed FROM (SELECT id, hop FROM a UNION SELECT id, hop FROM b) c")
+
+@query("route_graph", f"{HYBRID} SELECT id, rank, round(contribution, 9) AS contribution FROM g")
 def _(f):
-    return graph.chain(f.memories, 47)
+    found = retrieval.held(graph.expand(_seeds(f), f.edges, f.memories, 2))
+    ranked = retrieval.graph_route(graph.factors(found, f.edges, f.memories, f.vectors, f.entities, _query(f)))
+    return ranked.select("id", "rank", F.round("contribution", 9).alias("contribution"))
 
 
-@query("weak_graph_pairs", f"WITH r AS (SELECT id, domain, row_number() OVER (PARTITION BY domain ORDER BY updated_at DESC, id) AS n FROM memories WHERE {LIVE}), s AS (SELECT * FROM r WHERE n <= 100) SELECT DISTINCT least(a.id, b.id) AS src, greatest(a.id, b.id) AS dst FROM s a JOIN s b ON a.domain = b.domain AND b.n - a.n BETWEEN 1 AND 3")
+@query("supersede_chain", "WITH RECURSIVE a AS (SELECT id, superseded_by, 0 AS hop FROM memories WHERE id = 48 UNION ALL SELECT m.id, m.superseded_by, a.hop + 1 FROM a JOIN memories m ON m.id = a.superseded_by WHERE a.hop < 1), b AS (SELECT id, 0 AS hop FROM memories WHERE id = 48 UNION ALL SELECT m.id, b.hop - 1 FROM b JOIN memories m ON m.superseded_by = b.id WHERE b.hop > -1) SELECT c.id, CAST(row_number() OVER (ORDER BY hop, c.id) - 1 AS INT) AS position, CAST(hop AS INT) AS hop_from_seed, left(m.body, 500) AS excerpt, length(m.body) > 500 AS truncated, false AS cycle, (SELECT count(*) FROM memories x JOIN a ON a.superseded_by = x.id WHERE a.hop = 1) > 0 AS more_ahead, (SELECT count(*) FROM memories x JOIN b ON x.superseded_by = b.id WHERE b.hop = -1) > 0 AS more_back FROM (SELECT id, hop FROM a UNION SELECT id, hop FROM b) c JOIN memories m ON m.id = c.id")
 def _(f):
-    return graph.weak_pairs(f.memories, "domain")
+    return graph.chain(f.memories, 48, 1)
+
 
+@query("weak_graph_pairs", " UNION ALL ".join(f"SELECT DISTINCT '{d}' AS dim, least(a.id, b.id) AS src, greatest(a.id, b.id) AS dst FROM (SELECT * FROM r{d} WHERE n <= 100) a JOIN (SELECT * FROM r{d} WHERE n <= 100) b ON a.k = b.k AND b.n - a.n BETWEEN 1 AND 3" for d in ("domain", "owner", "tag")).join(("WITH " + ", ".join(f"r{d} AS (SELECT id, {k} AS k, row_number() OVER (PARTITION BY {k} ORDER BY updated_at DESC, id) AS n FROM {src} WHERE {LIVE})" for d, k, src in (("domain", "domain", "memories"), ("owner", "owner", "memories"), ("tag", "tag", "(SELECT *, unnest(tags) AS tag FROM memories) mt"))) + " ", "")))
+def _(f):
+    return graph.all_weak_pairs(f.memories)
 
-CENTROID = f"c AS (SELECT entity_id, d, avg(x) AS x FROM (SELECT e.entity_id, unnest(range(1, 65)) AS d, CAST(unnest(v.embedding) AS DOUBLE) AS x FROM (SELECT e.*, row_number() OVER (PARTITION BY e.entity_id ORDER BY e.id) AS n FROM edges e JOIN vectors w ON w.id = e.src WHERE e.entity_id IS NOT NULL AND e.invalid_at IS NULL) e JOIN vectors v ON v.id = e.src WHERE n <= 30) y GROUP BY entity_id, d), k AS (SELECT entity_id, list(x ORDER BY d) AS cv FROM c GROUP BY entity_id), z AS (SELECT k.entity_id, n.name, round(list_cosine_similarity(cv, (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = {PROBE})), 6) AS cos FROM k JOIN entities n ON n.id = k.entity_id)"
+
+def _query(f: Frames):
+    return F.array(*[F.lit(float(x)) for x in probe(f)])
 
 
 def _centroids(f: Frames) -> DataFrame:
-    return graph.centroids(f.edges, f.vectors, f.entities, F.array(*[F.lit(float(x)) for x in probe(f)]))
+    return graph.centroids(f.edges, f.memories, f.vectors, f.entities, _query(f))
 
 
 @query("entity_centroid_cos", f"WITH {CENTROID} SELECT entity_id, name, cos FROM z")
@@ -272,16 +557,66 @@ def _(f):
     return graph.losers(_centroids(f))
 
 
-sql("graph_bridge", "SELECT e1.src AS a, e2.src AS b, e1.entity_id, e1.weight * e2.weight AS w FROM edges e1 JOIN edges e2 ON e1.entity_id = e2.entity_id AND e1.src < e2.src WHERE e1.src < 20 AND e2.src < 200")
-sql("graph_bridge_all", "SELECT e1.src AS a, e2.src AS b, e1.entity_id, e1.weight * e2.weight AS w FROM edges e1 JOIN edges e2 ON e1.entity_id = e2.entity_id AND e1.src < e2.src")
-sql("graph_snapshot", "SELECT e.id, e.src, e.dst, e.entity_id, e.etype FROM (SELECT * FROM edges WHERE invalid_at IS NULL) e JOIN memories s ON s.id = e.src LEFT JOIN memories d ON d.id = e.dst WHERE s.bank = 'hermes' AND (e.dst IS NULL OR d.bank = 'hermes') ORDER BY e.valid_at DESC, e.id LIMIT 200")
-sql("graph_snapshot_nodes", "SELECT DISTINCT n.id, CASE WHEN n.id >= 2000000 THEN 'entity' ELSE 'memory' END AS kind FROM (SELECT src AS id FROM edges WHERE invalid_at IS NULL UNION ALL SELECT coalesce(dst, entity_id) FROM edges WHERE invalid_at IS NULL) n")
-sql("graph_neighbors", "SELECT x AS id, count(*) AS links, max(weight) AS w FROM (SELECT coalesce(dst, entity_id) AS x, weight FROM edges WHERE src = 42 AND invalid_at IS NULL UNION ALL SELECT src, weight FROM edges WHERE dst = 42 AND invalid_at IS NULL) t GROUP BY x")
-sql("edge_temporal_audit", "SELECT e.id, CASE WHEN s.ttl_state = 'retired' OR d.ttl_state = 'retired' THEN 'T1' ELSE 'T2' END AS reason, STR(coalesce(s.invalid_at, d.invalid_at, least(s.updated_at, d.updated_at))) AS proposed FROM edges e LEFT JOIN memories s ON s.id = e.src LEFT JOIN memories d ON d.id = e.dst WHERE e.invalid_at IS NULL AND e.dst IS NOT NULL AND (s.ttl_state = 'retired' OR d.ttl_state = 'retired' OR s.invalid_at IS NOT NULL OR d.invalid_at IS NOT NULL)")
-sql("entity_upsert", "SELECT etype, lower(trim(name)) AS name, min(id) AS id FROM entities GROUP BY etype, lower(trim(name))")
-sql("edge_insert_dedup", "SELECT p.src, p.dst, p.etype FROM (SELECT DISTINCT doc_id AS src, doc_id + 1 AS dst, 'related' AS etype FROM documents UNION SELECT src, dst, etype FROM edges WHERE dst IS NOT NULL AND id < 50) p WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = p.src AND e.dst = p.dst AND e.etype = p.etype AND e.invalid_at IS NULL)")
-sql("edge_insert_dedup_all", "SELECT p.src, p.dst, p.etype FROM (SELECT DISTINCT doc_id AS src, doc_id + 1 AS dst, 'related' AS etype FROM documents UNION SELECT src, dst, etype FROM edges WHERE dst IS NOT NULL) p WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = p.src AND e.dst = p.dst AND e.etype = p.etype AND e.invalid_at IS NULL)")
-sql("extract_candidates", f"SELECT m.id FROM memories m WHERE {LIVE} AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = m.id AND e.entity_id IS NOT NULL)")
+@query("graph_bridge", "SELECT a, b, entity_id, w FROM (SELECT e1.src AS a, e2.src AS b, e1.entity_id, e1.weight * e2.weight AS w, row_number() OVER (PARTITION BY e1.src ORDER BY e1.id, e2.id) AS n FROM edges e1 JOIN edges e2 ON e1.entity_id = e2.entity_id AND e1.src <> e2.src WHERE e1.invalid_at IS NULL AND e2.invalid_at IS NULL) x WHERE n <= 50")
+def _(f):
+    return reads.bridges(f.edges)
+
+
+SNAP = "SELECT e.id, e.src, e.dst, e.entity_id, e.etype, e.valid_at FROM (SELECT * FROM edges WHERE invalid_at IS NULL) e JOIN memories s ON s.id = e.src LEFT JOIN memories d ON d.id = e.dst WHERE s.bank = 'hermes' AND (e.dst IS NULL OR d.bank = 'hermes') ORDER BY e.valid_at DESC, e.id LIMIT 100"
+
+
+@query("graph_snapshot", f"WITH s AS ({SNAP}) SELECT id, src, dst, entity_id, etype, (SELECT count(*) FROM s) >= 100 AS truncated FROM s")
+def _(f):
+    return reads.snapshot(f.edges, f.memories, F.col("bank") == "hermes", 100)
+
+
+@query("graph_snapshot_nodes", f"WITH s AS ({SNAP}), n AS (SELECT src AS id FROM s UNION SELECT coalesce(dst, entity_id) FROM s) SELECT n.id, 'memory' AS kind, m.title AS label FROM n JOIN memories m ON m.id = n.id UNION ALL SELECT n.id, 'entity', x.name FROM n JOIN entities x ON x.id = n.id")
+def _(f):
+    return reads.snapshot_nodes(reads.snapshot(f.edges, f.memories, F.col("bank") == "hermes", 100), f.memories, f.entities)
+
+
+def _ring(front: str, seen: str, out: str, hop: int) -> str:
+    return f"{out} AS (SELECT b AS id, CAST({hop} AS INT) AS hop, arg_min(a, (a, edge)) AS parent, arg_min(etype, (a, edge)) AS relation FROM k JOIN {front} ON {front}.id = k.a WHERE b NOT IN ({seen}) GROUP BY b)"
+
+
+RINGS = "k AS (SELECT id AS edge, etype, src AS a, coalesce(dst, entity_id) AS b FROM edges WHERE invalid_at IS NULL UNION ALL SELECT id, etype, coalesce(dst, entity_id), src FROM edges WHERE invalid_at IS NULL), n0 AS (SELECT CAST(42 AS BIGINT) AS id), " + _ring("n0", "SELECT id FROM n0", "n1", 1) + ", " + _ring("n1", "SELECT id FROM n0 UNION SELECT id FROM n1", "n2", 2)
+
+
+@query("graph_neighbors", f"WITH {RINGS}, a AS (SELECT * FROM (SELECT * FROM n1 UNION ALL SELECT * FROM n2) u ORDER BY hop, id LIMIT 200), l AS (SELECT id, 'memory' AS kind, title AS label FROM memories WHERE {LIVE} UNION ALL SELECT id, 'entity', name FROM entities), m AS (SELECT a.*, l.kind, l.label FROM a JOIN l ON l.id = a.id) SELECT id, hop, kind, label, parent, relation, parent = 42 OR parent IN (SELECT id FROM m) AS tree, (SELECT count(*) FROM a) >= 200 AS truncated FROM m")
+def _(f):
+    return graph.neighbors(42, f.edges, f.memories, f.entities, 2, limit=200)
+
+
+@query("edge_temporal_audit", "SELECT e.id, CASE WHEN s.ttl_state = 'retired' OR d.ttl_state = 'retired' THEN 'T1' ELSE 'T2' END AS reason, STR(coalesce(s.invalid_at, d.invalid_at, least(s.updated_at, d.updated_at))) AS proposed FROM edges e LEFT JOIN memories s ON s.id = e.src LEFT JOIN memories d ON d.id = e.dst WHERE e.invalid_at IS NULL AND e.dst IS NOT NULL AND (s.ttl_state = 'retired' OR d.ttl_state = 'retired' OR s.invalid_at IS NOT NULL OR d.invalid_at IS NOT NULL)")
+def _(f):
+    return reads.edge_audit(f.edges, f.memories).withColumn("proposed", F.col("proposed").cast("string"))
+
+
+@query("entity_upsert", "SELECT etype, min(name) AS name FROM (SELECT CASE WHEN source = 'src1' THEN 'gadget' WHEN source = 'src2' THEN 'concept' ELSE 'tool' END AS t, CASE WHEN doc_id % 2 = 0 THEN concat(' Topic', STR(doc_id % 7)) ELSE concat('topic', STR(doc_id % 7), ' ') END AS raw, CASE WHEN source = 'src1' THEN 'other' WHEN source = 'src2' THEN 'concept' ELSE 'tool' END AS etype, trim(CASE WHEN doc_id % 2 = 0 THEN concat(' Topic', STR(doc_id % 7)) ELSE concat('topic', STR(doc_id % 7), ' ') END) AS name FROM documents) x WHERE NOT EXISTS (SELECT 1 FROM entities y WHERE y.etype = x.etype AND lower(trim(y.name)) = lower(x.name)) GROUP BY etype, lower(name)")
+def _(f):
+    n = F.col("doc_id").cast("string")
+    name = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" Topic"), (F.col("doc_id") % 7).cast("string"))).otherwise(F.concat(F.lit("topic"), (F.col("doc_id") % 7).cast("string"), F.lit(" ")))
+    etype = F.when(F.col("source") == "src1", "gadget").when(F.col("source") == "src2", "concept").otherwise("tool")
+    return graph.upsert_entities(f.table("documents").where(n.isNotNull()).select(name.alias("name"), etype.alias("etype")), f.entities)
+
+
+@query("edge_insert_dedup", "SELECT p.src, p.dst, p.etype FROM (SELECT DISTINCT doc_id AS src, doc_id + 1 AS dst, 'related' AS etype FROM documents UNION SELECT src, dst, etype FROM edges WHERE dst IS NOT NULL) p WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = p.src AND e.dst = p.dst AND e.etype = p.etype AND e.invalid_at IS NULL)")
+def _(f):
+    next_ = f.table("documents").select(F.col("doc_id").alias("src"), (F.col("doc_id") + 1).alias("dst"), F.lit("related").alias("etype"))
+    return reads.new_edges(next_.unionByName(f.edges.where("dst IS NOT NULL").select("src", "dst", "etype")), f.edges)
+
+
+@query("extract_candidates", f"SELECT m.id FROM memories m WHERE {LIVE} AND domain <> 'src3' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = m.id AND e.entity_id IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM feedback f WHERE f.memory_id = m.id)")
+def _(f):
+    return graph.extract_candidates(f.memories, f.edges, f.feedback.select(F.col("memory_id").alias("id")), ("src3",))
+
+
+@query("extract_validate", "SELECT x.src, x.dst, x.name, x.etype, CASE WHEN s.id IS NULL THEN 'source' WHEN (x.dst IS NULL AND x.name = '') OR (x.dst IS NOT NULL AND d.id IS NULL) THEN 'target' WHEN x.src = x.dst THEN 'loop' WHEN x.etype = 'knows' THEN 'etype' WHEN x.weight <= 0 THEN 'weight' ELSE 'accepted' END AS verdict FROM (SELECT doc_id + 50 AS src, CASE WHEN doc_id % 3 > 0 THEN doc_id * (doc_id % 5) END AS dst, CASE WHEN doc_id % 9 = 0 THEN '' ELSE 'x' END AS name, CASE WHEN doc_id % 8 = 0 THEN 'knows' ELSE 'causal' END AS etype, CAST(doc_id % 6 AS DOUBLE) AS weight FROM documents) x LEFT JOIN memories s ON s.id = x.src LEFT JOIN memories d ON d.id = x.dst")
+def _(f):
+    i = F.col("doc_id")
+    rows = f.table("documents").select((i + 50).alias("src"), F.when(i % 3 > 0, i * (i % 5)).alias("dst"), F.when(i % 9 == 0, "").otherwise("x").alias("name"), F.when(i % 8 == 0, "knows").otherwise("causal").alias("etype"), (i % 6).cast("double").alias("weight"))
+    return graph.validate_extracted(rows, f.memories).drop("weight")
+
 
 # Life cycle
 SCALE = "CASE bank WHEN 'hermes' THEN 1.5 WHEN 'knowledge' THEN 1.5 WHEN 'hermes-sessions' THEN 0.5 ELSE 1.0 END * CASE memory_type WHEN 'semantic' THEN 2.0 WHEN 'procedural' THEN 1.5 ELSE 1.0 END"
@@ -314,8 +649,41 @@ def _register_rules() -> None:
 
 _register_rules()
 
+GATE = "hits >= 3 AND CAST(adopts AS DOUBLE) / greatest(hits, 1) >= 0.6"
+
+
+@query("lifecycle_candidates", f"""WITH {STATS}
+SELECT * FROM (SELECT 'promote' AS list, id, ttl_state, {GATE} AS eligible FROM m WHERE ttl_state IN ('candidate', 'trial') ORDER BY access_count DESC, id LIMIT 100) a
+UNION ALL SELECT * FROM (SELECT 'decay', id, ttl_state, true FROM m WHERE ttl_state IN ('trial', 'active') AND {RULES['decay_trials'][2]} ORDER BY created_at, id LIMIT 100) b
+UNION ALL SELECT * FROM (SELECT 'archive', id, ttl_state, true FROM m WHERE ttl_state = 'decaying' AND {RULES['archive_decaying'][2]} ORDER BY created_at, id LIMIT 100) c
+UNION ALL SELECT * FROM (SELECT 'l2_upgrade', id, ttl_state, true FROM m WHERE ttl_state = 'decaying' AND {RULES['upgrade_adopted'][2]} ORDER BY updated_at, id LIMIT 100) d
+UNION ALL SELECT * FROM (SELECT 'l2_zero_access', id, ttl_state, true FROM m WHERE ttl_state IN ('trial', 'active') AND {IDLE} ORDER BY created_at, id LIMIT 100) e""")
+def _(f):
+    return lifecycle.candidates(f.memories, f.access, now())
+
+
+def _history_sql() -> str:
+    fold, state, moved = [], "ttl_state", []
+    for k, (name, (source, target, condition)) in enumerate(RULES.items()):
+        fold.append(f"s{k} AS (SELECT *, {state} = '{source}' AND {condition} AS hit{k}, CASE WHEN {state} = '{source}' AND {condition} THEN '{target}' ELSE {state} END AS n{k} FROM {f's{k - 1}' if k else 'm'})")
+        moved.append(f"CASE WHEN hit{k} THEN '{name}' END")
+        state = f"n{k}"
+    return f"WITH {STATS}, {', '.join(fold)}, l AS (SELECT id, ttl_state, {state} AS new_state, list_filter([{', '.join(moved)}], lambda x: x IS NOT NULL) AS moves FROM s{len(RULES) - 1}), g AS (SELECT id, ttl_state, new_state, unnest(moves) AS rule, unnest(range(len(moves))) AS step FROM l) SELECT id * 10 + step AS seq, id, ttl_state AS \"from\", new_state AS \"to\", rule FROM g ORDER BY seq DESC LIMIT 50"
+
+
+@query("lifecycle_history", _history_sql())
+def _(f):
+    log = reads.lifecycle_log(lifecycle.scan(f.memories, f.access, now())).withColumn("seq", F.col("id") * 10 + F.col("step"))
+    return reads.history(log).select("seq", "id", "from", "to", "rule")
+
+
 # Writes
-sql("dedup_exact", "SELECT m.id, k.existing FROM memories m JOIN (SELECT bank, content_hash, min(id) AS existing FROM memories WHERE invalid_at IS NULL AND ttl_state <> 'retired' GROUP BY bank, content_hash) k ON k.bank = m.bank AND k.content_hash = m.content_hash WHERE k.existing <> m.id")
+HELD = "invalid_at IS NULL AND ttl_state <> 'retired'"
+
+
+@query("dedup_exact", f"SELECT m.id, k.existing FROM memories m JOIN (SELECT bank, content_hash, min(id) AS existing FROM memories WHERE {HELD} GROUP BY bank, content_hash) k ON k.bank = m.bank AND k.content_hash = m.content_hash WHERE k.existing <> m.id")
+def _(f):
+    return writes.exact_duplicates(f.memories, f.memories).where("id <> existing")
 
 
 @query("dedup_unique_key", "SELECT bank, dedup_key, min(seq) AS seq, count(*) AS copies FROM memories GROUP BY bank, dedup_key")
@@ -323,28 +691,72 @@ def _(f):
     return writes.first_by_key(f.memories).select("bank", "dedup_key", "seq", "copies")
 
 
-@query("injection_scan", "SELECT id, CASE WHEN regexp_matches(body, 'ignore\\s+(all\\s+)?(the\\s+)?(previous|above|prior)\\s+(instructions?|prompts?|rules?)', 'i') THEN 'ignore_previous' ELSE '' END AS labels FROM memories WHERE source_tier IN ('web', 'cron')")
+@query("dedup_semantic", "SELECT id, existing, cos FROM (SELECT a.id, b.id AS existing, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cos, row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) DESC, b.id) AS n FROM (SELECT m.*, v.embedding FROM memories m JOIN vectors v ON v.id = m.id) a JOIN (SELECT m.*, v.embedding FROM memories m JOIN vectors v ON v.id = m.id WHERE m.invalid_at IS NULL AND m.ttl_state <> 'retired') b ON a.bank = b.bank AND a.id <> b.id AND b.created_at <= a.created_at AND b.created_at > a.created_at - DAYS(3)) x WHERE n = 1 AND cos >= 0.1")
 def _(f):
-    return f.memories.where(F.col("source_tier").isin("web", "cron")).select("id", F.array_join(writes.injection_labels(F.col("body")), ",").alias("labels"))
+    """The vectors of these tables are nearly orthogonal: the threshold is far below the banks' own."""
+    rows = f.embedded.where("embedding IS NOT NULL").select("id", "bank", "embedding", "created_at", "invalid_at", "ttl_state")
+    return writes.semantic_duplicates(rows, rows.where(C.current() & C.live(True)), least=0.1)
 
 
-@query("retain_defaults", "SELECT id, CASE WHEN source_tier = 'user' THEN 'candidate' ELSE 'trial' END AS entry_state, STR(TS(2024-01-31 00:00:00) + DAYS(CASE WHEN source_tier = 'user' THEN 6 ELSE 30 END)) AS expires_at FROM memories")
+@query("dedup_batch_greedy", None)
 def _(f):
-    return writes.retain_defaults(f.memories, now()).select("id", "entry_state", F.col("expires_at").cast("string").alias("expires_at"))
+    rows = f.vectors.select(F.col("label").cast("long").alias("request"), F.col("id").alias("item"), "embedding")
+    return writes.dedup_greedy(rows, 0.25)
 
 
-SCANNED = "q AS (SELECT m.id, m.bank, v.embedding, m.priority, m.access_count, m.adopt_count, m.body, m.domain FROM memories m JOIN vectors v ON v.id = m.id WHERE m.ttl_state IN ('candidate', 'trial', 'active') ORDER BY m.created_at DESC, m.id LIMIT 200)"
-PAIRS = f"{SCANNED}, n AS (SELECT a.id, b.id AS other, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cos FROM q a JOIN q b ON a.bank = b.bank AND a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cos DESC, other) AS k FROM n WHERE cos >= 0.25), pairs AS (SELECT DISTINCT least(id, other) AS a, greatest(id, other) AS b, cos FROM r WHERE k <= 3)"
-GROUPS = f"WITH RECURSIVE {PAIRS}, l AS (SELECT a AS x, b AS y FROM pairs UNION SELECT b, a FROM pairs), g AS (SELECT x AS id, x AS r FROM l UNION SELECT l.y, g.r FROM g JOIN l ON l.x = g.id), c AS (SELECT id, min(r) AS grp FROM g GROUP BY id)"
+def _labels_sql(text: str) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({text}, '{p}', 'i') THEN '{k}' END" for k, p in R.INJECTION) + "], lambda x: x IS NOT NULL)"
+
+
+SCANNED_TEXT = "concat(coalesce(title, ''), chr(10), content)"
+
+
+@query("injection_scan", f"SELECT item, array_to_string({_labels_sql(SCANNED_TEXT)}, ',') AS labels FROM incoming WHERE coalesce(source_tier, 'agent') <> 'user'")
+def _(f):
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.col("content"))
+    return f.incoming.where(R.should_scan(F.col("source_tier"))).select("item", F.array_join(R.injection_labels(text), ",").alias("labels"))
 
 
-def _scanned(f: Frames) -> DataFrame:
-    rows = f.memories.where(F.col("ttl_state").isin("candidate", "trial", "active")).join(f.vectors.select("id", "embedding"), "id")
-    return rows.orderBy(F.desc("created_at"), "id").limit(200)
+@query("injection_fp_rate", f"SELECT count(*) AS total, count(CASE WHEN len({_labels_sql('body')}) > 0 THEN 1 END) AS flagged FROM memories")
+def _(f):
+    return f.memories.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.size(R.injection_labels(F.col("body"))) > 0).alias("flagged"))
+
+
+REASON = "CASE WHEN regexp_matches(context, '^\\s*$') THEN 'context' WHEN regexp_matches(content, '^\\s*$') THEN 'content' WHEN bank = 'elsewhere' THEN 'bank' END"
+
+
+@query("retain_validate", f"SELECT item, {REASON} AS reason FROM incoming")
+def _(f):
+    return writes.validated(f.incoming).select("item", "reason")
+
+
+DEFAULTS = "CASE WHEN source_tier = 'user' THEN 'candidate' ELSE 'trial' END AS entry_state, STR(TS(2024-01-31 00:00:00) + DAYS(CASE WHEN source_tier = 'user' THEN 6 ELSE 30 END)) AS expires_at, SHA(concat(content, chr(31), context)) AS dedup_key"
+TITLE = "coalesce(nullif(title, ''), coalesce(nullif(left(regexp_replace(regexp_extract(regexp_replace(content, '^\\s+|\\s+$', '', 'g'), '^[^\\r\\n]*'), '\\s+$', ''), 48), ''), 'untitled')) AS title"
+
+
+@query("retain_defaults", f"SELECT item, {DEFAULTS}, {TITLE}, coalesce(memory_type, split_part({LABEL}, '/', 1)) AS memory_type FROM (SELECT *, {SCANNED_TEXT} AS t FROM incoming) x")
+def _(f):
+    return writes.retain_defaults(f.incoming, now()).select("item", "entry_state", F.col("expires_at").cast("string").alias("expires_at"), "dedup_key", "title", "memory_type")
+
+
+@query("retain_batch", f"""WITH a AS (SELECT *, {REASON} AS reason, coalesce(source_tier, 'agent') <> 'user' AND len({_labels_sql(SCANNED_TEXT)}) > 0 AS bad, SHA(concat(bank, chr(0), content)) AS ch, SHA(concat(content, chr(31), context)) AS dk FROM incoming),
+b AS (SELECT a.*, max(bad) OVER (PARTITION BY request) AS flagged, (SELECT min(id) FROM memories m WHERE {HELD} AND m.bank = a.bank AND m.content_hash = a.ch) AS same, (SELECT min_by(id, seq) FROM memories m WHERE {HELD} AND m.bank = a.bank AND m.dedup_key = a.dk) AS keyed FROM a),
+c AS (SELECT *, min(CASE WHEN reason IS NULL AND NOT flagged AND same IS NULL AND keyed IS NULL THEN item END) OVER (PARTITION BY bank, dk) AS first_item FROM b),
+d AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'invalid' WHEN flagged THEN 'injection' WHEN same IS NOT NULL THEN 'exact' WHEN keyed IS NOT NULL OR first_item < item THEN 'key' ELSE 'accepted' END AS status FROM c)
+SELECT item, status, reason, CASE status WHEN 'exact' THEN same WHEN 'key' THEN keyed END AS existing FROM d""")
+def _(f):
+    return writes.retain(f.incoming, f.memories, now()).select("item", "status", "reason", "existing")
+
+
+SIM = replace(DEFAULT, consolidate_days=120, consolidate_cosine=0.25)
+POOL = "u AS (SELECT m.id, m.seq, m.bank, v.embedding, m.created_at, m.priority, m.access_count, m.adopt_count, m.body, m.domain, m.tags, m.source_ref FROM memories m JOIN vectors v ON v.id = m.id WHERE m.ttl_state IN ('candidate', 'trial', 'active')), q AS (SELECT * FROM u WHERE created_at > TS(2024-01-31 00:00:00) - DAYS(120) ORDER BY seq DESC LIMIT 500)"
+PAIRS = f"{POOL}, n AS (SELECT a.id, b.id AS other, floor(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) * 1000000 + 0.5) / 1000000 AS cos FROM q a JOIN u b ON a.bank = b.bank AND a.id <> b.id), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cos DESC, other) AS k FROM n WHERE cos >= 0.25), pairs AS (SELECT DISTINCT least(id, other) AS a, greatest(id, other) AS b, cos FROM r WHERE k <= 3 AND other IN (SELECT id FROM q))"
+GROUPS = f"WITH RECURSIVE {PAIRS}, l AS (SELECT a AS x, b AS y FROM pairs UNION SELECT b, a FROM pairs), g AS (SELECT x AS id, x AS r FROM l UNION SELECT l.y, g.r FROM g JOIN l ON l.x = g.id), c AS (SELECT id, min(r) AS grp FROM g GROUP BY id)"
 
 
 def _pairs(f: Frames) -> DataFrame:
-    return writes.similar_pairs(_scanned(f).select("id", "bank", "embedding"), 0.25)
+    """These tables' vectors are nearly orthogonal and few rows are new: the threshold and the days are not the usual ones."""
+    return writes.similar_pairs(f.embedded, now(), SIM)
 
 
 @query("consolidate_pairs", f"WITH {PAIRS} SELECT a, b, cos FROM pairs")
@@ -357,24 +769,46 @@ def _(f):
     return writes.groups(_pairs(f))
 
 
-@query("consolidate_merge", f"{GROUPS}, k AS (SELECT c.grp, q.*, row_number() OVER (PARTITION BY c.grp ORDER BY q.priority DESC, q.access_count DESC, length(q.body) DESC, q.id) AS n FROM c JOIN q ON q.id = c.id) SELECT grp, min(CASE WHEN n = 1 THEN id END) AS canonical, count(*) AS members, CAST(sum(access_count) AS BIGINT) AS access_count, CAST(sum(adopt_count) AS BIGINT) AS adopt_count, string_agg(DISTINCT domain, ',' ORDER BY domain) AS domains FROM k GROUP BY grp")
+MERGE = f"{GROUPS}, k AS (SELECT c.grp, u.*, row_number() OVER (PARTITION BY c.grp ORDER BY u.priority DESC, u.access_count DESC, length(u.body) DESC, u.seq DESC) AS n FROM c JOIN u ON u.id = c.id), s AS (SELECT grp, source_ref, max(seq) AS newest FROM k WHERE source_ref IS NOT NULL GROUP BY grp, source_ref)"
+
+
+@query("consolidate_merge", f"{MERGE} SELECT grp, min(CASE WHEN n = 1 THEN id END) AS canonical, count(*) AS members, CAST(sum(access_count) AS BIGINT) AS access_count, CAST(sum(adopt_count) AS BIGINT) AS adopt_count, string_agg(DISTINCT domain, ',' ORDER BY domain) AS domains, array_to_string(list_sort(list_distinct(flatten(list(tags)))), ',') AS tags, coalesce((SELECT string_agg(source_ref, ',' ORDER BY newest DESC) FROM s WHERE s.grp = k.grp), '') AS source_refs FROM k GROUP BY grp")
 def _(f):
-    return writes.merge_plan(writes.groups(_pairs(f)).join(_scanned(f), "id"))
+    return writes.merge_plan(writes.groups(_pairs(f)).join(f.memories, "id"))
 
 
-@query("supersede_apply", "SELECT id, STR(valid_at) AS valid_at, STR(invalid_at) AS invalid_at, title FROM (SELECT id, valid_at, TS(2024-01-31 00:00:00) AS invalid_at, title FROM memories WHERE invalid_at IS NULL AND id % 100 = 1 UNION ALL SELECT id + 1000000, TS(2024-01-31 00:00:00), NULL, 'patched' FROM memories WHERE invalid_at IS NULL AND id % 100 = 1) u")
+@query("consolidate_apply", f"{MERGE}, t AS (SELECT grp, CAST(sum(access_count) AS BIGINT) AS total FROM k GROUP BY grp) SELECT m.id, CASE WHEN k.n > 1 THEN 'archived' ELSE m.ttl_state END AS ttl_state, CASE WHEN k.n = 1 THEN t.total ELSE m.access_count END AS access_count FROM memories m LEFT JOIN k ON k.id = m.id LEFT JOIN t ON t.grp = k.grp")
 def _(f):
-    patches = f.memories.where("id % 100 = 1").select("id", (F.col("id") + 1_000_000).alias("new_id"), F.lit("patched").alias("title"))
+    members = writes.groups(_pairs(f))
+    return writes.merged(f.memories, writes.merge_plan(members.join(f.memories, "id")), members, now()).select("id", "ttl_state", "access_count")
+
+
+PATCHED = "m.invalid_at IS NULL AND m.bank = 'knowledge'"
+
+
+@query("supersede_apply", f"SELECT id, STR(valid_at) AS valid_at, STR(invalid_at) AS invalid_at, superseded_by, title FROM (SELECT id, valid_at, TS(2024-01-31 00:00:00) AS invalid_at, id + 1000000 AS superseded_by, title FROM memories m WHERE {PATCHED} UNION ALL SELECT id + 1000000, TS(2024-01-31 00:00:00), NULL, superseded_by, 'patched' FROM memories m WHERE {PATCHED}) u")
+def _(f):
+    patches = f.memories.where("bank = 'knowledge'").select("id", (F.col("id") + 1_000_000).alias("new_id"), F.lit("patched").alias("title"))
     closed, opened = writes.supersede(f.memories, patches, now())
-    return closed.unionByName(opened).select("id", F.col("valid_at").cast("string").alias("valid_at"), F.col("invalid_at").cast("string").alias("invalid_at"), "title")
+    return closed.unionByName(opened).select("id", F.col("valid_at").cast("string").alias("valid_at"), F.col("invalid_at").cast("string").alias("invalid_at"), "superseded_by", "title")
 
 
-@query("patch_apply", "SELECT id, CASE WHEN id % 50 = 3 THEN 5 ELSE priority END AS priority, STR(CASE WHEN id % 50 = 3 THEN TS(2024-01-31 00:00:00) ELSE updated_at END) AS updated FROM memories")
+@query("supersede_inherit", f"SELECT id + 1000000 AS id, bank, domain, source_tier, dedup_key, pinned, memory_type, 5 AS priority, concat('new ', body) AS body, SHA(concat(bank, chr(0), 'new ', body)) AS content_hash, STR(created_at) <> '' AS dated FROM memories m WHERE {PATCHED}")
 def _(f):
-    return writes.patch(f.memories, f.memories.where("id % 50 = 3").select("id", F.lit(5).alias("priority")), now()).select("id", "priority", F.col("updated_at").cast("string").alias("updated"))
+    patches = f.memories.where("bank = 'knowledge'").select("id", (F.col("id") + 1_000_000).alias("new_id"), F.lit(5).alias("priority"), F.concat(F.lit("new "), "body").alias("body"), F.lit(None).cast("string").alias("domain"))
+    _, opened = writes.supersede(f.memories, patches, now())
+    return opened.select("id", "bank", "domain", "source_tier", "dedup_key", "pinned", "memory_type", "priority", "body", "content_hash", F.col("created_at").isNotNull().alias("dated"))
 
 
-sql("soft_delete", "SELECT id, CASE WHEN id % 40 = 1 THEN 'retired' ELSE ttl_state END AS ttl_state FROM memories")
+@query("patch_apply", "SELECT m.id, CASE WHEN p.hit AND m.invalid_at IS NULL THEN 5 ELSE m.priority END AS priority, CASE WHEN p.hit AND m.invalid_at IS NULL THEN 'changed' ELSE m.body END AS body, CASE WHEN p.hit AND m.invalid_at IS NULL THEN SHA(concat(m.bank, chr(0), 'changed')) ELSE m.content_hash END AS content_hash, v.id IS NOT NULL AND NOT coalesce(p.hit AND m.invalid_at IS NULL, false) AS has_embedding, STR(CASE WHEN p.hit AND m.invalid_at IS NULL THEN TS(2024-01-31 00:00:00) ELSE m.updated_at END) AS updated FROM memories m LEFT JOIN vectors v ON v.id = m.id LEFT JOIN (SELECT id, true AS hit FROM memories WHERE domain = 'src5') p ON p.id = m.id")
+def _(f):
+    patches = f.memories.where("domain = 'src5'").select("id", F.lit(5).alias("priority"), F.lit("changed").alias("body"))
+    return writes.patch(f.embedded, patches, now()).select("id", "priority", "body", "content_hash", F.col("embedding").isNotNull().alias("has_embedding"), F.col("updated_at").cast("string").alias("updated"))
+
+
+@query("soft_delete", "SELECT m.id, CASE WHEN m.domain = 'src4' THEN 'retired' ELSE m.ttl_state END AS ttl_state, v.id IS NOT NULL AND m.domain <> 'src4' AS has_embedding FROM memories m LEFT JOIN vectors v ON v.id = m.id")
+def _(f):
+    return reads.soft_deleted(f.embedded, f.memories.where("domain = 'src4'")).select("id", "ttl_state", F.col("embedding").isNotNull().alias("has_embedding"))
 
 
 @query("purge_cascade", "SELECT (SELECT count(*) FROM memories WHERE ttl_state <> 'retired') AS n_memories, (SELECT count(*) FROM memories m JOIN memories s ON s.id = m.superseded_by WHERE m.ttl_state <> 'retired' AND s.ttl_state <> 'retired') AS pointers, (SELECT count(*) FROM edges e JOIN memories s ON s.id = e.src LEFT JOIN memories d ON d.id = e.dst WHERE s.ttl_state <> 'retired' AND (d.id IS NULL OR d.ttl_state <> 'retired')) AS n_edges")
@@ -383,9 +817,30 @@ def _(f):
     return kept.agg(F.count(F.lit(1)).alias("n_memories"), F.count("superseded_by").alias("pointers")).crossJoin(F.broadcast(left.agg(F.count(F.lit(1)).alias("n_edges"))))
 
 
+@query("reembed", "SELECT id, array_to_string(list_transform(range(64), lambda i: len(list_filter(b, lambda x: x = i))), ',') AS counts FROM (SELECT id, list_transform(regexp_extract_all(lower(body), '[a-z0-9]+'), lambda w: ('0x' || substr(md5(w), 1, 4))::INT % 64) AS b FROM memories WHERE embed_ver < 3) x")
+def _(f):
+    return f.memories.where("embed_ver < 3").select("id", F.array_join(HashEmbedder().counts(F.col("body")).cast("array<string>"), ",").alias("counts"))
+
+
+@query("infer_adopted", "SELECT i.item AS turn_id, m.id FROM incoming i JOIN memories m ON m.id BETWEEN i.request * 5 - 1 AND i.request * 5 + 1 CROSS JOIN LATERAL (SELECT lower(regexp_replace(i.content, '\\s+', '', 'g')) AS said, left(lower(regexp_replace(m.body, '\\s+', '', 'g')), 400) AS b, left(lower(regexp_replace(m.title, '\\s+', '', 'g')), 120) AS t) x WHERE (length(b) >= 16 AND (contains(said, left(b, 32)) OR (length(b) >= 56 AND contains(said, substr(b, 25, 32))))) OR (length(t) >= 10 AND contains(said, left(t, 32)))")
+def _(f):
+    """Each incoming item as a turn, before which the documents about its conversation's number were recalled."""
+    ids = F.explode(F.sequence(F.col("request") * 5 - 1, F.col("request") * 5 + 1))
+    recalled = f.incoming.select(F.col("item").alias("turn_id"), ids.alias("id")).join(f.memories.select("id", "title", "body"), "id")
+    return insight.infer_adopted(recalled, f.incoming.select(F.col("item").alias("turn_id"), F.col("content").alias("text")))
+
+
 # Core block and evaluation
 AUTO = "round(0.5::DOUBLE * greatest(0.0, least(1.0::DOUBLE, (coalesce(polarity, 0) - 0.5::DOUBLE) / 0.5::DOUBLE)) + 0.3::DOUBLE * least(1.0::DOUBLE, adopt_count::DOUBLE / 10.0::DOUBLE) + 0.2::DOUBLE * least(1.0::DOUBLE, ln(1.0::DOUBLE + access_count) / ln(51.0::DOUBLE)), 6)"
-CORE = f"u AS (SELECT *, {AUTO} AS auto_score FROM memories WHERE {LIVE}), k AS (SELECT * FROM (SELECT *, 'pinned' AS track FROM u WHERE pinned ORDER BY priority DESC, seq DESC LIMIT 20) a UNION ALL SELECT * FROM (SELECT *, 'auto' AS track FROM u WHERE NOT pinned AND polarity >= 0.5 AND adopt_count >= 2 ORDER BY polarity DESC, adopt_count DESC, seq DESC LIMIT 20) b), o AS (SELECT *, row_number() OVER (ORDER BY track DESC, CASE WHEN track = 'pinned' THEN -priority::DOUBLE ELSE -auto_score END, seq DESC) AS position FROM k)"
+CORE = f"""u AS (SELECT *, {AUTO} AS auto_score FROM memories WHERE {LIVE}), k AS (SELECT * FROM (SELECT *, 'pinned' AS track FROM u WHERE pinned ORDER BY seq DESC LIMIT 20) a UNION ALL
+SELECT * FROM (SELECT *, 'auto' AS track FROM u WHERE {USED} ORDER BY polarity DESC, adopt_count DESC, seq DESC LIMIT 20) b WHERE id NOT IN (SELECT id FROM (SELECT id FROM u WHERE pinned ORDER BY seq DESC LIMIT 20) c)),
+o AS (SELECT *, row_number() OVER (ORDER BY track DESC, CASE WHEN track = 'pinned' THEN -priority::DOUBLE ELSE -auto_score END, seq DESC) AS position FROM k)"""
+HEADER = len(insight.CORE_HEADER)
+BLOCK = f"""WITH {CORE}, x AS (SELECT *, concat('- (', bank, '/', memory_type, '·', track, ') ', title) AS meta, regexp_replace(body, '^\\s+|\\s+$', '', 'g') AS text, CASE WHEN position = 1 THEN 1 ELSE 0 END AS head FROM o),
+y AS (SELECT *, coalesce(sum(1 - head + length(meta) + 2 + length(text)) OVER (ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM x),
+z AS (SELECT *, 1500 - used - (1 - head) - length(meta) - 2 - head * {HEADER + 1} AS room FROM y),
+stop AS (SELECT min(CASE WHEN room < 24 THEN position WHEN length(text) > room THEN position + 1 END) AS at FROM z),
+w AS (SELECT position, id, track, concat(meta, ': ', CASE WHEN length(text) > room THEN concat(left(text, CAST(room - 1 AS BIGINT)), '…') ELSE text END) AS line FROM z, stop WHERE stop.at IS NULL OR position < stop.at)"""
 
 
 @query("core_block_candidates", f"WITH {CORE} SELECT id, track, auto_score FROM k")
@@ -398,29 +853,103 @@ def _(f):
     return insight.core_rank(f.memories).select("position", "id", "track")
 
 
-@query("core_block_render", f"WITH {CORE}, x AS (SELECT position, id, track, concat('- ', title, ': ', left(body, 160)) AS line FROM o), y AS (SELECT *, length(line) + 1 AS size, coalesce(sum(length(line) + 1) OVER (ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM x) SELECT position, id, track, CASE WHEN size <= 1500 - used THEN line ELSE left(line, CAST(1500 - used AS BIGINT)) END AS line FROM y WHERE 1500 - used >= least(24, size)")
+@query("core_block_render", f"{BLOCK} SELECT position, id, track, line FROM w")
 def _(f):
     return insight.core_render(f.memories)
 
 
-EVAL = "ranked AS (SELECT g.qid, g.id, CAST((g.id * 7 + g.qid) % 12 + 1 AS INT) AS rank FROM gold g), n AS (SELECT qid, count(*) AS n FROM gold GROUP BY qid), ks AS (SELECT unnest([1, 3, 5, 10, 30, 50]) AS k)"
+@query("core_block_text", f"{BLOCK} SELECT left(concat('{insight.CORE_HEADER}', chr(10), string_agg(line, chr(10) ORDER BY position)), 1500) AS text, least(1500, length(concat('{insight.CORE_HEADER}', chr(10), string_agg(line, chr(10) ORDER BY position)))) AS used_chars, count(*) AS entries, (SELECT count(*) FROM k) - count(*) AS dropped FROM w")
+def _(f):
+    return insight.core_text(insight.core_render(f.memories), insight.core_candidates(f.memories))
+
+
+ASK = "qs AS (SELECT id AS qid, label, embedding FROM vectors WHERE id % 50 = 0)"
+COS = "floor(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) * 1000000 + 0.5) / 1000000"
+GOLD = "gold_rows AS (SELECT q.qid, v.id, q.label % 3 AS qtype FROM qs q JOIN vectors v ON v.label = q.label AND v.id <> q.qid AND v.id % 5 = q.qid // 50 % 5)"
+RANKED = f"{ASK}, {GOLD}, whole AS (SELECT q.qid, v.id, {COS} AS cos, row_number() OVER (PARTITION BY q.qid ORDER BY {COS} DESC, v.id) AS rank FROM qs q JOIN vectors v ON v.id <> q.qid), ranked AS (SELECT * FROM whole WHERE rank <= 50), ks AS (SELECT unnest([1, 3, 5, 10, 30, 50]) AS k), n AS (SELECT qid, count(*) AS n, min(qtype) AS qtype FROM gold_rows GROUP BY qid)"
+MEASURE = "p AS (SELECT g.qid, k, count(CASE WHEN rank <= k THEN 1 END) AS hit, sum(CASE WHEN rank <= k THEN 1 / log2(rank + 1.0::DOUBLE) ELSE 0 END) AS dcg FROM gold_rows g LEFT JOIN {0} r ON r.qid = g.qid AND r.id = g.id, ks GROUP BY g.qid, k), e AS (SELECT n.qtype, p.k, CASE WHEN hit > 0 THEN 1.0::DOUBLE ELSE 0 END AS a, CASE WHEN hit = n.n THEN 1.0::DOUBLE ELSE 0 END AS b, dcg / list_sum(list_transform(range(1, least(n.n, p.k) + 1), lambda i: 1 / log2(i + 1.0::DOUBLE))) AS c FROM p JOIN n ON n.qid = p.qid)"
+MEANS = "CAST(k AS INT) AS k, count(*) AS questions, round(avg(a), 6) AS recall_any, round(avg(b), 6) AS recall_all, round(avg(c), 6) AS ndcg FROM e"
+
+
+def _gold(f: Frames) -> DataFrame:
+    """Questions are the vectors whose id is divisible by 50; right are some of those of the same label."""
+    q = f.vectors.where("id % 50 = 0").select(F.col("id").alias("qid"), "label")
+    v = f.vectors.select("id", F.col("label").alias("own"))
+    return q.join(v, (F.col("label") == F.col("own")) & (F.col("id") != F.col("qid")) & (F.col("id") % 5 == F.floor(F.col("qid") / 50) % 5)).select("qid", "id", (F.col("label") % 3).alias("qtype"))
+
+
+def _ranked(f: Frames, k: int = 50) -> DataFrame:
+    asked = [(r.id, "", r.embedding) for r in f.vectors.where("id % 50 = 0").select("id", "embedding").collect()]
+    near = writes.nearest(asked, f.vectors.select("id", F.lit("").alias("bank"), "embedding"), k)
+    from pyspark.sql import Window
+
+    return near.select(F.col("id").alias("qid"), F.col("other").alias("id"), F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cos"), "other")).alias("rank"))
+
+
+@query("eval_recall_global", f"WITH {RANKED}, {MEASURE.format('ranked')} SELECT {MEANS} GROUP BY k")
+def _(f):
+    """Over the whole bank: rows that are in no question's candidates take up ranks."""
+    return evaluate.means(evaluate.per_question(_ranked(f), _gold(f)))
+
+
+FLAT = "flat AS (SELECT w.qid, w.id, row_number() OVER (PARTITION BY w.qid ORDER BY w.rank, w.id) AS rank FROM whole w WHERE w.id % 5 = w.qid // 50 % 5)"
 
 
-def _ranked(f: Frames) -> DataFrame:
-    return f.gold.select("qid", "id", ((F.col("id") * 7 + F.col("qid")) % 12 + 1).cast("int").alias("rank"))
+@query("eval_recall_at_k", f"WITH {RANKED}, {FLAT}, {MEASURE.format('flat')} SELECT {MEANS} GROUP BY k")
+def _(f):
+    """Among each question's candidates: a fifth of the rows."""
+    whole = _ranked(f, 1 << 30)
+    return evaluate.means(evaluate.per_question(evaluate.within(whole, whole.where(F.col("id") % 5 == F.floor(F.col("qid") / 50) % 5)), _gold(f)))
+
+
+@query("eval_by_type", f"WITH {RANKED}, {MEASURE.format('ranked')} SELECT qtype, {MEANS} GROUP BY qtype, k")
+def _(f):
+    gold = _gold(f)
+    return evaluate.means(evaluate.per_question(_ranked(f), gold).join(gold.select("qid", "qtype").distinct(), "qid"), "qtype")
+
+
+@query("eval_mrr", f"WITH {RANKED}, b AS (SELECT g.qid, min(r.rank) AS r, min(s.rank) AS s FROM gold_rows g LEFT JOIN ranked r ON r.qid = g.qid AND r.id = g.id LEFT JOIN (SELECT x.qid, min(x.rank) AS rank FROM ranked x JOIN vectors v ON v.id = x.id JOIN qs q ON q.qid = x.qid AND q.label = v.label GROUP BY x.qid) s ON s.qid = g.qid GROUP BY g.qid) SELECT count(*) AS questions, round(avg(CASE WHEN r <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS p5, round(avg(CASE WHEN r <= 10 THEN 1.0::DOUBLE / r ELSE 0 END), 6) AS mrr, round(avg(CASE WHEN s <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS p5_scene FROM b")
+def _(f):
+    return evaluate.reciprocal(_ranked(f), _gold(f).select("qid", "id"), f.vectors.select("id", F.col("label").alias("scene")))
 
 
-@query("eval_recall_at_k", f"WITH {EVAL}, p AS (SELECT r.qid, k, count(CASE WHEN rank <= k THEN 1 END) AS hit, sum(CASE WHEN rank <= k THEN 1 / log2(rank + 1.0::DOUBLE) ELSE 0 END) AS dcg FROM ranked r, ks GROUP BY r.qid, k) SELECT CAST(k AS INT) AS k, round(avg(CASE WHEN hit > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_any, round(avg(CASE WHEN hit = n.n THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_all, round(avg(dcg / list_sum(list_transform(range(1, least(n.n, k) + 1), lambda i: 1 / log2(i + 1.0::DOUBLE)))), 6) AS ndcg FROM p JOIN n ON n.qid = p.qid GROUP BY k")
+@query("eval_decay_curve", f"WITH {RANKED}, places AS (SELECT id, row_number() OVER (ORDER BY md5(STR(id)), id) AS place FROM vectors), sizes AS (SELECT unnest([50, 100, 200, 400]) AS size), t AS (SELECT size, w.qid, w.id, row_number() OVER (PARTITION BY size, w.qid ORDER BY w.rank, w.id) AS rank FROM whole w JOIN places ON places.id = w.id, sizes WHERE place <= size OR w.id IN (SELECT id FROM gold_rows)), b AS (SELECT size, g.qid, min(rank) AS r FROM gold_rows g JOIN t ON t.qid = g.qid AND t.id = g.id GROUP BY size, g.qid) SELECT CAST(size AS INT) AS size, count(*) AS questions, round(avg(CASE WHEN r <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall FROM b GROUP BY size")
 def _(f):
-    return insight.recall_at(_ranked(f), f.gold)
+    from pyspark.sql import Window
 
+    place = f.vectors.select("id", F.row_number().over(Window.orderBy(F.md5(F.col("id").cast("string")), "id")).alias("place"))
+    return evaluate.decay_curve(_ranked(f, 1 << 30), _gold(f).select("qid", "id"), place, (50, 100, 200, 400))
 
-@query("eval_mrr", f"WITH {EVAL}, b AS (SELECT qid, min(rank) AS r FROM ranked GROUP BY qid) SELECT count(*) AS questions, round(avg(CASE WHEN r <= 10 THEN 1.0::DOUBLE / r ELSE 0 END), 6) AS mrr, round(avg(CASE WHEN r <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS p5 FROM b")
+
+@query("eval_bm25", """WITH asked AS (SELECT item_id AS qid, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS term FROM benchmark), w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS ws FROM documents), s AS (SELECT count(*) AS docs, avg(len(ws)) AS mean FROM w),
+tf AS (SELECT id, length, term, count(*) AS tf FROM (SELECT id, len(ws) AS length, unnest(ws) AS term FROM w) x GROUP BY ALL), df AS (SELECT term, ln(docs - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS raw, mean FROM tf, s GROUP BY term, docs, mean), i AS (SELECT term, mean, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM df) ELSE raw END AS idf FROM df),
+sc AS (SELECT qid, id, round(sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))), 6) AS score FROM asked JOIN i ON i.term = asked.term JOIN tf ON tf.term = asked.term GROUP BY qid, id)
+SELECT qid, id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sc) x WHERE rank <= 50""")
 def _(f):
-    best = _ranked(f).groupBy("qid").agg(F.min("rank").alias("r"))
-    return best.agg(F.count(F.lit(1)).alias("questions"), F.round(F.avg(F.when(F.col("r") <= 10, 1.0 / F.col("r")).otherwise(0.0)), 6).alias("mrr"), F.round(F.avg((F.col("r") <= 5).cast("double")), 6).alias("p5"))
+    return evaluate.bm25(f.table("benchmark").select(F.col("item_id").alias("qid"), "text"), f.table("documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+@query("mcnemar_gate", "WITH c AS (SELECT grp, count(CASE WHEN outcome = 'adopted' THEN 1 END) AS b, count(CASE WHEN outcome = 'corrected' THEN 1 END) AS c FROM feedback GROUP BY grp) SELECT grp, b, c, round(CASE WHEN b + c = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1.0::DOUBLE) - lgamma(i + 1.0::DOUBLE) - lgamma(b + c - i + 1.0::DOUBLE) - (b + c) * ln(2.0::DOUBLE))))) END, 6) AS p_value FROM c")
+def _(f):
+    pairs = f.feedback.groupBy("grp").agg(F.count_if(F.col("outcome") == "adopted").alias("b"), F.count_if(F.col("outcome") == "corrected").alias("c"))
+    return pairs.select("grp", "b", "c", F.round(evaluate.mcnemar_p(F.col("b"), F.col("c")), 6).alias("p_value"))
+
+
+LADDER = evaluate.mutation_ladder()
+MUTANTS = " UNION ALL ".join(f"SELECT '{n}' AS mutant, {x.rrf_k}::DOUBLE AS k, {x.tier['web']}::DOUBLE AS web, {x.tier['cron']}::DOUBLE AS cron" for n, x in [("", DEFAULT), *LADDER])
+
+
+@query("autotune_gate", f"WITH {RANKED}, mu AS ({MUTANTS}), ro AS (SELECT r.qid, r.id, r.rank AS v, row_number() OVER (PARTITION BY r.qid ORDER BY m.priority DESC, m.updated_at DESC, r.id) AS t, m.source_tier FROM ranked r JOIN memories m ON m.id = r.id), sc AS (SELECT mutant, qid, id, row_number() OVER (PARTITION BY mutant, qid ORDER BY round((1.0::DOUBLE / (k + v) + 0.8::DOUBLE / (k + t)) * CASE source_tier WHEN 'web' THEN web WHEN 'cron' THEN cron ELSE 1.0::DOUBLE END, 9) DESC, id) AS rank FROM ro, mu), hi AS (SELECT mutant, qid, max(CASE WHEN EXISTS (SELECT 1 FROM gold_rows g WHERE g.qid = sc.qid AND g.id = sc.id) THEN 1 ELSE 0 END) AS hit FROM sc WHERE rank <= 5 GROUP BY mutant, qid), pa AS (SELECT h.mutant, count(*) AS n, count(CASE WHEN b.hit = 1 AND h.hit = 0 THEN 1 END) AS only_base, count(CASE WHEN b.hit = 0 AND h.hit = 1 THEN 1 END) AS only_mutant, avg(b.hit) AS base, avg(h.hit) AS mutated FROM hi h JOIN hi b ON b.qid = h.qid AND b.mutant = '' WHERE h.mutant <> '' GROUP BY h.mutant), pv AS (SELECT *, CASE WHEN only_base + only_mutant = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, 2 * list_sum(list_transform(range(0, least(only_base, only_mutant) + 1), lambda i: exp(lgamma(only_base + only_mutant + 1.0::DOUBLE) - lgamma(i + 1.0::DOUBLE) - lgamma(only_base + only_mutant - i + 1.0::DOUBLE) - (only_base + only_mutant) * ln(2.0::DOUBLE))))) END AS pv FROM pa) SELECT mutant, n, only_base, only_mutant, round(base, 4) AS base, round(mutated, 4) AS mutated, round(mutated - base, 4) AS delta, round(pv, 4) AS p_value, round(mutated - base, 9) >= 0.05 AND pv < 0.05 AS gate_pass FROM pv")
+def _(f):
+    """The nearest rows of each question, ranked by their vectors and by priority and update, fused anew with each step of the parameters."""
+    from pyspark.sql import Window
+
+    rows = _ranked(f).join(f.memories.select("id", F.col("source_tier").alias("tier"), "priority", "updated_at"), "id")
+    text = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("priority"), F.desc("updated_at"), "id"))
+    routes_ = rows.select("qid", "id", "tier", F.col("rank").alias("vector"), text.alias("text"))
+    return evaluate.paired_gate(evaluate.mutant_hits(routes_, _gold(f).select("qid", "id"), LADDER))
 
 
-@query("injection_fp_rate", "SELECT count(*) AS total, CAST(0 AS BIGINT) AS flagged FROM memories")
+@query("eval_pick_questions", "SELECT id, scene FROM (SELECT id, trim(title) AS scene, priority, created_at, row_number() OVER (PARTITION BY trim(title) ORDER BY priority DESC, created_at DESC, id) AS n FROM memories WHERE length(trim(title)) >= 8) x WHERE n = 1 ORDER BY priority DESC, created_at DESC, id LIMIT 36")
 def _(f):
-    return f.memories.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.size(writes.injection_labels(F.col("body"))) > 0).alias("flagged"))
+    return evaluate.pick_questions(f.memories, F.col("title"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from mnesis.model import DEFAULT, Params
+from mnesis.model import DEFAULT, OUTCOMES, Params
+from mnesis.operators.lifecycle import scan
 
 
 def tumbling(access: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -28,16 +31,53 @@ def first_queries(queries: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 
 def ema_updates(feedback: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """memory_id, polarity and events after each batch: one number is kept for each memory, whatever its events."""
-    target = {"adopted": 1.0, "corrected": -0.5, "useless": -1.0}
+    """memory_id, polarity and events after each batch: one number is kept for each memory, whatever its events. Events count in order of seq within a batch; one that comes
+    in a later batch counts when it comes, whatever its seq."""
     a = p.ema_alpha
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         value, n = state.get if state.exists else (0.0, 0)
         rows = pd.concat(list(batches)).sort_values("seq")
-        for outcome in rows["outcome"]:
-            value, n = value * (1 - a) + target.get(outcome, 0.0) * a, n + 1
+        for outcome in rows["outcome"]:  # each step is rounded, so that no sum of a batch's events stands for them
+            if outcome in OUTCOMES:
+                value, n = math.floor((value + a * (OUTCOMES[outcome] - value)) * 1e6 + 0.5) / 1e6, n + 1
         state.update((value, n))
         yield pd.DataFrame({"memory_id": [key[0]], "polarity": [value], "events": [n]})
 
     return feedback.groupBy("memory_id").applyInPandasWithState(update, "memory_id long, polarity double, events long", "value double, n long", "update", GroupStateTimeout.NoTimeout)
+
+
+def life_cycle(access: DataFrame, memories: Callable[[], DataFrame], log: Callable[[DataFrame], DataFrame], commit: Callable[[DataFrame, int], None], now: Callable[[], Column], p: Params = DEFAULT) -> DataStreamWriter:
+    """The life-cycle timer: on each trigger of the access stream the rules run over the memories and the log, and commit() gets the rows that move, with the batch's
+    number, so that a batch that is repeated can be told. log(batch) returns the log that holds the batch's rows."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        commit(scan(memories(), log(batch), now(), p).where("new_state <> ttl_state"), number)
+
+    return access.writeStream.foreachBatch(run)
+
+
+def hits(results: DataFrame, caller: str, query: str, at: Column) -> DataFrame:
+    """The access rows that a recall's results leave behind."""
+    return results.select(F.col("id").alias("memory_id"), at.alias("ts"), F.lit("recall_hit").alias("kind"), F.lit(caller).alias("caller"), F.lit(query).alias("query"))
+
+
+def after_cursor(rows: DataFrame, cursor: int, most: int = 500) -> DataFrame:
+    """The next rows by seq after a cursor."""
+    return rows.where(F.col("seq") > cursor).orderBy("seq").limit(most)
+
+
+def pending(recalls: DataFrame, ttl_seconds: int = 600, cap: int = 64) -> DataFrame:
+    """host, id and ts of the recalled rows (host, id, ts) that wait to be adopted, after each batch: the `cap` latest of each host that are not older than ttl_seconds."""
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = dict(zip(*state.get, strict=True)) if state.exists else {}
+        for batch in batches:
+            for i, t in zip(batch["id"], batch["ts"].astype("int64") // 10 ** {"s": 0, "ms": 3, "us": 6, "ns": 9}[batch["ts"].dt.unit], strict=True):
+                held[int(i)] = max(int(t), held.get(int(i), 0))
+        latest = max(held.values(), default=0)
+        best = sorted(((t, i) for i, t in held.items() if latest - t <= ttl_seconds), reverse=True)[:cap]
+        state.update(([i for _, i in best], [t for t, _ in best]))
+        yield pd.DataFrame({"host": [key[0]] * len(best), "id": [i for _, i in best], "at": [t for t, _ in best]})
+
+    return recalls.groupBy("host").applyInPandasWithState(update, "host string, id long, at long", "ids array<long>, ats array<long>", "update", GroupStateTimeout.NoTimeout)

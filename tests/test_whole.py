@@ -7,12 +7,12 @@ SF = "/root/testdata/sf0.01"
 
 
 def test_bridges_reach_beyond_the_first_ids(spark):
-    got = catalogue.QUERIES["graph_bridge_all"](spark, SF)
+    got = catalogue.QUERIES["graph_bridge"](spark, SF)
     assert got.where("a >= 20").count() > 0 < got.where("b >= 200").count()
 
 
 def test_all_existing_edges_are_offered_and_the_current_ones_rejected(spark):
-    got = catalogue.QUERIES["edge_insert_dedup_all"](spark, SF)
+    got = catalogue.QUERIES["edge_insert_dedup"](spark, SF)
     from mnesis.sources.frames import Frames
 
     edges = Frames(spark, SF).edges.where("dst IS NOT NULL")
