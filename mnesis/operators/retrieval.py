@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnesis.functions.columns import as_of, cosine, current, life_factor, live, lookup, priority_factor, tokens, visible_to
+from mnesis.functions.columns import as_of, cosine, current, life_factor, live, lookup, priority_factor, visible_to
 from mnesis.functions.plugins import Reranker
 from mnesis.functions.rules import validate_filters
 from mnesis.model import DEFAULT, Params
@@ -67,18 +69,20 @@ def vector_route(memories: DataFrame, vectors: DataFrame, query: Sequence[float]
     return top(scored, n, F.desc("score"), F.asc("id")).select("id", "rank", "score")
 
 
-def _is(term: str):
-    return lambda x: x == term
-
-
 def text_route(memories: DataFrame, terms: Sequence[str], n: int = DEFAULT.top_text, scorer: str = "tf", k1: float = 1.2, b: float = 0.75, rows: Column | None = None) -> DataFrame:
     """id, rank, score of rows that have all terms: by the sum of term frequencies (tf) or by bm25.
 
-    Only the query's terms are counted in each text: array filters stand for an inverted index when none is stored, and no term is shuffled.
+    Only the query's terms are looked for, each where it stands between other characters than letters and digits: no text is cut into words, and no term is shuffled. For
+    tf, texts that lack a term as a plain string are not searched at all; bm25 needs every text's number of words.
     """
     terms = sorted(set(terms))
-    words = memories.where(current() & live() if rows is None else rows).select("id", tokens(F.concat_ws(" ", "title", "body")).alias("words"))
-    tf = words.select("id", F.size("words").alias("length"), *[F.size(F.filter("words", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
+    words = memories.where(current() & live() if rows is None else rows).select("id", F.lower(F.concat_ws(" ", "title", "body")).alias("text"))
+    if scorer == "tf":
+        for t in terms:
+            words = words.where(F.col("text").contains(t))
+    find = lambda pattern: F.size(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+    length = F.lit(0) if scorer == "tf" else find("[a-z0-9]+")
+    tf = words.select("id", length.alias("length"), *[find(f"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])").alias(f"tf{i}") for i, t in enumerate(terms)])
     has = F.lit(True)
     for i in range(len(terms)):
         has = has & (F.col(f"tf{i}") > 0)
@@ -168,11 +172,13 @@ def recall(spec: Recall, memories: DataFrame, vectors: DataFrame, edges: DataFra
         "time": lambda: time_route(memories, p.top_time, rows),
     }
     got = {}
-    for name, route in main.items():
-        try:
-            got[name] = held(route()) if route else empty
-        except Exception as e:  # noqa: BLE001 - a route that fails leaves the others standing
-            got[name], failed[name] = empty, str(e)[:300]
+    with ThreadPoolExecutor(len(main)) as pool:  # routes are jobs of their own: they run side by side
+        tried = {name: pool.submit(lambda r=route: held(r())) if route else None for name, route in main.items()}
+        for name, result in tried.items():
+            try:
+                got[name] = result.result() if result else empty
+            except Exception as e:  # noqa: BLE001 - a route that fails leaves the others standing
+                got[name], failed[name] = empty, str(e)[:300]
     if len(failed) == sum(r is not None for r in main.values()):
         raise RuntimeError(f"all routes failed: {failed}")
     ranked = None
