@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnesis.llm.automata import Automaton, Scorer, learn
-from mnesis.llm.common import bound_batches, byte_slices, text_buffer, word_hashes
+from mnesis.llm.common import Scratch, byte_slices, text_buffer, word_hashes
 
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -129,8 +129,11 @@ def _samples(docs: DataFrame, labelled: int, ordinary: int, least: int, longest:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["kind", "h", "secret"])
 
-    each = docs.select("text").mapInArrow(run, "kind string, h long, secret string").distinct()
-    return {k: [r.secret for r in each.where(F.col("kind") == k).orderBy("h", "secret").limit(n).collect()] for k, n in most.items()}
+    scratch = Scratch(docs.sparkSession, "secrets")
+    each = scratch.save(docs.select("text").mapInArrow(run, "kind string, h long, secret string"), "samples").distinct()
+    out = {k: [r.secret for r in each.where(F.col("kind") == k).orderBy("h", "secret").limit(n).collect()] for k, n in most.items()}
+    scratch.drop("samples")
+    return out
 
 
 def learn_formats(samples: dict[str, list[str]], longest: int, fewest: int = 8) -> tuple[list[tuple[Automaton, int, int]], Automaton | None]:
@@ -161,7 +164,6 @@ def find_secrets(docs: DataFrame, labelled: int = 1000, ordinary: int = 8000, le
     With redacted, the docs come back with their own columns instead, each secret in the text replaced by its kind in brackets and n_chars, if there is one,
     counted anew. Scale: texts are read twice, for the sample and for the spans, and never shuffled; a task keeps a bounded sample.
     """
-    bound_batches(docs.sparkSession)
     models, plain = learn_formats(_samples(docs, labelled, ordinary, least, longest), longest)
     scanner = lambda: Scanner(least, models, plain, evidence)
     if redacted:
