@@ -165,9 +165,13 @@ def latent_terms(coded: DataFrame, idf: np.ndarray, rank: int, size: int, seed:
 
     image = tree_sum(coded.mapInArrow(run, "part binary"), terms * wide).reshape(terms, wide)
     shift = 1e-9 * max(1e-30, float(np.linalg.norm(image)))
-    core = basis.T @ (image + shift * basis)
-    half = np.linalg.cholesky((core + core.T) / 2 + shift * np.eye(wide))
-    return np.linalg.svd(np.linalg.solve(half, (image + shift * basis).T).T, full_matrices=False)[0][:, :rank]
+    image += shift * basis
+    core = basis.T @ image
+    value, vector = np.linalg.eigh((core + core.T) / 2)
+    real = value > 1e-12 * max(1e-300, float(value[-1]))  # what rounding leaves of directions that no passage has
+    if not real.any():
+        return basis[:, :rank]
+    return np.linalg.svd(image @ (vector[:, real] / np.sqrt(value[real])), full_matrices=False)[0][:, :rank]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 128, piece: int = 8, cosine: float = 0.4, common: float = 0.05, coverage: float = 0.6, answer: float = 0.5, item_block: int = 5000) -> DataFrame:

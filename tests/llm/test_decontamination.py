@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 from mnesis.llm import queries
-from mnesis.llm.decontamination import find_leaks, lcs
+from mnesis.llm.decontamination import Shares, find_leaks, lcs
 
 SF = "/root/testdata/sf0.01"
 
@@ -103,3 +103,24 @@ def test_items_of_any_length_and_their_65_percent_paraphrases_are_found(spark, d
     for d, i in got:
         assert plain_lcs(held[i].split(), rows[d][1].split()) >= 0.6 * length
     assert sum((i, i) in got for i in range(40)) >= 38
+
+
+@pytest.mark.parametrize("change", [lambda x, *_: x, swapped], ids=["verbatim", "swapped"])
+def test_items_of_2000_words_are_found(spark, documents, change):
+    items, rows = planted(2000, 12, change, 9)
+    answered = spark.createDataFrame([(i, t, " ".join(t.split()[-4:])) for i, t in items], "item_id long, text string, answer string")
+    got = {(r.doc_id, r.item_id) for r in find_leaks(documents(rows), answered).collect()}
+    assert got == {(i, i) for i in range(12)}
+
+
+def test_the_bound_is_never_below_the_subsequence_and_both_ways_agree():
+    rng = np.random.default_rng(5)
+    items = [rng.integers(1, 40, n).astype(np.int32) for n in (3, 10, 40, 1)]
+    codes = np.where(rng.random(500) < 0.3, 0, rng.integers(1, 40, 500)).astype(np.int32)
+    a = rng.integers(0, 450, 60)
+    b, i = a + rng.integers(0, 50, 60), rng.integers(0, 4, 60)
+    dense, sparse = Shares(items, 40).bounds(codes, a, b, i, step=64), Shares(items, 40, dense=0).bounds(codes, a, b, i)
+    assert (dense == sparse).all()
+    for x, y, k, most in zip(a, b, i, dense, strict=True):
+        assert most >= lcs(items[k].tolist(), codes[x:y].tolist())
+        assert most == sum(min((items[k] == c).sum(), (codes[x:y] == c).sum()) for c in range(1, 40))
