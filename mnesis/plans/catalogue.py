@@ -116,11 +116,11 @@ def _(f):
     return reads.reconcile(f.table("documents").select(F.col("doc_id").alias("id")), f.table("embeddings").select(F.col("vec_id").alias("id")))
 
 
-@query("parse_session_date", "SELECT item, TRY_CAST(CASE WHEN regexp_matches(d, '\\d{4}/\\d{2}/\\d{2}.*?\\d{2}:\\d{2}') THEN regexp_replace(d, '^.*?(\\d{4})/(\\d{2})/(\\d{2}).*?(\\d{2}):(\\d{2}).*$', '\\1-\\2-\\3 \\4:\\5:00') END AS TIMESTAMP) AS at FROM (SELECT conv_id * 1000 + turn AS item, concat('on 2023/', lpad(STR(1 + conv_id % 14), 2, '0'), '/', lpad(STR(1 + turn % 28), 2, '0'), ' (Fri) ', CASE WHEN turn % 5 = 0 THEN 'late' ELSE '09:30' END) AS d FROM conversations) x")
+@query("parse_session_date", "SELECT item, STR(TRY_CAST(CASE WHEN regexp_matches(d, '\\d{4}/\\d{2}/\\d{2}.*?\\d{2}:\\d{2}') THEN regexp_replace(d, '^.*?(\\d{4})/(\\d{2})/(\\d{2}).*?(\\d{2}):(\\d{2}).*$', '\\1-\\2-\\3 \\4:\\5:00') END AS TIMESTAMP)) AS at FROM (SELECT conv_id * 1000 + turn AS item, concat('on 2023/', lpad(STR(1 + conv_id % 14), 2, '0'), '/', lpad(STR(1 + turn % 28), 2, '0'), ' (Fri) ', CASE WHEN turn % 5 = 0 THEN 'late' ELSE '09:30' END) AS d FROM conversations) x")
 def _(f):
     pad = lambda c: F.lpad(c.cast("string"), 2, "0")
     text = F.concat(F.lit("on 2023/"), pad(1 + F.col("conv_id") % 14), F.lit("/"), pad(1 + F.col("turn") % 28), F.lit(" (Fri) "), F.when(F.col("turn") % 5 == 0, "late").otherwise("09:30"))
-    return f.table("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("item"), R.session_date(text).alias("at"))
+    return f.table("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("item"), R.session_date(text).cast("string").alias("at"))
 
 
 @query("trim_rows", "SELECT id, left(body, 200) AS excerpt, length(body) > 200 AS truncated FROM memories WHERE bank = 'knowledge'")
