@@ -29,7 +29,7 @@ def running_sums(df: DataFrame, position: str, values: list[str], scratch: Scrat
 
     Blocks of `block` positions are summed up, then blocks of blocks, until one is left; each level's sums start where the level above says.
     """
-    at = (F.col(position) / block).cast("long")
+    at = F.expr(f"{position} div {block}")
     sums = df.groupBy(at.alias(position)).agg(*(F.sum(v).alias(v) for v in values))
     more = df.agg(F.max(position)).first()[0]
     if more is not None and more >= block:

@@ -82,6 +82,12 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnesis.llm.manifest import manifest
+
+    return manifest(_table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -118,5 +124,39 @@ FROM n JOIN g ON n.body = g.body
 """
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB has no crc32: the unsigned one of an ASCII text, a bit at a time."""
+    step = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    return f"xor(list_reduce([4294967295] || list_transform(string_split({text}, ''), lambda z: CAST(ascii(z) AS BIGINT)), lambda c, b: {step}), 4294967295)"
+
+
+def _op13_sql(levels: int = 6) -> str:
+    """The tree level by level: n nodes of a source become n/16, and those of one stay; enough levels for 16^levels leaves of a source, and as many sources."""
+    fields = lambda text: " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text))
+    small = "CASE WHEN bad THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
+    out = [
+        f"b AS (SELECT *, coalesce({crc32_sql('CAST(doc_id AS VARCHAR)')} % 5 = 0, false) AS bad FROM documents)",
+        f"h AS (SELECT doc_id, source, sha256({fields('text')}) AS leaf, sha256({fields('(' + small + ')')}) AS other FROM b)",
+        "s0 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM h)",
+        "a0 AS (SELECT source AS g, i, n, leaf AS d FROM s0)",
+        "p0 AS (SELECT doc_id, leaf, source AS g, i, other AS f, '' AS proof FROM s0)",
+    ]
+    for t, first in (("", 0), ("t", 0)):
+        if t:
+            out.append(f"ta0 AS (SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, count(*) OVER () AS n, d, g AS source FROM a{levels})")
+            out.append(f"tp0 AS (SELECT p.doc_id, p.leaf, x.d AS subroot, 0 AS g, x.i, p.f, p.proof FROM p{levels} p JOIN ta0 x ON p.g IS NOT DISTINCT FROM x.source)")
+        for k in range(first, levels):
+            out.append(f"{t}r{k} AS (SELECT g, i // 16 AS i, n, string_agg(d, '' ORDER BY i) AS run FROM {t}a{k} GROUP BY g, i // 16, n)")
+            out.append(f"{t}a{k + 1} AS (SELECT g, i, (n + 15) // 16 AS n, CASE WHEN n = 1 THEN run ELSE sha256(run) END AS d FROM {t}r{k})")
+            sub = "p.subroot, " if t else ""
+            out.append(
+                f"{t}p{k + 1} AS (SELECT p.doc_id, p.leaf, {sub}p.g, p.i // 16 AS i, "
+                "CASE WHEN r.n = 1 THEN p.f ELSE sha256(left(r.run, 64 * (p.i % 16)) || p.f || substr(r.run, 64 * (p.i % 16) + 65)) END AS f, "
+                "CASE WHEN r.n = 1 THEN p.proof ELSE p.proof || left(r.run, 64 * (p.i % 16)) || substr(r.run, 64 * (p.i % 16) + 65) END AS proof "
+                f"FROM {t}p{k} p JOIN {t}r{k} r ON p.g IS NOT DISTINCT FROM r.g AND p.i // 16 = r.i)"
+            )
+    return "WITH " + ",\n".join(out) + f"\nSELECT doc_id, leaf, subroot, a.d AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = a.d AS verified FROM tp{levels} CROSS JOIN ta{levels} a"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op7_topk": OP7_SQL, "op11_exact_dedup": OP11_SQL}
+    return {"op4_warc": OP4_SQL, "op7_topk": OP7_SQL, "op11_exact_dedup": OP11_SQL, "op13_merkle": _op13_sql()}
