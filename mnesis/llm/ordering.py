@@ -34,12 +34,12 @@ def running_sums(df: DataFrame, position: str, values: list[str], scratch: Scrat
     more = df.agg(F.max(position)).first()[0]
     if more is not None and more >= block:
         above = running_sums(scratch.save(sums, f"{label}-in"), position, values, scratch, f"{label}-up", block)
-        start = above.select(F.col(position).alias("_b"), *((F.col(f"sum_{v}") - F.col(v)).alias(f"_{v}") for v in values))
-        rows = df.withColumn("_b", at).join(start, "_b")
+        start = above.select(F.col(position).alias("_block"), *((F.col(f"sum_{v}") - F.col(v)).alias(f"_before_{v}") for v in values))
+        rows = df.withColumn("_block", at).join(start, "_block")
     else:
-        rows = df.select("*", F.lit(0).cast("long").alias("_b"), *(F.lit(0).cast("long").alias(f"_{v}") for v in values))
-    w = Window.partitionBy("_b").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    return scratch.save(rows.select(*df.columns, *((F.col(f"_{v}") + F.sum(v).over(w)).alias(f"sum_{v}") for v in values)), label)
+        rows = df.select("*", F.lit(0).cast("long").alias("_block"), *(F.lit(0).cast("long").alias(f"_before_{v}") for v in values))
+    w = Window.partitionBy("_block").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    return scratch.save(rows.select(*df.columns, *((F.col(f"_before_{v}") + F.sum(v).over(w)).alias(f"sum_{v}") for v in values)), label)
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, salts: int = 64, how: str = "inner") -> DataFrame:

@@ -82,6 +82,12 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnesis.llm.trie import grafted_trie
+
+    return grafted_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mnesis.llm.manifest import manifest
 
@@ -130,6 +136,27 @@ def crc32_sql(text: str) -> str:
     return f"xor(list_reduce([4294967295] || list_transform(string_split({text}, ''), lambda z: CAST(ascii(z) AS BIGINT)), lambda c, b: {step}), 4294967295)"
 
 
+OP12_SQL = rf"""
+WITH o AS (
+  SELECT conv_id, sha256(strlen(role) || ':' || role || text) AS s, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) AS k
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+),
+c AS (SELECT conv_id, count(*) AS n, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 4 AS h, conv_id - conv_id % 20 AS b FROM o GROUP BY conv_id),
+t AS (
+  SELECT c.conv_id, o.k AS i, s, words FROM c JOIN o ON o.conv_id = c.b AND o.k <= c.h
+  UNION ALL SELECT c.conv_id, o.k - c.h + least(c.h, coalesce(d.n, 0)), s, words FROM c JOIN o ON o.conv_id = c.conv_id AND o.k > c.h LEFT JOIN c d ON d.conv_id = c.b
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c
+),
+p AS (SELECT conv_id, i, words, list(s) OVER (PARTITION BY conv_id ORDER BY i) AS path, max(i) OVER (PARTITION BY conv_id) AS n FROM t),
+v AS (SELECT path, min(conv_id) AS conv_id, min(i) AS depth, count(*) AS n_convs, min(words) AS words, coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (i = n), '') AS ends FROM p GROUP BY path),
+k AS (SELECT path[:-2] AS path, count(*) AS n_children FROM v WHERE depth > 0 GROUP BY 1),
+a AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN k USING (path)),
+u AS (SELECT path[:d] AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens FROM (SELECT *, unnest(range(1, depth + 2)) AS d FROM a) GROUP BY 1)
+SELECT a.conv_id, a.depth, v.conv_id AS parent_conv_id, a.n_convs, a.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(a.ends) AS ends_sha256
+FROM a JOIN u USING (path) LEFT JOIN v ON v.path = a.path[:-2] AND a.depth > 0
+"""
+
+
 def _op13_sql(levels: int = 6) -> str:
     """The tree level by level: n nodes of a source become n/16, and those of one stay; enough levels for 16^levels leaves of a source, and as many sources."""
     fields = lambda text: " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text))
@@ -159,4 +186,4 @@ def _op13_sql(levels: int = 6) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op7_topk": OP7_SQL, "op11_exact_dedup": OP11_SQL, "op13_merkle": _op13_sql()}
+    return {"op4_warc": OP4_SQL, "op7_topk": OP7_SQL, "op11_exact_dedup": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_merkle": _op13_sql()}
