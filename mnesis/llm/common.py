@@ -166,37 +166,42 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS: dict[str, np.ndarray] = {}
+_PIECE = 64  # bytes of a word that have a table of their own each
+_WORDS = 1 << 13
+_TABLES: dict[int, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = ((n >> 16) + 1) << 16
-        inverse = pow(_R, -1, 1 << 64)
-        for name, base in (("up", _R), ("down", inverse)):
-            out = np.ones(size, np.uint64)
-            out[1] = base
-            k = 1
-            while k < size - 1:
-                m = min(k, size - 1 - k)
-                out[k + 1 : k + 1 + m] = out[1 : m + 1] * out[k]
-                k += m
-            _POWERS[name] = out
-    return _POWERS["up"], _POWERS["down"]
-
-
-def _byte_table(seed: int) -> np.ndarray:
-    return mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(seed))
+def _tables(seed: int) -> np.ndarray:
+    """A random number for each byte value at each place of a piece."""
+    if seed not in _TABLES:
+        _TABLES[seed] = mix64(np.arange(1, 256 * _PIECE + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + mix64(np.array([seed + 1], np.uint64)))
+    return _TABLES[seed]
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, without a loop over words: a polynomial of random byte values, as differences of prefix sums, then mixed."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_byte_table(seed)[raw] * up[: len(raw)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(_R))
+    """A 64-bit hash of each word's bytes, without a loop over words: tabulation hashing, the sum of a random number for each byte at its place.
+
+    Longer words are cut into pieces; their sums are mixed by a function that is not linear, with the piece's number, and added. There is no polynomial, whose
+    collisions modulo a power of two hold for any base. Hashes of two seeds are independent of each other.
+    """
+    table, out = _tables(seed), np.empty(len(starts), np.uint64)
+    for i in range(0, len(starts), _WORDS):  # temporaries stay in the processor's cache
+        out[i : i + _WORDS] = _hashed(table, raw, starts[i : i + _WORDS], ends[i : i + _WORDS])
+    return out
+
+
+def _hashed(table: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    size = (ends - starts).astype(np.int64)
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum()), dtype=np.int64)
+    at = raw[place + np.repeat(starts - first, size)]
+    place -= np.repeat(first, size)
+    values = table.take(((place & (_PIECE - 1)) << 8) | at)
+    if size.max() <= _PIECE:
+        return mix64(mix64(np.add.reduceat(values, first)) + size.astype(np.uint64) * np.uint64(_R))
+    head = np.flatnonzero((place & (_PIECE - 1)) == 0)
+    pieces = mix64(np.add.reduceat(values, head) + (place[head] // _PIECE).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    return mix64(np.add.reduceat(pieces, np.searchsorted(head, first)) + size.astype(np.uint64) * np.uint64(_R))
 
 
 _PLAIN = np.arange(256, dtype=np.uint8)

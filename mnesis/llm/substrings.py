@@ -90,10 +90,10 @@ def recompress(words: np.ndarray, first: np.ndarray, rounds: int, window: int) -
     return name[ok], a[ok], b[ok]
 
 
-def window_hashes(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of the `window` words from each position on; the last ones, which are no whole windows, are arbitrary."""
+def window_hashes(kinds: list[np.ndarray], window: int) -> list[np.ndarray]:
+    """For each of some kinds of word hashes, a 64-bit hash of the `window` words from each position on; the last ones, which are no whole windows, are arbitrary."""
     out: list[np.ndarray] = []
-    for salt in (11, 23):
+    for salt, words in zip((11, 23), kinds, strict=True):
         power, got, done, size = words, None, 0, 1
         while size <= window:
             if window & size:
@@ -103,7 +103,7 @@ def window_hashes(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarra
                 power = _join(power, np.concatenate([power[size:], np.zeros(min(size, len(power)), np.uint64)]), 1000 * salt + size)
             size *= 2
         out.append(got)
-    return out[0], out[1]
+    return out
 
 
 class _Block:
@@ -134,7 +134,8 @@ class _Block:
         open_ = np.cumsum(edge[:n]) == 0
         open_ &= np.arange(n) + self.window <= self.first[1:][text] if n else open_
         self.at = np.flatnonzero(open_)
-        h, c = window_hashes(self.words, self.window) if n else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        kinds = [self.words, word_hashes(self.raw, self.starts, self.ends, seed=7)]
+        h, c = window_hashes(kinds, self.window) if n else kinds
         h, c, doc = h[self.at], c[self.at], self.ids[text[self.at]]
         order = np.lexsort((self.at, text[self.at], doc, c, h))
         hs, cs = h[order], c[order]
@@ -274,7 +275,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, rounds: int = 4, block_byt
 
     Method: texts are packed into blocks, once. (1) Recompression names the symbols of each block; names meet by range of name, and bits go back to the
     blocks: is the name elsewhere too? (2) A window that holds the whole span of a symbol without a second occurrence is unique. The rest is hashed
-    (128 bits), and the hashes meet likewise: does another block have it in an earlier document? (3) What is covered goes. No window is lost: a
+    (twice 64 bits, from two independent hashes of the words), and the hashes meet likewise: does another block have it in an earlier document? (3) What is covered goes. No window is lost: a
     window without such a symbol is always compared.
 
     Scale: packed arrays are shuffled, a few bytes for each symbol or window that is not unique, and a block sends equal ones once: a passage in a third
