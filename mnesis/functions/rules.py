@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from datetime import UTC, datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -129,6 +130,15 @@ FILTERS = {"domain", "tags", "tenant_id", "agent_id", "staleness", "memory_type"
 _ISO = re.compile(r"\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?")
 
 
+def utc(value: str) -> datetime:
+    """An ISO 8601 date or time as a time of UTC without a zone, as the rows have them: Z and offsets count, none is UTC. What is no such date is a ValueError."""
+    text = str(value)
+    if not _ISO.fullmatch(text):
+        raise ValueError(f"{text!r} is no ISO 8601 date")
+    at = datetime.fromisoformat(text)
+    return at if at.tzinfo is None else at.astimezone(UTC).replace(tzinfo=None)
+
+
 def validate_filters(filters: dict | None) -> dict:
     """Filters as they came, or a ValueError: an object with ISO dates, known staleness values and memory types."""
     if filters is None:
@@ -143,6 +153,9 @@ def validate_filters(filters: dict | None) -> dict:
     if not isinstance(dates, dict):
         raise ValueError("date_range must be an object")
     for name, value in [*((f"date_range.{k}", dates.get(k)) for k in ("from", "to")), ("as_of", filters.get("as_of"))]:
-        if value is not None and not _ISO.fullmatch(str(value)):
-            raise ValueError(f"{name} must be an ISO 8601 date")
+        if value is not None:
+            try:
+                utc(value)
+            except (ValueError, OverflowError) as e:
+                raise ValueError(f"{name} must be an ISO 8601 date") from e
     return filters

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mnesis.functions.columns import as_of, cosine, current, life_factor, live, lookup, priority_factor, visible_to
 from mnesis.functions.plugins import Reranker
-from mnesis.functions.rules import validate_filters
+from mnesis.functions.rules import utc, validate_filters
 from mnesis.model import DEFAULT, Params
 from mnesis.operators import graph
 
@@ -36,13 +36,17 @@ class Recall:
     scorer: str = "tf"
 
 
+def at_utc(value: str) -> Column:
+    return F.lit(utc(value).isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def visible(spec: Recall) -> Column:
     """The rows that a recall may return: the caller's, of the bank, and by the filters domain, tags (any of them), tenant_id, agent_id, staleness, memory_type,
     date_range (from and to, both inclusive), as_of (else current rows) and include_archived."""
     f = validate_filters(spec.filters)
     many = lambda x: list(x) if isinstance(x, (list, tuple)) else [x]
     out = visible_to(spec.caller) & live(bool(f.get("include_archived")))
-    out &= as_of(F.lit(f["as_of"]).cast("timestamp_ntz")) if f.get("as_of") else current()
+    out &= as_of(at_utc(f["as_of"])) if f.get("as_of") else current()
     if spec.bank:
         out &= F.col("bank") == spec.bank
     for name in ("domain", "tenant_id", "agent_id"):
@@ -55,9 +59,9 @@ def visible(spec: Recall) -> Column:
         out &= F.arrays_overlap("tags", F.array(*[F.lit(str(x)) for x in many(f["tags"])]))
     dates = f.get("date_range") or {}
     if dates.get("from"):
-        out &= F.col("created_at") >= F.lit(dates["from"]).cast("timestamp_ntz")
+        out &= F.col("created_at") >= at_utc(dates["from"])
     if dates.get("to"):
-        out &= F.col("created_at") <= F.lit(dates["to"]).cast("timestamp_ntz")
+        out &= F.col("created_at") <= at_utc(dates["to"])
     return out
 
 
@@ -164,7 +168,7 @@ def recall(spec: Recall, memories: DataFrame, vectors: DataFrame, edges: DataFra
     rows, failed = visible(spec), {}
     spark = memories.sparkSession
     at = spec.filters.get("as_of")
-    t = F.lit(at).cast("timestamp_ntz") if at else None
+    t = at_utc(at) if at else None
     empty = spark.createDataFrame([], "id long, rank int, score double")
     main = {
         "vector": (lambda: vector_route(memories, vectors, spec.vector, p.top_vector, rows)) if spec.vector is not None else None,

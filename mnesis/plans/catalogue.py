@@ -12,9 +12,10 @@ from mnesis.functions import columns as C
 from mnesis.functions import rules as R
 from mnesis.functions.plugins import HashEmbedder, LexicalReranker
 from mnesis.model import DEFAULT
-from mnesis.operators import evaluate, graph, insight, lifecycle, reads, retrieval, writes
+from mnesis.operators import evaluate, graph, insight, lifecycle, reads, retrieval, textindex, writes
 from mnesis.operators.retrieval import Recall
 from mnesis.sources.frames import NOW, Frames, oracle
+from mnesis.sources.store import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -143,6 +144,13 @@ def _(f):
     return f.memories.where(retrieval.visible(Recall(filters={"tags": ["fr", "src1", "p5"]}))).select("id")
 
 
+@query("filter_date_offset", f"SELECT id FROM memories WHERE visibility = 'public' AND {LIVE.replace('invalid_at IS NULL', 'valid_at <= TS(2023-10-31 22:00:00) AND (invalid_at IS NULL OR invalid_at > TS(2023-10-31 22:00:00))')} AND created_at >= TS(2023-08-10 03:30:00) AND created_at <= TS(2023-10-21 09:00:00)")
+def _(f):
+    """Times with offsets: midnight of 1 November two hours east of UTC is 22:00 of the day before."""
+    spec = Recall(caller="none", filters={"as_of": "2023-11-01T00:00:00+02:00", "date_range": {"from": "2023-08-10T00:00:00-03:30", "to": "2023-10-21T09:00:00Z"}})
+    return f.memories.where(retrieval.visible(spec)).select("id")
+
+
 @query("filters_composed", "SELECT id FROM memories WHERE (owner = 'cron:b' OR visibility = 'public') AND ttl_state <> 'retired' AND invalid_at IS NULL AND bank = 'knowledge' AND staleness IN ('fresh', 'aging') AND memory_type = 'semantic' AND created_at >= TS(2023-06-01 00:00:00)")
 def _(f):
     spec = Recall(caller="cron:b", bank="knowledge", filters={"staleness": ["fresh", "aging"], "memory_type": "semantic", "date_range": {"from": "2023-06-01T00:00:00"}, "include_archived": True})
@@ -392,6 +400,31 @@ def _(f):
     return routes(f)[1]
 
 
+TOKENS = r"regexp_extract_all(lower(concat(title, ' ', body)), '[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]+|[\p{Latin}\p{Greek}\p{Cyrillic}\p{N}]+')"
+#: Words and a phrase, one of which may be missing, a beginning, and what must not be there.
+TEXT_ASKED = '("th the" OR que) tion* -lichkeit'
+
+
+def text_index(f: Frames) -> str:
+    """The path of a new index of all memories' titles and bodies."""
+    path = fresh_path(f.spark, "text-index")
+    textindex.index_build(f.memories.select("id", F.concat_ws(" ", "title", "body").alias("text")), path, block=256)
+    return path
+
+
+@query("index_build", f"SELECT term, count(DISTINCT id) AS n_rows, count(*) AS n_occurrences, count(DISTINCT CAST(floor(id / 256) AS BIGINT)) AS n_blocks FROM (SELECT id, unnest({TOKENS}) AS term FROM memories) t GROUP BY term")
+def _(f):
+    return textindex.index_statistics(f.spark, text_index(f))
+
+
+@query("route_fts_query", f"""WITH w AS (SELECT id, {TOKENS} AS w FROM memories WHERE {LIVE}),
+c AS (SELECT id, len(list_filter(range(1, len(w)), lambda i: w[i] = 'th' AND w[i + 1] = 'the')) AS phrase, len(list_filter(w, lambda x: x = 'que')) AS word, len(list_filter(w, lambda x: starts_with(x, 'tion'))) AS begun, list_contains(w, 'lichkeit') AS bad FROM w),
+s AS (SELECT id, CAST(phrase + word + begun AS DOUBLE) AS score FROM c WHERE (phrase > 0 OR word > 0) AND begun > 0 AND NOT bad)
+SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank, score FROM (SELECT * FROM s ORDER BY score DESC, id LIMIT 60) x""")
+def _(f):
+    return textindex.indexed_text_route(f.spark, text_index(f), TEXT_ASKED, f.memories, C.current() & C.live())[0]
+
+
 @query("route_fts_bm25", f"""WITH {WORDS}, all_rows AS (SELECT m.id, coalesce(tf.length, 0) AS length, coalesce(tf.tf0, 0) AS tf0, coalesce(tf.tf1, 0) AS tf1 FROM memories m LEFT JOIN tf ON tf.id = m.id WHERE {LIVE}),
 s AS (SELECT count(*) AS n, avg(length) AS mean, count(CASE WHEN tf0 > 0 THEN 1 END) AS df0, count(CASE WHEN tf1 > 0 THEN 1 END) AS df1 FROM all_rows),
 b AS (SELECT id, round(ln(1.0::DOUBLE + (n - df0 + 0.5::DOUBLE) / (df0 + 0.5::DOUBLE)) * (tf0 * 2.2::DOUBLE) / (tf0 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean)) + ln(1.0::DOUBLE + (n - df1 + 0.5::DOUBLE) / (df1 + 0.5::DOUBLE)) * (tf1 * 2.2::DOUBLE) / (tf1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean)), 6) AS score FROM all_rows, s WHERE tf0 > 0 AND tf1 > 0)

@@ -184,7 +184,7 @@ def test_rules_of_the_write_path(spark):
     assert [R.window_days(x) for x in (None, 0, 7, 999)] == [7, 1, 7, 365]
 
 
-@pytest.mark.parametrize("bad", [[], {"staleness": "old"}, {"memory_type": ["semantic", "x"]}, {"as_of": "yesterday"}, {"date_range": {"from": "01/02/2024"}}, {"date_range": 3}])
+@pytest.mark.parametrize("bad", [[], {"staleness": "old"}, {"memory_type": ["semantic", "x"]}, {"as_of": "yesterday"}, {"date_range": {"from": "01/02/2024"}}, {"date_range": 3}, {"as_of": "2023-13-45"}, {"as_of": "2024-01-01T25:00:00"}, {"date_range": {"to": "2023-02-30"}}])
 def test_bad_filters_are_turned_away(bad):
     with pytest.raises(ValueError):
         R.validate_filters(bad)
@@ -274,3 +274,10 @@ def test_pending_recalls_and_the_life_cycle_timer(spark, tmp_path):
     timer = stream.life_cycle(spark.readStream.schema(f.access.schema).parquet(str(tmp_path / "log")), lambda: f.memories, lambda batch: batch, lambda rows, n: moved.append((n, rows.count())), lambda: at)
     timer.option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination(60)
     assert moved and moved[0][1] == lifecycle.scan(f.memories, f.access, at).where("new_state <> ttl_state").count() > 0
+
+
+@pytest.mark.parametrize(("text", "want"), [("2023-11-01T00:00:00+02:00", "2023-10-31 22:00:00"), ("2023-11-01T00:00:00Z", "2023-11-01 00:00:00"), ("2023-11-01", "2023-11-01 00:00:00"), ("2024-02-28 23:30:00-0130", "2024-02-29 01:00:00"), ("2024-01-01T10:00", "2024-01-01 10:00:00"), ("2024-01-01T10:00:00.25+00:30", "2024-01-01 09:30:00.250000")])
+def test_dates_become_utc(spark, text, want):
+    from mnesis.operators.retrieval import at_utc
+
+    assert str(R.utc(text)) == want == str(spark.range(1).select(at_utc(text).alias("t")).first().t)
