@@ -12,8 +12,9 @@ from mnesis.functions import columns as C
 from mnesis.functions import rules as R
 from mnesis.functions.plugins import HashEmbedder, LexicalReranker
 from mnesis.model import DEFAULT
-from mnesis.operators import evaluate, graph, insight, lifecycle, reads, retrieval, textindex, writes
+from mnesis.operators import changes, evaluate, graph, insight, lifecycle, reads, retrieval, textindex, writes
 from mnesis.operators.retrieval import Recall
+from mnesis.sources.commits import Change, Store
 from mnesis.sources.frames import NOW, Frames, oracle
 from mnesis.sources.store import fresh_path
 
@@ -772,11 +773,13 @@ def _(f):
     return writes.retain_defaults(f.incoming, now()).select("item", "entry_state", F.col("expires_at").cast("string").alias("expires_at"), "dedup_key", "title", "memory_type")
 
 
-@query("retain_batch", f"""WITH a AS (SELECT *, {REASON} AS reason, coalesce(source_tier, 'agent') <> 'user' AND len({_labels_sql(SCANNED_TEXT)}) > 0 AS bad, SHA(concat(bank, chr(0), content)) AS ch, SHA(concat(content, chr(31), context)) AS dk FROM incoming),
+RETAINED = f"""WITH a AS (SELECT *, {REASON} AS reason, coalesce(source_tier, 'agent') <> 'user' AND len({_labels_sql(SCANNED_TEXT)}) > 0 AS bad, SHA(concat(bank, chr(0), content)) AS ch, SHA(concat(content, chr(31), context)) AS dk FROM incoming),
 b AS (SELECT a.*, max(bad) OVER (PARTITION BY request) AS flagged, (SELECT min(id) FROM memories m WHERE {HELD} AND m.bank = a.bank AND m.content_hash = a.ch) AS same, (SELECT min_by(id, seq) FROM memories m WHERE {HELD} AND m.bank = a.bank AND m.dedup_key = a.dk) AS keyed FROM a),
 c AS (SELECT *, min(CASE WHEN reason IS NULL AND NOT flagged AND same IS NULL AND keyed IS NULL THEN item END) OVER (PARTITION BY bank, dk) AS first_item FROM b),
-d AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'invalid' WHEN flagged THEN 'injection' WHEN same IS NOT NULL THEN 'exact' WHEN keyed IS NOT NULL OR first_item < item THEN 'key' ELSE 'accepted' END AS status FROM c)
-SELECT item, status, reason, CASE status WHEN 'exact' THEN same WHEN 'key' THEN keyed END AS existing FROM d""")
+d AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'invalid' WHEN flagged THEN 'injection' WHEN same IS NOT NULL THEN 'exact' WHEN keyed IS NOT NULL OR first_item < item THEN 'key' ELSE 'accepted' END AS status FROM c)"""
+
+
+@query("retain_batch", f"{RETAINED} SELECT item, status, reason, CASE status WHEN 'exact' THEN same WHEN 'key' THEN keyed END AS existing FROM d")
 def _(f):
     return writes.retain(f.incoming, f.memories, now()).select("item", "status", "reason", "existing")
 
@@ -826,6 +829,76 @@ def _(f):
     return closed.unionByName(opened).select("id", F.col("valid_at").cast("string").alias("valid_at"), F.col("invalid_at").cast("string").alias("invalid_at"), "superseded_by", "title")
 
 
+LOGGED = "json_object('bank', bank, 'title', title, 'hash', content_hash, 'source_tier', source_tier, 'ttl_state', ttl_state)"
+
+
+@query("changelog_rows", f"""{RETAINED},
+kept AS (SELECT item AS id, bank, {TITLE}, ch AS content_hash, coalesce(source_tier, 'agent') AS source_tier, entry_state AS ttl_state FROM (SELECT *, {DEFAULTS} FROM (SELECT *, {SCANNED_TEXT} AS t FROM d WHERE status = 'accepted') x) y)
+SELECT 'retain' AS op, id AS memory_id, {LOGGED} AS detail FROM kept
+UNION ALL SELECT 'supersede', id, json_object('new_id', CAST(id + 1000000 AS VARCHAR), 'valid_at', '2024-01-31 00:00:00') FROM memories m WHERE {PATCHED}
+UNION ALL SELECT 'retain', id + 1000000, {LOGGED} FROM (SELECT * REPLACE ('patched' AS title) FROM memories m WHERE {PATCHED}) z
+UNION ALL SELECT 'update', id, CASE WHEN id % 3 = 0 THEN '{{"patched":["priority","body"]}}' ELSE '{{"patched":["priority"]}}' END FROM memories WHERE invalid_at IS NULL AND bank = 'hermes'
+UNION ALL SELECT 'delete', id, '{{"purge":false,"state":"retired"}}' FROM memories WHERE staleness = 'stale' AND ttl_state <> 'retired'
+UNION ALL SELECT 'delete', id, '{{"purge":true,"state":"deleted"}}' FROM memories WHERE ttl_state = 'retired'
+UNION ALL SELECT 'adopt', a.memory_id, json_object('caller', a.caller) FROM access a JOIN memories m ON m.id = a.memory_id WHERE a.kind = 'adopted'""")
+def _(f):
+    """What every write path logs: retain, supersede, patch, delete, purge, adopt."""
+    m, at = f.memories, now()
+    patches = m.where("bank = 'knowledge'").select("id", (F.col("id") + 1_000_000).alias("new_id"), F.lit("patched").alias("title"))
+    fields = m.where("bank = 'hermes'").select("id", F.lit(5).alias("priority"), F.when(F.col("id") % 3 == 0, F.lit("new")).alias("body"))
+    adoptions = f.access.where("kind = 'adopted'").select("id", "memory_id", "caller")
+    logs = [
+        changes.retained(writes.retain(f.incoming, m, at), at)[1], changes.superseded(m, patches, at)[1], changes.patched(m, fields, at)[1], changes.deleted(m, m.where("staleness = 'stale'").select("id"), at)[1],
+        changes.purged(m, m.where("ttl_state = 'retired'").select("id"), at)[2], changes.adopted(m, adoptions, at)[2],
+    ]
+    out = logs[0]
+    for x in logs[1:]:
+        out = out.unionByName(x)
+    return out.select("op", "memory_id", "detail")
+
+
+@query("changelog_consolidate", f"{MERGE}, z AS (SELECT grp, coalesce((SELECT string_agg(source_ref, ',' ORDER BY newest DESC) FROM s WHERE s.grp = k.grp), '') AS refs, min(CASE WHEN n = 1 THEN id END) AS canonical, count(*) AS members, list_sort(list(CAST(id AS VARCHAR)) FILTER (n > 1)) AS others FROM k GROUP BY grp) SELECT 'consolidate' AS op, canonical AS memory_id, json_object('merged_from', others, 'source_refs', refs, 'group_size', members) AS detail FROM z")
+def _(f):
+    members = writes.groups(_pairs(f))
+    plan = writes.merge_plan(members.join(f.memories, "id"))
+    return changes.consolidated(f.memories, plan, members, now())[1].select("op", "memory_id", "detail")
+
+
+@query("commit_replay", "SELECT (SELECT count(*) FROM memories WHERE ttl_state <> 'retired') AS in_use, (SELECT count(*) FROM memories WHERE ttl_state <> 'retired' AND staleness <> 'stale') AS after_delete, (SELECT count(*) FROM memories WHERE staleness = 'stale' AND ttl_state <> 'retired') AS deletions, (SELECT count(*) FROM access a JOIN memories m ON m.id = a.memory_id WHERE a.kind = 'adopted') AS adoptions, (SELECT CAST(sum(adopt_count) AS BIGINT) FROM memories) + (SELECT count(*) FROM access a JOIN memories m ON m.id = a.memory_id WHERE a.kind = 'adopted') AS adopt_counts")
+def _(f):
+    """Writes committed to a store, and read again at the versions before and after."""
+    store = Store(f.spark, fresh_path(f.spark, "store"))
+    store.create("memories", f.memories, "id")
+    store.create("access_events", f.access.limit(0), None)
+    before = store.create("changelog", f.spark.createDataFrame([], changes.LOG), None)
+
+    def delete(m):
+        rows, log = changes.deleted(m, m.where("staleness = 'stale'").select("id"), now())
+        return {"memories": Change("upsert", rows), "changelog": Change("append", log)}
+
+    def adopt(m):
+        rows, events, log = changes.adopted(m, f.access.where("kind = 'adopted'").select("id", "memory_id", "caller"), now())
+        return {"memories": Change("upsert", rows), "access_events": Change("append", events), "changelog": Change("append", log)}
+
+    changes.apply(store, "delete", delete)
+    last = changes.apply(store, "adopt", adopt)
+    one = lambda df, *cols: F.broadcast(df.agg(*cols))  # noqa: E731 - a row each
+    used = F.count_if(F.col("ttl_state") != "retired")
+    log = store.read("changelog", last)
+    return one(store.read("memories", before), used.alias("in_use")).crossJoin(one(store.read("memories", last), used.alias("after_delete"), F.sum("adopt_count").alias("adopt_counts"))).crossJoin(one(log, F.count_if(F.col("op") == "delete").alias("deletions"))).crossJoin(one(store.read("access_events", last), F.count(F.lit(1)).alias("adoptions")))
+
+
+@query("restore_counts", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n_rows FROM {t}" for t in ("access", "edges", "feedback", "memories")))
+def _(f):
+    """All tables copied at one version and restored from the copy, with the counts verified."""
+    spark = f.spark
+    store, copy = Store(spark, fresh_path(spark, "store")), fresh_path(spark, "snapshot")
+    for name, key in (("memories", "id"), ("edges", "id"), ("access", None), ("feedback", None)):
+        store.create(name, getattr(f, name), key)
+    store.snapshot(copy)
+    return Store(spark, fresh_path(spark, "store")).restore(copy).select("name", "n_rows")
+
+
 @query("supersede_inherit", f"SELECT id + 1000000 AS id, bank, domain, source_tier, dedup_key, pinned, memory_type, 5 AS priority, concat('new ', body) AS body, SHA(concat(bank, chr(0), 'new ', body)) AS content_hash, STR(created_at) <> '' AS dated FROM memories m WHERE {PATCHED}")
 def _(f):
     patches = f.memories.where("bank = 'knowledge'").select("id", (F.col("id") + 1_000_000).alias("new_id"), F.lit(5).alias("priority"), F.concat(F.lit("new "), "body").alias("body"), F.lit(None).cast("string").alias("domain"))
