@@ -6,7 +6,6 @@ import tempfile
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,7 +39,8 @@ def nearest(queries: list[tuple[int, str, Sequence[float]]], rows: DataFrame, k:
             if not batch.num_rows:
                 continue
             other, bank = batch.column("id").to_numpy(), np.array(batch.column("bank").to_pylist(), object)
-            x = np.stack([np.asarray(v, float) for v in batch.column("embedding").to_pylist()])
+            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
+            x = flat.astype(float).reshape(len(other), -1)
             norm = np.linalg.norm(x, axis=1, keepdims=True)
             cos = np.floor(q @ np.divide(x, norm, out=np.zeros_like(x), where=norm > 0).T * 1e6 + 0.5) / 1e6
             for i in range(len(ids)):
@@ -219,17 +219,6 @@ def greedy_semantic(batch: list[tuple[int, Sequence[float]]], least: float) -> l
     return kept
 
 
-def dedup_greedy(batch: DataFrame, least: float) -> DataFrame:
-    """request, item and kept of rows (request, item, embedding): each request, which is bounded, is one group; requests run side by side."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("item")
-        kept = set(greedy_semantic(list(zip(pdf["item"], pdf["embedding"], strict=True)), least))
-        return pd.DataFrame({"request": pdf["request"], "item": pdf["item"], "kept": [i in kept for i in pdf["item"]]})
-
-    return batch.select("request", "item", "embedding").groupBy("request").applyInPandas(run, "request long, item long, kept boolean")
-
-
 def semantic_duplicates(batch: DataFrame, known: DataFrame, p: Params = DEFAULT, least: float | None = None) -> DataFrame:
     """For each batch row (id, bank, embedding, created_at), the nearest row of its bank of the dedup_days before, if its cosine reaches the bank's threshold."""
     k = known.select(F.col("id").alias("existing"), F.col("bank").alias("bank2"), F.col("embedding").alias("v"), F.col("created_at").alias("at2"), F.to_date("created_at").alias("day2"))

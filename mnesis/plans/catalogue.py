@@ -12,7 +12,7 @@ from mnesis.functions import columns as C
 from mnesis.functions import rules as R
 from mnesis.functions.plugins import HashEmbedder, LexicalReranker
 from mnesis.model import DEFAULT
-from mnesis.operators import changes, evaluate, graph, insight, lifecycle, reads, retrieval, textindex, writes
+from mnesis.operators import changes, evaluate, graph, insight, lifecycle, reads, retrieval, similar, textindex, writes
 from mnesis.operators.retrieval import Recall
 from mnesis.sources.commits import Change, Store
 from mnesis.sources.frames import NOW, Frames, oracle
@@ -732,10 +732,38 @@ def _(f):
     return writes.semantic_duplicates(rows, rows.where(C.current() & C.live(True)), least=0.1)
 
 
-@query("dedup_batch_greedy", None)
+def greedy_sql(rows: str, least: float) -> str:
+    """CTEs k(bank, kept): the sequential rule over rows (item, bank, embedding), an item at a time."""
+    return f"""g AS (SELECT *, row_number() OVER (PARTITION BY bank ORDER BY item) AS n FROM ({rows}) y),
+e AS (SELECT b.bank, b.item, b.n, coalesce(list(a.item) FILTER (floor(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) * 1000000 + 0.5) / 1000000 >= {least}), []) AS near FROM g b LEFT JOIN g a ON a.bank = b.bank AND a.item < b.item GROUP BY b.bank, b.item, b.n),
+s AS (SELECT bank, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS kept FROM g WHERE n = 1 UNION ALL SELECT e.bank, e.n, CASE WHEN list_has_any(s.kept, e.near) THEN s.kept ELSE list_append(s.kept, e.item) END FROM s JOIN e ON e.bank = s.bank AND e.n = s.n + 1),
+k AS (SELECT bank, arg_max(kept, n) AS kept FROM s GROUP BY bank)"""
+
+
+@query("dedup_batch_greedy", f"WITH RECURSIVE {greedy_sql('SELECT id AS item, label AS bank, embedding FROM vectors', 0.25)} SELECT CAST(g.bank AS BIGINT) AS request, g.item, list_contains(k.kept, g.item) AS kept FROM g JOIN k ON k.bank = g.bank")
+def _(f):
+    """Each label is taken for a request; requests may be larger than a task."""
+    rows = f.vectors.select("id", F.col("label").cast("string").alias("bank"), "embedding", F.lit(0.25).alias("least"))
+    kept = similar.greedy(rows, finish=100).select("id", F.lit(True).alias("kept"))
+    return rows.join(kept, "id", "left").select(F.col("bank").cast("long").alias("request"), F.col("id").alias("item"), F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+NEWS = "created_at > TS(2024-01-31 00:00:00) - DAYS(60)"
+NEARBY = "round(floor(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST({0}.embedding AS DOUBLE[])) * 1000000 + 0.5) / 1000000, 6)"
+
+
+@query("retain_semantic", f"""WITH RECURSIVE v AS (SELECT m.id AS item, m.bank, v.embedding, m.created_at, m.invalid_at, m.ttl_state FROM memories m JOIN vectors v ON v.id = m.id),
+x AS (SELECT * FROM v WHERE {NEWS}), o AS (SELECT * FROM v WHERE NOT ({NEWS}) AND invalid_at IS NULL AND ttl_state <> 'retired'),
+w AS (SELECT x.item, o.item AS other, 0 AS later, {NEARBY.format('o')} AS cos FROM x JOIN o ON o.bank = x.bank WHERE {NEARBY.format('o')} >= 0.3),
+{greedy_sql('SELECT * FROM x WHERE item NOT IN (SELECT item FROM w)', 0.3)},
+z AS (SELECT x.item, y.item AS other, 1 AS later, {NEARBY.format('y')} AS cos FROM x JOIN x y ON y.bank = x.bank AND y.item < x.item JOIN k ON k.bank = y.bank AND list_contains(k.kept, y.item) WHERE {NEARBY.format('y')} >= 0.3 AND x.item NOT IN (SELECT unnest(kept) FROM k)),
+n AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY cos DESC, later, other) AS k FROM (SELECT * FROM w UNION ALL SELECT * FROM z) t)
+SELECT item, CASE later WHEN 0 THEN other END AS existing, CASE later WHEN 1 THEN other END AS earlier, cos FROM n WHERE k = 1""")
 def _(f):
-    rows = f.vectors.select(F.col("label").cast("long").alias("request"), F.col("id").alias("item"), "embedding")
-    return writes.dedup_greedy(rows, 0.25)
+    """What came in the last sixty days against what was there. These tables' vectors are nearly orthogonal: the threshold is far below the banks' own."""
+    rows = f.embedded.where("embedding IS NOT NULL").select("id", "bank", "embedding", "created_at", "invalid_at", "ttl_state")
+    new = F.col("created_at") > now() - C.days(F.lit(60))
+    return similar.semantic_gate(rows.where(new).withColumnRenamed("id", "item"), rows.where(~new & C.current() & C.live(True)), least=0.3, finish=20)
 
 
 def _labels_sql(text: str) -> str:

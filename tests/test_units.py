@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from mnesis.functions import columns as C
 from mnesis.functions import rules as R
 from mnesis.model import DEFAULT
-from mnesis.operators import evaluate, graph, insight, lifecycle, reads, retrieval, writes
+from mnesis.operators import evaluate, graph, insight, lifecycle, reads, retrieval, similar, writes
 from mnesis.sources.frames import dialect, needed
 from mnesis.streaming import access as stream
 
@@ -204,7 +204,8 @@ def test_greedy_duplicates_equal_the_sequential_rule(spark):
 
     rng = np.random.default_rng(2)
     rows = [(int(i % 3), i, [float(x) for x in rng.normal(size=4)]) for i in range(60)]
-    got = {r.item for r in writes.dedup_greedy(spark.createDataFrame(rows, "request long, item long, embedding array<double>"), 0.7).where("kept").collect()}
+    frame = spark.createDataFrame(rows, "request long, id long, embedding array<double>").selectExpr("id", "CAST(request AS STRING) AS bank", "embedding", "0.7D AS least")
+    got = {r.id for r in similar.greedy(frame, finish=3).collect()}
     want = set()
     for q in range(3):
         kept = []
