@@ -12,7 +12,7 @@ from mnesis.functions import columns as C
 from mnesis.functions import rules as R
 from mnesis.functions.plugins import HashEmbedder, LexicalReranker
 from mnesis.model import DEFAULT
-from mnesis.operators import changes, evaluate, graph, insight, lifecycle, reads, retrieval, similar, textindex, writes
+from mnesis.operators import changes, evaluate, graph, insight, lifecycle, reads, retrieval, similar, textindex, vectorindex, writes
 from mnesis.operators.retrieval import Recall
 from mnesis.sources.commits import Change, Store
 from mnesis.sources.frames import NOW, Frames, oracle
@@ -396,6 +396,14 @@ def _(f):
     return routes(f)[0]
 
 
+@query("route_vector_indexed", f"WITH {VEC} SELECT id, rank, score FROM v")
+def _(f):
+    """Over an index of all banks; the exact search."""
+    path = fresh_path(f.spark, "vector-index")
+    vectorindex.vector_index_build(f.embedded.select("id", "bank", "embedding"), path, cells=16)
+    return vectorindex.indexed_vector_route(f.spark, path, probe(f), f.memories, C.current() & C.live())[0]
+
+
 @query("route_fts_tf", f"WITH {FTS} SELECT id, rank, score FROM f")
 def _(f):
     return routes(f)[1]
