@@ -32,8 +32,8 @@ class Reranker(Protocol):
 class HashEmbedder:
     """Words counted by a bucket of their MD5, as a vector of length one (zeros for a text without words)."""
 
-    def __init__(self, dim: int = 64):
-        self.dim = dim
+    def __init__(self, dim: int = 64, instruction: str = QUERY_PREFIX):
+        self.dim, self.instruction = dim, instruction
 
     def counts(self, text: Column) -> Column:
         bucket = F.transform(tokens(F.coalesce(text, F.lit(""))), lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % self.dim)
@@ -45,7 +45,7 @@ class HashEmbedder:
         return F.transform(n, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
 
     def queries(self, text: Column) -> Column:
-        return self.documents(text)
+        return self.documents(F.concat(F.lit(self.instruction), F.coalesce(text, F.lit(""))))
 
 
 class LexicalReranker:

@@ -88,7 +88,6 @@ FROM (SELECT conv_id * 1000 + turn AS item, conv_id AS request, text, role AS co
     CASE conv_id % 6 WHEN 0 THEN 'hermes' WHEN 1 THEN 'hermes-sessions' WHEN 2 THEN 'knowledge' WHEN 3 THEN 'reflection' WHEN 4 THEN 'hermes-docs' ELSE 'elsewhere' END AS bank,
     CASE turn % 4 WHEN 0 THEN 'user' WHEN 1 THEN 'web' WHEN 2 THEN 'agent' END AS source_tier, CASE WHEN turn % 5 = 0 THEN 'semantic' END AS memory_type FROM conversations) i
 LEFT JOIN documents d ON i.item % 10 = 4 AND d.doc_id = i.request * 5""",
-    "gold": "SELECT b.item_id AS qid, d.doc_id AS id FROM benchmark b JOIN documents d ON instr(d.text, b.text) > 0",
 }
 
 
@@ -143,8 +142,3 @@ class Frames:
     hard_queries = cached_property(lambda self: self.sql(FRAMES["hard_queries"]))
     incoming = cached_property(lambda self: self.sql(FRAMES["incoming"]))
     embedded = cached_property(lambda self: self.memories.join(self.vectors.select("id", "embedding"), "id", "left"))
-
-    @cached_property
-    def gold(self) -> DataFrame:
-        """Questions and the documents that hold their text. The questions are a small stated set, sent to all tasks only below the broadcast threshold."""
-        return self.sql(FRAMES["gold"])

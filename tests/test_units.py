@@ -282,3 +282,11 @@ def test_dates_become_utc(spark, text, want):
     from mnesis.operators.retrieval import at_utc
 
     assert str(R.utc(text)) == want == str(spark.range(1).select(at_utc(text).alias("t")).first().t)
+
+
+def test_only_queries_get_the_instruction(spark):
+    from mnesis.functions.plugins import QUERY_PREFIX, HashEmbedder
+
+    e, text = HashEmbedder(16), F.lit("what was said")
+    row = spark.range(1).select(e.queries(text).alias("q"), e.documents(F.lit(QUERY_PREFIX + "what was said")).alias("p"), e.documents(text).alias("d"), HashEmbedder(16, "").queries(text).alias("bare"), e.queries(F.lit(None).cast("string")).alias("none")).first()
+    assert row.q == row.p != row.d == row.bare and any(row.none)
