@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnesis.functions.columns import current
-from mnesis.operators import writes
+from mnesis.model import DEFAULT, OUTCOMES, Params
+from mnesis.operators import averages, writes
 from mnesis.operators.lifecycle import rules
 from mnesis.sources.commits import Change, Conflict, Store
 
@@ -78,6 +79,27 @@ def adopted(memories: DataFrame, adoptions: DataFrame, at: Column) -> tuple[Data
     return rows.select(*memories.columns), events, log_rows(known, "adopt", at, "memory_id", caller="caller")
 
 
+def fed_back(memories: DataFrame, feedback: DataFrame, at: Column, p: Params = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What feedback (seq, memory_id, outcome, caller, grp) does, in order of seq: the rows with their new polarity, last outcome and its time, and adopt_count raised by what was
+    adopted; the access events of these; and the log, a row for each event with the polarity before and after it. State, text and updated_at stay. Events of unknown memories
+    give nothing, unknown outcomes are an error. seq is unique."""
+    known = F.when(F.col("outcome").isin(*OUTCOMES), F.col("outcome")).otherwise(F.raise_error(F.concat(F.lit("unknown outcome: "), F.coalesce("outcome", F.lit("null")))))
+    given = feedback.withColumn("outcome", known)
+    steps = averages.steps(given, memories.select("id", "polarity"), p)
+    each = steps.join(given.select("seq", F.left(F.coalesce("caller", F.lit("")), F.lit(120)).alias("caller"), "grp"), "seq")
+    last = steps.groupBy(F.col("memory_id").alias("id")).agg(F.max_by(F.struct("after", F.col("outcome").alias("said")), "seq").alias("l"), F.count_if(F.col("outcome") == "adopted").alias("adoptions"))
+    new = {"polarity": F.col("l.after"), "outcome": F.col("l.said"), "outcome_at": at, "adopt_count": (F.col("adopt_count") + F.col("adoptions")).cast(dict(memories.dtypes)["adopt_count"])}
+    if "last_accessed_at" in memories.columns:
+        new["last_accessed_at"] = F.when(F.col("adoptions") > 0, at).otherwise(F.col("last_accessed_at"))
+    rows = memories.join(last, "id").withColumns(new).select(*memories.columns)
+    events = each.where("outcome = 'adopted'").select(F.col("seq").alias("id"), "memory_id", at.alias("ts"), F.lit("adopted").alias("kind"), F.when(F.col("caller") != "", F.col("caller")).otherwise("unknown").alias("caller"), F.lit(None).cast("string").alias("query"))
+    fields = [F.col("outcome"), F.col("before").alias("polarity_prev"), F.col("after").alias("polarity"), F.lit(p.ema_alpha).alias("alpha"), F.col("caller")]
+    full = {"ignoreNullFields": "false"}
+    detail = F.when(F.coalesce(F.col("grp") != "", F.lit(False)), F.to_json(F.struct(*fields, F.col("grp").alias("group")), full)).otherwise(F.to_json(F.struct(*fields), full))
+    log = each.select(F.lit("feedback").alias("op"), "memory_id", detail.alias("detail"), at.cast("timestamp_ntz").alias("ts"))
+    return rows, events, log
+
+
 def consolidated(memories: DataFrame, plan: DataFrame, members: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
     """The rows of merged groups, see writes.merged(), and the log: for each canonical row whom it took in, their sources and the group's size."""
     rows = writes.merged(memories.join(members.select("id"), "id", "left_semi"), plan, members, at)
@@ -86,9 +108,9 @@ def consolidated(memories: DataFrame, plan: DataFrame, members: DataFrame, at: C
     return rows, log_rows(each, "consolidate", at, "canonical", merged_from="merged_from", source_refs="source_refs", group_size="members")
 
 
-def moved(scanned: DataFrame, at: Column) -> DataFrame:
+def moved(scanned: DataFrame, at: Column, p: Params = DEFAULT) -> DataFrame:
     """The log of lifecycle.scan(): for each move of a row its states before and after, and the rule."""
-    steps = F.create_map(*[F.lit(x) for name, (source, target, _) in rules(at).items() for x in (name, f"{source} {target}")])
+    steps = F.create_map(*[F.lit(x) for name, (source, target, _) in rules(at, p).items() for x in (name, f"{source} {target}")])
     each = scanned.select("id", F.explode("moves").alias("rule")).withColumn("step", F.split(steps[F.col("rule")], " "))
     return log_rows(each, "lifecycle", at, **{"from": F.col("step")[0], "to": F.col("step")[1], "reason": F.col("rule")})
 

@@ -20,7 +20,9 @@ def access_stats(access: DataFrame, now: Column, p: Params = DEFAULT) -> DataFra
 
 
 def with_stats(memories: DataFrame, access: DataFrame, now: Column, p: Params = DEFAULT) -> DataFrame:
-    return memories.join(access_stats(access, now, p), F.col("id") == F.col("memory_id"), "left").drop("memory_id")
+    """access: the log, or what access_stats() or accesslog.stats() made of it."""
+    stats = access if "last_signal" in access.columns else access_stats(access, now, p)
+    return memories.join(stats, F.col("id") == F.col("memory_id"), "left").drop("memory_id")
 
 
 def rules(now: Column, p: Params = DEFAULT) -> dict[str, tuple[str, str, Column]]:

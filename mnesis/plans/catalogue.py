@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from mnesis.functions import columns as C
 from mnesis.functions import rules as R
 from mnesis.functions.plugins import HashEmbedder, LexicalReranker
 from mnesis.model import DEFAULT
-from mnesis.operators import changes, evaluate, graph, insight, lifecycle, reads, retrieval, similar, textindex, vectorindex, writes
+from mnesis.operators import accesslog, averages, changes, evaluate, graph, insight, lifecycle, reads, retrieval, similar, textindex, vectorindex, writes
 from mnesis.operators.retrieval import Recall
 from mnesis.sources.commits import Change, Store
 from mnesis.sources.frames import NOW, Frames, oracle
@@ -329,7 +330,7 @@ def _(f):
 SELECT e.memory_id, list_reduce(list_prepend(coalesce(m.polarity, 0), e.ts), lambda w, a: floor((w + CAST(0.1 AS DOUBLE) * (a - w)) * 1000000 + 0.5) / 1000000) AS polarity, CAST(len(e.ts) AS BIGINT) AS events
 FROM (SELECT memory_id, list(t ORDER BY seq) AS ts FROM (SELECT memory_id, seq, CAST(CASE outcome WHEN 'adopted' THEN 1 ELSE -1 END AS DOUBLE) AS t FROM feedback) x GROUP BY memory_id) e JOIN memories m ON m.id = e.memory_id""")
 def _(f):
-    return insight.ema(f.feedback, f.memories)
+    return averages.ema(f.feedback, f.memories)
 
 
 RULE = lambda p: p.replace("(?<!自)", "").replace("\\b(git", "(?:^|[^\\w\\p{L}\\p{N}])(git").replace("\\b", "")
@@ -924,6 +925,36 @@ def _(f):
     return one(store.read("memories", before), used.alias("in_use")).crossJoin(one(store.read("memories", last), used.alias("after_delete"), F.sum("adopt_count").alias("adopt_counts"))).crossJoin(one(log, F.count_if(F.col("op") == "delete").alias("deletions"))).crossJoin(one(store.read("access_events", last), F.count(F.lit(1)).alias("adoptions")))
 
 
+@query("changelog_feedback", """
+WITH s AS (SELECT memory_id, seq, outcome, caller, grp, list(CAST(CASE outcome WHEN 'adopted' THEN 1 ELSE -1 END AS DOUBLE)) OVER (PARTITION BY memory_id ORDER BY seq) AS ts FROM feedback),
+q AS (SELECT s.*, m.polarity AS start, list_reduce(list_prepend(coalesce(m.polarity, 0), ts), lambda w, a: floor((w + CAST(0.1 AS DOUBLE) * (a - w)) * 1000000 + 0.5) / 1000000) AS polarity FROM s JOIN memories m ON m.id = s.memory_id)
+SELECT memory_id, seq, outcome, caller, grp, coalesce(lag(polarity) OVER (PARTITION BY memory_id ORDER BY seq), start) AS polarity_prev, polarity, max(seq) OVER (PARTITION BY memory_id) = seq AS kept, count(CASE WHEN outcome = 'adopted' THEN 1 END) OVER (PARTITION BY memory_id) AS adoptions FROM q""")
+def _(f):
+    """All feedback as one write: what is logged for each event, and what the rows then hold, where it was their last."""
+    rows, events, log = changes.fed_back(f.memories, f.feedback.withColumn("grp", F.concat("grp", F.lit("/"), "seq")), now())
+    field = lambda c, t="string": F.get_json_object("detail", f"$.{c}").cast(t)
+    each = log.select("memory_id", F.split_part(field("group"), F.lit("/"), F.lit(2)).cast("long").alias("seq"), *[field(c).alias(c) for c in ("outcome", "caller")], F.split_part(field("group"), F.lit("/"), F.lit(1)).alias("grp"), *[field(c, "double").alias(c) for c in ("polarity_prev", "polarity")])
+    old = f.memories.select(F.col("id").alias("memory_id"), F.col("adopt_count").alias("before"))
+    new = rows.select(F.col("id").alias("memory_id"), F.col("polarity").alias("last"), F.col("adopt_count").alias("after")).join(old, "memory_id").select("memory_id", "last", (F.col("after") - F.col("before")).alias("adoptions"))
+    last = each.groupBy("memory_id").agg(F.max("seq").alias("top"))
+    seen = events.groupBy("memory_id").agg(F.count(F.lit(1)).alias("n"))
+    out = each.join(new, "memory_id").join(last, "memory_id").join(seen, "memory_id", "left")
+    return out.select("memory_id", "seq", "outcome", "caller", "grp", "polarity_prev", "polarity", ((F.col("seq") == F.col("top")) & (F.col("polarity") == F.col("last"))).alias("kept"), F.when(F.col("adoptions") == F.coalesce("n", F.lit(0)), F.col("adoptions")).cast("long").alias("adoptions"))
+
+
+@query("stats_incremental", "SELECT memory_id, STR(max(CASE WHEN kind IN ('recall_hit', 'adopted') THEN ts END)) AS last_signal, STR(max(CASE WHEN kind = 'adopted' THEN ts END)) AS last_adopt, STR(max(ts)) AS last_any, count(CASE WHEN kind = 'recall_hit' AND ts > TS(2024-01-31 00:00:00) - DAYS(30) THEN 1 END) AS hits, count(CASE WHEN kind = 'adopted' AND ts > TS(2024-01-31 00:00:00) - DAYS(30) THEN 1 END) AS adopts FROM access GROUP BY memory_id")
+def _(f):
+    """The access log in three batches, one of which comes twice, with a compaction between."""
+    store, at = Store(f.spark, fresh_path(f.spark, "store")), datetime.fromisoformat(NOW)
+    accesslog.create(store, 8)
+    for number, part in enumerate((0, 1, 1, 2)):
+        accesslog.absorb(store, f.access.where(F.pmod(F.xxhash64("id"), F.lit(3)) == part), "access", number - (number > 1))
+        if number == 1:
+            accesslog.compact(store, at)
+    out = accesslog.stats(store, at)
+    return out.select("memory_id", *[F.col(c).cast("string").alias(c) for c in accesslog.TIMES], "hits", "adopts")
+
+
 @query("restore_counts", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n_rows FROM {t}" for t in ("access", "edges", "feedback", "memories")))
 def _(f):
     """All tables copied at one version and restored from the copy, with the counts verified."""

@@ -23,7 +23,7 @@ class Damaged(RuntimeError):
 
 @dataclass(frozen=True)
 class Change:
-    """append: rows that are new; upsert: rows that take the place of those with their key; delete: keys whose rows go."""
+    """append: rows that are new; upsert: rows that take the place of those with their key; delete: keys whose rows go; replace: rows that are the whole table from now on."""
 
     kind: str
     rows: DataFrame
@@ -35,6 +35,7 @@ class Store:
     A write puts its files into directories of its own, rewriting only the buckets in which it changes rows, and then creates the log's next file, which must not exist:
     of two writers one succeeds. The loser goes on if both only appended, or changed other tables; else it is a Conflict. Files that no version lists are of no effect.
     Creating a file that must not exist is atomic where the file system says so, as HDFS does.
+    A commit may bear a mark, a stream's name and a batch's number: one whose stream is that far already is of no effect, so that a batch that is repeated counts once.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -102,7 +103,9 @@ class Store:
         own, schema = f"data/{name}/{uuid.uuid4().hex}", StructType.fromJson(spec["schema"])
         bucket = free(schema.fieldNames())
         touched = None
-        if change.kind == "append":
+        if change.kind == "replace":
+            touched, rows = list(spec["dirs"]), change.rows.select(*schema.fieldNames())
+        elif change.kind == "append":
             rows = change.rows.select(*schema.fieldNames())
         else:
             if not spec["key"]:
@@ -112,7 +115,7 @@ class Store:
             rows = self._rows(spec, touched).join(keys.withColumnRenamed(spec["key"], "_key").distinct(), F.col(spec["key"]) == F.col("_key"), "left_anti")
             if change.kind == "upsert":
                 rows = rows.unionByName(change.rows.select(*schema.fieldNames()))
-        rows.withColumn(bucket, self._bucket(spec)).repartition(bucket).write.partitionBy(bucket).parquet(f"{self.root}/{own}")
+        rows.withColumn(bucket, self._bucket(spec)).hint("rebalance", bucket).write.partitionBy(bucket).parquet(f"{self.root}/{own}")
         new = {}
         for s in self._fs.listStatus(self._path(f"{self.root}/{own}")):
             if s.isDirectory():
@@ -124,16 +127,27 @@ class Store:
             dirs[b] = [*dirs.get(b, []), d]
         return dirs
 
-    def commit(self, op: str, changes: dict[str, Change], base: int | None = None) -> int:
-        """Make the changes, which were derived from version `base` (the last, if none is said), the next version; its number."""
-        return self._commit(self.entry(base), op, changes, set())
+    def commit(self, op: str, changes: dict[str, Change], base: int | None = None, mark: tuple[str, int] | None = None) -> int:
+        """Make the changes, which were derived from version `base` (the last, if none is said), the next version; its number, or with a mark that is there already the
+        version's that has it."""
+        return self._commit(self.entry(base), op, changes, set(), mark)
 
-    def _commit(self, base: dict, op: str, changes: dict[str, Change], made: set[str]) -> int:
+    def marks(self, version: int | None = None) -> dict[str, int]:
+        """The last batch of each stream."""
+        return self.entry(version).get("marks", {})
+
+    def _commit(self, base: dict, op: str, changes: dict[str, Change], made: set[str], mark: tuple[str, int] | None = None) -> int:
+        own = dict([mark] if mark else [])
+        past = lambda entry: any(entry.get("marks", {}).get(k, -1) >= n for k, n in own.items())
+        if past(base):
+            return base["version"]
         written = {name: self._write(name, base["tables"][name], change) for name, change in changes.items()}
         added = {n: {b: [d for d in dirs if d not in base["tables"][n]["dirs"].get(b, [])] for b, dirs in x.items()} for n, x in written.items()}
-        entry = {"version": base["version"] + 1, "op": op, "tables": {**base["tables"], **{n: base["tables"][n] | {"dirs": d} for n, d in written.items()}}, "kinds": {n: c.kind for n, c in changes.items()}}
+        entry = {"version": base["version"] + 1, "op": op, "tables": {**base["tables"], **{n: base["tables"][n] | {"dirs": d} for n, d in written.items()}}, "kinds": {n: c.kind for n, c in changes.items()}, "marks": base.get("marks", {}) | own}
         while not self._put(entry):
             other = self.entry(entry["version"])
+            if past(other):
+                return other["version"]
             for name, change in changes.items():
                 kind = other["kinds"].get(name)
                 if name in made or (kind is not None and (kind != "append" or change.kind != "append")):
@@ -143,7 +157,7 @@ class Store:
                 theirs = other["tables"][name]["dirs"]
                 dirs = {b: [*theirs.get(b, []), *added[name].get(b, [])] for b in {*theirs, *added[name]}} if change.kind == "append" else written[name]
                 tables[name] = other["tables"][name] | {"dirs": dirs}
-            entry = entry | {"version": other["version"] + 1, "tables": tables}
+            entry = entry | {"version": other["version"] + 1, "tables": tables, "marks": other.get("marks", {}) | own}
         return entry["version"]
 
     # copies
@@ -157,6 +171,7 @@ class Store:
         entry = self.entry(version)
         for name, spec in entry["tables"].items():
             self._rows(spec).write.mode("overwrite").parquet(f"{path}/tables/{name}")
+        self.spark.createDataFrame([(k, n) for k, n in entry.get("marks", {}).items()], "stream string, batch long").coalesce(1).write.mode("overwrite").parquet(f"{path}/marks")
         self.spark.createDataFrame([(n, json.dumps(s | {"dirs": {}})) for n, s in entry["tables"].items()], "name string, spec string").coalesce(1).write.mode("overwrite").parquet(f"{path}/specs")
         self.counts(entry["version"]).coalesce(1).write.mode("overwrite").parquet(f"{path}/counts")
 
@@ -171,7 +186,8 @@ class Store:
         said = self.spark.read.parquet(f"{path}/counts")
         if not said.exceptAll(_counts(rows)).isEmpty():
             raise Damaged("tables differ from the copy's counts")
-        base = {"version": -1, "op": None, "tables": specs}
+        marks = {r.stream: r.batch for r in self.spark.read.parquet(f"{path}/marks").collect()}
+        base = {"version": -1, "op": None, "tables": specs, "marks": marks}
         self._commit(base, "restore", {n: Change("append", r) for n, r in rows.items()}, set(specs))
         return self.counts()
 

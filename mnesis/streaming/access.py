@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,9 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mnesis.model import DEFAULT, OUTCOMES, Params
+from mnesis.operators import accesslog, changes
 from mnesis.operators.lifecycle import scan
+from mnesis.sources.commits import Change, Store
 
 
 def tumbling(access: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -57,6 +60,25 @@ def life_cycle(access: DataFrame, memories: Callable[[], DataFrame], log: Callab
     return access.writeStream.foreachBatch(run)
 
 
+def life_cycle_of_store(access: DataFrame, store: Store, now: Callable[[], datetime], stream: str = "access", p: Params = DEFAULT) -> DataStreamWriter:
+    """The life-cycle timer over a store with memories, changelog and the tables of operators.accesslog: a batch is absorbed, and what the rules then move is committed with its
+    log. Of the log, a trigger reads its own rows and one day's, whatever its length; a trigger that is repeated adds nothing and moves what it hadn't moved."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        accesslog.absorb(store, batch, stream, number)
+        t = now()
+        at = F.lit(str(t)).cast("timestamp_ntz")
+
+        def move(memories: DataFrame) -> dict[str, Change]:
+            moved = scan(memories, accesslog.stats(store, t, p), at, p).where("new_state <> ttl_state")
+            rows = moved.withColumns({"ttl_state": F.col("new_state"), "updated_at": at}).select(*memories.columns)
+            return {"memories": Change("upsert", rows), "changelog": Change("append", changes.moved(moved, at, p))}
+
+        changes.apply(store, "lifecycle", move)
+
+    return access.writeStream.foreachBatch(run)
+
+
 def hits(results: DataFrame, caller: str, query: str, at: Column) -> DataFrame:
     """The access rows that a recall's results leave behind."""
     return results.select(F.col("id").alias("memory_id"), at.alias("ts"), F.lit("recall_hit").alias("kind"), F.lit(caller).alias("caller"), F.lit(query).alias("query"))
