@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime
@@ -13,8 +14,9 @@ from mnesis.functions import columns as C
 from mnesis.functions import rules as R
 from mnesis.functions.plugins import HashEmbedder, LexicalReranker
 from mnesis.model import DEFAULT
-from mnesis.operators import accesslog, averages, changes, evaluate, graph, insight, lifecycle, reads, retrieval, similar, textindex, vectorindex, writes
+from mnesis.operators import accesslog, attachments, autotune, averages, changes, evaluate, graph, insight, lifecycle, packing, reads, retrieval, similar, textindex, vectorindex, writes
 from mnesis.operators.retrieval import Recall
+from mnesis.sources import ingest
 from mnesis.sources.commits import Change, Store
 from mnesis.sources.frames import NOW, Frames, oracle
 from mnesis.sources.store import fresh_path
@@ -540,6 +542,18 @@ def _(f):
     return _reranked(f).select("id", "rank", "blended", "new_rank")
 
 
+MOST = 256
+
+
+@query("rerank_packed", f"WITH t AS (SELECT id, regexp_extract_all(lower(concat(title, chr(10), body)), '[a-z0-9]+') AS w FROM memories) SELECT id, least({MOST}, len(w) + 9) AS tokens, true AS within, round(({' + '.join(f'list_contains(w[1:{MOST} - 9], {t!r})::INT' for t in ASKED)}) / 5.0::DOUBLE, 6) AS relevance FROM t")
+def _(f):
+    """Every memory scored against the question in packs of 4096 tokens, each pair cut to 256, of which the frame takes 4 and the question 5."""
+    pairs = f.memories.select("id", F.lit(" ".join(sorted(ASKED))).alias("query"), F.concat("title", F.lit("\n"), "body").alias("text"))
+    share = lambda pack: [len(set(q) & set(t)) / max(1, len(set(q))) for q, t in pack]
+    out = packing.score_packed(pairs, lambda t: re.findall("[a-z0-9]+", t.lower()), share, 4096, MOST, 4)
+    return out.select("id", "tokens", (F.col("padded") <= 4096).alias("within"), F.round("relevance", 6).alias("relevance"))
+
+
 @query("rerank_ab_diff", f"{BLEND} SELECT count(CASE WHEN a.id <> b.id THEN 1 END) AS moved, count(CASE WHEN a.id <> b.id THEN 1 END) = 0 AS same_order FROM n a JOIN n b ON b.new_rank = a.rank WHERE a.rank <= 5")
 def _(f):
     rows = retrieval.held(_reranked(f).select("id", "rank", "new_rank"))
@@ -955,6 +969,52 @@ def _(f):
     return out.select("memory_id", *[F.col(c).cast("string").alias(c) for c in accesslog.TIMES], "hits", "adopts")
 
 
+LINKED = "FROM pages p JOIN memories m ON m.id = p.page_id % 1000 WHERE p.html IS NOT NULL"
+
+
+@query("attachments_sweep", f"""
+WITH u AS (SELECT p.page_id AS id, m.id AS memory_id, p.html, sha256(p.html) AS content_hash, octet_length(encode(p.html)) AS bytes, m.ttl_state {LINKED}),
+k AS (SELECT * FROM u WHERE id = (SELECT min(id) FROM u x WHERE x.memory_id = u.memory_id AND x.content_hash = u.content_hash))
+SELECT content_hash, max(bytes) AS bytes, count(CASE WHEN ttl_state <> 'retired' AND length(html) % 3 > 0 THEN 1 END) AS refs, count(CASE WHEN ttl_state <> 'retired' AND length(html) % 3 > 0 THEN 1 END) > 0 AS there FROM k GROUP BY content_hash""")
+def _(f):
+    """Pages as attachments of memories. Some are purged, then the retired memories; the sweep takes the content that is left without a reference."""
+    store, at = Store(f.spark, fresh_path(f.spark, "store")), now()
+    store.create("memories", f.memories.select("id", "ttl_state"), "id", 8)
+    store.create("changelog", f.spark.createDataFrame([], changes.LOG), None)
+    attachments.create(store, 8)
+    uploads = f.table("pages").join(f.memories.select(F.col("id").alias("memory_id")), F.col("page_id") % 1000 == F.col("memory_id")).select(F.col("page_id").alias("id"), "memory_id", F.col("html").cast("binary").alias("content"), F.lit("text/html").alias("mime"))
+    store.commit("upload", attachments.uploaded(uploads, store.read("attachments"), store.read("blobs"), at - C.days(F.lit(3))))
+    first = store.version()
+    gone = store.read("attachments").join(f.table("pages").where(F.length("html") % 3 == 0).select(F.col("page_id").alias("id")), "id", "left_semi")
+    store.commit("purge", {"attachments": Change("delete", gone), "memories": Change("delete", f.memories.where("ttl_state = 'retired'"))})
+    last = attachments.sweep(store, at)
+    refs = store.read("attachments", last).groupBy("content_hash").agg(F.count(F.lit(1)).alias("refs"))
+    left = store.read("blobs", last).select("content_hash", F.lit(True).alias("there"))
+    had = store.read("blobs", first).select("content_hash", "bytes")
+    return had.join(refs, "content_hash", "left").join(left, "content_hash", "left").select("content_hash", "bytes", F.coalesce("refs", F.lit(0)).cast("long").alias("refs"), F.coalesce("there", F.lit(False)).alias("there"))
+
+
+@query("ingest_resume", "SELECT count(CASE WHEN trim(text) <> '' THEN 1 END) AS taken, count(DISTINCT CASE WHEN trim(text) <> '' THEN conv_id * 1000 + turn END) AS distinct_taken, count(CASE WHEN trim(coalesce(text, '')) = '' THEN 1 END) AS rejects, CAST(sum(CASE WHEN trim(text) <> '' THEN length(left(text, 60)) END) AS BIGINT) AS title_chars, max(conv_id * 1000 + turn) AS reached FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL")
+def _(f):
+    """All turns as items, by their place: stopped after two batches and taken up again; blank turns are rejects."""
+    turns = f.table("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("seq"), "text")
+    store = Store(f.spark, fresh_path(f.spark, "store"))
+    store.create("items", f.spark.createDataFrame([], "seq long, title string, body string"), None)
+    store.create("rejects", f.spark.createDataFrame([], ingest.REJECT), None)
+
+    def item(part):
+        if any(t is None or not t.strip(" ") for t in part["text"]):
+            raise ValueError("blank text")
+        return part.assign(title=part["text"].str.slice(0, 60), body=part["text"])
+
+    made = lambda rows: ingest.guarded(rows, item, "seq long, title string, body string")
+    span = turns.agg(F.max("seq")).first()[0] // 4 + 1  # a step for each quarter
+    ingest.ingest(store, "items", turns, made, "turns", span, 2)
+    ingest.ingest(store, "items", turns, made, "turns", span)
+    got = store.read("items").agg(F.count(F.lit(1)).alias("taken"), F.count_distinct("seq").alias("distinct_taken"), F.sum(F.length("title")).alias("title_chars"))
+    return got.crossJoin(store.read("rejects").agg(F.count(F.lit(1)).alias("rejects"))).withColumn("reached", F.lit(store.marks()["turns"]).cast("long"))
+
+
 @query("restore_counts", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n_rows FROM {t}" for t in ("access", "edges", "feedback", "memories")))
 def _(f):
     """All tables copied at one version and restored from the copy, with the counts verified."""
@@ -1123,6 +1183,23 @@ def _(f):
     return evaluate.paired_gate(evaluate.mutant_hits(routes_, _gold(f).select("qid", "id"), LADDER))
 
 
+@query("autotune_rounds", None)
+def _(f):
+    """Three rounds with a gate that lets every step pass: the best is held, taken when it is best again, and the third round tries others around what was taken."""
+    from pyspark.sql import Window
+
+    rows = _ranked(f).join(f.memories.select("id", F.col("source_tier").alias("tier"), "priority", "updated_at"), "id")
+    text = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("priority"), F.desc("updated_at"), "id"))
+    routes_ = writes.cut(rows.select("qid", "id", "tier", F.col("rank").alias("vector"), text.alias("text")))
+    gold = writes.cut(_gold(f).select("qid", "id"))
+    p = replace(DEFAULT, gate_delta=-1.0, gate_alpha=1.1)
+    store = Store(f.spark, fresh_path(f.spark, "store"))
+    autotune.create(store)
+    for number in range(3):
+        autotune.play(store, number, lambda ladder, now_: evaluate.paired_gate(evaluate.mutant_hits(routes_, gold, ladder, now_), p), p)
+    return store.read("autotune_ledger").select("round", "snapshot", F.array_join("tried", ",").alias("tried"), "best", F.round("delta", 4).alias("delta"), "decision")
+
+
 @query("eval_pick_questions", "SELECT id, scene FROM (SELECT id, trim(title) AS scene, priority, created_at, row_number() OVER (PARTITION BY trim(title) ORDER BY priority DESC, created_at DESC, id) AS n FROM memories WHERE length(trim(title)) >= 8) x WHERE n = 1 ORDER BY priority DESC, created_at DESC, id LIMIT 36")
 def _(f):
     return evaluate.pick_questions(f.memories, F.col("title"))

@@ -33,21 +33,25 @@ def first_queries(queries: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return queries.withWatermark("ts", f"{p.hard_ttl_days} days").dropDuplicatesWithinWatermark(["key"])
 
 
-def ema_updates(feedback: DataFrame, p: Params = DEFAULT) -> DataFrame:
+def ema_updates(feedback: DataFrame, memories: DataFrame | None = None, p: Params = DEFAULT) -> DataFrame:
     """memory_id, polarity and events after each batch: one number is kept for each memory, whatever its events. Events count in order of seq within a batch; one that comes
-    in a later batch counts when it comes, whatever its seq."""
+    in a later batch counts when it comes, whatever its seq. The first event starts from the polarity that the memory then has (memories: id, polarity), none as 0."""
     a = p.ema_alpha
+    if memories is None:
+        started = feedback.withColumn("start", F.lit(0.0))
+    else:
+        started = feedback.join(memories.select(F.col("id").alias("memory_id"), F.coalesce(F.col("polarity").cast("double"), F.lit(0.0)).alias("start")), "memory_id")
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        value, n = state.get if state.exists else (0.0, 0)
         rows = pd.concat(list(batches)).sort_values("seq")
+        value, n = state.get if state.exists else (float(rows["start"].iloc[0]), 0)
         for outcome in rows["outcome"]:  # each step is rounded, so that no sum of a batch's events stands for them
             if outcome in OUTCOMES:
                 value, n = math.floor((value + a * (OUTCOMES[outcome] - value)) * 1e6 + 0.5) / 1e6, n + 1
         state.update((value, n))
         yield pd.DataFrame({"memory_id": [key[0]], "polarity": [value], "events": [n]})
 
-    return feedback.groupBy("memory_id").applyInPandasWithState(update, "memory_id long, polarity double, events long", "value double, n long", "update", GroupStateTimeout.NoTimeout)
+    return started.groupBy("memory_id").applyInPandasWithState(update, "memory_id long, polarity double, events long", "value double, n long", "update", GroupStateTimeout.NoTimeout)
 
 
 def life_cycle(access: DataFrame, memories: Callable[[], DataFrame], log: Callable[[DataFrame], DataFrame], commit: Callable[[DataFrame, int], None], now: Callable[[], Column], p: Params = DEFAULT) -> DataStreamWriter:
@@ -90,9 +94,13 @@ def after_cursor(rows: DataFrame, cursor: int, most: int = 500) -> DataFrame:
 
 
 def pending(recalls: DataFrame, ttl_seconds: int = 600, cap: int = 64) -> DataFrame:
-    """host, id and ts of the recalled rows (host, id, ts) that wait to be adopted, after each batch: the `cap` latest of each host that are not older than ttl_seconds."""
+    """host, id and ts of the recalled rows (host, id, ts) that wait to be adopted, after each batch: the `cap` latest of each host that are not older than ttl_seconds.
+    The state of a host that stays silent for ttl_seconds, by the clock, goes."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = dict(zip(*state.get, strict=True)) if state.exists else {}
         for batch in batches:
             for i, t in zip(batch["id"], batch["ts"].astype("int64") // 10 ** {"s": 0, "ms": 3, "us": 6, "ns": 9}[batch["ts"].dt.unit], strict=True):
@@ -100,6 +108,7 @@ def pending(recalls: DataFrame, ttl_seconds: int = 600, cap: int = 64) -> DataFr
         latest = max(held.values(), default=0)
         best = sorted(((t, i) for i, t in held.items() if latest - t <= ttl_seconds), reverse=True)[:cap]
         state.update(([i for _, i in best], [t for t, _ in best]))
+        state.setTimeoutDuration(ttl_seconds * 1000)
         yield pd.DataFrame({"host": [key[0]] * len(best), "id": [i for _, i in best], "at": [t for t, _ in best]})
 
-    return recalls.groupBy("host").applyInPandasWithState(update, "host string, id long, at long", "ids array<long>, ats array<long>", "update", GroupStateTimeout.NoTimeout)
+    return recalls.groupBy("host").applyInPandasWithState(update, "host string, id long, at long", "ids array<long>, ats array<long>", "update", GroupStateTimeout.ProcessingTimeTimeout)
