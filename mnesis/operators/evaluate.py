@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,48 @@ def means(per: DataFrame, *by: str) -> DataFrame:
     return per.groupBy(*by, "k").agg(F.count(F.lit(1)).alias("questions"), *[F.round(F.avg(c), 6).alias(c) for c in ("recall_any", "recall_all", "ndcg")])
 
 
+def _best(k: int):
+    def best(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        units = []
+        for t, name in ((asked, "asked"), (rows, "held")):
+            x = t.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
+            norm = np.linalg.norm(x, axis=1, keepdims=True)
+            units.append(np.divide(x, norm, out=np.zeros_like(x), where=norm > 0))
+        qids, ids = asked.column("qid").to_numpy(), rows.column("id").to_numpy()
+        out: list[list[np.ndarray]] = [[], [], []]
+        if len(qids) and len(ids):
+            cos = np.floor(units[0] @ units[1].T * 1e6 + 0.5) / 1e6
+            for q, c in zip(qids, cos, strict=True):
+                ok = np.flatnonzero(ids != q)
+                if len(ok) > k:  # all that are no worse than the k-th, ties included, are sorted
+                    ok = ok[c[ok] >= np.partition(c[ok], len(ok) - k)[len(ok) - k]]
+                top = ok[np.lexsort((ids[ok], -c[ok]))[:k]]
+                for x, y in zip(out, (np.full(len(top), q), ids[top], c[top]), strict=True):
+                    x.append(y)
+        a, b, c = (np.concatenate(x) if x else np.zeros(0) for x in out)
+        return pa.table({"pool": pa.array(np.resize(asked.column("pool").to_numpy() if len(qids) else np.zeros(1), len(a)), pa.int64()), "qid": pa.array(a, pa.int64()), "id": pa.array(b, pa.int64()), "cos": pa.array(c, pa.float64())})
+
+    return best
+
+
+def ranked(questions: DataFrame, rows: DataFrame, k: int = 50, asked: int = 512, block: int = 8192) -> DataFrame:
+    """pool, qid, id, rank and cos (6 digits) of the k rows nearest to each question within its pool, ties to the smaller id; a row whose id is the question's is left out.
+
+    questions: pool, qid, embedding; rows: pool, id, embedding, of one dimension; what has no vector or pool takes no part. Of each pool, blocks of about `asked` questions
+    meet blocks of about `block` rows as matrix products, whose size no pool changes; each gives k rows a question. Nothing is collected.
+    """
+    questions, rows = (x.where(F.col("embedding").isNotNull() & F.col("pool").isNotNull()).withColumn("pool", F.col("pool").cast("long")) for x in (questions, rows))
+    many = lambda df, n, name: df.groupBy("pool").agg(F.ceil(F.count(F.lit(1)) / n).cast("int").alias(name))
+    blocks = many(questions, asked, "qs").join(many(rows, block, "rs"), "pool")
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = questions.join(blocks, "pool").select("pool", F.col("qid").cast("long"), F.col("embedding").alias("asked"), place("qid", "qs").alias("q"), all_of("rs").alias("r"))
+    r = rows.join(blocks, "pool").select("pool", F.col("id").cast("long"), F.col("embedding").alias("held"), all_of("qs").alias("q"), place("id", "rs").alias("r"))
+    got = q.groupBy("pool", "q", "r").cogroup(r.groupBy("pool", "q", "r")).applyInArrow(_best(k), "pool long, qid long, id long, cos double")
+    order = F.row_number().over(Window.partitionBy("pool", "qid").orderBy(F.desc("cos"), "id"))
+    return got.withColumn("rank", order).where(F.col("rank") <= k).select("pool", "qid", "id", "rank", "cos")
+
+
 def within(ranked: DataFrame, candidates: DataFrame) -> DataFrame:
     """The ranking with what is not among a question's candidates (qid, id) taken out, numbered anew."""
     kept = ranked.join(candidates, ["qid", "id"], "left_semi")
@@ -112,13 +156,15 @@ def reciprocal(ranked: DataFrame, gold: DataFrame, scene: DataFrame | None = Non
     return best.agg(F.count(F.lit(1)).alias("questions"), share("r", 5).alias("p5"), F.round(F.avg(F.when(F.col("r") <= 10, 1.0 / F.col("r")).otherwise(0.0)), 6).alias("mrr"), share("s", 5).alias("p5_scene"))
 
 
-def decay_curve(ranked: DataFrame, gold: DataFrame, order: DataFrame, sizes: tuple[int, ...], k: int = 5) -> DataFrame:
-    """size, questions, recall: recall_any at k over nested corpora, the first `size` rows in a shuffled order (id, place); gold rows are in each of them. ranked must be whole."""
-    in_all = gold.select("id").distinct().withColumn("kept", F.lit(True))
-    placed = ranked.join(order, "id").join(in_all, "id", "left").withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).where((F.col("place") <= F.col("size")) | F.col("kept"))
-    new = placed.withColumn("rank", F.row_number().over(Window.partitionBy("size", "qid").orderBy("rank", "id"))).select("size", "qid", "id", "rank")
-    best = gold.join(new, ["qid", "id"]).groupBy("size", "qid").agg(F.min("rank").alias("r"))
-    return best.groupBy("size").agg(F.count(F.lit(1)).alias("questions"), F.round(F.avg((F.col("r") <= k).cast("double")), 6).alias("recall"))
+def decay_curve(questions: DataFrame, rows: DataFrame, gold: DataFrame, order: DataFrame, sizes: tuple[int, ...], k: int = 5) -> DataFrame:
+    """size, questions, recall: recall_any at k over nested corpora, the first `size` rows in a shuffled order (id, place: of the largest size at least); gold rows are in each of
+    them. questions: qid, embedding; rows: id, embedding. A corpus holds its size and the gold rows, and only the k first of each question are ranked."""
+    each = F.explode(F.array(*map(F.lit, sizes))).alias("pool")
+    corpora = order.select("id", "place", each).where(F.col("place") <= F.col("pool")).select("id", "pool").union(gold.select("id").distinct().select("id", each)).distinct()
+    first = ranked(questions.select("qid", "embedding", each), rows.join(corpora, "id"), k)
+    hit = first.join(gold, ["qid", "id"], "left_semi").select("pool", "qid").distinct().withColumn("hit", F.lit(1.0))
+    all_ = gold.join(rows.select("id"), "id", "left_semi").where(F.col("id") != F.col("qid")).select("qid").distinct().select("qid", each)
+    return all_.join(hit, ["pool", "qid"], "left").groupBy(F.col("pool").alias("size")).agg(F.count(F.lit(1)).alias("questions"), F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 6).alias("recall"))
 
 
 def rank_diff(before: DataFrame, after: DataFrame, top: int = 5) -> DataFrame:

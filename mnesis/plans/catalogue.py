@@ -1111,12 +1111,10 @@ def _gold(f: Frames) -> DataFrame:
     return q.join(v, (F.col("label") == F.col("own")) & (F.col("id") != F.col("qid")) & (F.col("id") % 5 == F.floor(F.col("qid") / 50) % 5)).select("qid", "id", (F.col("label") % 3).alias("qtype"))
 
 
-def _ranked(f: Frames, k: int = 50) -> DataFrame:
-    asked = [(r.id, "", r.embedding) for r in f.vectors.where("id % 50 = 0").select("id", "embedding").collect()]
-    near = writes.nearest(asked, f.vectors.select("id", F.lit("").alias("bank"), "embedding"), k)
-    from pyspark.sql import Window
-
-    return near.select(F.col("id").alias("qid"), F.col("other").alias("id"), F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cos"), "other")).alias("rank"))
+def _ranked(f: Frames, k: int = 50, pools: int = 1) -> DataFrame:
+    """The nearest rows of each question: among all, or among those whose id has a remainder by `pools` that the question states."""
+    asked = f.vectors.where("id % 50 = 0").select((F.floor(F.col("id") / 50) % pools).alias("pool"), F.col("id").alias("qid"), "embedding")
+    return evaluate.ranked(asked, f.vectors.select((F.col("id") % pools).alias("pool"), "id", "embedding"), k).select("qid", "id", "rank")
 
 
 @query("eval_recall_global", f"WITH {RANKED}, {MEASURE.format('ranked')} SELECT {MEANS} GROUP BY k")
@@ -1131,8 +1129,7 @@ FLAT = "flat AS (SELECT w.qid, w.id, row_number() OVER (PARTITION BY w.qid ORDER
 @query("eval_recall_at_k", f"WITH {RANKED}, {FLAT}, {MEASURE.format('flat')} SELECT {MEANS} GROUP BY k")
 def _(f):
     """Among each question's candidates: a fifth of the rows."""
-    whole = _ranked(f, 1 << 30)
-    return evaluate.means(evaluate.per_question(evaluate.within(whole, whole.where(F.col("id") % 5 == F.floor(F.col("qid") / 50) % 5)), _gold(f)))
+    return evaluate.means(evaluate.per_question(_ranked(f, pools=5), _gold(f)))
 
 
 @query("eval_by_type", f"WITH {RANKED}, {MEASURE.format('ranked')} SELECT qtype, {MEANS} GROUP BY qtype, k")
@@ -1150,8 +1147,11 @@ def _(f):
 def _(f):
     from pyspark.sql import Window
 
-    place = f.vectors.select("id", F.row_number().over(Window.orderBy(F.md5(F.col("id").cast("string")), "id")).alias("place"))
-    return evaluate.decay_curve(_ranked(f, 1 << 30), _gold(f).select("qid", "id"), place, (50, 100, 200, 400))
+    sizes, key = (50, 100, 200, 400), F.md5(F.col("id").cast("string"))
+    first = f.vectors.select("id", key.alias("key")).orderBy("key", "id").limit(max(sizes))
+    place = first.select("id", F.row_number().over(Window.orderBy("key", "id")).alias("place"))
+    asked = f.vectors.where("id % 50 = 0").select(F.col("id").alias("qid"), "embedding")
+    return evaluate.decay_curve(asked, f.vectors.select("id", "embedding"), _gold(f).select("qid", "id"), place, sizes)
 
 
 @query("eval_bm25", """WITH asked AS (SELECT item_id AS qid, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS term FROM benchmark), w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS ws FROM documents), s AS (SELECT count(*) AS docs, avg(len(ws)) AS mean FROM w),

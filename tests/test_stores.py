@@ -124,3 +124,35 @@ def test_packs_stay_within_the_budget(spark):
     with pytest.raises(ValueError, match="budget"):
         packing.score_packed(pairs, str.split, score, 49, 50)
     assert packing.score_packed(pairs.limit(0), str.split, score).count() == 0
+
+
+def test_quantiles_by_index(spark):
+    from mnesis.operators import reads
+
+    r = random.Random(6)
+    rows = [("a", float(r.choice([1, 1, 1, r.random() * 9]))) for _ in range(5000)] + [("b", None), ("b", None), ("b", 3.0)] + [("c", 7.0)] * 400 + [("d", None)] + [("e", float(i)) for i in range(997)]
+    got = {x.kind: tuple(x)[1:] for x in reads.latency(spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(rows)], "kind string, value double, id long").repartition(5), 1, 50, 95, 100).collect()}
+    for kind in "abcde":
+        v = sorted((x for k, x in rows if k == kind), key=lambda x: (x is not None, x or 0))
+        assert got[kind] == tuple(v[max(1, len(v) * s // 100) - 1] for s in (1, 50, 95, 100))
+
+
+@pytest.mark.parametrize(("asked", "block"), [(3, 7), (512, 8192)])
+def test_rankings_in_blocks_equal_all_pairs(spark, asked, block):
+    import numpy as np
+
+    from mnesis.operators import evaluate
+
+    g = np.random.default_rng(7)
+    x = g.integers(-2, 3, (60, 4)).astype(float)
+    rows = [(i % 2, i, x[i].tolist()) for i in range(60)] + [(1, 60, None), (None, 61, [0.0] * 4)]
+    q = [(p, i, x[i].tolist()) for p in (0, 1) for i in range(0, 60, 5)] + [(9, 3, x[3].tolist()), (0, 4, None)]
+    schema = "pool long, {} long, embedding array<double>"
+    got = evaluate.ranked(spark.createDataFrame(q, schema.format("qid")), spark.createDataFrame(rows, schema.format("id")), 6, asked, block).collect()
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    want = []
+    for p, i, e in q:
+        if e and p < 9:
+            each = sorted((-np.floor(unit[i] @ unit[j] * 1e6 + 0.5) / 1e6, j) for j in range(60) if j != i and j % 2 == p)[:6]
+            want += [(p, i, j, n + 1, -c) for n, (c, j) in enumerate(each)]
+    assert sorted((r.pool, r.qid, r.id, r["rank"], r.cos) for r in got) == sorted(want)
