@@ -78,3 +78,26 @@ def auto_score() -> Column:
     clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
     use = F.least(F.lit(1.0), F.log(F.lit(1.0) + F.col("access_count").cast("double")) / F.log(F.lit(51.0)))
     return F.lit(0.5) * clamp((F.coalesce("polarity", F.lit(0.0)) - 0.5) / 0.5) + F.lit(0.3) * F.least(F.lit(1.0), F.col("adopt_count").cast("double") / 10.0) + F.lit(0.2) * use
+
+
+def normalized_query(query: Column) -> Column:
+    """White space of any kind as one space, none at the ends, lower case; null as empty."""
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(query, F.lit("")), r"(?U)[\s\x1c-\x1f]+", " ")))
+
+
+def query_key(query: Column) -> Column:
+    """What failed queries are told apart by."""
+    return F.sha2(normalized_query(query), 256)
+
+
+def vector_text(vector: Column) -> Column:
+    """A vector as text for export: [x,y,...] with seven decimals, halves to even; null stays."""
+    size = lambda x: F.format_string("%.7f", F.bround(F.abs(x.cast("double")).cast("decimal(38,18)"), 7))
+    return F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: F.concat(F.when(x < 0, "-").otherwise(""), size(x))), ","), F.lit("]"))
+
+
+def uuid7(at: Column | None = None) -> Column:
+    """A random UUID of version 7, which begins with the time in milliseconds (now, if none is given), as text. Another one each time it is computed: write it before it is used twice."""
+    ms = F.lpad(F.lower(F.hex(F.unix_millis(F.current_timestamp() if at is None else at.cast("timestamp")))), 12, "0")
+    chance = F.uuid()
+    return F.concat(F.left(ms, F.lit(8)), F.lit("-"), F.right(ms, F.lit(4)), F.lit("-7"), F.substring(chance, 16, 3), F.substring(chance, 19, 18))

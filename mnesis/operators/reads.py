@@ -95,6 +95,18 @@ def reconcile(expected: DataFrame, present: DataFrame) -> DataFrame:
     return a.join(b, "id", "left_anti").withColumn("side", F.lit("missing")).unionByName(b.join(a, "id", "left_anti").withColumn("side", F.lit("extra")))
 
 
+def gold_missing(expected: DataFrame, present: DataFrame, gold: DataFrame) -> DataFrame:
+    """qid, missing and of: the questions that lose right rows (gold: qid, id) to what was expected and is not there, how many they lose, and of how many."""
+    lost = reconcile(expected, present).where("side = 'missing'").select("id", F.lit(1).alias("lost"))
+    each = gold.select("qid", "id").distinct().join(lost, "id", "left").groupBy("qid").agg(F.count("lost").alias("missing"), F.count(F.lit(1)).alias("of"))
+    return each.where("missing > 0")
+
+
+def sampled(rows: DataFrame, seed: str, n: int, key: str = "id") -> DataFrame:
+    """n rows, the first in the order of a hash of seed and key: the same in each run and engine."""
+    return rows.withColumn("_order", F.md5(F.concat(F.lit(seed), F.lit(":"), F.col(key).cast("string")))).orderBy("_order", key).limit(n).drop("_order")
+
+
 def state_summary(memories: DataFrame) -> DataFrame:
     """Rows by state, all states named."""
     states = memories.sparkSession.createDataFrame([(s,) for s in STATES], "ttl_state string")

@@ -73,16 +73,22 @@ def similar_pairs(memories: DataFrame, now: Column, p: Params = DEFAULT, best: i
 
 
 def groups(pairs: DataFrame) -> DataFrame:
-    """id and grp, the least id that pairs lead to. Labels go from neighbour to neighbour until none changes; each round is a checkpoint."""
-    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"))).distinct()
-    both = cut(both)
-    label = cut(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("grp")))
+    """id and grp, the least id that pairs lead to. Each round gives a node's larger neighbours its least one, then its smaller ones (large and small stars), so that long
+    chains halve; a hub's rows are aggregated before they meet, never gathered. Each round is a checkpoint, and its rows are no more than the pairs."""
+    arcs = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    single = pairs.where("a = b").select(F.col("a").alias("id"), F.col("a").alias("grp"))
+    arcs = cut(arcs)
     while True:
-        near = both.join(label.select(F.col("id").alias("other"), F.col("grp").alias("g")), "other").groupBy("id").agg(F.min("g").alias("g"))
-        new = cut(label.join(near, "id").select("id", F.least("grp", "g").alias("grp"), (F.col("g") < F.col("grp")).alias("moved")))
-        label = new.select("id", "grp")
-        if new.where("moved").isEmpty():
-            return label
+        both = arcs.unionByName(arcs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy(F.col("u").alias("c")).agg(F.least(F.col("c"), F.min("v")).alias("m"))
+        large = both.join(least, F.col("u") == F.col("c")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
+        moved = large.join(least, F.col("u") == F.col("c")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        arcs = cut(moved.unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct())
+        # done when all are stars: no centre hangs on another, no node has two
+        if arcs.join(arcs.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() and arcs.groupBy("u").count().where("count > 1").isEmpty():
+            label = arcs.select(F.col("u").alias("id"), F.col("v").alias("grp")).unionByName(arcs.select(F.col("v").alias("id"), F.col("v").alias("grp")))
+            return label.unionByName(single.join(label.select("id"), "id", "left_anti")).distinct()
 
 
 def cut(df: DataFrame) -> DataFrame:

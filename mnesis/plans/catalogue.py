@@ -121,6 +121,29 @@ def _(f):
     return reads.reconcile(f.table("documents").select(F.col("doc_id").alias("id")), f.table("embeddings").select(F.col("vec_id").alias("id")))
 
 
+@query("reconcile_gold", "SELECT src AS qid, count(CASE WHEN v.vec_id IS NULL THEN 1 END) AS missing, count(*) AS of FROM (SELECT DISTINCT src, dst FROM edges WHERE dst IS NOT NULL) g LEFT JOIN embeddings v ON v.vec_id = g.dst GROUP BY src HAVING count(CASE WHEN v.vec_id IS NULL THEN 1 END) > 0")
+def _(f):
+    """Memories whose neighbours should have a vector and have none."""
+    gold = f.edges.where("dst IS NOT NULL").select(F.col("src").alias("qid"), F.col("dst").alias("id"))
+    return reads.gold_missing(f.table("documents").select(F.col("doc_id").alias("id")), f.table("embeddings").select(F.col("vec_id").alias("id")), gold)
+
+
+@query("export_vectors", "SELECT id, concat('[', array_to_string(list_transform(embedding, lambda x: printf('%.7f', CAST(x AS DOUBLE))), ','), ']') AS vector FROM vectors")
+def _(f):
+    return f.vectors.select("id", C.vector_text(F.col("embedding")).alias("vector"))
+
+
+@query("hard_query_keys", "SELECT sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS key, count(*) AS n, min(conv_id * 1000 + turn) AS first_id FROM conversations WHERE role = 'user' GROUP BY 1")
+def _(f):
+    rows = f.table("conversations").where("role = 'user'").select(C.query_key(F.col("text")).alias("key"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
+    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+
+
+@query("eval_sample", "SELECT id, bank FROM memories ORDER BY md5(concat('7:', STR(id))), id LIMIT 100")
+def _(f):
+    return reads.sampled(f.memories.select("id", "bank"), "7", 100)
+
+
 @query("parse_session_date", "SELECT item, STR(TRY_CAST(CASE WHEN regexp_matches(d, '\\d{4}/\\d{2}/\\d{2}.*?\\d{2}:\\d{2}') THEN regexp_replace(d, '^.*?(\\d{4})/(\\d{2})/(\\d{2}).*?(\\d{2}):(\\d{2}).*$', '\\1-\\2-\\3 \\4:\\5:00') END AS TIMESTAMP)) AS at FROM (SELECT conv_id * 1000 + turn AS item, concat('on 2023/', lpad(STR(1 + conv_id % 14), 2, '0'), '/', lpad(STR(1 + turn % 28), 2, '0'), ' (Fri) ', CASE WHEN turn % 5 = 0 THEN 'late' ELSE '09:30' END) AS d FROM conversations) x")
 def _(f):
     pad = lambda c: F.lpad(c.cast("string"), 2, "0")

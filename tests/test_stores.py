@@ -156,3 +156,50 @@ def test_rankings_in_blocks_equal_all_pairs(spark, asked, block):
             each = sorted((-np.floor(unit[i] @ unit[j] * 1e6 + 0.5) / 1e6, j) for j in range(60) if j != i and j % 2 == p)[:6]
             want += [(p, i, j, n + 1, -c) for n, (c, j) in enumerate(each)]
     assert sorted((r.pool, r.qid, r.id, r["rank"], r.cos) for r in got) == sorted(want)
+
+
+def test_groups_of_chains_hubs_and_rings(spark):
+    from mnesis.operators import writes
+
+    r = random.Random(8)
+    names = list(range(400))
+    r.shuffle(names)
+    pairs = [(names[i], names[i + 1]) for i in range(120)] + [(names[200], names[i]) for i in range(201, 300)] + [(names[300 + i], names[300 + (i + 1) % 20]) for i in range(20)] + [(names[350], names[350]), (names[5], names[60]), (names[60], names[5])]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = writes.groups(spark.createDataFrame(pairs, "a long, b long"))
+    assert sorted(map(tuple, got.select("id", "grp").collect())) == sorted((x, find(x)) for x in root)
+    assert writes.groups(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_ids_keys_and_files(spark, tmp_path):
+    import hashlib
+    import re
+    import uuid
+
+    from mnesis.functions import columns as C
+    from mnesis.sources import sinks
+
+    rows = spark.range(200).select(C.uuid7(F.lit("2024-01-02 03:04:05.678").cast("timestamp")).alias("u"), C.uuid7().alias("v")).collect()
+    ids = [uuid.UUID(x.u) for x in rows]
+    assert len(set(ids)) == 200 and all(i.version == 7 and i.variant == uuid.RFC_4122 and i.int >> 80 == 1704164645678 for i in ids) and all(uuid.UUID(x.v).version == 7 for x in rows)
+    texts = ["  A\t b　C ", None, "", "x\x1fy\n", "ÄÖ  ü"]
+    got = [x.k for x in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(C.query_key(F.col("t")).alias("k")).collect()]
+    assert got == [hashlib.sha256(re.sub(r"\s+", " ", (t or "").strip()).lower().encode()).hexdigest() for t in texts]
+    assert spark.range(1).select(C.vector_text(F.array(F.lit(0.5), F.lit(-1.0), F.lit(1e-9))).alias("t")).first().t == "[0.5000000,-1.0000000,0.0000000]"
+    df = spark.sql("SELECT 1 AS id, 'a, \"b\"' AS reason, TIMESTAMP_NTZ '2024-01-02 03:04:05' AS at, array(1, 2) AS ids, CAST(NULL AS STRING) AS note")
+    sinks.change_list(df, str(tmp_path / "csv"))
+    back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv")).first()
+    assert (back.id, back.reason, back["at"], back.ids, back.note) == ("1", 'a, "b"', "2024-01-02T03:04:05", "[1,2]", None)
+    sinks.proposals(df, str(tmp_path / "json"))
+    assert [x.value for x in spark.read.text(str(tmp_path / "json")).collect()] == ['{"id":1,"reason":"a, \\"b\\"","at":"2024-01-02T03:04:05","ids":[1,2]}']
+    with pytest.raises(Exception, match="exist"):
+        sinks.proposals(df, str(tmp_path / "json"))
