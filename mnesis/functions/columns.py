@@ -92,7 +92,7 @@ def query_key(query: Column) -> Column:
 
 def vector_text(vector: Column) -> Column:
     """A vector as text for export: [x,y,...] with seven decimals, halves to even; null stays."""
-    size = lambda x: F.format_string("%.7f", F.bround(F.abs(x.cast("double")).cast("decimal(38,18)"), 7))
+    size = lambda x: F.format_string("%.7f", F.bround(F.abs(x.cast("double")).cast("decimal(38,18)"), 7).cast("double"))
     return F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: F.concat(F.when(x < 0, "-").otherwise(""), size(x))), ","), F.lit("]"))
 
 
