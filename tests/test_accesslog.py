@@ -110,3 +110,14 @@ def test_the_timer_reads_state_alone(spark, tmp_path):
     moved = store.read("memories").join(f.memories.select("id", F.col("ttl_state").alias("old")), "id").where("old <> ttl_state").count()
     assert moved > 0 and store.read("changelog").select("memory_id").distinct().count() >= moved
     assert lifecycle.scan(store.read("memories"), accesslog.stats(store, t), at(t)).where("new_state <> ttl_state").count() <= moved
+
+
+def test_averages_of_a_stream_start_where_the_memory_is(spark, tmp_path):
+    from mnesis.streaming import access as stream
+
+    f = feedback(spark, 60, 0.3).where("memory_id < 4 AND outcome <> 'other'")
+    m = spark.createDataFrame([(0, 0.5), (1, None), (2, -0.25), (3, 1.0)], "id long, polarity double")
+    f.coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = stream.ema_updates(spark.readStream.schema(f.schema).parquet(str(tmp_path / "in")), m).writeStream.format("memory").queryName("started").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted(map(tuple, spark.table("started").collect())) == sorted(map(tuple, insight.ema(f, m).collect()))
