@@ -103,11 +103,21 @@ def mcnemar(b: int, c: int) -> float:
 
 
 def mcnemar_p(b: Column, c: Column) -> Column:
-    """mcnemar() of columns: the tail of a fair binomial as a sum of logarithms of its terms."""
-    n, least = (b + c).cast("int"), F.least(b, c).cast("int")
-    choose = lambda i: F.aggregate(F.sequence(F.lit(0), i), F.lit(0.0), lambda s, j: s + F.when(j > 0, F.log((n - j + 1).cast("double")) - F.log(j.cast("double"))).otherwise(0.0))
-    tail = F.aggregate(F.transform(F.sequence(F.lit(0), least), lambda i: F.exp(choose(i) - n * F.log(F.lit(2.0)))), F.lit(0.0), lambda s, x: s + x)
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
+    """mcnemar() of columns: the tail of a fair binomial as its last term times the sum of the others' ratios to it, some 6 sqrt(b + c) steps.
+
+    Of n = b + c, the term j places before the last is at most exp(-2 j^2 / n) of it: those left out are less than a double can tell from the sum. The last term of up to a
+    thousand pairs is a product from 2^-n on; of more it is Stirling's, whose exponents are small, so that no digits cancel.
+    """
+    n, k = (b + c).cast("double"), F.least(b, c).cast("double")
+    upto = lambda m: F.sequence(F.lit(0).cast("long"), F.greatest(m, F.lit(1.0)).cast("long") - 1)  # noqa: E731 - at least one step, which adds nothing where m is 0
+    product = F.aggregate(upto(F.least(k, F.lit(500.0))), F.pow(F.lit(2.0), -n), lambda t, j: F.when(j < k, t * (n - j) / (j + 1.0)).otherwise(t))
+    x, y = F.greatest(k, F.lit(1.0)), n - F.greatest(k, F.lit(1.0))
+    rest = lambda v: 1 / (12.0 * v) - 1 / (360.0 * v * v * v) + 1 / (1260.0 * v * v * v * v * v)
+    stirling = F.sqrt(n / (2 * math.pi * x * y)) * F.exp(rest(n) - rest(x) - rest(y) - x * F.log1p((x - y) / n) - y * F.log1p((y - x) / n))
+    state = lambda term, total: F.struct(term.alias("term"), total.alias("total"))
+    ratio = lambda s, j: s["term"] * (k - j) / (n - k + j + 1.0)
+    ratios = F.aggregate(upto(F.least(k, F.ceil(6 * F.sqrt(n)).cast("double"))), state(F.lit(1.0), F.lit(1.0)), lambda s, j: state(ratio(s, j), s["total"] + ratio(s, j)))["total"]
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.when(n <= 1000, product).otherwise(stirling) * ratios))
 
 
 def paired_gate(hits: DataFrame, p: Params = DEFAULT) -> DataFrame:
