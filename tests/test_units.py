@@ -9,6 +9,7 @@ from mnesis.functions import columns as C
 from mnesis.functions import rules as R
 from mnesis.model import DEFAULT
 from mnesis.operators import evaluate, graph, insight, lifecycle, reads, retrieval, similar, writes
+from mnesis.plans import catalogue
 from mnesis.sources.frames import dialect, needed
 from mnesis.streaming import access as stream
 
@@ -273,6 +274,13 @@ def test_exports_and_the_pool_of_failed_queries(spark, tmp_path):
     assert sorted(r.id for r in reads.hard_pool(queries).collect()) == [0, 2, 4]
 
 
+def test_a_failed_query_is_listed_once_however_late_it_comes_again(spark, tmp_path):
+    """The query keeps to its SQL: the first of each text."""
+    rows = [(c, t, "user", f"the same words {t}") for c in (1, 40, 400) for t in (1, 2)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert sorted(r.id for r in catalogue.QUERIES["hard_query_cap"](spark, str(tmp_path)).collect()) == [1001, 1002]
+
+
 def test_pending_recalls_and_the_life_cycle_timer(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.sql("SELECT 'h' AS host, id, timestamp_seconds(1704067200 + id * 60) AS ts FROM range(30)").write.parquet(source)
