@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,22 +80,87 @@ def within(ranked: DataFrame, candidates: DataFrame) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank", "id")))
 
 
-def bm25(questions: DataFrame, docs: DataFrame, top: int = 50, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, length, term and tf of the distinct words of each row (id, words)."""
+    for batch in batches:
+        words = batch.column("words")
+        size = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        if len(coded):
+            row, code = np.divmod(np.repeat(np.arange(len(size)), size) * len(coded.dictionary) + coded.indices.to_numpy(), len(coded.dictionary))
+            order = np.lexsort((code, row))
+            row, code = row[order], code[order]
+            at = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])])
+            tf = np.diff(np.r_[at, len(row)])
+            for k in range(0, len(at), 65536):
+                x = at[k : k + 65536]
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row[x])), pa.array(size[row[x]]), coded.dictionary.take(pa.array(code[x])), pa.array(tf[k : k + 65536])], names=["id", "length", "term", "tf"])
+
+
+def _scored(top: int, k1: float, b: float):
+    def scored(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[], [], []]
+        terms = asked.column("term").unique()
+        code = pc.index_in(rows.column("term"), value_set=terms)
+        known = pc.is_valid(code)
+        rows, code = rows.filter(known), code.filter(known).to_numpy()
+        if rows.num_rows:
+            qids, of = np.unique(asked.column("qid").to_numpy(), return_inverse=True)
+            weight = np.zeros((len(terms), len(qids)))
+            has = np.zeros(weight.shape, np.float32)
+            place = pc.index_in(asked.column("term"), value_set=terms).to_numpy()
+            np.add.at(weight, (place, of), asked.column("weight").to_numpy())
+            has[place, of] = 1
+            tf, length, mean = (rows.column(c).to_numpy().astype(float) for c in ("tf", "length", "mean"))
+            part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+            ids, doc = np.unique(rows.column("id").to_numpy(), return_inverse=True)
+            order = np.argsort(doc, kind="stable")
+            cuts = np.searchsorted(doc[order], np.arange(0, len(ids) + 512, 512))
+            for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):  # a matrix of 512 docs at once
+                x, own = order[i:j], ids[k * 512 : (k + 1) * 512]
+                counts = np.zeros((len(own), len(terms)))
+                np.add.at(counts, (doc[x] - k * 512, code[x]), part[x])
+                score, met = np.floor(counts @ weight * 1e6 + 0.5) / 1e6, (counts > 0).astype(np.float32) @ has > 0
+                for q in range(len(qids)):
+                    ok = np.flatnonzero(met[:, q])
+                    s = score[ok, q]
+                    best = np.lexsort((own[ok], -s))[:top]
+                    for y, z in zip(out, (np.full(len(best), qids[q]), own[ok[best]], s[best]), strict=True):
+                        y.append(z)
+        q, i, s = (np.concatenate(x) if x else np.zeros(0) for x in out)
+        if len(q):
+            order = np.lexsort((i, -s, q))
+            q, i, s = q[order], i[order], s[order]
+            first = np.arange(len(q)) - np.searchsorted(q, q) < top
+            q, i, s = q[first], i[first], s[first]
+        return pa.table({"qid": pa.array(q, pa.int64()), "id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
+
+    return scored
+
+
+def bm25(questions: DataFrame, docs: DataFrame, top: int = 50, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, block: int = 4096, at_once: int = 512) -> DataFrame:
     """qid, id, rank and score (6 digits) of the `top` best docs (id, text) for each question (qid, text) by Okapi's BM25 over words in lower case, split at white space. A term
-    that over half of the docs have weighs `floor` times the mean weight of all terms. Only terms that some question has are counted in the docs."""
+    that over half of the docs have weighs `floor` times the mean weight of all terms.
+
+    A doc's words are counted where it is read. All terms' numbers of docs are added up before they are shuffled; of the counts only those of terms that some question has
+    go on, to blocks of about `block` docs, which meet blocks of about `at_once` questions as a matrix product. Each gives `top` rows a question."""
     split = lambda c: F.filter(F.split(F.lower(F.col(c)), r"\s+"), lambda x: x != "")
-    asked = questions.select("qid", F.explode(split("text")).alias("term"))
-    words = docs.select("id", split("text").alias("words")).withColumn("length", F.size("words"))
-    tf = words.select("id", "length", F.explode("words").alias("term")).groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    size = words.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
+    asked = questions.select(F.col("qid").cast("long").alias("qid"), F.explode(split("text")).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("n"))
+    words = docs.select(F.col("id").cast("long").alias("id"), split("text").alias("words"))
+    tf = words.mapInArrow(_counted, "id long, length long, term string, tf long")
+    size = words.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("words")).alias("mean"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(size))
     raw = df.withColumn("raw", F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     usual = raw.agg(F.avg("raw").alias("usual"))
-    idf = raw.crossJoin(F.broadcast(usual)).select("term", "mean", F.when(F.col("raw") < 0, F.lit(floor) * F.col("usual")).otherwise(F.col("raw")).alias("idf"))
-    part = F.col("idf") * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("length") / F.col("mean")))
-    scored = asked.join(idf, "term").join(tf, "term").groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    idf = raw.join(asked.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(usual)).select("term", F.when(F.col("raw") < 0, F.lit(floor) * F.col("usual")).otherwise(F.col("raw")).alias("idf"))
+    blocks = size.select("mean", F.greatest(F.lit(1.0), F.ceil(F.col("docs") / block)).cast("int").alias("rs")).crossJoin(F.broadcast(questions.agg(F.greatest(F.lit(1.0), F.ceil(F.count(F.lit(1)) / at_once)).cast("int").alias("qs"))))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(idf, "term").crossJoin(F.broadcast(blocks)).select("qid", "term", (F.col("n") * F.col("idf")).alias("weight"), place("qid", "qs").alias("q"), all_of("rs").alias("r"))
+    right = tf.join(asked.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(blocks)).select("id", "length", "term", "tf", "mean", all_of("qs").alias("q"), place("id", "rs").alias("r"))
+    got = left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInArrow(_scored(top, k1, b), "qid long, id long, score double")
     order = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("id")))
-    return scored.withColumn("rank", order).where(F.col("rank") <= top).select("qid", "id", "rank", "score")
+    return got.withColumn("rank", order).where(F.col("rank") <= top).select("qid", "id", "rank", "score")
 
 
 def mcnemar(b: int, c: int) -> float:

@@ -337,3 +337,33 @@ def test_the_hash_embedder_hashes_each_word_once(spark):
     began = time.time()
     many.select(F.sum(HashEmbedder().counts(F.col("text"))[0])).collect()
     assert time.time() - began < 20  # 800,000 words; 51 million hashes took minutes
+
+
+def test_bm25_in_blocks_equals_the_sum_over_terms(spark):
+    """Small blocks of docs and questions against a direct sum; words of no question leave the tasks as one number each."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(5)
+    word = lambda: f"w{int(rng.paretovariate(0.6)) % 60}"
+    docs = [(i, " ".join(word() for _ in range(rng.randint(0, 40)))) for i in range(90)] + [(90, None), (91, " "), (92, "W1 w1\tw2")]
+    asked = [(q, " ".join(word() for _ in range(6))) for q in range(11)] + [(11, "w1 W1 nowhere"), (12, None), (13, "")]
+    words = {i: (t or "").lower().split() for i, t in docs}
+    size = sum(len(w) for i, w in words.items() if i != 90) / (len(words) - 1)  # a text that is null has no length
+    df = Counter(t for w in words.values() for t in set(w))
+    raw = {t: math.log(len(words) - n + 0.5) - math.log(n + 0.5) for t, n in df.items()}
+    usual = sum(raw.values()) / len(raw)
+    want = {}
+    for q, text in asked:
+        score = {}
+        for t in (text or "").lower().split():
+            for i, w in words.items():
+                if n := w.count(t):
+                    idf = raw[t] if raw[t] >= 0 else 0.25 * usual
+                    score[i] = score.get(i, 0.0) + idf * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * len(w) / size))
+        first = sorted(((-math.floor(s * 1e6 + 0.5) / 1e6, i) for i, s in score.items()))[:9]
+        want |= {(q, k): (i, -s) for k, (s, i) in enumerate(first, 1)}
+    frames = spark.createDataFrame(asked, "qid long, text string"), spark.createDataFrame(docs, "id long, text string")
+    got = {(r.qid, r.rank): (r.id, pytest.approx(r.score, abs=2e-6)) for r in evaluate.bm25(*frames, top=9, block=13, at_once=4).collect()}
+    assert want.keys() == got.keys() and all(want[k] == got[k] for k in want)
+    assert evaluate.bm25(frames[0].where("qid = 12"), frames[1]).isEmpty()
