@@ -367,3 +367,16 @@ def test_bm25_in_blocks_equals_the_sum_over_terms(spark):
     got = {(r.qid, r.rank): (r.id, pytest.approx(r.score, abs=2e-6)) for r in evaluate.bm25(*frames, top=9, block=13, at_once=4).collect()}
     assert want.keys() == got.keys() and all(want[k] == got[k] for k in want)
     assert evaluate.bm25(frames[0].where("qid = 12"), frames[1]).isEmpty()
+
+
+def test_bridges_of_hubs_are_those_of_all_pairs(spark):
+    """Hubs, and memories with many edges to one entity: before, these hid other memories' edges, and each edge met a list of rows."""
+    rows = [(i % 7 if i < 40 else i, None, 900 + (i * i) % 3, 1.0 + i % 4) for i in range(120)] + [(5, None, 900, 1.0)] * 9
+    held = [(0, None, 950, 1.0)] * 8 + [(1, None, 950, 2.0), (2, None, 950, 3.0)]
+    every = [(k, s, e, w) for k, (s, _, e, w) in enumerate(rows + held)]
+    want = []
+    for a in {s for _, s, _, _ in every}:
+        pairs = sorted((k1, k2, s2, e1, w1 * w2) for k1, s1, e1, w1 in every if s1 == a for k2, s2, e2, w2 in every if e2 == e1 and s2 != a)
+        want += [(a, b, e, w) for _, _, b, e, w in pairs[:4]]
+    found = reads.bridges(edges(spark, rows + held), 4)
+    assert sorted((r.a, r.b, r.entity_id, r.w) for r in found.select("a", "b", "entity_id", "w").collect()) == sorted(want)
