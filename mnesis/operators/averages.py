@@ -11,7 +11,7 @@ import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,59 +65,67 @@ def through(run: str, value: float, alpha: float) -> float:
     return told["level"][max(0, int(np.searchsorted(told["at"], value, side="right")) - 1)]
 
 
-def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, float, list[float], pd.DataFrame]]:
-    """Stretches of one memory within a batch: id, polarity before all events, targets, rows."""
-    for b in batches:
-        ids = b["memory_id"].to_numpy()
-        cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(b)]
-        for i, j in zip(cuts, cuts[1:], strict=False):
-            if j > i:
-                yield int(ids[i]), float(b["start"].iloc[i]), b["target"].iloc[i:j].tolist(), b.iloc[i:j]
+def _runs(ids: np.ndarray) -> list[tuple[int, int]]:
+    """Where the stretches of one memory begin and end within a batch."""
+    cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True)) if len(ids) else []
+
+
+def _read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("memory_id", "start", "target"))
 
 
 def _ends(alpha: float):
-    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = last = value = None
         run = Run(alpha)
-        for i, start, targets, _ in _runs(batches):
-            if first is None:
-                first = i
-            if i != last:
-                last, value = i, 0.0 if math.isnan(start) else start
-            for t in targets:
-                value = step(value, t, alpha)
-            if i == first:
-                run.add(targets)
+        for batch in batches:
+            ids, start, target = _read(batch)
+            runs = _runs(ids)
+            for n, (i, j) in enumerate(runs):
+                if first is None:
+                    first = ids[i]
+                if ids[i] == first:
+                    run.add(target[i:j].tolist())
+                if n == len(runs) - 1:  # only the value of the task's last memory is asked for: others, which end within a batch, aren't walked through
+                    if ids[i] != last:
+                        last, value = ids[i], 0.0 if math.isnan(start[i]) else float(start[i])
+                    for t in target[i:j].tolist():
+                        value = step(value, t, alpha)
         if first is not None:  # where one memory has the whole task, its value at the end depends on tasks before
-            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "first": [first], "last": [last], "value": [value], "run": [run.text() if first == last else None]})
+            columns = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([first], pa.int64()), pa.array([last], pa.int64()), pa.array([value], pa.float64()), pa.array([run.text() if first == last else None], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "first", "last", "value", "run"])
 
     return ends
 
 
-def _steps(alpha: float, carried: dict[int, float]):
-    def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _steps(alpha: float, carried: dict[int, float], keep: tuple[str, ...]):
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, value = None, 0.0
-        for i, start, targets, rows in _runs(batches):
-            if i != last:
-                value = carried.get(TaskContext.get().partitionId(), start) if last is None else start
-                last = i
+        for batch in batches:
+            ids, start, target = _read(batch)
             before, after = [], []
-            for t in targets:
-                before.append(value)
-                value = step(0.0 if math.isnan(value) else value, t, alpha)
-                after.append(value)
-            yield pd.DataFrame({"memory_id": rows["memory_id"], "seq": rows["seq"], "outcome": rows["outcome"], "before": before, "after": after})
+            for i, j in _runs(ids):
+                if ids[i] != last:
+                    value = carried.get(TaskContext.get().partitionId(), float(start[i])) if last is None else float(start[i])
+                    last = ids[i]
+                for t in target[i:j].tolist():
+                    before.append(value)
+                    value = step(0.0 if math.isnan(value) else value, t, alpha)
+                    after.append(value)
+            columns = [*(batch.column(c) for c in ("memory_id", "seq", "outcome")), pa.array(before, pa.float64(), from_pandas=True), pa.array(after, pa.float64()), *(batch.column(c) for c in keep)]
+            yield pa.RecordBatch.from_arrays(columns, names=["memory_id", "seq", "outcome", "before", "after", *keep])
 
     return steps
 
 
-def steps(feedback: DataFrame, memories: DataFrame | None = None, p: Params = DEFAULT) -> DataFrame:
-    """memory_id, seq, outcome, before and after of each event of feedback (memory_id, seq, outcome) in order of seq: insight.ema() step by step, the same to the last digit.
+def steps(feedback: DataFrame, memories: DataFrame | None = None, p: Params = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """memory_id, seq, outcome, before and after of each event of feedback (memory_id, seq, outcome) in order of seq, with the columns of feedback to `keep`: insight.ema() step by step, the same to the last digit.
 
     Starts from the polarity of memories (id, polarity), cut to -1..1; none counts as 0, and `before` of its first event is null. Events of unknown memories and outcomes, or without memory, are left out.
     The sorted events are written below spark.checkpoint.dir, as the tasks of both passes must be the same. The driver gets a row for each task.
     """
-    rows = feedback.where(F.col("outcome").isin(*OUTCOMES) & F.col("memory_id").isNotNull()).select(F.col("memory_id").cast("long"), F.col("seq").cast("long"), "outcome", lookup(F.col("outcome"), OUTCOMES, None).cast("double").alias("target"))
+    rows = feedback.where(F.col("outcome").isin(*OUTCOMES) & F.col("memory_id").isNotNull()).select(F.col("memory_id").cast("long"), F.col("seq").cast("long"), "outcome", lookup(F.col("outcome"), OUTCOMES, None).cast("double").alias("target"), *keep)
     if memories is None:
         rows = rows.withColumn("start", F.lit(None).cast("double"))
     else:
@@ -125,7 +133,7 @@ def steps(feedback: DataFrame, memories: DataFrame | None = None, p: Params = DE
         rows = rows.join(memories.select(F.col("id").alias("memory_id"), polarity.alias("start")), "memory_id")
     order = ["memory_id", "seq", "target"]
     tasks = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order))
-    ends = sorted(tasks.mapInPandas(_ends(p.ema_alpha), "part int, first long, last long, value double, run string").collect())
+    ends = sorted(tasks.select("memory_id", "start", "target").mapInArrow(_ends(p.ema_alpha), "part int, first long, last long, value double, run string").collect())
     carried, last, value = {}, None, 0.0
     for e in ends:
         if e.first == last:
@@ -134,7 +142,8 @@ def steps(feedback: DataFrame, memories: DataFrame | None = None, p: Params = DE
         else:
             value = e.value
         last = e.last
-    return tasks.mapInPandas(_steps(p.ema_alpha, carried), "memory_id long, seq long, outcome string, before double, after double")
+    kept = "".join(f", `{c}` {t}" for c, t in tasks.dtypes if c in keep)
+    return tasks.select("memory_id", "seq", "outcome", "start", "target", *keep).mapInArrow(_steps(p.ema_alpha, carried, keep), f"memory_id long, seq long, outcome string, before double, after double{kept}")
 
 
 def ema(feedback: DataFrame, memories: DataFrame | None = None, p: Params = DEFAULT) -> DataFrame:

@@ -84,10 +84,9 @@ def fed_back(memories: DataFrame, feedback: DataFrame, at: Column, p: Params = D
     adopted; the access events of these; and the log, a row for each event with the polarity before and after it. State, text and updated_at stay. Events of unknown memories
     give nothing, unknown outcomes are an error. seq is unique."""
     known = F.when(F.col("outcome").isin(*OUTCOMES), F.col("outcome")).otherwise(F.raise_error(F.concat(F.lit("unknown outcome: "), F.coalesce("outcome", F.lit("null")))))
-    given = feedback.withColumn("outcome", known)
-    steps = averages.steps(given, memories.select("id", "polarity"), p)
-    each = steps.join(given.select("seq", F.left(F.coalesce("caller", F.lit("")), F.lit(120)).alias("caller"), "grp"), "seq")
-    last = steps.groupBy(F.col("memory_id").alias("id")).agg(F.max_by(F.struct("after", F.col("outcome").alias("said")), "seq").alias("l"), F.count_if(F.col("outcome") == "adopted").alias("adoptions"))
+    given = feedback.withColumns({"outcome": known, "caller": F.left(F.coalesce("caller", F.lit("")), F.lit(120))})
+    each = averages.steps(given, memories.select("id", "polarity"), p, ("caller", "grp"))
+    last = each.groupBy(F.col("memory_id").alias("id")).agg(F.max_by(F.struct("after", F.col("outcome").alias("said")), "seq").alias("l"), F.count_if(F.col("outcome") == "adopted").alias("adoptions"))
     new = {"polarity": F.col("l.after"), "outcome": F.col("l.said"), "outcome_at": at, "adopt_count": (F.col("adopt_count") + F.col("adoptions")).cast(dict(memories.dtypes)["adopt_count"])}
     if "last_accessed_at" in memories.columns:
         new["last_accessed_at"] = F.when(F.col("adoptions") > 0, at).otherwise(F.col("last_accessed_at"))

@@ -121,3 +121,18 @@ def test_averages_of_a_stream_start_where_the_memory_is(spark, tmp_path):
     q = stream.ema_updates(spark.readStream.schema(f.schema).parquet(str(tmp_path / "in")), m).writeStream.format("memory").queryName("started").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(map(tuple, spark.table("started").collect())) == sorted(map(tuple, insight.ema(f, m).collect()))
+
+
+def test_many_memories_of_few_events_go_through_as_batches(spark):
+    """Other columns go along, and a memory costs its steps: before, each was a table of its own, and 60,000 took a minute and more."""
+    import time
+
+    rows = spark.range(0, 120_000, 1, 2).select(F.floor(F.col("id") / 2).alias("memory_id"), F.col("id").alias("seq"), F.lit("adopted").alias("outcome"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("caller"))
+    known = spark.range(59_990).select("id", F.when(F.col("id") % 2 == 0, F.lit(0.5)).alias("polarity"))
+    began = time.time()
+    got = averages.steps(rows, known, keep=("caller",)).toArrow()
+    assert time.time() - began < 25
+    want = {(i, s): (b, averages.step(b or 0.0, 1.0, 0.1)) for i in range(59_990) for s, b in ((2 * i, None if i % 2 else 0.5),)}
+    want |= {(i, 2 * i + 1): (after, averages.step(after, 1.0, 0.1)) for (i, s), (_, after) in list(want.items())}
+    assert {(r["memory_id"], r["seq"]): (r["before"], r["after"]) for r in got.to_pylist()} == want
+    assert all(r["caller"] == f"c{r['seq']}" for r in got.to_pylist())
