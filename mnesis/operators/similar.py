@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnesis.functions.columns import current, days, lookup
@@ -137,12 +137,28 @@ def similar(left: DataFrame, right: DataFrame, itself: bool = False, pivots: int
     return out.select("id", (-F.col("m.minus")).alias("cos"), F.col("m.other").alias("other"), F.col("m.state").alias("state"), "kept", "open")
 
 
-def greedy(batch: DataFrame, finish: int = 2000, pivots: int = 64, most: int = 4096) -> DataFrame:
+def _in_order(rows: pa.Table) -> pa.Table:
+    """Of a bounded table of one bank's rows, the ids that stay by the sequential rule."""
+    rows = rows.sort_by("id")
+    v, least, n, stays = matrix(rows.column("embedding")), rows.column("least").to_numpy(), 0, []
+    kept = np.zeros_like(v)
+    for i in range(len(v)):
+        if (np.floor(kept[:n] @ v[i] * 1e6 + 0.5) / 1e6 < least[i]).all():
+            kept[n] = v[i]
+            n += 1
+            stays.append(i)
+    return pa.table({"id": rows.column("id").take(pa.array(stays, pa.int64())).cast(pa.int64())})
+
+
+def greedy(batch: DataFrame, finish: int = 2000, pivots: int = 64, most: int = 4096, size: int = 1024) -> DataFrame:
     """The rows (id, bank, embedding, least) that stay when each is compared with those of its bank that stay before it, by id: the sequential rule, in rounds.
 
-    In a round, rows that an earlier row which stays reaches are out, and rows that no earlier open row reaches stay. The first open row of a bank is always decided, and
-    of rows in no special order most are in a few rounds. When no more than `finish` are open, those are decided one by one on the driver. Rows without a usable embedding
+    In a round, rows that an earlier row which stays reaches are out. The first open rows of a bank are always decided, and of rows in no special order most are in a few
+    rounds. When no more than `finish` are open, those are decided one by one on the driver. Rows without a usable embedding
     stay. Each round's states are a checkpoint.
+
+    A round decides on the first `size` open rows of each bank one by one, in a task for each bank, as only earlier rows decide on a row; then the other open rows are
+    compared with those of them that stay. So all rows meet only what stays, not each other.
     """
     plain = batch.join(usable(batch).select("id"), "id", "left_anti").select("id")
     open_, stays = cut(usable(batch).select("id", "bank", "embedding", "least")), None
@@ -150,10 +166,12 @@ def greedy(batch: DataFrame, finish: int = 2000, pivots: int = 64, most: int = 4
         left = open_.count()
         if left <= finish:
             break
-        found = similar(open_, open_.withColumn("state", F.lit(2)), True, pivots, most)
-        new = cut(open_.join(found.where("open"), "id", "left_anti"))
+        place = F.row_number().over(Window.partitionBy("bank").orderBy("id"))
+        head = cut(open_.join(open_.select("id", place.alias("n")).where(F.col("n") <= size).select("id"), "id", "left_semi"))
+        first = head.select("bank", "id", "least", "embedding").groupBy("bank").applyInArrow(_in_order, "id long")
+        new = cut(head.join(first, "id", "left_semi"))
         stays = new if stays is None else stays.unionByName(new)
-        rest = open_.join(new.select("id"), "id", "left_anti")
+        rest = open_.join(head.select("id"), "id", "left_anti")
         out = similar(rest, new.withColumn("state", F.lit(1)), True, pivots, most).where("kept")
         open_ = cut(rest.join(out.select("id"), "id", "left_anti"))
     rows = open_.orderBy("id").collect()  # `finish` at most

@@ -100,3 +100,16 @@ def test_gate_inside_retain(spark):
     result = spark.createDataFrame([(i, b, s, 77 if s == "exact" else None) for i, b, _, s in items], "item long, bank string, status string, existing long")
     got = retain_semantic(result, spark.createDataFrame([(i, e) for i, _, e, _ in items], "item long, embedding array<double>"), known, at)
     assert sorted((r.item, r.status, r.existing, r.earlier) for r in got.collect()) == [(10, "semantic", 1, None), (11, "accepted", None, None), (12, "accepted", None, None), (13, "accepted", None, None), (14, "semantic", None, 13), (15, "exact", 77, None), (16, "accepted", None, None)]
+
+
+def test_the_sequential_rule_by_first_rows_of_each_bank(spark):
+    """Few rows at once, so that many rounds are needed: the same rows stay as one by one."""
+    import numpy as np
+
+    from mnesis.operators import similar, writes
+
+    rng = np.random.default_rng(3)
+    rows = [(i, f"b{i % 3}", rng.normal(size=6).tolist(), 0.8) for i in range(300)]
+    want = sorted(k for b in range(3) for k in writes.greedy_semantic([(i, v) for i, x, v, _ in rows if x == f"b{b}"], 0.8))
+    frame = spark.createDataFrame(rows, "id long, bank string, embedding array<double>, least double")
+    assert sorted(r.id for r in similar.greedy(frame, finish=5, size=40).collect()) == want
