@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: So many updates are kept beside a table before one rewrites it.
+LAYERS = 8
+
+
 class Conflict(RuntimeError):
     """Another writer has changed what this write was made from."""
 
@@ -23,7 +27,8 @@ class Damaged(RuntimeError):
 
 @dataclass(frozen=True)
 class Change:
-    """append: rows that are new; upsert: rows that take the place of those with their key; delete: keys whose rows go; replace: rows that are the whole table from now on."""
+    """append: rows that are new; upsert: rows that take the place of those with their key; update: keys and what some columns now hold, where the key is there (of several rows
+    for a key one is taken); delete: keys whose rows go; replace: rows that are the whole table from now on."""
 
     kind: str
     rows: DataFrame
@@ -34,6 +39,8 @@ class Store:
 
     A write puts its files into directories of its own, rewriting only the buckets in which it changes rows, and then creates the log's next file, which must not exist:
     of two writers one succeeds. The loser goes on if both only appended, or changed other tables; else it is a Conflict. Files that no version lists are of no effect.
+    An update rewrites no bucket: its keys and columns are a layer, which reading joins by key, with no more columns than are asked for; LAYERS of them are folded into the table by
+    the next one.
     Creating a file that must not exist is atomic where the file system says so, as HDFS does.
     A commit may bear a mark, a stream's name and a batch's number: one whose stream is that far already is of no effect, so that a batch that is repeated counts once.
     """
@@ -81,7 +88,7 @@ class Store:
         base = self.entry()
         if name in base["tables"]:
             raise ValueError(f"table {name} is there")
-        spec = {"key": key, "buckets": buckets if key else 1, "schema": rows.schema.jsonValue(), "dirs": {}}
+        spec = {"key": key, "buckets": buckets if key else 1, "schema": rows.schema.jsonValue(), "dirs": {}, "layers": []}
         base["tables"][name] = spec
         return self._commit(base, "create", {name: Change("append", rows)}, {name})
 
@@ -93,23 +100,36 @@ class Store:
         schema = StructType.fromJson(spec["schema"])
         wanted = spec["dirs"] if buckets is None else [str(b) for b in buckets if str(b) in spec["dirs"]]
         dirs = [f"{self.root}/{d}" for b in wanted for d in spec["dirs"][b]]
-        return self.spark.read.schema(schema).parquet(*dirs) if dirs else self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(*dirs) if dirs else self.spark.createDataFrame([], schema)
+        for layer in spec.get("layers", ()):
+            parts = [f"{self.root}/{layer['dirs'][b]}" for b in wanted if b in layer["dirs"]]
+            if parts:
+                rows = _over(rows, self.spark.read.schema(StructType.fromJson(layer["schema"])).parquet(*parts), spec["key"])
+        return rows
 
     def _bucket(self, spec: dict) -> Column:
         return F.pmod(F.xxhash64(spec["key"]), F.lit(spec["buckets"])).cast("int") if spec["key"] else F.lit(0)
 
     def _write(self, name: str, spec: dict, change: Change) -> dict:
-        """The table's directories after the change, whose files are written here."""
+        """The table's directories and layers after the change, whose files are written here."""
         own, schema = f"data/{name}/{uuid.uuid4().hex}", StructType.fromJson(spec["schema"])
         bucket = free(schema.fieldNames())
-        touched = None
+        touched, layer = None, None
         if change.kind == "replace":
             touched, rows = list(spec["dirs"]), change.rows.select(*schema.fieldNames())
         elif change.kind == "append":
             rows = change.rows.select(*schema.fieldNames())
+        elif not spec["key"]:
+            raise ValueError(f"table {name} has no key")
+        elif change.kind == "update":
+            part = StructType([schema[spec["key"]], *(schema[c] for c in change.rows.columns if c != spec["key"])])
+            rows = change.rows.select(*[F.col(f"`{x.name}`").cast(x.dataType).alias(x.name) for x in part]).dropDuplicates([spec["key"]])
+            if len(spec.get("layers", ())) < LAYERS:
+                # keys that aren't there are left out, so that a row which comes later with such a key is as it comes
+                layer, rows = part, rows.join(self._rows(spec | {"layers": []}).select(spec["key"]), spec["key"], "left_semi")
+            else:
+                touched, rows = list(spec["dirs"]), _over(self._rows(spec), rows, spec["key"])
         else:
-            if not spec["key"]:
-                raise ValueError(f"table {name} has no key")
             keys = change.rows.select(spec["key"])
             touched = [r.b for r in keys.select(self._bucket(spec).alias("b")).distinct().collect()]  # no more than there are buckets
             rows = self._rows(spec, touched).join(keys.withColumnRenamed(spec["key"], "_key").distinct(), F.col(spec["key"]) == F.col("_key"), "left_anti")
@@ -120,12 +140,16 @@ class Store:
         for s in self._fs.listStatus(self._path(f"{self.root}/{own}")):
             if s.isDirectory():
                 new[s.getPath().getName().split("=")[1]] = f"{own}/{s.getPath().getName()}"
-        dirs = {b: list(d) for b, d in spec["dirs"].items()}
-        for b in touched or ():
-            dirs.pop(str(b), None)
+        dirs, layers = {b: list(d) for b, d in spec["dirs"].items()}, list(spec.get("layers", ()))
+        if layer is not None:
+            return {"dirs": dirs, "layers": [*layers, {"schema": layer.jsonValue(), "dirs": new}] if new else layers}
+        gone = {str(b) for b in touched or ()}
+        for b in gone:
+            dirs.pop(b, None)
         for b, d in new.items():
             dirs[b] = [*dirs.get(b, []), d]
-        return dirs
+        left = [x | {"dirs": {b: d for b, d in x["dirs"].items() if b not in gone}} for x in layers]
+        return {"dirs": dirs, "layers": [x for x in left if x["dirs"]]}
 
     def commit(self, op: str, changes: dict[str, Change], base: int | None = None, mark: tuple[str, int] | None = None) -> int:
         """Make the changes, which were derived from version `base` (the last, if none is said), the next version; its number, or with a mark that is there already the
@@ -142,8 +166,8 @@ class Store:
         if past(base):
             return base["version"]
         written = {name: self._write(name, base["tables"][name], change) for name, change in changes.items()}
-        added = {n: {b: [d for d in dirs if d not in base["tables"][n]["dirs"].get(b, [])] for b, dirs in x.items()} for n, x in written.items()}
-        entry = {"version": base["version"] + 1, "op": op, "tables": {**base["tables"], **{n: base["tables"][n] | {"dirs": d} for n, d in written.items()}}, "kinds": {n: c.kind for n, c in changes.items()}, "marks": base.get("marks", {}) | own}
+        added = {n: {b: [d for d in dirs if d not in base["tables"][n]["dirs"].get(b, [])] for b, dirs in x["dirs"].items()} for n, x in written.items()}
+        entry = {"version": base["version"] + 1, "op": op, "tables": {**base["tables"], **{n: base["tables"][n] | x for n, x in written.items()}}, "kinds": {n: c.kind for n, c in changes.items()}, "marks": base.get("marks", {}) | own}
         while not self._put(entry):
             other = self.entry(entry["version"])
             if past(other):
@@ -155,8 +179,8 @@ class Store:
             tables = dict(other["tables"])
             for name, change in changes.items():  # the other's table, where both appended, has its rows and ours
                 theirs = other["tables"][name]["dirs"]
-                dirs = {b: [*theirs.get(b, []), *added[name].get(b, [])] for b in {*theirs, *added[name]}} if change.kind == "append" else written[name]
-                tables[name] = other["tables"][name] | {"dirs": dirs}
+                both = {b: [*theirs.get(b, []), *added[name].get(b, [])] for b in {*theirs, *added[name]}}
+                tables[name] = other["tables"][name] | ({"dirs": both} if change.kind == "append" else written[name])
             entry = entry | {"version": other["version"] + 1, "tables": tables, "marks": other.get("marks", {}) | own}
         return entry["version"]
 
@@ -172,7 +196,7 @@ class Store:
         for name, spec in entry["tables"].items():
             self._rows(spec).write.mode("overwrite").parquet(f"{path}/tables/{name}")
         self.spark.createDataFrame([(k, n) for k, n in entry.get("marks", {}).items()], "stream string, batch long").coalesce(1).write.mode("overwrite").parquet(f"{path}/marks")
-        self.spark.createDataFrame([(n, json.dumps(s | {"dirs": {}})) for n, s in entry["tables"].items()], "name string, spec string").coalesce(1).write.mode("overwrite").parquet(f"{path}/specs")
+        self.spark.createDataFrame([(n, json.dumps(s | {"dirs": {}, "layers": []})) for n, s in entry["tables"].items()], "name string, spec string").coalesce(1).write.mode("overwrite").parquet(f"{path}/specs")
         self.counts(entry["version"]).coalesce(1).write.mode("overwrite").parquet(f"{path}/counts")
 
     def restore(self, path: str) -> DataFrame:
@@ -194,7 +218,8 @@ class Store:
     def vacuum(self, keep: int) -> int:
         """Delete the data directories that none of the last `keep` versions lists, and the older versions; how many directories went. No writer may be at work."""
         kept = self.versions()[-keep:]
-        used = {d for v in kept for s in self.entry(v)["tables"].values() for x in s["dirs"].values() for d in x}
+        tables = [s for v in kept for s in self.entry(v)["tables"].values()]
+        used = {d for s in tables for x in s["dirs"].values() for d in x} | {d for s in tables for x in s.get("layers", ()) for d in x["dirs"].values()}
         gone = 0
         for table in self._list("data"):
             for own in self._list(f"data/{table}"):
@@ -218,6 +243,14 @@ def free(taken: list[str]) -> str:
     return name
 
 
+def _over(rows: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Rows with the columns of `new` where it has their key. Columns that nobody asks for are read from neither."""
+    named = new.select(F.col(f"`{key}`").alias("_key"), *[F.col(f"`{c}`").alias(f"_new_{c}") for c in new.columns if c != key])
+    there = F.col("_key").isNotNull()
+    columns = [F.when(there, F.col(f"`_new_{c}`")).otherwise(F.col(f"`{c}`")).alias(c) if c != key and c in new.columns else F.col(f"`{c}`") for c in rows.columns]
+    return rows.join(named, F.col(f"`{key}`") == F.col("_key"), "left").select(*columns)
+
+
 def _counts(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows and a checksum that doesn't depend on their order: the sum of their hashes. Maps have none, and count as text."""
     parts = []

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnesis.operators import changes, lifecycle
+from mnesis.plans import catalogue
+from mnesis.sources import commits
 from mnesis.sources.commits import Change, Conflict, Damaged, Store
 
 MEM = "id long, bank string, body string, title string, source_tier string, ttl_state string, content_hash string, invalid_at timestamp_ntz, superseded_by long, valid_at timestamp_ntz, created_at timestamp_ntz, updated_at timestamp_ntz, adopt_count long, embedding array<float>"
@@ -124,3 +126,62 @@ def test_copies_are_verified(spark, store, tmp_path):
     Path(tmp_path, "copy/counts/_SUCCESS").unlink()
     with pytest.raises(Damaged, match="never finished"):
         Store(spark, f"file://{tmp_path}/fourth").restore(copy)
+
+
+def wide_scans(df):
+    """Whether a plan reads the wide column `body`."""
+    return "body" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_updates_are_layers(spark, store, tmp_path):
+    """A write of two columns neither rewrites nor reads the others, and every reader sees it: versions, copies, upserts, a vacuum and later rows with keys that weren't there."""
+    state = lambda rows: spark.createDataFrame(rows, "id long, ttl_state string")
+    old = store.entry()["tables"]["memories"]["dirs"]
+    v = store.commit("a", {"memories": Change("update", state([(1, "active"), (2, None), (2, None), (99, "active"), (None, "x")]))})
+    assert store.entry()["tables"]["memories"]["dirs"] == old and not wide_scans(store.read("memories").select("id", "ttl_state"))
+    got = lambda *a: {r.id: (r.ttl_state, r.adopt_count, r.body) for r in store.read("memories", *a).collect()}
+    assert store.read("memories").count() == 40 and got()[1] == ("active", 1, "text 1") and got()[2] == (None, 2, "text 2") and got(1)[2] == ("trial", 2, "text 2")
+    store.commit("b", {"memories": Change("update", spark.createDataFrame([(1, 50)], "id long, adopt_count int"))})
+    assert got()[1] == ("active", 50, "text 1") and got(v)[1] == ("active", 1, "text 1")
+    store.commit("c", {"memories": Change("append", memories(spark, 100).where("id = 99"))})
+    assert got()[99][0] == "trial", "the update came before the row"
+    base = store.version()
+    store.commit("d", {"memories": Change("append", memories(spark, 102).where("id = 101"))})
+    with pytest.raises(Conflict):
+        store.commit("e", {"memories": Change("update", state([(1, "x")]))}, base)
+    before = got()
+    store.snapshot(f"file://{tmp_path}/copy")
+    other = Store(spark, f"file://{tmp_path}/other")
+    assert sorted(map(tuple, other.restore(f"file://{tmp_path}/copy").collect())) == sorted(map(tuple, store.counts().collect()))
+    assert other.read("memories").exceptAll(store.read("memories")).isEmpty()
+    store.vacuum(1)
+    assert got() == before
+    changes.apply(store, "delete", delete(spark, 1, 2))  # an upsert of whole rows
+    assert got()[1] == ("retired", 50, "text 1") and {k: x for k, x in got().items() if k not in (1, 2)} == {k: x for k, x in before.items() if k not in (1, 2)}
+    store.commit("f", {"memories": Change("delete", state([(1, "")]).select("id"))})
+    store.commit("g", {"memories": Change("append", memories(spark, 2).where("id = 1"))})
+    assert got()[1] == ("trial", 1, "text 1"), "what was updated before it went"
+    with pytest.raises(ValueError, match="no key"):
+        store.commit("x", {"changelog": Change("update", store.read("changelog"))})
+
+
+def test_layers_are_folded(spark, store, monkeypatch):
+    monkeypatch.setattr(commits, "LAYERS", 2)
+    for k in range(5):
+        store.commit("u", {"memories": Change("update", spark.createDataFrame([(3, f"s{k}"), (4 + k, "x")], "id long, ttl_state string"))})
+        assert len(store.entry()["tables"]["memories"]["layers"]) == (1, 2, 0, 1, 2)[k]
+    got = {r.id: r.ttl_state for r in store.read("memories").collect()}
+    assert len(got) == 40 and got[3] == "s4" and [got[4 + k] for k in range(6)] == ["x"] * 5 + ["trial"]
+
+
+def test_a_change_of_state_leaves_the_texts(spark, tmp_path, monkeypatch):
+    """commit_replay writes the memories' texts once, whatever it deletes and adopts."""
+    monkeypatch.setattr(catalogue, "fresh_path", lambda s, name: f"file://{tmp_path}/{name}")
+    got = catalogue.QUERIES["commit_replay"](spark, "/root/testdata/sf0.001").first()
+    assert got.deletions > 0 and got.adoptions > 0
+    size = lambda v: sum(p.stat().st_size for d in v for p in Path(tmp_path, "store", d).glob("*.parquet"))
+    spec = Store(spark, f"file://{tmp_path}/store").entry()["tables"]["memories"]
+    texts = {d for x in spec["dirs"].values() for d in x}
+    written = {str(p.relative_to(tmp_path / "store")) for p in Path(tmp_path, "store/data/memories").glob("*/bucket=*")}
+    assert len({d.split("/")[2] for d in texts}) == 1 and 0 < size(written - texts) < size(texts)
+    assert all("body" not in json.dumps(x["schema"]) for x in spec["layers"]) and len(spec["layers"]) == 2
