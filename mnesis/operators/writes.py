@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from mnesis.functions.columns import cosine, current, days, live, lookup
 from mnesis.functions.rules import classify, derive_title, injection_labels, should_scan, staleness
 from mnesis.model import BANKS, DEFAULT, Params
+from mnesis.operators import recent
 
 def exact_duplicates(batch: DataFrame, memories: DataFrame) -> DataFrame:
     """Rows of a batch (id, bank, content_hash) whose content a current, not retired row of the same bank has: id and the least such row."""
@@ -225,12 +226,31 @@ def greedy_semantic(batch: list[tuple[int, Sequence[float]]], least: float) -> l
     return kept
 
 
-def semantic_duplicates(batch: DataFrame, known: DataFrame, p: Params = DEFAULT, least: float | None = None) -> DataFrame:
-    """For each batch row (id, bank, embedding, created_at), the nearest row of its bank of the dedup_days before, if its cosine reaches the bank's threshold."""
-    k = known.select(F.col("id").alias("existing"), F.col("bank").alias("bank2"), F.col("embedding").alias("v"), F.col("created_at").alias("at2"), F.to_date("created_at").alias("day2"))
+def semantic_duplicates(batch: DataFrame, known: DataFrame, p: Params = DEFAULT, least: float | None = None, most: int = 4096) -> DataFrame:
+    """For each batch row (id, bank, embedding, created_at), the nearest row of its bank of the dedup_days before, if its cosine reaches the bank's threshold.
+
+    Exact, and all rows of a bank and a window meet; rows with a null in their embedding, or none, are similar to none. Both sides of a bank and day are dealt into parts of
+    about `most` rows, and a task compares some blocks of a part with a part, so that none holds or compares a whole day. The driver has the number of pairs."""
+    limit = F.lit(float(least)) if least is not None else lookup(F.col("bank"), p.dedup_bank_cosine, p.dedup_cosine)
+
+    def sound(rows: DataFrame) -> DataFrame:
+        v = F.transform("embedding", lambda x: x.cast("double"))
+        return rows.where(F.col("id").isNotNull() & F.forall("embedding", lambda x: x.isNotNull()) & (F.size("embedding") > 0)).withColumns({"v": v, "dim": F.size("embedding")})
+
+    block = ["bank", "day", "dim"]
+    old = sound(known).select(F.to_date("created_at").alias("day"), "bank", "dim", "id", F.col("created_at").alias("until"), F.col("created_at").alias("since"), F.lit(0.0).alias("least"), "v")
+    new = sound(batch).select("bank", "dim", "id", F.col("created_at").alias("until"), (F.col("created_at") - days(F.lit(p.dedup_days))).alias("since"), limit.cast("double").alias("least"), "v").where("least IS NOT NULL")
     # days are the key: a row meets those of its bank of its own day and of the dedup_days before
-    spread = batch.withColumn("day", F.explode(F.transform(F.sequence(F.lit(0), F.lit(p.dedup_days)), lambda i: F.date_sub(F.to_date("created_at"), i))))
-    near = spread.join(k, (F.col("bank") == F.col("bank2")) & (F.col("day") == F.col("day2")) & (F.col("existing") != F.col("id")) & (F.col("at2") <= F.col("created_at")) & (F.col("at2") > F.col("created_at") - days(F.lit(p.dedup_days))))
-    limit = F.lit(least) if least is not None else lookup(F.col("bank"), p.dedup_bank_cosine, p.dedup_cosine)
-    scored = near.withColumn("cos", F.round(cosine(F.col("embedding"), F.col("v")), 6)).where(F.col("cos") >= limit)
-    return scored.groupBy("id").agg(F.max(F.struct("cos", (-F.col("existing")).alias("minus"))).alias("m")).select("id", (-F.col("m.minus")).alias("existing"), F.col("m.cos").alias("cos"))
+    spread = new.withColumn("day", F.explode(F.transform(F.sequence(F.lit(0), F.lit(p.dedup_days)), lambda i: F.date_sub(F.to_date("until"), i))))
+    rows = lambda df, n: df.groupBy(*block).agg(F.count(F.lit(1)).alias(n))
+    sizes = cut(rows(old, "n_old").join(rows(spread, "n_new"), block))  # a row for each bank and day
+    pairs = sizes.agg(F.sum(F.col("n_old") * F.col("n_new"))).first()[0] or 0
+    parts = {c: F.ceil(F.col(n) / most).cast("int") for c, n in (("parts", "n_old"), ("lots", "n_new"))}
+    sizes = sizes.select(*block, *[x.alias(c) for c, x in parts.items()])
+    own = lambda n: F.pmod(F.xxhash64("id", "until"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sides = [old.join(sizes, block).select("*", own("parts").alias("part"), each("lots").alias("lot"), F.lit(0).alias("side")), spread.join(sizes, block).select("*", each("parts").alias("part"), own("lots").alias("lot"), F.lit(1).alias("side"))]
+    dealt = sides[0].select(*recent.DEALT).unionByName(sides[1].select(*recent.DEALT)).withColumn("day", F.datediff("day", F.lit("1970-01-01").cast("date")))
+    tasks = max(int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // most**2))
+    found = recent.nearest(dealt, tasks)
+    return found.groupBy("id").agg(F.max(F.struct("cos", (-F.col("existing")).alias("minus"))).alias("m")).select("id", (-F.col("m.minus")).alias("existing"), F.col("m.cos").alias("cos"))
