@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import re
 import tempfile
@@ -59,6 +60,18 @@ def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
+@contextlib.contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is run meanwhile deletes its shuffle files as it ends: else they stay until the driver happens to collect its garbage, those of all steps at once."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class Scratch:
     """Intermediate tables of one run, written as Parquet to the shared folder: they cut the lineage, and a lost executor loses none of them.
 
@@ -74,7 +87,8 @@ class Scratch:
         return f"{self.base}/{label}"
 
     def save(self, df: DataFrame, label: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(label))
+        with freed_shuffles(self.spark):
+            df.write.mode("overwrite").parquet(self.path(label))
         self.labels.add(label)
         return self.spark.read.schema(df.schema).parquet(self.path(label))
 
@@ -227,7 +241,7 @@ def token_hashes(raw: np.ndarray, offs: np.ndarray, prefixes: tuple[int, ...] =
     return np.concatenate(parts)[np.argsort(text, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(first) - 1))])
 
 
-def tree_sum(parts: DataFrame, width: int, kind: str = "float64", fan: int = 16) -> np.ndarray:
+def tree_sum(parts: DataFrame, width: int, kind: str = "float64", fan: int = 16, add: np.ufunc = np.add) -> np.ndarray:
     """The sum of packed arrays (column part: bytes of `width` numbers): added in each task, then of `fan` tasks each in one, until one array is left for the driver."""
 
     def run(batches):
@@ -235,7 +249,7 @@ def tree_sum(parts: DataFrame, width: int, kind: str = "float64", fan: int = 16)
         for batch in batches:
             for x in batch.column(0):
                 a = np.frombuffer(x.as_buffer(), kind)
-                total = a.copy() if total is None else np.add(total, a, out=total)
+                total = a.copy() if total is None else add(total, a, out=total)
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
